@@ -1,6 +1,10 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from . import quality_rules
+from . import chat_format, quality_rules, simhash_dedup
 
-QUERIES = {"op5_quality_rules": quality_rules.op5_quality_rules}
-ORACLES = {"op5_quality_rules": quality_rules.ORACLE}
+QUERIES = {
+    "op2_chat_format": chat_format.op2_chat_format,
+    "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+}
+ORACLES = {"op2_chat_format": chat_format.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
