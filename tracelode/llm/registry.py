@@ -1,10 +1,12 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from . import chat_format, quality_rules, simhash_dedup
+from . import byte_bpe, chat_format, quality_rules, simhash_dedup, token_files
 
 QUERIES = {
     "op2_chat_format": chat_format.op2_chat_format,
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_token_files": token_files.op7_token_files,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
 }
 ORACLES = {"op2_chat_format": chat_format.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
