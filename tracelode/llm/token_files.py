@@ -13,8 +13,8 @@ in ascending doc_id order and within; the manifest, a Parquet table, names the f
 number of ids before each. A task that is run again writes a file of another name, and only the rows of tasks
 that succeeded reach the manifest, so lost executors leave at most unused files.
 
-The dictionary is trained on a bounded sample: SAMPLE documents of at most SAMPLE_CHARS code points, those
-least by hash of doc_id. It affects sizes only, never ids.
+The dictionary is trained on a bounded sample: about SAMPLE documents chosen by hash of doc_id, less those of
+over SAMPLE_CHARS code points. It affects sizes only, never ids.
 
 Defined cases: null or empty text gives the end id alone. Null doc_ids come first. Repeated rows each are a
 document; rows of one doc_id are ordered by their frames. An empty table gives no shards. Columns besides
@@ -28,6 +28,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,15 +50,6 @@ MEMORY = 400_000
 
 #: Between two characters that are not white space, a space starts a pre-token of the byte-level pattern.
 SEAM = re.compile(r"(?<=\S)(?= \S)")
-ODD = re.compile(r" \s|\s ")
-
-
-def chunks(text: str) -> list[str]:
-    """The text cut where pre-tokens start for certain, so that each chunk has the ids that it has within the text."""
-    if ODD.search(text) or text[:1] == " ":
-        return SEAM.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
 
 
 @lru_cache(maxsize=2)
@@ -69,22 +61,53 @@ def _tokenizer(path: str, plain_specials: bool):
     return t
 
 
+class _Odd(Exception):
+    """A space that has white space or an end of the text beside it."""
+
+
+class _Known(dict):
+    """Ids of chunks that follow a space, each encoded when it is first met."""
+
+    def __init__(self, encode) -> None:
+        self.encode, self.marks = encode, {x: encode(x) for x in ".,"}
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Odd
+        if len(self) >= MEMORY:
+            self.clear()
+        mark, word = self.marks.get(part[-1]), part[:-1]
+        if mark and word.isalpha() and max(word) < "\u0250":  # Latin letters and a mark are two pre-tokens
+            out = self[word] + mark
+        else:
+            out = self.encode(" " + part)
+        self[part] = out
+        return out
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library; each distinct chunk is encoded once while it is remembered."""
+    """Ids of whole texts by the tokenizers library.
+
+    A text is cut where pre-tokens start for certain, so that each chunk has the ids that it has within the
+    text, and each distinct chunk is encoded once while it is remembered.
+    """
 
     def __init__(self, path: str, plain_specials: bool = True) -> None:
-        self.tokenizer, self.known = _tokenizer(path, plain_specials), {}
+        self.tokenizer = _tokenizer(path, plain_specials)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        kind, encode = "H" if self.width == 2 else "I", self.tokenizer.encode
+        self.encode = lambda text: array(kind, encode(text, add_special_tokens=False).ids).tobytes()
+        self.known = _Known(self.encode)
 
     def __call__(self, text: str, end: bytes) -> bytes:
-        parts = chunks(text)
-        new = list(set(parts).difference(self.known))
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, list(set(parts))
-        if new:
-            kind = f"<u{self.width}"
-            self.known.update(zip(new, [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
-        return b"".join(map(self.known.__getitem__, parts)) + end
+        """The ids as unsigned integers of this machine's order, little-endian where Spark runs."""
+        first, *rest = text.split(" ")
+        try:
+            if rest and (not first or first[-1].isspace()):
+                raise _Odd
+            return self.encode(first) + b"".join(map(self.known.__getitem__, rest)) + end
+        except _Odd:
+            return b"".join(map(self.encode, SEAM.split(text))) + end
 
 
 def _end(end_id: int, width: int) -> bytes:
@@ -93,9 +116,9 @@ def _end(end_id: int, width: int) -> bytes:
 
 def train(docs: DataFrame, path: str, end_id: int, plain_specials: bool = True) -> bytes:
     """The shared dictionary, or b"" where the sample is too small to make one."""
-    short = docs.filter(F.length("text") <= SAMPLE_CHARS)
-    ids = [r[0] for r in short.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
-    texts = [r[0] for r in short.filter(F.col("doc_id").isin(ids)).orderBy("doc_id", "text").limit(SAMPLE).select("text").collect()] if ids else []
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    chosen = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31))) & (F.length("text") <= SAMPLE_CHARS)
+    texts = sorted(r[0] for r in docs.filter(chosen).select("text").limit(2 * SAMPLE).collect())
     encode = Encoder(path, plain_specials)
     samples = [encode(t, _end(end_id, encode.width)) for t in texts]
     try:
