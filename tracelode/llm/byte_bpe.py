@@ -14,6 +14,7 @@ Columns besides doc_id and text are ignored. A byte that the vocabulary lacks ra
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -43,13 +44,13 @@ class PerfectHash:
     def __init__(self, keys: list[bytes]) -> None:
         n = self.n = max(1, len(keys))
         self.m = n // 3 + 1
-        self.displace = np.zeros(self.m, np.int64)
+        self.displace = [0] * self.m
         self.keys: list[bytes | None] = [None] * n
-        hashes = self._hashes(keys)
+        h = [xxhash.xxh3_64_intdigest(k) for k in keys]
         members: dict[int, list[int]] = {}
-        for k, b in enumerate((hashes % np.uint64(self.m)).tolist()):
-            members.setdefault(b, []).append(k)
-        taken, h, singles = bytearray(n), hashes.tolist(), []
+        for k, x in enumerate(h):
+            members.setdefault(x % self.m, []).append(k)
+        taken, singles = bytearray(n), []
         for b, ks in sorted(members.items(), key=lambda x: (-len(x[1]), x[0])):
             if len(ks) == 1:
                 singles.append((b, ks[0]))
@@ -69,19 +70,25 @@ class PerfectHash:
             s = next(free)
             self.displace[b], self.keys[s] = -1 - s, keys[k]
 
-    @staticmethod
-    def _hashes(keys: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+    def slot(self, key: bytes) -> int:
+        """The key's slot, or -1 for what is not a key."""
+        h = xxhash.xxh3_64_intdigest(key)
+        d = self.displace[h % self.m]
+        at = -1 - d if d < 0 else ((h * (2 * d + 1) & 0xFFFFFFFFFFFFFFFF) >> 32) % self.n
+        return at if self.keys[at] == key else -1
 
-    def slots(self, keys: list[bytes]) -> np.ndarray:
-        """Each key's slot, and -1 for what is not a key."""
-        h = self._hashes(keys)
-        d = self.displace[(h % np.uint64(self.m)).astype(np.int64)]
-        with np.errstate(over="ignore"):
-            placed = (h * (2 * np.maximum(d, 0) + 1).astype(np.uint64) >> np.uint64(32)) % np.uint64(self.n)
-        at = np.where(d < 0, -1 - d, placed.astype(np.int64))
-        own = self.keys
-        return np.fromiter((s if own[s] == k else -1 for k, s in zip(keys, at.tolist(), strict=True)), np.int64, len(keys))
+
+class _Known(dict):
+    """Ids of pre-tokens, each looked up when it is first met."""
+
+    def __init__(self, learn) -> None:
+        self.learn = learn
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[part] = out = self.learn(part)
+        return out
 
 
 class BytePairs:
@@ -91,10 +98,12 @@ class BytePairs:
         import regex
 
         self.ranks, self.hash = ranks, hashed or PerfectHash(list(ranks))
-        self.slot_ids = np.array([ranks.get(k, -1) for k in self.hash.keys], np.int64)
+        self.slot_ids = [ranks.get(k, -1) for k in self.hash.keys]
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-        self.tokens = {i: b for b, i in ranks.items()}
+        self.known = _Known(self._learn)
+        self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for b, i in ranks.items():
+            self.tokens[i] = b
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token by repeated merging of the pair of lowest rank."""
@@ -120,22 +129,14 @@ class BytePairs:
             i = end[i]
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        words = [p.encode() for p in new]
-        slots = self.hash.slots(words)
-        whole = self.slot_ids[slots].astype("<u4")
-        for p, w, s, i in zip(new, words, slots.tolist(), whole, strict=True):
-            self.known[p] = i.tobytes() if s >= 0 else np.array(self.merge(w), "<u4").tobytes()
+    def _learn(self, part: str) -> bytes:
+        word = part.encode()
+        slot = self.hash.slot(word)
+        return array("I", [self.slot_ids[slot]] if slot >= 0 else self.merge(word)).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        parts = self.split(text)
-        new = list(set(parts).difference(self.known))
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, list(set(parts))
-        if new:
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, parts))
+        """The ids of a text as unsigned 32-bit integers of this machine's order."""
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -186,7 +187,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _of(sent, pattern)
         for b in batches:
-            out = [own.decode(x.values.to_pylist()) for x in b.column(1)]
+            out = [own.decode(x.values.to_numpy().tolist()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
