@@ -16,6 +16,7 @@ table. Repeated rows are judged one by one. Columns besides doc_id, text and lan
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,13 +77,14 @@ def repeat_words(words: str, n: str, width: int, df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(_sum(steps, F.lit(0)), F.lit(0)).cast("long")).drop("_h", "_s", "_p")
 
 
-def features(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """A narrow row for each document: the base counts and its two histograms."""
+def features(docs: DataFrame, rules: Rules = Rules(), keep: Sequence[str] = ()) -> DataFrame:
+    """A row for each document: the base counts and its two histograms, narrow unless columns are to be kept."""
     n_list = {lang: F.array(*map(F.lit, ws)) for lang, ws in rules.common_words.items()}
     common = F.lit(None).cast("array<string>")
     for lang, ws in n_list.items():
         common = F.when(F.col("lang") == lang, ws).otherwise(common)
-    df = docs.select(F.col("doc_id"), F.when(F.col("lang").isin(list(rules.common_words)), F.col("lang")).alias("lang"), c.text_or_empty("text").alias("_t"))
+    kept = [f"_keep_{k}" for k in keep]
+    df = docs.select(*[F.col(k).alias(f"_keep_{k}") for k in keep], F.col("doc_id"), F.when(F.col("lang").isin(list(rules.common_words)), F.col("lang")).alias("lang"), c.text_or_empty("text").alias("_t"))
     df = df.withColumn("_w", c.words(F.col("_t"))).withColumn("n_words", F.size("_w").cast("long"))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(c.BLANKS)) != "")
     df = df.withColumn("_lines", lines)
@@ -94,7 +96,7 @@ def features(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     c_words = F.col("_c")
     hist = F.transform(common, lambda r: (F.size(c_words) - F.size(F.array_remove(c_words, r))).cast("long"))
     return df.select(
-        "doc_id", "lang", F.col("n_words").cast("long").alias("n_words"), "word_chars",
+        *kept, "doc_id", "lang", F.col("n_words").cast("long").alias("n_words"), "word_chars",
         _count(t, SYMBOLS).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
@@ -133,10 +135,12 @@ def judge(feats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return df.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, the base counts, base_failed, class_distance, word_distance and kept for each row of docs."""
-    feats = c.written(features(docs, rules), "quality-features")
-    return judge(feats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+def quality_rules(docs: DataFrame, rules: Rules = Rules(), keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and the two distances for each row of docs; or, with columns to keep, these and kept."""
+    judged = judge(c.written(features(docs, rules, keep), "quality-features"), rules)
+    if keep:
+        return judged.select(*[F.col(f"_keep_{k}").alias(k) for k in keep], "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
 def _oracle(rules: Rules = Rules()) -> str:

@@ -1,12 +1,17 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from . import byte_bpe, chat_format, quality_rules, simhash_dedup, token_files
+from . import byte_bpe, chat_format, html_text, lm_score, quality_rules, simhash_dedup, source_mix, token_files, toxicity, va_search
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_html_text": html_text.op6_html_text,
     "op7_token_files": token_files.op7_token_files,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_va_search": va_search.op9_va_search,
+    "op10_source_mix": source_mix.op10_source_mix,
 }
-ORACLES = {"op2_chat_format": chat_format.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op2_chat_format": chat_format.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op9_va_search": va_search.ORACLE}

@@ -20,7 +20,7 @@ get a row. An empty table gives an empty table. Columns besides doc_id and text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _common as c
 
@@ -59,15 +60,17 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of each row."""
+def fingerprints(docs: DataFrame, width: int = 4, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, doc_id being one, and fp (the fingerprint's 64 bits as a long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), width) for t in b.column("_marked")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(fps)], names=[*keep, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_or_empty("text").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    kept = [F.col(k).cast("long").alias(k) if k == "doc_id" else F.col(k) for k in keep]
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("fp", T.LongType())])
+    return docs.select(*kept, c.text_or_empty("text").alias("_marked")).mapInArrow(run, schema)
 
 
 def cover(of: int = 8) -> list[tuple[int, ...]]:
@@ -173,15 +176,27 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     return found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionAll(found.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def simhash_components(docs: DataFrame, max_bits: int = 4, width: int = 4) -> DataFrame:
-    """doc_id, fp (long) and component_id for each row of docs."""
-    fps = c.written(fingerprints(docs, width), "fingerprints")
+def _by_fingerprint(fps: DataFrame, max_bits: int) -> DataFrame:
+    """fp and component_id of each distinct fingerprint."""
     nodes = c.written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
     roots = components(edges(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_fp = c.written(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.min_by("fp", F.struct(F.col("first_doc").isNull(), "first_doc", "fp")).alias("best_fp"))
+    return c.written(rooted.join(least, "root").select("fp", "component_id", "best_fp"), "components")
+
+
+def simhash_components(docs: DataFrame, max_bits: int = 4, width: int = 4) -> DataFrame:
+    """doc_id, fp (long) and component_id for each row of docs."""
+    fps = c.written(fingerprints(docs, width), "fingerprints")
+    return fps.join(_by_fingerprint(fps, max_bits).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, max_bits: int = 4, width: int = 4, keep: Sequence[str] = ("doc_id", "text")) -> DataFrame:
+    """One row of docs for each component, that of the smallest doc_id, with the columns to keep."""
+    fps = c.written(fingerprints(docs, width, keep), "fingerprints")
+    best = _by_fingerprint(fps.select("doc_id", "fp"), max_bits).filter("fp = best_fp").select("fp", F.col("component_id").alias("_best"))
+    chosen = fps.join(best, (fps["fp"] == best["fp"]) & fps["doc_id"].eqNullSafe(best["_best"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "fp"]).select(*keep)
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

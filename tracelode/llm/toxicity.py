@@ -20,7 +20,7 @@ doc_id and text are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _common as c
 
@@ -144,17 +145,20 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed:
     return Machine(b, at, w, v)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, machine: Machine | None = None) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of docs."""
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, machine: Machine | None = None, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, doc_id being one, and held_out, score and predicted for each row of docs."""
     m = machine or fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {s: i for i, s in enumerate(m.slots.tolist())}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score(m, t.as_py(), place) for t in b.column(1)], pa.float64())], names=["doc_id", "score"])
+            found = pa.array([score(m, t.as_py(), place) for t in b.column("_scored")], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), found], names=[*keep, "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_or_empty("text").alias("text")).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    kept = [F.col(k).cast("long").alias(k) if k == "doc_id" else F.col(k) for k in keep]
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("score", T.DoubleType())])
+    scored = docs.select(*kept, c.text_or_empty("text").alias("_scored")).mapInArrow(run, schema)
+    return scored.select(*keep, held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
