@@ -1,5 +1,8 @@
-"""Every query of the trace engine, by the operator it stands for, with the SQL it is held against."""
+"""Every query of the trace engine, by name, with the SQL it is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from .plans.oracles import ORACLES
+from .plans.queries import QUERIES
+
+FLAGSHIP = "occ_top"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
