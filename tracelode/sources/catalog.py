@@ -156,11 +156,11 @@ def long_traces(traces: DataFrame) -> DataFrame:
     g = lambda path: F.get_json_object("i.sem", path)
     kind = F.get(F.json_object_keys("i.sem"), F.lit(0))
     of = lambda *ops, path: F.coalesce(*[g(f"$.{op}.{path}") for op in ops])
-    value = lambda c: F.when(c.startswith("{") | c.startswith("["), c).when(c.isNotNull(), F.concat(F.lit('"'), c, F.lit('"')))
+    value = lambda c: F.to_json(F.try_parse_json(F.when(c.startswith("{") | c.startswith("["), c).when(c.isNotNull(), F.concat(F.lit('"'), c, F.lit('"')))))
     return rows.select(
         "target", "bc", "slice_id", "trace_id", "idx", (F.col("idx") == F.col("target_idx")).alias("is_target"), F.col("i.loc").alias("loc"), kind.alias("op"),
         g("$.Call.func.Func").alias("func"), F.transform(F.from_json(g("$.Call.args"), "array<string>"), value).alias("args"), g("$.ICmp.pred").alias("pred"),
         F.coalesce(value(g("$.ICmp.op0")), value(g("$.Bin.op0")), value(g("$.Ret.op"))).alias("op0"), F.coalesce(value(g("$.ICmp.op1")), value(g("$.Bin.op1"))).alias("op1"),
         value(g("$.CondBr.cond")).alias("cond"), g("$.CondBr.br").alias("br"), F.coalesce(g("$.CondBr.beg_loop").cast("boolean"), F.lit(False)).alias("beg_loop"), F.coalesce(g("$.UncondBr.end_loop").cast("boolean"), F.lit(False)).alias("end_loop"),
-        value(of("Store", "Load", "GEP", path="loc")).alias("mem"), value(g("$.Store.val")).alias("val"), F.col("i.res").alias("res"),
+        value(of("Store", "Load", "GEP", path="loc")).alias("mem"), value(g("$.Store.val")).alias("val"), value(F.col("i.res")).alias("res"),
     )
