@@ -194,3 +194,27 @@ def test_names(spark):
     df = spark.createDataFrame([("a/b/c/lib.so", "debian", ["x"]), ("z/y", "github", ["Makefile"])], "path string, src string, files array<string>")
     got = df.select(occurrence.library_name(F.col("path")).alias("n"), occurrence.build_kind(F.col("src"), F.col("files")).alias("b")).collect()
     assert [(r.n, r.b) for r in got] == [("a_b", "dpkg"), ("", "makeonly")]
+
+
+def test_engine_from_program_to_features(spark, tmp_path):
+    from tracelode.api import Engine
+
+    root = tmp_path / "db"
+    root.mkdir()
+    engine = Engine.init(spark, str(root))
+    ir = program(spark, [
+        ("main", "b0", 0, "call", "p", [{"func": "lock"}, {"glob": "m"}]), ("main", "b0", 1, "icmp", "c", ["EQ", {"reg": "p"}, 0]), ("main", "b0", 2, "br", None, [{"reg": "c"}, "b1", "b2"]),
+        ("main", "b1", 0, "ret", None, []), ("main", "b2", 0, "call", "q", [{"func": "helper"}, {"reg": "p"}]), ("main", "b2", 1, "ret", None, [{"reg": "q"}]), ("helper", "b0", 0, "ret", None, [{"arg": 0}]),
+    ])
+    edges = spark.createDataFrame([("a", "main.c:0:1", "main", "lock"), ("a", "main.c:0:2", "main", "helper"), ("a", "x", "main", "llvm.dbg.value")], "bc string, edge_id string, caller string, callee string")
+    engine.analyze(ir, edges, include="lock", reduce=False)
+    assert engine.slices("lock").first()["functions"] == ["helper", "main"]
+    assert engine.num_traces().first()["n_traces"] == 2
+    checks = engine.features("ret_check").orderBy("trace_id").collect()
+    assert all(r.checked and r.slice_checked for r in checks) and {r.br_eq_zero for r in checks} == {True, False}
+    assert any(r.returned for r in engine.features("ret").collect())
+    assert engine.features("arg_0_pre", where="is_global", one_per_slice=True).count() == 1
+    assert {r.func for r in engine.features("after").collect()} == {"lock", "helper"}
+    engine.remove("lock")
+    asked = engine.learn_active(spark.createDataFrame([(i, [float(i)]) for i in range(4)], "dp_id long, x array<double>"), lambda i: i == 1, 2, [(0, True)])
+    assert [(r.tp, r.fp) for r in asked.collect()] == [(1, 1), (2, 1), (2, 2)]

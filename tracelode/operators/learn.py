@@ -174,3 +174,37 @@ def mcmc_mask(points: DataFrame, rounds: int = 50, groups: list[list[int]] | Non
 def random_order(points: DataFrame, seed: int = 0) -> DataFrame:
     """The baseline: datapoints in a seeded order."""
     return points.select("dp_id", (F.pmod(F.xxhash64(F.lit(seed), "dp_id"), F.lit(1 << 30)) / (1 << 30)).alias("score"))
+
+
+def dual_one_class(points: DataFrame, labeled: DataFrame, how: str = "exp") -> DataFrame:
+    """dp_id, target, outlier (-1 or 1 by one machine on points labelled fine and one on alarms) and what the next question goes by: "exp" for their product, "sim" for how alike they are. labeled: dp_id, is_alarm."""
+    side = lambda hit: points.join(F.broadcast(labeled.filter(F.col("is_alarm") == hit).select("dp_id")), "dp_id", "left_semi")
+    sign = F.when(F.col("score") >= 0, 1).otherwise(-1)
+    fitted = lambda hit, nu, name: _one_class_on(side(hit), points, nu).select("dp_id", sign.alias(name))
+    both = fitted(False, 0.1, "target").join(fitted(True, 0.9, "outlier"), "dp_id")
+    agg = F.col("target") * F.col("outlier") if how == "exp" else -F.abs(F.col("target") - F.col("outlier"))
+    return both.withColumn("aggregate", agg)
+
+
+def _one_class_on(train: DataFrame, points: DataFrame, nu: float) -> DataFrame:
+    x = sample(train, 1000)
+    if not len(x):
+        return points.select("dp_id", F.lit(1.0).alias("score"))
+    gamma = 1 / max(x.shape[1] * x.var(), 1e-12)
+    kernel = lambda a, b: np.exp(-gamma * ((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T).clip(0))
+    k, top, alpha = kernel(x, x), max(1 / (nu * len(x)), 1 / len(x)), np.full(len(x), 1 / len(x))
+    for _ in range(300):
+        alpha = _to_simplex(alpha - (k @ alpha) / max(np.linalg.norm(k, 2), 1e-9), top)
+    rho = float(np.quantile(k @ alpha, min(nu, 1.0)))
+    return scored(points, lambda rows: kernel(rows, x) @ alpha - rho)
+
+
+def uncertain(points: DataFrame, labeled: DataFrame, seed: int = 0) -> DataFrame:
+    """dp_id, margin: the points not labelled yet whose class the classifier is least sure of come first. labeled: dp_id, is_alarm."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    z = random_features(points, seed=seed).select("dp_id", array_to_vector("z").alias("features"))
+    train = z.join(labeled.select("dp_id", F.col("is_alarm").cast("double").alias("label")), "dp_id")
+    out = LinearSVC(maxIter=50, regParam=0.01).fit(train).transform(z.join(labeled.select("dp_id"), "dp_id", "left_anti"))
+    return out.select("dp_id", F.abs(F.get(vector_to_array("rawPrediction"), F.lit(0))).alias("margin")).orderBy("margin", "dp_id")

@@ -106,3 +106,66 @@ def mark_first(points: DataFrame, part: str, slice_id: int, trace_id: int | None
     """Whether a datapoint is the known bug: its file contains the part, its slice and, if given, trace are the ones."""
     hit = F.col("bc").contains(part) & (F.col("slice_id") == slice_id)
     return hit if trace_id is None else hit & (F.col("trace_id") == trace_id)
+
+
+def _density(d2: Column, bandwidth: float, dim: Column) -> Column:
+    """The kernel with the normaliser of all dimensions."""
+    return F.exp(-d2 / (2 * bandwidth**2)) / F.pow(F.lit(bandwidth) * F.sqrt(2 * F.pi()), dim)
+
+
+def _labeled_constants(labeled: DataFrame, bandwidth: float) -> DataFrame:
+    """Each labelled point with the sum of its kernels to the positives other than itself (s); labelled points are few."""
+    pos = F.broadcast(labeled.filter("is_alarm").select(F.col("dp_id").alias("j"), F.col("x").alias("y")))
+    k = F.when(F.col("dp_id") != F.col("j"), _density(v.distance2(F.col("x"), F.col("y")), bandwidth, F.size("x")))
+    return labeled.join(pos, F.lit(True), "left").groupBy("dp_id").agg(F.first("x").alias("x"), F.first("is_alarm").alias("is_alarm"), F.coalesce(F.sum(k), F.lit(0.0)).alias("s"))
+
+
+def leave_one_out_scores(points: DataFrame, labeled: DataFrame, p_pos: float = 0.5, bandwidth: float = 1.0) -> DataFrame:
+    """dp_id, score: how well a point fits among the positives, each left out once, and how badly the negatives do then.
+
+    All sums over pairs of labelled points are constants of the labelled set, so a point needs only its two sums
+    of kernels.
+    """
+    c = _labeled_constants(labeled, bandwidth).persist()
+    side = lambda flag, x: F.coalesce(F.sum(F.when(flag, x)), F.lit(0.0))
+    total = c.agg(F.count_if("is_alarm").alias("n"), F.count_if(~F.col("is_alarm")).alias("m"), side(F.col("is_alarm"), F.col("s")).alias("pp"), side(~F.col("is_alarm"), F.col("s")).alias("np"))
+    near = _density(v.distance2(F.col("x"), F.col("y")), bandwidth, F.size("x"))
+    lab = F.broadcast(c.select(F.col("x").alias("y"), "is_alarm"))
+    own = points.join(lab).groupBy("dp_id").agg(side(F.col("is_alarm"), near).alias("a"), side(~F.col("is_alarm"), near).alias("b"))
+    n, m, a, b = F.col("n"), F.col("m"), F.col("a"), F.col("b")
+    pos = F.when(n > 0, (F.col("pp") + 2 * a) / (n * (n + 1))).otherwise(0.0) - F.when(m > 0, (F.col("np") + b) / (m * (n + 1))).otherwise(0.0)
+    neg = -F.when(n > 0, (F.col("np") + a) / (n * (m + 1))).otherwise(0.0)
+    return own.join(F.broadcast(total)).select("dp_id", (p_pos * pos + (1 - p_pos) * neg).alias("score"))
+
+
+def leave_in_scores(points: DataFrame, labeled: DataFrame, p_pos: float = 0.5, bandwidth: float = 1.0) -> DataFrame:
+    """dp_id, score from mean log densities around the point and of the positives with it among them; 0 without negatives."""
+    c = _labeled_constants(labeled, bandwidth)
+    lab = F.broadcast(c.select(F.col("x").alias("y"), "is_alarm", "s"))
+    d2, dim = v.distance2(F.col("x"), F.col("y")), F.size("x")
+    k, self_k = _density(d2, bandwidth, dim), _density(F.lit(0.0), bandwidth, dim)
+    # Logarithms of kernels directly, since far kernels round to zero.
+    log_k = -d2 / (2 * bandwidth**2) - dim * F.log(F.lit(bandwidth) * F.sqrt(2 * F.pi()))
+    is_pos = F.col("is_alarm")
+    n = F.sum(is_pos.cast("int"))
+    sums = points.join(lab).groupBy("dp_id").agg(
+        n.alias("n"), F.sum((~is_pos).cast("int")).alias("m"), F.first(F.log(self_k)).alias("own"), F.coalesce(F.sum(F.when(~is_pos, log_k)), F.lit(0.0)).alias("ln"), F.coalesce(F.sum(F.when(is_pos, log_k)), F.lit(0.0)).alias("lp"),
+        F.coalesce(F.sum(F.when(is_pos, F.log(F.col("s") + self_k + k))), F.lit(0.0)).alias("with_u"),
+    )
+    n, m = F.col("n"), F.col("m")
+    with_u = F.when(n > 0, F.col("with_u") / n - F.log(n + 1)).otherwise(0.0)
+    t = (F.col("ln") + F.col("own")) / (m + 1) - with_u
+    o = F.col("ln") / m - (F.col("lp") + F.col("own")) / (n + 1)
+    return sums.select("dp_id", F.when(m > 0, p_pos * t + (1 - p_pos) * o).otherwise(0.0).alias("score"))
+
+
+def bandwidths(sample: DataFrame, grid: Sequence[float], folds: int = 5) -> DataFrame:
+    """bandwidth, fitness: the log-likelihood of each fold under the others; sample is a bounded set of points."""
+    p = sample.withColumn("fold", F.pmod("dp_id", F.lit(folds)))
+    other = F.broadcast(p.select(F.col("fold").alias("f"), F.col("x").alias("y")))
+    d2, dim = v.distance2(F.col("x"), F.col("y")), F.size("x")
+    pairs = p.join(other, F.col("fold") != F.col("f")).select("dp_id", d2.alias("d2"), dim.alias("dim"), F.explode(F.array(*map(F.lit, grid))).alias("bandwidth"))
+    b = F.col("bandwidth")
+    near = pairs.groupBy("bandwidth", "dp_id").agg(F.avg(F.exp(-F.col("d2") / (2 * b * b))).alias("k"), F.first("dim").alias("dim"))
+    ll = F.log(F.greatest("k", F.lit(1e-300))) - F.col("dim") * F.log(b * F.sqrt(2 * F.pi()))
+    return near.groupBy("bandwidth").agg(F.sum(ll).alias("fitness"))

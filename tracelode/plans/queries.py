@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as v
-from ..operators import checkers, dataflow, evaluate, features, filters, graph, labels, learn, occurrence, symbolic, vectors
+from ..operators import checkers, dataflow, evaluate, features, filters, graph, labels, learn, legacy, occurrence, symbolic, vectors
 from ..sources import relations as rel
 from ..sources.relations import KEY
 from ..streaming import feedback as stream
@@ -608,6 +608,56 @@ def feedback_stream_scores(s: SparkSession, d: str) -> DataFrame:
     return stream.scores(stream.merge(stream.merge(None, parts[0]), parts[1])).select("dp_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
+def _few(s: SparkSession, d: str) -> DataFrame:
+    return rel.vectors(s, d).select("dp_id", F.slice("x", 1, 4).alias("x"))
+
+
+def _few_labeled(s: SparkSession, d: str) -> DataFrame:
+    return _labeled(s, d).filter("dp_id < 120").select("dp_id", F.slice("x", 1, 4).alias("x"), "is_alarm")
+
+
+@query
+def kde_leave_in(s: SparkSession, d: str) -> DataFrame:
+    return vectors.leave_in_scores(_few(s, d), _few_labeled(s, d), 0.3).select("dp_id", (F.round("score", 5) + 0.0).alias("score"))
+
+
+@query
+def kde_leave_one_out(s: SparkSession, d: str) -> DataFrame:
+    return vectors.leave_one_out_scores(_few(s, d), _few_labeled(s, d), 0.3).select("dp_id", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query
+def kde_bandwidths(s: SparkSession, d: str) -> DataFrame:
+    return vectors.bandwidths(_few(s, d).filter("dp_id < 100"), [0.1, 0.3, 1.0, 3.0]).select("bandwidth", F.round("fitness", 4).alias("fitness"))
+
+
+@query
+def legacy_context_columns(s: SparkSession, d: str) -> DataFrame:
+    return legacy.context_columns(rel.trace_instrs(s, d))
+
+
+@query
+def legacy_dictionary(s: SparkSession, d: str) -> DataFrame:
+    return legacy.weighted_dictionary(rel.trace_instrs(s, d)).select("target", "func", F.round("weight", 6).alias("weight"))
+
+
+@query
+def legacy_result_table(s: SparkSession, d: str) -> DataFrame:
+    return legacy.result_table(checkers.stats(checkers.retval_results(rel.trace_instrs(s, d))))
+
+
+@query
+def legacy_duplicates(s: SparkSession, d: str) -> DataFrame:
+    t = rel.trace_instrs(s, d).groupBy("slice_id", "trace_id").agg(F.collect_set("op").alias("vertices"))
+    return legacy.is_duplicate(t.withColumnRenamed("slice_id", "slice")).select("slice", "trace_id", "is_duplicate")
+
+
+@query
+def phi_values(s: SparkSession, d: str) -> DataFrame:
+    e = rel.table(s, d, "events").select("event_id", F.array(F.struct(F.lit("b0").alias("block"), F.col("user_id").cast("string").alias("value")), F.struct(F.lit("b1").alias("block"), F.col("event_type").alias("value"))).alias("incoming"), F.concat(F.lit("b"), F.col("event_id") % 3).alias("prev_block"))
+    return dataflow.phi_values(e).select("event_id", "value")
+
+
 # Learners and the trace producer: no SQL says what they compute.
 
 
@@ -631,6 +681,16 @@ def svc_rbf(s: SparkSession, d: str) -> DataFrame:
     return learn.svc(rel.vectors(s, d), _labeled(s, d))
 
 
+@query
+def dual_one_class(s: SparkSession, d: str) -> DataFrame:
+    return learn.dual_one_class(rel.vectors(s, d), _labeled(s, d))
+
+
+@query
+def uncertainty(s: SparkSession, d: str) -> DataFrame:
+    return learn.uncertain(rel.vectors(s, d), _labeled(s, d))
+
+
 @query
 def gmm_entropy(s: SparkSession, d: str) -> DataFrame:
     return learn.gmm_entropy(rel.vectors(s, d).select("dp_id", F.slice("x", 1, 8).alias("x")))
