@@ -118,7 +118,8 @@ def js_distance(p: Column, q: Column) -> Column:
     share = lambda a: F.transform(a, lambda x: x / F.nullif(_sum(a, zero), zero))
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
     terms = F.zip_with(share(p), share(q), lambda a, b: 0.5 * part(a, (a + b) / 2) + 0.5 * part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(_sum(terms, F.lit(0.0)), F.lit(0.0)))
+    total = _sum(terms, F.lit(0.0))
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))
 
 
 def judge(feats: DataFrame, rules: Rules = Rules()) -> DataFrame:
