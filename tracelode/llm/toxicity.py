@@ -11,7 +11,8 @@ noise of thousands of ordinary terms out of long documents. Executors reduce the
 counts for each slot are summed before anything reaches the driver; only the slots that pass are sent on. Scoring
 covers every whole text; the weights it needs are of fixed size.
 
-Defined cases: null or empty text scores sigmoid(b), toxic being the rarer class. Label rows with null doc_id or
+Defined cases: null or empty text scores sigmoid(b); a row without terms, with a share EMPTY of the weight,
+teaches that such a text isn't toxic. Label rows with null doc_id or
 toxic are ignored, and repeated ones count as 1 if any is 1. Without labels of both classes every score is the rate of
 label 1 (0 without labels). Repeated rows each get a row. An empty table gives an empty table. Columns besides
 doc_id and text are ignored.
@@ -37,6 +38,7 @@ PREFIXES = (4, 5, 6)
 MAX_ROWS = 6000
 MIN_Z = 4.0
 MAX_SLOTS = 8192
+EMPTY = 0.05
 WORD = re.compile(r"\w+")
 
 
@@ -118,11 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted(slots(t.as_py())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "slots"])
+            found = [sorted(slots(t.as_py())) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "slots"])
 
     none = np.empty(0, np.int64)
-    sample = c.written(_sample(docs, labels).select("toxic", "text").mapInArrow(run, "toxic int, slots array<int>"), "toxicity-sample")
+    sample = c.written(_sample(docs, labels).select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, slots array<int>"), "toxicity-sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
@@ -134,14 +136,16 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed:
     chosen = counts.filter((F.col("c") < n1 + n0) & (F.abs(z) >= MIN_Z)).orderBy(F.abs(z).desc(), "slot").limit(MAX_SLOTS)
     at = np.array(sorted(r["slot"] for r in chosen.select("slot").collect()), np.int64)
     # Slots that pass, at most MAX_SLOTS, and for each row of the bounded sample which of them it has.
-    kept = sample.select("toxic", F.array_intersect("slots", F.lit(at.tolist()).cast("array<int>") if len(at) else F.array().cast("array<int>")).alias("slots")).collect()
+    kept = sample.select("doc_id", "toxic", F.array_intersect("slots", F.lit(at.tolist()).cast("array<int>") if len(at) else F.array().cast("array<int>")).alias("slots")).collect()
+    kept.sort(key=lambda r: (r["doc_id"], r["slots"]))
     y = np.array([r["toxic"] for r in kept], float)
     sets = [r["slots"] for r in kept]
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     cols = np.searchsorted(at, np.array([x for s in sets for x in s], np.int64))
-    weight = np.where(y == 1, min(n0 / n1, 10.0), 1.0)
-    order = np.lexsort((cols, y[rows], rows))
-    b, w, v = _fit_machine(rows[order], cols[order], y, weight, len(at), k, steps, seed)
+    weight = np.where(y == 1, np.sqrt(n0 / n1), 1.0)
+    # A text without any of the terms isn't toxic: one more row says so, with EMPTY of the weight.
+    y, weight = np.r_[y, 0.0], np.r_[weight, EMPTY * weight.sum()]
+    b, w, v = _fit_machine(rows, cols, y, weight, len(at), k, steps, seed)
     return Machine(b, at, w, v)
 
 
