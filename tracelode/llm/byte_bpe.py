@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-#: Pre-tokens whose ids a Python worker remembers before it starts anew.
-MEMORY = 400_000
+#: A Python worker remembers the ids of so many pre-tokens, and as many older ones.
+MEMORY = 100_000
 #: Ids in one batch handed back to Spark, unless a single document has more.
 BATCH_IDS = 4_000_000
 
@@ -82,12 +82,16 @@ class _Known(dict):
     """Ids of pre-tokens, each looked up when it is first met."""
 
     def __init__(self, learn) -> None:
-        self.learn = learn
+        self.learn, self.older = learn, {}
 
     def __missing__(self, part: str) -> bytes:
+        out = self.older.get(part)
         if len(self) >= MEMORY:
+            self.older = dict(self)
             self.clear()
-        self[part] = out = self.learn(part)
+        if out is None:
+            out = self.learn(part)
+        self[part] = out
         return out
 
 
@@ -162,6 +166,21 @@ def _send(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast((own.ranks, own.hash))
 
 
+def _encoded(own: BytePairs, b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Rows of a batch and their ids, BATCH_IDS ids at a time."""
+    raw, size, first = [], 0, 0
+    for k, t in enumerate(b.column(1)):
+        raw.append(own.encode(t.as_py()))
+        size += len(raw[-1]) // 4
+        if size > BATCH_IDS or k == b.num_rows - 1:
+            yield b.column(0).slice(first, len(raw)), raw
+            raw, size, first = [], 0, k + 1
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_or_empty("text").alias("text"))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids array<int> of each row of docs."""
     sent = _send(docs.sparkSession, path, pattern)
@@ -169,15 +188,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _of(sent, pattern)
         for b in batches:
-            raw, size, first = [], 0, 0
-            for k, t in enumerate(b.column(1)):
-                raw.append(own.encode(t.as_py()))
-                size += len(raw[-1]) // 4
-                if size > BATCH_IDS or k == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(raw)), _lists(raw)], names=["doc_id", "ids"])
-                    raw, size, first = [], 0, k + 1
+            for ids, raw in _encoded(own, b):
+                yield pa.RecordBatch.from_arrays([ids, _lists(raw)], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_or_empty("text").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -193,6 +207,20 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """What ``decode`` makes of ``encode``'s result, in one pass of one worker."""
+    sent = _send(docs.sparkSession, path, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _of(sent, pattern)
+        for b in batches:
+            for ids, raw in _encoded(own, b):
+                decoded = [own.decode(np.frombuffer(x, "<u4").tolist()) for x in raw]
+                yield pa.RecordBatch.from_arrays([ids, _lists(raw), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 _OWN: dict = {}
 
 
@@ -204,10 +232,6 @@ def _of(sent, pattern: str) -> BytePairs:
     return _OWN["coder"]
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    return decode(encode(docs, path, pattern), path, pattern)
-
-
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
