@@ -182,6 +182,7 @@ def _by_fingerprint(fps: DataFrame, max_bits: int) -> DataFrame:
     roots = components(edges(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.min_by("fp", F.struct(F.col("first_doc").isNull(), "first_doc", "fp")).alias("best_fp"))
+    least = c.written(least, "roots")  # so that the join has an exchange on either side, and a large component can be split
     return c.written(rooted.join(least, "root").select("fp", "component_id", "best_fp"), "components")
 
 
