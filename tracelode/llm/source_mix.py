@@ -17,6 +17,7 @@ empty table gives an empty table. Columns besides doc_id, text and source are ig
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
@@ -110,7 +111,7 @@ def source_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
     # At most MAX_SOURCES rows.
     dealt = sizes.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("shard", F.pmod(F.col("_key"), F.col("shards")).cast("int"))
     cells = sorted((r["sid"], r["shard"], r["n"]) for r in dealt.groupBy("sid", "shard").agg(F.sum("size").alias("n")).collect())
-    caps = [int(limit * n // BLOCK) for *_, n in cells]
+    caps = [math.ceil(limit * n / BLOCK) for *_, n in cells]
     members: dict[int, list[int]] = {}
     for k, (sid, *_) in enumerate(cells):
         members.setdefault(sid, []).append(k)
@@ -125,7 +126,7 @@ def source_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
     plan = spark.createDataFrame(rows, "sid int, shard int, _n long, _q long, _at long")
     order = Window.partitionBy("sid", "shard").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
     df = dealt.join(plan, ["sid", "shard"]).withColumn("_b", F.sum("size").over(order)).withColumn("_a", F.col("_b") - F.col("size"))
-    words = F.col("_q") * BLOCK
+    words = F.least(F.col("_q") * BLOCK, F.floor(F.col("_n") * limit))  # the last block of a full quota may be short
     some = F.nullif(F.col("_n"), F.lit(0).cast("long"))
     df = df.withColumn("rounds", F.coalesce(F.floor(words / some), F.lit(0)).cast("long")).withColumn("_r", words - F.col("rounds") * F.col("_n"))
     a, b, at, end = F.col("_a"), F.col("_b"), F.col("_at"), F.col("_at") + F.col("_r")
