@@ -31,6 +31,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
+from string import punctuation as PUNCTUATION
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,10 @@ MAGIC = b"TLTOKEN1"
 HEAD = struct.Struct("<8sB32s")
 FOOT = struct.Struct("<QQ8s")
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 2000, 20_000, 64 << 10
-#: Chunks of text whose ids a Python worker remembers before it starts anew.
-MEMORY = 400_000
+#: A Python worker remembers the ids of so many chunks of text, and as many older ones.
+MEMORY = 300_000
+#: Documents encoded before they are handed on.
+ROWS = 256
 
 #: Between two characters that are not white space, a space starts a pre-token of the byte-level pattern.
 SEAM = re.compile(r"(?<=\S)(?= \S)")
@@ -65,25 +69,60 @@ class _Odd(Exception):
     """A space that has white space or an end of the text beside it."""
 
 
+def byte_letters() -> str:
+    """The letters by which byte-level vocabularies write the 256 bytes: a printable byte is its own letter, the others follow from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
+
+
 class _Known(dict):
-    """Ids of chunks that follow a space, each encoded when it is first met."""
+    """Ids of chunks that follow a space (or, with lead "", nothing), each encoded when it is first met.
+
+    The lead and Latin letters are one pre-token, which goes to the library's model without its pattern.
+    Punctuation after the letters is another, and so is a line feed between what is not white space; these are
+    put together. All other chunks take the library's whole way.
+    """
 
-    def __init__(self, encode) -> None:
-        self.encode, self.marks = encode, {x: encode(x) for x in ".,"}
+    def __init__(self, encode, tokenizer, width: int, lead: str = " ") -> None:
+        self.encode, self.lead, self.older, self.tails = encode, lead, {}, {}
+        self.pieces, self.letters = tokenizer.model.tokenize, byte_letters()
+        self.start = self.letters[32] if lead else ""
+        self.raw = [i.to_bytes(width, "little") for i in range(tokenizer.get_vocab_size())]
+        self.bare = _Known(encode, tokenizer, width, "") if lead else self
+        self.feed = encode("\n")
 
     def __missing__(self, part: str) -> bytes:
+        if (out := self.older.get(part)) is not None:
+            self[part] = out
+            return out
         if not part or part[0].isspace() or part[-1].isspace():
             raise _Odd
         if len(self) >= MEMORY:
+            self.older = dict(self)
             self.clear()
-        mark, word = self.marks.get(part[-1]), part[:-1]
-        if mark and word.isalpha() and max(word) < "\u0250":  # Latin letters and a mark are two pre-tokens
-            out = self[word] + mark
+        if part.isalpha() and (part.isascii() or max(part) < "\u0250"):
+            raw, letters = self.raw, part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            self[part] = out = b"".join([raw[x.id] for x in self.pieces(self.start + letters)])
         else:
-            out = self.encode(" " + part)
-        self[part] = out
+            self[part] = out = self.mixed(part)
         return out
 
+    def mixed(self, part: str) -> bytes:
+        word = part.rstrip(PUNCTUATION)
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            tail = part[len(word) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self.encode(tail)
+            return self[word] + self.tails[tail]
+        if part.count("\n") == 1:
+            above, below = part.split("\n")
+            if not above[-1].isspace() and not below[0].isspace():
+                return self[above] + self.feed + self.bare[below]
+        return self.encode(self.lead + part)
+
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
@@ -97,19 +136,26 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         kind, encode = "H" if self.width == 2 else "I", self.tokenizer.encode
         self.encode = lambda text: array(kind, encode(text, add_special_tokens=False).ids).tobytes()
-        self.known = _Known(self.encode)
+        self.known = _Known(self.encode, self.tokenizer, self.width)
 
     def __call__(self, text: str, end: bytes) -> bytes:
         """The ids as unsigned integers of this machine's order, little-endian where Spark runs."""
-        first, *rest = text.split(" ")
+        parts = text.split(" ")
+        first = parts[0]
         try:
-            if rest and (not first or first[-1].isspace()):
+            if len(parts) > 1 and (not first or first[-1].isspace()):
                 raise _Odd
-            return self.encode(first) + b"".join(map(self.known.__getitem__, rest)) + end
+            return self.encode(first) + b"".join(map(self.known.__getitem__, islice(parts, 1, None))) + end
         except _Odd:
             return b"".join(map(self.encode, SEAM.split(text))) + end
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, plain_specials: bool = True) -> Encoder:
+    """This worker's encoder, kept from task to task."""
+    return Encoder(path, plain_specials)
+
+
 def _end(end_id: int, width: int) -> bytes:
     return end_id.to_bytes(width, "little")
 
@@ -119,7 +165,7 @@ def train(docs: DataFrame, path: str, end_id: int, plain_specials: bool = True)
     share = min(1.0, SAMPLE / max(1, docs.count()))
     chosen = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31))) & (F.length("text") <= SAMPLE_CHARS)
     texts = sorted(r[0] for r in docs.filter(chosen).select("text").limit(2 * SAMPLE).collect())
-    encode = Encoder(path, plain_specials)
+    encode = encoder(path, plain_specials)
     samples = [encode(t, _end(end_id, encode.width)) for t in texts]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, k=256, d=8).as_bytes()
@@ -131,16 +177,17 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def frames(docs: DataFrame, path: str, end_id: int, dictionary: bytes, plain_specials: bool = True, level: int = 3) -> DataFrame:
+def frames(docs: DataFrame, path: str, end_id: int, dictionary: bytes, plain_specials: bool = True, level: int = 1) -> DataFrame:
     """doc_id, n_tokens and the compressed frame of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, d = Encoder(path, plain_specials), _dictionary(dictionary)
+        encode, d = encoder(path, plain_specials), _dictionary(dictionary)
         press = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=True)
         end = _end(end_id, encode.width)
         for b in batches:
-            raw = [encode(t.as_py(), end) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // encode.width for x in raw], pa.int64()), pa.array([press.compress(x) for x in raw], pa.binary())], names=["doc_id", "n_tokens", "frame"])
+            for at in range(0, b.num_rows, ROWS):
+                raw = [encode(t.as_py(), end) for t in b.column(1).slice(at, ROWS)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, ROWS), pa.array([len(x) // encode.width for x in raw], pa.int64()), pa.array([press.compress(x) for x in raw], pa.binary())], names=["doc_id", "n_tokens", "frame"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_or_empty("text").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, frame binary")
 
@@ -225,7 +272,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 2,
     store.create_dir(base, recursive=True)
     with store.open_output_stream(f"{base}/dictionary.zdict") as f:
         f.write(dictionary)
-    width = Encoder(path, plain_specials).width
+    width = encoder(path, plain_specials).width
     parts = c.written(frames(docs, path, end_id, dictionary, plain_specials), "frames")
     n_shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     write_shards(parts, folder, dictionary, width, n_shards).write.parquet(f"{folder}/files")
