@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 #: A Python worker remembers the ids of so many pre-tokens, and as many older ones.
-MEMORY = 100_000
+MEMORY = 200_000
 #: Ids in one batch handed back to Spark, unless a single document has more.
 BATCH_IDS = 4_000_000
 
