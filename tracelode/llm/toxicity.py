@@ -91,8 +91,15 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _fit_machine(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, weight: np.ndarray, n_slots: int, k: int, steps: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the weighted logistic loss with L2 penalty; rows, cols: which row has which slot."""
+    """Adam on the weighted logistic loss with L2 penalty; rows, cols: which row has which slot.
+
+    A slot counts the more the more rows have it, so that of slots that come together the shared prefixes carry
+    more than the single words, and a form not seen before is still told.
+    """
     rng, n = np.random.default_rng(seed), len(y)
+    size = np.bincount(cols, minlength=n_slots) / max(1, np.bincount(cols, minlength=n_slots).max(initial=1))
+    size = size**0.3
+    s = size[cols]
     theta = [np.zeros(1), np.zeros(n_slots), rng.normal(0, 0.02, (n_slots, k))]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     penalty = (0.0, 2e-5, 5e-4)
@@ -101,11 +108,12 @@ def _fit_machine(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, weight: np.n
     by_col = lambda x: np.bincount(cols, x, n_slots)
     for step in range(1, steps + 1):
         b, w, v = theta
-        sums = np.stack([by_row(v[cols, f]) for f in range(k)], axis=1)
-        margin = b[0] + by_row(w[cols]) + 0.5 * (sums**2).sum(axis=1) - 0.5 * by_row((v[cols] ** 2).sum(axis=1))
+        vs = v[cols] * s[:, None]
+        sums = np.stack([by_row(vs[:, f]) for f in range(k)], axis=1)
+        margin = b[0] + by_row(w[cols] * s) + 0.5 * (sums**2).sum(axis=1) - 0.5 * by_row((vs**2).sum(axis=1))
         err = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) / total
-        each = err[rows]
-        grads = [np.array([err.sum()]), by_col(each), np.stack([by_col(each * (sums[rows, f] - v[cols, f])) for f in range(k)], axis=1)]
+        each = err[rows] * s
+        grads = [np.array([err.sum()]), by_col(each), np.stack([by_col(each * (sums[rows, f] - vs[:, f])) for f in range(k)], axis=1)]
         for i, g in enumerate(grads):
             if i == 2 and 2 * step <= steps:  # pairs learn what the additive weights have missed
                 continue
@@ -113,7 +121,7 @@ def _fit_machine(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, weight: np.n
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             theta[i] = theta[i] - 0.05 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    return float(theta[0][0]), theta[1], theta[2]
+    return float(theta[0][0]), theta[1] * size, theta[2] * size[:, None]
 
 
 def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed: int = 7) -> Machine:
@@ -142,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed:
     sets = [r["slots"] for r in kept]
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     cols = np.searchsorted(at, np.array([x for s in sets for x in s], np.int64))
-    weight = np.where(y == 1, np.sqrt(n0 / n1), 1.0)
+    weight = np.where(y == 1, min(n0 / n1, 4.0), 1.0)
     # A text without any of the terms isn't toxic: one more row says so, with EMPTY of the weight.
     y, weight = np.r_[y, 0.0], np.r_[weight, EMPTY * weight.sum()]
     b, w, v = _fit_machine(rows, cols, y, weight, len(at), k, steps, seed)
