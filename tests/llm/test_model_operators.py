@@ -80,6 +80,20 @@ def test_spelling_model_is_a_distribution():
     assert lm_score.log_rising(x, n) == pytest.approx([math.lgamma(a + b) - math.lgamma(a) for a, b in zip(x, n)])
 
 
+def test_lm_contexts_run_across_tokens(spark):
+    """Which token follows which is learnt, repeated texts count, and tables grow with the training tokens."""
+    rng = np.random.default_rng(4)
+    pairs = [("red", "fox"), ("old", "oak"), ("wet", "sea"), ("low", "hum")]
+    text = lambda: " ".join(w for i in rng.integers(0, 4, 30) for w in pairs[i])
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    good = text().split()
+    bad = [good[i] if i % 2 == 0 else good[(i + 2) % 60] for i in range(60)]  # the same tokens, in other pairs
+    rows = [(i, text()) for i in range(200) if i not in ids]
+    got = {r.doc_id: r.score for r in lm_score.lm_score(spark.createDataFrame([*rows, (ids[0], " ".join(good)), (ids[1], " ".join(bad))], "doc_id long, text string")).collect()}
+    assert got[ids[0]] > got[ids[1]] + 20
+    assert [lm_score.table_bits(n) for n in (0, 1 << 22, 1 << 23, 1 << 30)] == [18, 18, 19, 26]
+
+
 def test_token_files(spark, odd, docs, tmp_path):
     plain = Tokenizer.from_file(JSON)
     plain.encode_special_tokens = True
