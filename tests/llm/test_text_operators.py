@@ -192,6 +192,17 @@ def test_html_text(spark):
     assert len(got[None].text) == 399_999
 
 
+def test_html_keeps_the_whole_article():
+    """Lists of links in the article stay; names count as whole words, and not those of a wrapper of the page."""
+    body = "".join(f"<p>Paragraph {i} of the article, long enough to count as its text.</p>" for i in range(6))
+    refs = "<ul>" + "".join(f"<li><a href=/{i}>Source number {i}</a></li>" for i in range(5)) + "</ul>"
+    plain = "\n".join([*(f"Paragraph {i} of the article, long enough to count as its text." for i in range(6)), *(f"Source number {i}" for i in range(5))])
+    for names in ("", "class='content has-sidebar'", "class=no-comments", "id=post-header", "class='sidebar'", "class='content sidebar'"):
+        page = f"<body><nav><a href=/>Home</a></nav><div {names}><article>{body}{refs}</article></div><div class='box sidebar'>Other news</div></body>"
+        assert html_text.main_text(page) == plain, names
+    assert html_text.main_text(f"<body><article>{body}{refs}<div class='x share'>Share it</div></article></body>") == plain
+
+
 def test_html_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").collect()
     got = {r.page_id: r.text for r in registry.QUERIES["op6_html_text"](spark, small).collect()}

@@ -7,7 +7,8 @@ stands for the body. The node with the largest sum of its children's densities i
 its path to the body is the threshold at which other nodes join it, unless it is the page's article.
 
 What a page names as menu, header, footer, side bar, notice, advert, form, script, style or comments is left
-out first, since short boilerplate can be as dense as short paragraphs. Within the main text nothing is left out but lists of links.
+out first, since short boilerplate can be as dense as short paragraphs. Names are whole words of class and id; an element
+whose name would take most of the page's text (more than WRAPS) is its wrapper and stays. Within the main text nothing else is left out.
 
 Text: character references decoded, white space within a block one space, blocks trimmed, empty blocks left out, one line feed
 between blocks, in page order.
@@ -44,40 +45,67 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tr td th thead tbody", "table"), "tfoot": ("tr td th tbody", "table")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 LEFT_OUT = frozenset("head title nav header footer aside form dialog menu select fieldset button".split())
-NAMED = re.compile(r"(?<![a-z])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notifications?|popup|promo\w*|related|replies|respond|share|sharing|sidebars?|social|sponsor\w*|subscribe|subscription|toolbar)(?![a-z])", re.I)
+NAMED = re.compile(r"(?:(?:site|cookie)[-_])?(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notifications?|popup|promo\w*|related|replies|respond|share|sharing|sidebars?|social|sponsor\w*|subscribe|subscription|toolbar)", re.I)
+#: A named element with a larger share of all text is no boilerplate.
+WRAPS = 0.8
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WHOLE = frozenset("html body main article".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "left_out", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "left_out", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None, left_out: bool) -> None:
         self.tag, self.parent, self.parts, self.left_out = tag, parent, [], left_out
+        self.named = None  # which element's name left this one out
         self.chars = self.tags = self.link_chars = self.link_tags = 0
 
     def children(self) -> list[Node]:
         return [x for x in self.parts if isinstance(x, Node)]
 
 
-def _unwanted(tag: str, attributes: str, forms: bool) -> bool:
+def _unwanted(tag: str, attributes: str, forms: bool) -> tuple[bool, bool]:
+    """Whether an element is left out whatever its name, and whether by its name."""
     if tag in LEFT_OUT:
-        return not (forms and tag in ("form", "fieldset"))
+        return not (forms and tag in ("form", "fieldset")), False
     if not attributes or tag in WHOLE:
-        return False
+        return False, False
     found = {k.lower(): a or b or d for k, a, b, d in ATTRIBUTE.findall(attributes)}
-    if NAMED.search(f"{found.get('class', '')} {found.get('id', '')}") or found.get("role", "").lower() in ROLES:
-        return True
-    return found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
+        return True, False
+    return False, any(map(NAMED.fullmatch, f"{found.get('class', '')} {found.get('id', '')}".split()))
 
 
 def parse(html: str, forms: bool = False) -> Node:
     """The tree of block elements; forms: keep what stands in forms."""
+    spared: set[int] = set()
+    while True:
+        lost: dict[int, int] = {}
+        root = _parse(html, forms, spared, lost)
+        total = sum(lost.values()) + sum(x.chars for x in _all(root))
+        wrappers = {place for place, n in lost.items() if n > WRAPS * total}
+        if not wrappers:
+            return root
+        spared |= wrappers
+
+
+def _all(root: Node) -> Iterator[Node]:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += node.children()
+
+
+def _parse(html: str, forms: bool, spared: set[int], lost: dict[int, int]) -> Node:
+    """spared: places of elements whose name doesn't count; lost: gets the characters that each other name takes."""
     root = Node("html", None, False)
     at, link, done = root, False, 0
 
     def text(raw: str) -> None:
+        if raw and at.named is not None:
+            lost[at.named] = lost.get(at.named, 0) + len(raw.strip())
         if raw and not at.left_out:
             raw = unescape(raw) if "&" in raw else raw
             at.parts.append(raw)
@@ -127,7 +155,13 @@ def parse(html: str, forms: bool = False) -> Node:
                 if node.tag in closed:
                     at = node.parent
                 node = node.parent
-        child = Node(tag, at, at.left_out or _unwanted(tag, m[4], forms))
+        always, named = _unwanted(tag, m[4], forms)
+        named = named and m.start() not in spared
+        child = Node(tag, at, at.left_out or always or named)
+        if at.left_out:
+            child.named = None if always else at.named
+        elif named and not always:
+            child.named = m.start()
         at.parts.append(child)
         if tag not in VOID:
             at, link = child, False
@@ -178,8 +212,6 @@ def _blocks(node: Node, out: list[str]) -> None:
         flush()
         if x is None:
             continue
-        if x is not node and x.link_tags > 2 and x.link_chars > 0.6 * x.chars:
-            continue
         stack += [None, *reversed(x.parts)]
     flush()
 
