@@ -218,3 +218,13 @@ def test_engine_from_program_to_features(spark, tmp_path):
     engine.remove("lock")
     asked = engine.learn_active(spark.createDataFrame([(i, [float(i)]) for i in range(4)], "dp_id long, x array<double>"), lambda i: i == 1, 2, [(0, True)])
     assert [(r.tp, r.fp) for r in asked.collect()] == [(1, 1), (2, 1), (2, 2)]
+
+
+def test_clusters_of_long_chains(spark, tmp_path):
+    """A chain of more than 20 links is one cluster, and too few rounds are an error."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    links = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(200, 201), (300, 300)], "a long, b long")
+    got = {r.node: r.cluster for r in graph.merged_clusters(links).collect()}
+    assert got == {**dict.fromkeys(range(71), 0), 200: 200, 201: 200, 300: 300}
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.merged_clusters(links, rounds=1)

@@ -129,18 +129,31 @@ def batches(slices: DataFrame, size: int) -> DataFrame:
     return out.withColumn("batch", F.floor(F.col("_at") / size).cast("long")).drop("_at", "_before")
 
 
-def merged_clusters(links: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, cluster: connected components of links (a, b) by the least node, propagated until nothing changes."""
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    now = both.select(F.col("a").alias("node")).distinct().withColumn("cluster", F.col("node"))
+def merged_clusters(links: DataFrame, rounds: int = 100) -> DataFrame:
+    """node, cluster: connected components of links (a, b) by the least node.
+
+    Large and small stars in turn until nothing changes, which takes about as many rounds as the logarithm of the longest
+    chain; an error if ``rounds`` are not enough.
+    """
+    def state(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    nodes = links.select(F.col("a").alias("node")).unionAll(links.select("b")).filter("node is not null").distinct().checkpoint()
+    now = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct().checkpoint()
+    was = state(now)
     for _ in range(rounds):
-        near = both.join(now.select(F.col("node").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("near"))
-        after = now.join(near, "node").select("node", F.least("cluster", "near").alias("cluster")).checkpoint()
-        changed = after.join(now.withColumnRenamed("cluster", "was"), "node").filter("cluster < was").limit(1).count()
-        now = after
-        if not changed:
+        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        now = large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b")).filter("m < b").select(F.col("m").alias("a"), "b").distinct().checkpoint()
+        found = state(now)
+        if found == was:
             break
-    return now
+        was = found
+    else:
+        raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+    return nodes.join(now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("cluster")), "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 
 def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
