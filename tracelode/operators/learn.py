@@ -1,6 +1,7 @@
 """Learners that have no counterpart in MLlib, as numpy over a bounded sample, with scoring over all points.
 
-Each fit collects at most MAX_SAMPLE points, those least by hash of dp_id; that bound is the caller's to change.
+Fits on unlabelled points collect at most MAX_SAMPLE of them, those least by hash of dp_id; that bound is the caller's to change.
+``ssad`` takes all labelled points besides, and ``mcmc_mask`` counts all rows.
 """
 
 from __future__ import annotations
@@ -62,9 +63,9 @@ def isolation_forest(points: DataFrame, trees: int = 100, size: int = 256, conta
     return scored(points, lambda rows: raw(rows) - offset)
 
 
-def one_class(points: DataFrame, nu: float = 0.01, gamma: float | None = None, steps: int = 500) -> DataFrame:
-    """dp_id, score of a one-class support vector machine with an rbf kernel, fitted by projected gradient on its dual."""
-    x = sample(points, 1000)
+def one_class(points: DataFrame, nu: float = 0.01, gamma: float | None = None, steps: int = 500, most: int = 1000) -> DataFrame:
+    """dp_id, score of a one-class support vector machine with an rbf kernel, fitted by projected gradient on its dual over ``most`` points."""
+    x = sample(points, most)
     gamma = gamma or 1 / max(x.shape[1] * x.var(), 1e-12) if len(x) else 1.0
     kernel = lambda a, b: np.exp(-gamma * ((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T).clip(0))
     k, top = kernel(x, x), 1 / (nu * max(len(x), 1))
@@ -86,9 +87,11 @@ def _to_simplex(a: np.ndarray, top: float) -> np.ndarray:
     return np.clip(a - lo, 0, top)
 
 
-def ssad(points: DataFrame, labeled: DataFrame, kappa: float = 1.0, cost: float = 1.0, steps: int = 500) -> DataFrame:
-    """dp_id, score of semi-supervised anomaly detection: labelled alarms (y = -1) are pushed out of, others (y = 1) into the region of the sample. labeled: dp_id, y."""
-    rows = points.join(F.broadcast(labeled.select("dp_id", "y")), "dp_id", "left").select("x", F.coalesce("y", F.lit(0)).alias("y"), "dp_id").orderBy(F.col("y") == 0, F.xxhash64("dp_id"), "dp_id").limit(600).collect()
+def ssad(points: DataFrame, labeled: DataFrame, kappa: float = 1.0, cost: float = 1.0, steps: int = 500, most: int = 600) -> DataFrame:
+    """dp_id, score of semi-supervised anomaly detection: labelled alarms (y = -1) are pushed out of, others (y = 1) into the region of the sample, which is all labelled points and ``most`` of the others. labeled: dp_id, y."""
+    given = points.join(F.broadcast(labeled.select("dp_id", "y")), "dp_id", "left").select("x", F.coalesce("y", F.lit(0)).alias("y"), "dp_id")
+    others = given.filter("y = 0").orderBy(F.xxhash64("dp_id"), "dp_id").limit(most)
+    rows = sorted(given.filter("y <> 0").unionAll(others).collect(), key=lambda r: r["dp_id"])
     x, y = np.array([r["x"] for r in rows], float), np.array([r["y"] or 1 for r in rows], float)
     known = np.array([r["y"] != 0 for r in rows])
     gamma = 1 / max(x.shape[1] * x.var(), 1e-12)
@@ -140,17 +143,28 @@ def gmm_entropy(points: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
 
 
 def mcmc_mask(points: DataFrame, rounds: int = 50, groups: list[list[int]] | None = None, fixed: tuple[int, ...] = (), seed: int = 0) -> tuple[list[bool], float]:
-    """A choice of features by a Markov chain: a flip of a feature or group is kept if it raises the fitness, or by chance. Groups that are fixed stay on."""
-    x, rng = sample(points), np.random.default_rng(seed)
-    groups = groups or [[i] for i in range(x.shape[1])]
+    """A choice of features by a Markov chain: a flip of a feature or group is kept if it raises the fitness, or by chance. Groups that are fixed stay on.
+
+    The fitness is the entropy of the chosen values, rounded to a tenth, over all rows, for each feature chosen. Executors count the
+    distinct rows once; a choice then groups these, and only the entropy reaches the driver.
+    """
+    rng = np.random.default_rng(seed)
+    width = points.select(F.max(F.size("x")).alias("d")).first()["d"] or 0
+    groups = groups or [[i] for i in range(width)]
+    # Halves go to the even neighbour, as in numpy.
+    distinct = points.select(F.transform("x", lambda v: F.rint(v * 10).cast("long")).alias("x")).groupBy("x").agg(F.count("*").alias("n")).persist()
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    known: dict[tuple[int, ...], float] = {}
 
     def fitness(on: np.ndarray) -> float:
         cols = [i for g, o in zip(groups, on, strict=True) if o for i in g]
-        if not cols:
+        if not cols or not total:
             return 0.0
-        _, counts = np.unique(np.round(x[:, cols], 1), axis=0, return_counts=True)
-        p = counts / counts.sum()
-        return float(-(p * np.log(p)).sum()) / len(cols)
+        if tuple(cols) not in known:
+            p = F.sum("n") / F.lit(total)
+            each = distinct.groupBy(F.array(*[F.get("x", F.lit(i)) for i in cols]).alias("k")).agg((-p * F.log(p)).alias("h"))
+            known[tuple(cols)] = float(each.agg(F.sum("h")).first()[0]) / len(cols)
+        return known[tuple(cols)]
 
     on = np.ones(len(groups), bool)
     now = best = fitness(on)
@@ -165,7 +179,8 @@ def mcmc_mask(points: DataFrame, rounds: int = 50, groups: list[list[int]] | Non
             on, now = trial, f
             if now > best:
                 best, kept = now, on.copy()
-    mask = np.zeros(x.shape[1], bool)
+    distinct.unpersist()
+    mask = np.zeros(width, bool)
     for g, o in zip(groups, kept, strict=True):
         mask[g] = o
     return mask.tolist(), best
@@ -176,18 +191,18 @@ def random_order(points: DataFrame, seed: int = 0) -> DataFrame:
     return points.select("dp_id", (F.pmod(F.xxhash64(F.lit(seed), "dp_id"), F.lit(1 << 30)) / (1 << 30)).alias("score"))
 
 
-def dual_one_class(points: DataFrame, labeled: DataFrame, how: str = "exp") -> DataFrame:
+def dual_one_class(points: DataFrame, labeled: DataFrame, how: str = "exp", most: int = 1000) -> DataFrame:
     """dp_id, target, outlier (-1 or 1 by one machine on points labelled fine and one on alarms) and what the next question goes by: "exp" for their product, "sim" for how alike they are. labeled: dp_id, is_alarm."""
     side = lambda hit: points.join(F.broadcast(labeled.filter(F.col("is_alarm") == hit).select("dp_id")), "dp_id", "left_semi")
     sign = F.when(F.col("score") >= 0, 1).otherwise(-1)
-    fitted = lambda hit, nu, name: _one_class_on(side(hit), points, nu).select("dp_id", sign.alias(name))
+    fitted = lambda hit, nu, name: _one_class_on(side(hit), points, nu, most).select("dp_id", sign.alias(name))
     both = fitted(False, 0.1, "target").join(fitted(True, 0.9, "outlier"), "dp_id")
     agg = F.col("target") * F.col("outlier") if how == "exp" else -F.abs(F.col("target") - F.col("outlier"))
     return both.withColumn("aggregate", agg)
 
 
-def _one_class_on(train: DataFrame, points: DataFrame, nu: float) -> DataFrame:
-    x = sample(train, 1000)
+def _one_class_on(train: DataFrame, points: DataFrame, nu: float, most: int) -> DataFrame:
+    x = sample(train, most)
     if not len(x):
         return points.select("dp_id", F.lit(1.0).alias("score"))
     gamma = 1 / max(x.shape[1] * x.var(), 1e-12)
