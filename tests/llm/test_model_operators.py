@@ -66,18 +66,104 @@ def test_lm_prefers_what_it_learnt(spark):
     assert got[ids[0]] > got[ids[1]] + 20
 
 
-def test_spelling_model_is_a_distribution():
-    """The probabilities of all first bytes sum to 1, and log_rising is what it says."""
-    words = [b"the", b"then", b"of", b"and", b"a"]
-    tables = lm_score._no_tables()
-    lm_score.count_tables(words, np.ones(5), tables)
-    w, maps = lm_score.first_weights(), lm_score._no_maps()
-    lm_score.learn_weights(words, np.ones(5), tables, w)
-    lm_score.learn_maps(words, np.ones(5), tables, w, maps)
-    full = lm_score.log_probabilities([bytes([b]) for b in range(256) if b not in (10, 32)], tables, w, maps)
-    assert (2**full).sum() < 1
-    x, n = np.array([1e-6, 0.5, 3, 100]), np.array([1, 5, 12, 5000])
-    assert lm_score.log_rising(x, n) == pytest.approx([math.lgamma(a + b) - math.lgamma(a) for a, b in zip(x, n)])
+def exact_contexts(b, i):
+    """What the six contexts of byte i of texts on end are, as plain values."""
+    text = b[b.rfind(b"\n", 0, i) + 1 : i]
+    words = text.split(b" ")
+    return [*((n, text[max(0, len(text) - n) :]) for n in (1, 2, 3, 4)), ("token", words[-1]), ("pair", words[-2] if len(words) > 1 else None, words[-1])]
+
+
+def path_of(x):
+    code = lm_score.CODE
+    return [(int(code.node[d, x]), int(code.bit[d, x])) for d in range(code.length[x])]
+
+
+def stretch(pair):
+    return math.log((pair[1] + 0.4) / (pair[0] + 0.4))
+
+
+def level(pair):
+    return sum(pair[0] + pair[1] >= n for n in lm_score.LEVELS)
+
+
+def test_lm_model_against_a_plain_one():
+    """Learning and scoring with dictionaries of contexts instead of hashed tables, bit by bit."""
+    texts = [lm_score.plain(t) for t in ("the cat sat on the mat", "The cat ate the rat that sat", "", "a cat, the \u00e9t\u00e9 and a thethethe", "x" * 150)] * 2
+    own, reader = lm_score.Learner(24), lm_score.Reader()
+    w, counts, maps, start = np.full((8, 6, 25), 0.3), {}, Counter(), 0
+    whole = b"".join(texts)
+
+    def seen(i, d, node, mixed):
+        pairs = [counts.get((c, node), (0, 0)) for c in exact_contexts(whole, i)]
+        x, gate = [stretch(p) for p in pairs], level(pairs[4]) * 5 + level(pairs[5])
+        dot = min(12.0, max(-12.0, sum(a * b for a, b in zip(mixed[min(d, 7), :, gate], x, strict=True))))
+        return x, gate, dot, int((dot + 12.375) * 32 / 24)
+
+    for b in lm_score.pieces(texts, 97):
+        own.learn(reader.read(b), b)
+        events = [(i, d, node, bit) for i in range(start, start + len(b)) for d, (node, bit) in enumerate(path_of(whole[i]))]
+        start += len(b)
+        for d in range(max(e[1] for e in events) + 1):
+            up, square, size, n = np.zeros((6, 25)), np.zeros(6), np.zeros(25), 0
+            for i, _, node, bit in (e for e in events if e[1] == d):
+                x, gate, dot, at = seen(i, d, node, w)
+                maps[node, at, bit] += 1
+                up[:, gate] += (bit - 1 / (1 + math.exp(-dot))) * np.array(x)
+                square += np.square(x)
+                size[gate] += 1
+                n += 1
+            w[min(d, 7)] += 0.3 * up / (0.25 * square[:, None] * size / n + 4)
+        for i, _, node, bit in events:
+            for c in exact_contexts(whole, i):
+                old = counts.get((c, node), (0, 0))
+                counts[c, node] = (old[0] + 1 - bit, old[1] + bit)
+    assert start == own.n_bytes == len(whole)
+    assert own.weights == pytest.approx(w, abs=2e-3)
+    pairs = own.tables.view(np.uint32)
+    model = lm_score.Model(lm_score.frozen(pairs[:, 0::2], pairs[:, 1::2]), own.weights, own.maps)
+    want, at = [], 0
+    for t in texts:
+        total = 0.0
+        for i in range(at, at + len(t)):
+            for d, (node, bit) in enumerate(path_of(whole[i])):
+                _, _, dot, place = seen(i, d, node, w)
+                p, m = 1 / (1 + math.exp(-dot)), (maps[node, place, 0], maps[node, place, 1])
+                p = (p + (m[1] + 0.4) / (sum(m) + 0.8)) / 2 if sum(m) >= 20 else p
+                total += math.log2(p if bit else 1 - p)
+        want.append(total)
+        at += len(t)
+    assert lm_score.log2_of(model, texts) == pytest.approx(want, rel=0.02, abs=0.3)
+
+
+def test_lm_model_is_a_distribution():
+    """After any text the probabilities of all 256 bytes sum to 1; pieces don't change a score."""
+    texts = [lm_score.plain("the then of and a " * 40)]
+    own, reader = lm_score.Learner(18), lm_score.Reader()
+    for b in lm_score.pieces(texts, 64):
+        own.learn(reader.read(b), b)
+    pairs = own.tables.view(np.uint32)
+    model = lm_score.Model(lm_score.frozen(pairs[:, 0::2], pairs[:, 1::2]), own.weights, own.maps)
+    for prefix in (b"", b"th", b"of and"):
+        ends = [lm_score.Reader() for _ in range(256)]
+        last = [model.log2(r.read(b), b)[-1] for x, r in enumerate(ends) for b in [np.frombuffer(prefix + bytes([x]), np.uint8)]]
+        assert (2.0 ** np.array(last)).sum() == pytest.approx(1, abs=1e-4)
+    whole, parts = lm_score.Reader().read(np.frombuffer(texts[0], np.uint8)), lm_score.Reader()
+    assert np.array_equal(whole, np.concatenate([parts.read(b) for b in lm_score.pieces(texts, 7)], axis=1))
+
+
+def test_lm_long_token_and_growth(spark):
+    """A token of a megabyte is read in pieces, and the bits a byte fall as more of the same language is learnt."""
+    rng = np.random.default_rng(5)
+    vocab = ["".join(rng.choice(list("aeioulmnrst"), rng.integers(2, 8))) for _ in range(400)]
+    bits = []
+    held = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5 == 1][:20]
+    for n in (40, 1500):
+        rows = [(i, " ".join(rng.choice(vocab, 60))) for i in range(5000, 5000 + n)] + [(i, " ".join(rng.choice(vocab, 60))) for i in held] + [(9000, "ab" * (1 << 19))] * (n == 40)
+        got = {r.doc_id: r for r in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert len(got) == len(rows)
+        assert all(r.total_bits == pytest.approx(-r.score / math.log10(2)) for r in got.values())
+        bits.append(np.mean([got[i].bits_per_byte for i in held]))
+    assert bits[1] < bits[0] - 0.3
 
 
 def test_lm_contexts_run_across_tokens(spark):
@@ -91,7 +177,8 @@ def test_lm_contexts_run_across_tokens(spark):
     rows = [(i, text()) for i in range(200) if i not in ids]
     got = {r.doc_id: r.score for r in lm_score.lm_score(spark.createDataFrame([*rows, (ids[0], " ".join(good)), (ids[1], " ".join(bad))], "doc_id long, text string")).collect()}
     assert got[ids[0]] > got[ids[1]] + 20
-    assert [lm_score.table_bits(n) for n in (0, 1 << 22, 1 << 23, 1 << 30)] == [18, 18, 19, 26]
+    assert [lm_score.table_bits(n) for n in (0, 1 << 22, 1 << 23, 1 << 25)] == [18, 18, 19, 21]
+    assert lm_score.table_bits(1 << 30) == lm_score.MAX_BITS and lm_score.table_bits(1 << 30, 26) == 26
 
 
 def test_token_files(spark, odd, docs, tmp_path):
