@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,26 +31,43 @@ def words(text: Column) -> Column:
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return str(held.get())
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tracelode-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def then(batches: Iterator, last: Callable[[], None] = lambda: None) -> Iterator:
+    """The batches; after the last one ``last`` is called and the worker, which stays for later tasks, gives its idle memory back."""
+    yield from batches
+    last()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/tracelode/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: computed once, and safe from lost executors."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df as Parquet in the shared folder and read it back: computed once, and safe from lost executors. Also the folder."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-#: A Python worker remembers the ids of so many pre-tokens, and as many older ones.
-MEMORY = 200_000
+#: A task remembers the ids of so many pre-tokens, and as many older ones.
+MEMORY = 100_000
 #: Ids in one batch handed back to Spark, unless a single document has more.
-BATCH_IDS = 4_000_000
+BATCH_IDS = 1_000_000
 
 
 class PerfectHash:
@@ -142,6 +142,9 @@ class BytePairs:
         """The ids of a text as unsigned 32-bit integers of this machine's order."""
         return b"".join(map(self.known.__getitem__, self.split(text)))
 
+    def forget(self) -> None:
+        self.known = _Known(self._learn)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -187,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _of(sent, pattern)
-        for b in batches:
+        for b in c.then(batches, own.forget):
             for ids, raw in _encoded(own, b):
                 yield pa.RecordBatch.from_arrays([ids, _lists(raw)], names=["doc_id", "ids"])
 
@@ -213,7 +216,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _of(sent, pattern)
-        for b in batches:
+        for b in c.then(batches, own.forget):
             for ids, raw in _encoded(own, b):
                 decoded = [own.decode(np.frombuffer(x, "<u4").tolist()) for x in raw]
                 yield pa.RecordBatch.from_arrays([ids, _lists(raw), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
