@@ -1,7 +1,7 @@
 """Chat formatting: a finite-state machine over roles and a declarative template, in DataFrame functions only.
 
 Each conversation becomes one row: its turns in order, rendered as segments of text that each carry a loss
-flag, the joined text, and the state in which the machine over roles ends. Control strings that occur inside a
+flag, the joined text, the spans of it that count for the loss, and the state in which the machine over roles ends. Control strings that occur inside a
 text are escaped, so that the joined text parses back into exactly the turns it was made from.
 
 Escapes are a backslash and one letter; the backslash itself is escaped first and restored last, which makes
@@ -73,7 +73,7 @@ def end_state(roles: Column, t: Template) -> Column:
 
 
 def chat_format(rows: DataFrame, t: Template = Template()) -> DataFrame:
-    """conv_id, n_turns, end_state, valid, segments array<struct<text, loss>> and formatted, one row for each conversation."""
+    """conv_id, n_turns, end_state, valid, segments array<struct<text, loss>>, formatted and loss_spans array<struct<start, size>> (code points of formatted), one row for each conversation."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), c.text_or_empty("text").alias("text"))
     convs = rows.select("conv_id", turn.alias("turn")).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 
@@ -84,7 +84,19 @@ def chat_format(rows: DataFrame, t: Template = Template()) -> DataFrame:
         return F.array(part(head, F.lit(False)), part(escape(x["text"], t.escapes), x["role"].isin(list(t.loss_roles))), part(F.lit(t.turn_end), F.lit(False)))
 
     out = convs.select("conv_id", F.size("turns").cast("long").alias("n_turns"), end_state(F.transform("turns", lambda x: x["role"]), t).alias("end_state"), F.flatten(F.transform("turns", segments)).alias("segments"))
-    return out.withColumn("valid", F.col("end_state").isin(list(t.ends))).withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    out = out.withColumn("valid", F.col("end_state").isin(list(t.ends))).withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    return out.withColumn("loss_spans", loss_spans(F.col("segments")))
+
+
+def loss_spans(segments: Column) -> Column:
+    """Where the segments under the loss flag stand in the joined text: start from 0, size."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("spans"))
+
+    def step(state: Column, s: Column) -> Column:
+        span = F.array(F.struct(state["at"].alias("start"), F.length(s["text"]).alias("size")))
+        return F.struct((state["at"] + F.length(s["text"])).alias("at"), F.when(s["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+    return F.aggregate(segments, none, step, lambda state: state["spans"])
 
 
 def parse(formatted: Column, t: Template = Template()) -> Column:
@@ -102,8 +114,9 @@ def parse(formatted: Column, t: Template = Template()) -> Column:
     return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), turn)
 
 
-def loss_text(segments: Column, t: Template = Template()) -> Column:
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], t.escapes)), "")
+def loss_text(formatted: Column, spans: Column, t: Template = Template()) -> Column:
+    """All text under the loss mask, read back from the formatted text: unescaped, in order, nothing between."""
+    return F.array_join(F.transform(spans, lambda x: unescape(F.substr(formatted, x["start"] + 1, x["size"]), t.escapes)), "")
 
 
 #: Two turns whose texts hold the template's own control strings.
@@ -115,11 +128,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, roles, text = PLANTED
     planted = spark.range(len(roles)).select(F.lit(conv).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(*map(F.lit, roles)), F.col("id").cast("int") + 1).alias("role"), F.lit(text).alias("text"))
     out = chat_format(c.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").union(planted))
-    out = out.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"))
+    out = out.select("conv_id", "end_state", "valid", "formatted", parse(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "end_state", "valid",
     )
 
 
@@ -134,12 +147,14 @@ def _oracle(t: Template = Template()) -> str:
     shown = " ".join(f"WHEN '{r}' THEN '{n}'" for r, n in t.names.items())
     conv, roles, planted = PLANTED
     more = " UNION ALL ".join(f"SELECT {conv}, {i}, '{r}', {quoted(planted)}" for i, r in enumerate(roles))
+    step = "CASE " + " ".join(f"WHEN s = '{at}' AND r = '{by}' THEN '{to}'" for at, by, to in t.steps) + " ELSE 'error' END"
     return f"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL {more})),
 x AS (SELECT *, {quoted(t.turn_start)} || CASE role {shown} ELSE '?' || {name} END || {quoted(t.name_end)} || {text} || {quoted(t.turn_end)} AS f FROM r),
 g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
-  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role IN ({", ".join(f"'{r}'" for r in t.loss_roles)})), '') AS loss, sum(length(f)) AS chars FROM x GROUP BY conv_id)
-SELECT conv_id::BIGINT AS conv_id, n::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g"""
+  list(role ORDER BY turn NULLS FIRST, role, text) AS roles, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role IN ({", ".join(f"'{r}'" for r in t.loss_roles)})), '') AS loss, sum(length(f)) AS chars FROM x GROUP BY conv_id),
+m AS (SELECT *, list_reduce(list_prepend('{t.start}', roles), lambda s, r: {step}) AS end_state FROM g)
+SELECT conv_id::BIGINT AS conv_id, n::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars, end_state, end_state IN ({", ".join(f"'{x}'" for x in t.ends)}) AS valid FROM m"""
 
 
 ORACLE = _oracle()
