@@ -57,7 +57,8 @@ SEAM = re.compile(r"(?<=\S)(?= \S)")
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str, plain_specials: bool):
+def _tokenizer(path: str, plain_specials: bool = False):
+    """plain_specials: what looks like a special token in a text is ordinary text there, which isn't the library's default."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -124,6 +125,12 @@ class _Known(dict):
         return self.encode(self.lead + part)
 
 
+def _apart(token) -> bool:
+    """Whether a special token starts with punctuation, has letters and no white space, and leaves what is around it alone: no cut goes through it, and no word or mark is a part of it."""
+    s = token.content
+    return s[:1] in PUNCTUATION and any(map(str.isalnum, s)) and not any(map(str.isspace, s)) and not (token.lstrip or token.rstrip or token.single_word)
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -131,15 +138,18 @@ class Encoder:
     text, and each distinct chunk is encoded once while it is remembered.
     """
 
-    def __init__(self, path: str, plain_specials: bool = True) -> None:
+    def __init__(self, path: str, plain_specials: bool = False) -> None:
         self.tokenizer = _tokenizer(path, plain_specials)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         kind, encode = "H" if self.width == 2 else "I", self.tokenizer.encode
         self.encode = lambda text: array(kind, encode(text, add_special_tokens=False).ids).tobytes()
         self.known = _Known(self.encode, self.tokenizer, self.width)
+        self.whole = not plain_specials and not all(map(_apart, self.tokenizer.get_added_tokens_decoder().values()))
 
     def __call__(self, text: str, end: bytes) -> bytes:
         """The ids as unsigned integers of this machine's order, little-endian where Spark runs."""
+        if self.whole:
+            return self.encode(text) + end
         parts = text.split(" ")
         first = parts[0]
         try:
@@ -151,7 +161,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, plain_specials: bool = True) -> Encoder:
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """This worker's encoder, kept from task to task."""
     return Encoder(path, plain_specials)
 
@@ -160,7 +170,7 @@ def _end(end_id: int, width: int) -> bytes:
     return end_id.to_bytes(width, "little")
 
 
-def train(docs: DataFrame, path: str, end_id: int, plain_specials: bool = True) -> bytes:
+def train(docs: DataFrame, path: str, end_id: int, plain_specials: bool = False) -> bytes:
     """The shared dictionary, or b"" where the sample is too small to make one."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
     chosen = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31))) & (F.length("text") <= SAMPLE_CHARS)
@@ -177,7 +187,7 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def frames(docs: DataFrame, path: str, end_id: int, dictionary: bytes, plain_specials: bool = True, level: int = 1) -> DataFrame:
+def frames(docs: DataFrame, path: str, end_id: int, dictionary: bytes, plain_specials: bool = False, level: int = 1) -> DataFrame:
     """doc_id, n_tokens and the compressed frame of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +274,7 @@ class ShardReader:
         return np.frombuffer(raw, f"<u{self.width}")
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 2, plain_specials: bool = True, n_shards: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 2, plain_specials: bool = False, n_shards: int | None = None) -> DataFrame:
     """Write docs as token files under folder and return the manifest (shard, file, n_docs, n_tokens, start)."""
     spark = docs.sparkSession
     dictionary = train(docs, path, end_id, plain_specials)
