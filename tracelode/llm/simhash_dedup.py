@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 4, keep: Sequence[str] = ("doc_id
     """The columns to keep, doc_id being one, and fp (the fingerprint's 64 bits as a long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in c.then(batches):
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column("_marked")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(fps)], names=[*keep, "fp"])
 
@@ -158,7 +158,7 @@ def edges(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """node and root, the least node of its component, for all nodes that have a link (links: a < b)."""
     now = None
-    found = c.written(links, "links")
+    found, path = c.written_at(links, "links")
     for _ in range(max_rounds):
         both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -166,11 +166,12 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         # Small star: each node and its lesser neighbours are linked to the least of these.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b")).filter("m < b").select(F.col("m").alias("a"), "b").distinct()
-        after = c.written(small, "links")
+        after, after_path = c.written_at(small, "links")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == now:
             break
-        found, now = after, state
+        c.remove(links.sparkSession, path)
+        found, now, path = after, state, after_path
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionAll(found.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

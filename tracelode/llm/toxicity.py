@@ -81,12 +81,12 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, text of the bounded sample, held-out rows excluded."""
+def _sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, toxic, text of at most max_rows rows of each class, held-out rows excluded."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).filter(~held_out())
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    picked = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS).unionAll(known.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS))
-    # At most 2 MAX_ROWS pairs of numbers.
+    picked = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).unionAll(known.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    # At most 2 max_rows pairs of numbers.
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_or_empty("text").alias("text")).join(F.broadcast(picked), "doc_id")
 
 
@@ -124,7 +124,8 @@ def _fit_machine(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, weight: np.n
     return float(theta[0][0]), theta[1] * size, theta[2] * size[:, None]
 
 
-def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed: int = 7) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed: int = 7, max_rows: int = MAX_ROWS, min_z: float = MIN_Z, max_slots: int = MAX_SLOTS) -> Machine:
+    """max_rows: labelled rows of each class in the sample; max_slots: slots with weights, of those that a class prefers at min_z."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "slots"])
 
     none = np.empty(0, np.int64)
-    sample = c.written(_sample(docs, labels).select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, slots array<int>"), "toxicity-sample")
+    sample = c.written(_sample(docs, labels, max_rows).select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, slots array<int>"), "toxicity-sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
@@ -141,9 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed:
     counts = sample.select("toxic", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("toxic").alias("c1"), F.count("*").alias("c"))
     p = F.col("c") / (n1 + n0)
     z = (F.col("c1") / n1 - (F.col("c") - F.col("c1")) / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    chosen = counts.filter((F.col("c") < n1 + n0) & (F.abs(z) >= MIN_Z)).orderBy(F.abs(z).desc(), "slot").limit(MAX_SLOTS)
+    chosen = counts.filter((F.col("c") < n1 + n0) & (F.abs(z) >= min_z)).orderBy(F.abs(z).desc(), "slot").limit(max_slots)
     at = np.array(sorted(r["slot"] for r in chosen.select("slot").collect()), np.int64)
-    # Slots that pass, at most MAX_SLOTS, and for each row of the bounded sample which of them it has.
+    # Slots that pass, at most max_slots, and for each row of the bounded sample which of them it has.
     kept = sample.select("doc_id", "toxic", F.array_intersect("slots", F.lit(at.tolist()).cast("array<int>") if len(at) else F.array().cast("array<int>")).alias("slots")).collect()
     kept.sort(key=lambda r: (r["doc_id"], r["slots"]))
     y = np.array([r["toxic"] for r in kept], float)
@@ -163,7 +164,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, machine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {s: i for i, s in enumerate(m.slots.tolist())}
-        for b in batches:
+        for b in c.then(batches):
             found = pa.array([score(m, t.as_py(), place) for t in b.column("_scored")], pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), found], names=[*keep, "score"])
 

@@ -10,7 +10,7 @@ ranked together.
 
 Defined cases: rows whose vec_id is null, or whose vector is null, empty or holds null or non-finite components,
 take no part. Vectors of different lengths are not compared. A query's own row is every row of its vec_id.
-Ties go to the smaller vec_id. Repeated rows are candidates each, and one query. An empty table gives an empty table. Scores must fit 64 bits. Other columns
+Ties go to the smaller vec_id. Repeated rows are candidates each, and one query. An empty table gives an empty table. A vector of LARGEST squared length or more raises ValueError. Other columns
 are ignored.
 """
 
@@ -32,6 +32,8 @@ CHUNK = 4096
 QUERIES = 8192
 #: Queries scored together within a task.
 TOGETHER = 256
+#: Squares of an integer vector's components sum to less, so that no score, bound or partial sum leaves what doubles hold exactly.
+LARGEST = float(1 << 51)
 #: Exact vectors read at a time.
 STEP = 64
 
@@ -43,7 +45,10 @@ def integer_vectors(rows: DataFrame, scale: int = 64) -> DataFrame:
         for b in batches:
             dims, packed = [], []
             for x in b.column(1):
-                v = np.floor(x.values.to_numpy() * float(scale)).astype("<i8")
+                v = np.floor(x.values.to_numpy() * float(scale))
+                if not float(v @ v) < LARGEST:
+                    raise ValueError(f"a vector's scores may not fit: the squares of its integer components sum to {float(v @ v):.3g}")
+                v = v.astype("<i8")
                 dims.append(len(v))
                 packed.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], names=["vec_id", "dim", "v"])
