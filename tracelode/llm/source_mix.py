@@ -85,10 +85,36 @@ def apportion(votes: Sequence[float], seats: int, caps: Sequence[int]) -> list[i
     return got
 
 
-def _overlap(a: Column, b: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
-    """Where [a, b) and [lo, hi) meet, from a on; the second is not less than the first."""
-    start = F.greatest(a, lo)
-    return start - a, F.greatest(F.least(b, hi), start) - a
+def steps(n_blocks: int, rng: np.random.Generator) -> tuple[int, int]:
+    """m and s: block i of a shard is the ((m i + s) mod n_blocks)-th to be taken, in an order that the seed chooses."""
+    m, s = (int(x) for x in rng.integers(0, max(1, n_blocks), 2))
+    while math.gcd(m, n_blocks) != 1:
+        m += 1
+    return m, s
+
+
+def _ranges() -> Column:
+    """Word ranges of a document's words _a to _b that lie in what is taken of the blocks of its shard.
+
+    _r words are taken once more, block by block in the shard's order; _n: the shard's words, _m and _s: its steps.
+    """
+    a, b, n, r, size = F.col("_a"), F.col("_b"), F.col("_n"), F.col("_r"), F.lit(BLOCK).cast("long")
+    n_blocks = F.ceil(n / size).cast("long")
+    turn = lambda i: F.pmod(F.col("_m") * i + F.col("_s"), n_blocks)
+    short = n_blocks * size - n  # by so much the last block is shorter
+    width = lambda i: F.least(size, n - i * size)
+    before = lambda i: turn(i) * size - F.when(turn(i) > turn(n_blocks - 1), short).otherwise(0)
+    part = lambda i: F.greatest(F.lit(0).cast("long"), F.least(width(i), r - before(i)))  # noqa: E731  words taken of block i, its first ones
+    low = lambda i: F.greatest(a, i * size)
+    high = lambda i: F.least(b, i * size + part(i))
+    some = lambda i: high(i) > low(i)
+    first, last = F.floor(a / size).cast("long"), F.floor((b - 1) / size).cast("long")
+    goes_on = lambda i: (i < last) & (part(i) == size) & some(i) & some(i + 1)  # noqa: E731  block i's words are followed by those of the next
+    blocks = F.sequence(first, last)
+    starts = F.transform(F.filter(blocks, lambda i: some(i) & ~((i > first) & goes_on(i - 1))), lambda i: low(i) - a)
+    ends = F.transform(F.filter(blocks, lambda i: some(i) & ~goes_on(i)), lambda i: high(i) - a)
+    none = F.array().cast("array<struct<from:bigint,to:bigint>>")
+    return F.when((r > 0) & (b > a), F.zip_with(starts, ends, lambda x, y: F.struct(x.alias("from"), y.alias("to")))).otherwise(none)
 
 
 def source_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 11, keep: Sequence[str] = ()) -> DataFrame:
@@ -97,7 +123,7 @@ def source_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
     weights: for sources by code point, null last, repeated as needed. keep: columns of docs to pass on.
     """
     spark = docs.sparkSession
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(c.words(c.text_or_empty("text"))).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("_key"), *[F.col(k).alias(f"_keep_{k}") for k in keep])
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(c.words(c.text_or_empty("text"))).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", c.text_or_empty("text")).alias("_key"), *[F.col(k).alias(f"_keep_{k}") for k in keep])
     sizes = c.written(sizes, "mix-sizes")
     sums = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
@@ -121,18 +147,14 @@ def source_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
         for k, q in zip(ks, apportion([cells[k][2] for k in ks], by_source[sid], [caps[k] for k in ks]), strict=True):
             quota[k] = q
     rng = np.random.default_rng(seed)
-    place = rng.random(len(cells))
-    rows = [(sid, shard, n, q, int(p * n) // BLOCK * BLOCK) for (sid, shard, n), q, p in zip(cells, quota, place.tolist(), strict=True)]
-    plan = spark.createDataFrame(rows, "sid int, shard int, _n long, _q long, _at long")
+    rows = [(sid, shard, n, q, *steps(-(-n // BLOCK), rng)) for (sid, shard, n), q in zip(cells, quota, strict=True)]
+    plan = spark.createDataFrame(rows, "sid int, shard int, _n long, _q long, _m long, _s long")
     order = Window.partitionBy("sid", "shard").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
     df = dealt.join(plan, ["sid", "shard"]).withColumn("_b", F.sum("size").over(order)).withColumn("_a", F.col("_b") - F.col("size"))
     words = F.least(F.col("_q") * BLOCK, F.floor(F.col("_n") * limit))  # the last block of a full quota may be short
     some = F.nullif(F.col("_n"), F.lit(0).cast("long"))
     df = df.withColumn("rounds", F.coalesce(F.floor(words / some), F.lit(0)).cast("long")).withColumn("_r", words - F.col("rounds") * F.col("_n"))
-    a, b, at, end = F.col("_a"), F.col("_b"), F.col("_at"), F.col("_at") + F.col("_r")
-    first, again = _overlap(a, b, at, F.least(end, F.col("_n"))), _overlap(a, b, F.lit(0).cast("long"), end - F.col("_n"))
-    pair = lambda x: F.struct(x[0].alias("from"), x[1].alias("to"))
-    df = df.withColumn("ranges", F.filter(F.array(pair(again), pair(first)), lambda x: x["to"] > x["from"]))
+    df = df.withColumn("ranges", _ranges())
     taken = F.col("rounds") * F.col("size") + F.aggregate("ranges", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
     return df.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "rounds", "ranges", *[F.col(f"_keep_{k}").alias(k) for k in keep if k not in ("doc_id", "source")])
 
