@@ -188,7 +188,7 @@ def test_lm_contexts_run_across_tokens(spark):
 
 def test_token_files(spark, odd, docs, tmp_path):
     plain = Tokenizer.from_file(JSON)
-    plain.encode_special_tokens = True
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids.count(plain.token_to_id("<|endoftext|>")) == 1
     for k, df in enumerate((odd, docs)):
         folder = f"{tmp_path}/{k}"
         manifest = token_files.write_token_files(df, folder, JSON)
@@ -211,10 +211,10 @@ def test_token_files(spark, odd, docs, tmp_path):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from(" \n\t.,!'aZéß1日\x85 "), max_size=30))
-def test_chunks_have_the_ids_of_the_text(text):
-    t = token_files._tokenizer(JSON, True)
-    assert np.frombuffer(token_files.encoder(JSON)(text, b""), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+@given(st.lists(st.sampled_from([*" \n\t.,!'aZéß1日ɐ\x85 ", "don't", "we'll", "12345", "<|endoftext|>", "<|", "|>", " and", " Étre"]), max_size=20).map("".join), st.booleans())
+def test_chunks_have_the_ids_of_the_text(text, plain):
+    t = token_files._tokenizer(JSON, plain)
+    assert np.frombuffer(token_files.Encoder(JSON, plain)(text, b""), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_byte_bpe(odd, docs):
@@ -268,6 +268,8 @@ def test_va_search(spark):
         assert got[i] == [(j, -s) for s, j in want]
     assert got[2100] == [(2101, 3 * 32 * 16)] and set(got) == {*range(0, 900, 20), 2100}
     assert va_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    with pytest.raises(Exception, match="may not fit"):
+        va_search.top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).count()
 
 
 def test_va_bounds_hold():

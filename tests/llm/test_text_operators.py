@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -67,7 +68,7 @@ CHAT = "conv_id long, turn long, role string, text string, turns string, formatt
 def test_chat_round_trip(spark):
     nasty = ["### User: hi </turn>\n", "\\h \\t \\b \\", "#### ### </turn", "", None, "a\nb </turn>\n### Assistant: x", "\\\\h"]
     rows = [(1, i, ["user", "assistant"][i % 2], t, "", "") for i, t in enumerate(nasty)] + [(2, 0, "system", "s", "", ""), (2, 1, "user", "u", "", ""), (3, 0, "assistant", "x", "", ""), (4, 0, "we:ird### \\role", "t", "", ""), (4, 1, None, "n", "", ""), (None, 0, "user", "q", "", "")]
-    out = chat_format.chat_format(spark.createDataFrame(rows, CHAT)).withColumn("turns", chat_format.parse(F.col("formatted"))).withColumn("loss", chat_format.loss_text(F.col("segments"))).collect()
+    out = chat_format.chat_format(spark.createDataFrame(rows, CHAT)).withColumn("turns", chat_format.parse(F.col("formatted"))).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
     got = {r.conv_id: r for r in out}
     for conv in (1, 2, 3, 4, None):
         want = [(r[2] or "", r[3] or "") for r in rows if r[0] == conv]
@@ -203,6 +204,29 @@ def test_html_keeps_the_whole_article():
     assert html_text.main_text(f"<body><article>{body}{refs}<div class='x share'>Share it</div></article></body>") == plain
 
 
+def test_html_density_decides():
+    """Pages without article, main or telling names: the densest sum of blocks is the text, short link lists are not."""
+    story = [f"Sentence {i} of the story goes on for a good while, so that it is text and not a label, as stories do." for i in range(8)]
+    links = lambda n: "<div class=x><ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(n)) + "</ul></div>"
+    for wrap in ("<div class=a>%s</div>", "<table><tr><td>%s</td></tr></table>", "<section><div><div>%s</div></div></section>"):
+        page = f"<html><body>{links(12)}<div>{wrap % ''.join(f'<p>{s}</p>' for s in story)}</div>{links(20)}<div><p><a href=/c>Contact</a> <a href=/t>Terms</a></p></div></body></html>"
+        assert html_text.main_text(page) == "\n".join(story), wrap
+
+
+def test_html_odd_markup_is_linear():
+    """Unclosed tags and quotes, long names, deep nests and stray closings take time in proportion to the page."""
+    odd = ["<a b='", "<div ", '<p class="x', "<div><li>", "<div>", "</p><div>", "<button>", "<div class=sidebar>", "<!-- ", "<td><tr>", "aaaa ", "<x " + "a" * 50, "&amp", "<script>"]
+    for part in odd:
+        took = []
+        for n in (4_000, 32_000):
+            page = "<p>text</p>" + part * n
+            began = time.process_time()
+            html_text.main_text(page)
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * took[0] + 1, part
+    assert html_text.main_text("<p title=\"it's > that\">first words</p><p>5 < 6 and that is all") == "first words\n5 < 6 and that is all"
+
+
 def test_html_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").collect()
     got = {r.page_id: r.text for r in registry.QUERIES["op6_html_text"](spark, small).collect()}
@@ -220,6 +244,6 @@ def test_chat_query_hashes(spark, small):
         convs.setdefault(r.conv_id, []).append((r.role, r.text))
     convs[-7] = [("user", "\\### Assistant: </turn> ok"), ("assistant", "\\### Assistant: </turn> ok")]
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert set(got) == set(convs)
+    assert set(got) == set(convs) and got[-7].valid and got[-7].end_state == "assistant"
     for k, turns in convs.items():
         assert got[k].turns_sha256 == sha("".join(f"{a}\n{b}\n" for a, b in turns)) and got[k].loss_sha256 == sha("".join(b for a, b in turns if a == "assistant"))

@@ -21,6 +21,7 @@ Columns besides page_id, url and html are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -31,13 +32,11 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)
-    |<(script|style|noscript|template|textarea|iframe|svg|math|object|audio|video|canvas)\b(?:[^>"']++|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)
-    |<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*)>
-    |<[!?][^>]*>""",
-    re.S | re.I | re.X,
-)
+#: Where markup starts: a comment or section up to its end, a tag up to its name, or a declaration.
+OPENING = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?]""", re.S)
+MARK = re.compile(r"""[>"']""")
+#: What stands in these is no text of the page.
+RAW = frozenset("script style noscript template textarea iframe svg math object audio video canvas button".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -46,13 +45,71 @@ ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl")
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 LEFT_OUT = frozenset("head title nav header footer aside form dialog menu select fieldset button".split())
 NAMED = re.compile(r"(?:(?:site|cookie)[-_])?(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notifications?|popup|promo\w*|related|replies|respond|share|sharing|sidebars?|social|sponsor\w*|subscribe|subscription|toolbar)", re.I)
+ROUNDS = 6
 #: A named element with a larger share of all text is no boilerplate.
 WRAPS = 0.8
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
 WHOLE = frozenset("html body main article".split())
 
 
+class Tags:
+    """The markup of a page from left to right, each character looked at a bounded number of times.
+
+    Gives start, end, whether it closes, name and attributes of each tag, and no name for comments and declarations. A tag ends
+    at the first > outside quotes. Once a quote is never closed, quotes no longer count; without a > what follows is text.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html, self.quotes, self.ends = html, True, {}
+
+    def end(self, at: int) -> int:
+        while self.quotes:
+            m = MARK.search(self.html, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.end()
+            close = self.html.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        else:
+            return self.html.find(">", at) + 1
+        self.quotes = False
+        return self.html.find(">", at) + 1
+
+    def skip(self, name: str, at: int) -> int:
+        """Behind the closing tag of a raw element, or the end of the page."""
+        if self.ends.get(name) == -1:
+            return len(self.html)
+        m = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(self.html, at)
+        if m is None:
+            self.ends[name] = -1
+        return m.end() if m else len(self.html)
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str | None, str]]:
+        at = 0
+        while m := OPENING.search(self.html, at):
+            if m[2] is None and m[0] not in ("<!", "<?"):
+                yield m.start(), m.end(), False, None, ""
+                at = m.end()
+                continue
+            end = self.end(m.end())
+            if not end:
+                return
+            name = m[2] and m[2].lower()
+            if name in RAW and not m[1] and self.html[end - 2] != "/":
+                body = self.skip(name, end)
+                if name == "button" and body == len(self.html):  # never closed: its label goes no further than the tag
+                    body = end
+                yield m.start(), body, False, name, ""
+                at = body
+                continue
+            yield m.start(), end, bool(m[1]), name, self.html[m.end() : end - 1]
+            at = end
+
+
 class Node:
     __slots__ = ("tag", "parent", "parts", "left_out", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
@@ -78,16 +135,17 @@ def _unwanted(tag: str, attributes: str, forms: bool) -> tuple[bool, bool]:
 
 
 def parse(html: str, forms: bool = False) -> Node:
-    """The tree of block elements; forms: keep what stands in forms."""
+    """The tree of block elements; forms: keep what stands in forms. Wrappers within wrappers are looked for ROUNDS times, then names don't count."""
     spared: set[int] = set()
-    while True:
+    for round_ in range(ROUNDS + 1):
         lost: dict[int, int] = {}
         root = _parse(html, forms, spared, lost)
         total = sum(lost.values()) + sum(x.chars for x in _all(root))
         wrappers = {place for place, n in lost.items() if n > WRAPS * total}
         if not wrappers:
             return root
-        spared |= wrappers
+        spared |= set(range(len(html))) if round_ == ROUNDS - 1 else wrappers
+    return root
 
 
 def _all(root: Node) -> Iterator[Node]:
@@ -114,22 +172,31 @@ def _parse(html: str, forms: bool, spared: set[int], lost: dict[int, int]) -> No
             if link:
                 at.link_chars += n
 
-    for m in TOKEN.finditer(html):
-        text(html[done : m.start()])
-        done = m.end()
-        tag = m[3]
+    open_: Counter[str] = Counter()
+
+    def up_to(node: Node) -> None:
+        nonlocal at
+        while at is not node:
+            open_[at.tag] -= 1
+            at = at.parent
+
+    for start, end, closes, tag, attributes in Tags(html):
+        text(html[done:start])
+        done = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[2]:
+        if closes:
             if tag == "a":
                 link = False
-            if tag in BLOCKS and tag not in ("html", "body"):
+            if tag in BLOCKS and tag not in ("html", "body") and open_[tag]:
                 node = at
-                while node is not None and node.tag != tag:
+                while node.tag != tag:
                     node = node.parent
-                if node is not None and node.parent is not None:
-                    at, link = node.parent, False
+                up_to(node.parent)
+                link = False
+            continue
+        if tag in RAW:
+            at.tags += tag == "button"
             continue
         if tag not in BLOCKS:
             at.tags += 1
@@ -138,33 +205,34 @@ def _parse(html: str, forms: bool, spared: set[int], lost: dict[int, int]) -> No
                 link = True
             elif tag == "br":
                 text(" ")
-            elif tag == "button":  # its label isn't text
-                end = re.compile(r"</button\s*>", re.I).search(html, done)
-                done = end.end() if end else done
             continue
         if tag in ("html", "body"):
-            while at.left_out and at.parent is not None:
-                at = at.parent
+            node = at
+            while node.left_out and node.parent is not None:
+                node = node.parent
+            up_to(node)
             continue
         if at.tag == "p" or tag in HEADINGS and at.tag in HEADINGS:
-            at = at.parent
-        if tag in ENDS:
+            up_to(at.parent)
+        if tag in ENDS and any(open_[x] for x in ENDS[tag][0]):
             closed, within = ENDS[tag]
-            node = at
+            node = ends = at
             while node.parent is not None and node.tag not in within:
                 if node.tag in closed:
-                    at = node.parent
+                    ends = node.parent
                 node = node.parent
-        always, named = _unwanted(tag, m[4], forms)
-        named = named and m.start() not in spared
+            up_to(ends)
+        always, named = _unwanted(tag, attributes, forms)
+        named = named and start not in spared
         child = Node(tag, at, at.left_out or always or named)
         if at.left_out:
             child.named = None if always else at.named
         elif named and not always:
-            child.named = m.start()
+            child.named = start
         at.parts.append(child)
         if tag not in VOID:
             at, link = child, False
+            open_[tag] += 1
     text(html[done:])
     return root
 
