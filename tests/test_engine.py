@@ -241,3 +241,81 @@ def test_learners_take_all_rows(spark):
     score = lambda **more: {r.dp_id: r.score for r in learn.ssad(p, lab, steps=50, **more).collect()}
     assert score(most=0) != score(most=200)  # unlabelled points take part beside 700 labelled ones
     assert score(most=200) == score(most=600)
+
+
+def test_argument_after_call_follows_places(spark):
+    """What the argument is stored to is tracked, with its allocation; of a GEP its location; and values later in turn profit."""
+    a, place = '{"Sym":1}', '{"Sym":7}'
+    gep = '{"GEP":{"indices":[1],"loc":{"Sym":7}}}'
+    after = lambda mem, out, arg=a: one(features.arg_post(trace(spark, TARGET | {"args": [arg]}, {"op": "Store", "mem": mem, "val": arg}, {"op": "Ret", "op0": out})))
+    assert after(place, place)["indir_returned"] and after(place, '{"AllocOf":{"Sym":7}}')["indir_returned"]
+    assert after(gep, place)["indir_returned"] and not after(gep, gep)["indir_returned"]
+    assert not after('{"Load":1}', '{"Load":1}')["indir_returned"] and not after(place, '{"Sym":8}')["indir_returned"]
+    assert not after(a, place)["indir_returned"] and after(a, place)["derefed"] and not after(place, place)["derefed"]
+    assert one(features.arg_post(trace(spark, TARGET | {"args": [a]}, {"op": "Ret", "op0": '{"Bin":["Add",{"Sym":1},2]}'})))["indir_returned"]
+    # A store of the argument through a child pointer is no dereference.
+    child = {"op": "GEP", "mem": a, "res": '{"Sym":9}'}
+    got = one(features.arg_post(trace(spark, TARGET | {"args": [a]}, child, {"op": "Store", "mem": '{"Sym":9}', "val": a})))
+    assert not got["derefed"]
+    assert one(features.arg_post(trace(spark, TARGET | {"args": [a]}, child, {"op": "Store", "mem": '{"Sym":9}', "val": '{"Int":1}'})))["derefed"]
+    # Two values: the allocation stands for its inner value as well.
+    both = '{"AllocOf":{"Sym":1}}'
+    assert one(features.arg_post(trace(spark, TARGET | {"args": [both]}, {"op": "Store", "mem": place, "val": both}, {"op": "Ret", "op0": place})))["indir_returned"]
+
+
+def test_file_rule(spark):
+    check = lambda pred: {"op": "ICmp", "pred": pred, "op0": R, "op1": ZERO, "res": C}
+    way = lambda br: {"op": "CondBr", "cond": C, "br": br}
+    call = lambda f: {"op": "Call", "func": f, "args": [R]}
+    verdict = lambda *rows: one(checkers.fopen_rule(trace(spark, TARGET, *rows)))["verdict"]
+    assert verdict() == verdict(call("fclose")) == "Alarm"
+    assert verdict(check("EQ"), way("Then")) == "Ok" and verdict(check("EQ"), way("Then"), call("fclose")) == "Alarm"
+    assert verdict(check("NE"), way("Else"), call("fputs")) == "Alarm" and verdict(check("NE"), way("Else")) == "Ok"
+    assert verdict(check("EQ"), way("Else")) == "Alarm" and verdict(check("EQ"), way("Else"), call("fputs"), call("fclose")) == "Ok"
+    assert verdict(check("EQ"), {"op": "Load", "mem": R}, way("Else"), call("fclose")) == "Alarm"
+
+
+def test_blocks_are_numbered(spark):
+    """Block b10 comes after b2: the entry is b1, and a branch from b10 back to b2 is a loop's end."""
+    code = [("b1", "br", ["b2"]), ("b2", "call", [{"func": "malloc"}, 1]), ("b2", "icmp", ["EQ", {"arg": 0}, 0]), ("b2", "br", [{"reg": "c"}, "b10", "b11"]), ("b10", "br", ["b2"]), ("b11", "ret", [])]
+    pos, rows = {}, []
+    for b, op, args in code:
+        pos[b] = pos.get(b, -1) + 1
+        rows.append(("x", "f", b, pos[b], op, "c" if op == "icmp" else None, json.dumps(args), "l"))
+    ir = spark.createDataFrame(rows, "bc string, func string, block string, pos int, op string, dst string, a string, loc string")
+    slices = spark.createDataFrame([("malloc", "x", 0, "f", ["f"])], "target string, bc string, slice_id long, entry string, functions array<string>")
+    for limits in (symbolic.Limits(), symbolic.Limits(seed=3)):
+        got = symbolic.execute(slices, ir, limits, check=False).collect()
+        assert got and any(r.end_loop for r in got)
+        assert {r.idx: r.op for r in got if r.trace_id == 0}[0] in ("Br", "UncondBr", "Call")
+
+
+def test_small_sinks_and_fields(spark, tmp_path):
+    from tracelode.functions import values as v
+    from tracelode.sources.catalog import Workspace
+
+    cat = Workspace.init(spark, str(tmp_path))
+    occ = spark.createDataFrame([("a.bc", "f", 2), ("a.bc", "g", 1), ("b.bc", "f", 5)], "bc string, func string, n long")
+    path = cat.save_occurrences(occ, "lib", pointer=True)
+    assert {r.file: json.loads(r.value) for r in spark.read.text(path).collect()} == {"a.bc_lib_ptr": {"f": 2, "g": 1}, "b.bc_lib_ptr": {"f": 5}}
+    assert [tuple(r) for r in spark.read.option("header", True).csv(cat.save_occurrence_list(occ, "all")).collect()] == [("f", "7"), ("g", "1")]
+    cat.save_learning("e", ["x", "y"], spark.range(3), {"bandwidth": 1.5}, [True, False], 0.25)
+    said, vectors_ = cat.load_learning("e")
+    assert said == {"unified": ["x", "y"], "model": {"bandwidth": 1.5}, "mask": [True, False], "fitness": 0.25} and vectors_.count() == 3
+    assert cat.slice_counts().count() == 0
+    doc = spark.createDataFrame([('{"a":{"b":null,"c":2}}',), (None,)], "d string")
+    got = doc.select(v.field(F.col("d"), "a.c").alias("c"), v.has_field(F.col("d"), "a.b").alias("b"), v.has_field(F.col("d"), "z.b").alias("z")).collect()
+    assert [tuple(r) for r in got] == [("2", True, False), (None, False, False)]
+    t = spark.createDataFrame([("void (%struct.dev*, [4 x %struct.a.b])",), (None,)], "t string")
+    assert [r[0] for r in t.select(graph.struct_names(F.col("t"))).collect()] == [["dev", "a.b"], None]
+
+
+def test_running_sums_by_ranges(spark):
+    from tracelode.operators import evaluate
+
+    rows = spark.createDataFrame([(i * 7 % 50, i % 3 == 0) for i in range(50)], "attempt int, is_alarm boolean")
+    got = {r.attempt: r.tp for r in evaluate.running(rows, "attempt", {"tp": F.col("is_alarm").cast("int")}, width=8).collect()}
+    hits = {i * 7 % 50: i % 3 == 0 for i in range(50)}
+    assert got == {a: sum(hits[b] for b in range(a + 1)) for a in range(50)}
+    none = rows.limit(0)
+    assert evaluate.auc(none).first().auc == 0.0 and evaluate.curve(none).count() == 1

@@ -82,3 +82,23 @@ def gaussian(distance2: Column, bandwidth: float) -> Column:
 
 def distance2(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+
+
+def _path(field: str) -> str:
+    return "$" + "".join(f"['{x}']" for x in field.split("."))
+
+
+def field(doc: Column, name: str) -> Column:
+    """What a feature document (JSON text) holds under a dot-separated name, as text; null if it isn't there."""
+    return F.get_json_object(doc, _path(name))
+
+
+def has_field(doc: Column, name: str) -> Column:
+    """Whether it is there, even if it is null."""
+    above, _, last = name.rpartition(".")
+    return F.coalesce(F.array_contains(F.json_object_keys(F.get_json_object(doc, _path(above)) if above else doc), last), F.lit(False))
+
+
+def grouped(doc: Column, names: list[str]) -> Column:
+    """A map from each name to the part of the document under it."""
+    return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[field(doc, n) for n in names]))

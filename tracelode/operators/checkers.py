@@ -65,14 +65,20 @@ def bugs(scored: DataFrame, problematic: Column, threshold: float = 0.9) -> Data
     return scored.filter(problematic & (F.col("score") > threshold))
 
 
-def fopen_rule(instrs: DataFrame, closing: str, writing: str) -> DataFrame:
-    """key, verdict: a result that is checked must be closed, one that is not checked must not be used for writing."""
-    rows = with_target(instrs).filter(F.col("idx") >= F.col("t"))
-    later = F.col("idx") > F.col("t")
-    call = lambda name: any_(later & (F.col("op") == "Call") & (F.col("func") == name))
-    checked = any_(later & (F.col("op") == "ICmp") & ((F.col("op0") == F.col("r")) | (F.col("op1") == F.col("r"))))
-    out = rows.groupBy(*KEY).agg(checked.alias("checked"), call(closing).alias("closed"), call(writing).alias("wrote"))
-    return out.select(*KEY, F.when(F.col("checked") & F.col("closed"), "Ok").when(~F.col("checked") & ~F.col("wrote"), "Ok").otherwise("Alarm").alias("verdict"))
+def fopen_rule(instrs: DataFrame, closing: str = "fclose", writing: str = "fputs") -> DataFrame:
+    """key, verdict: Ok or Alarm for a call that opens a file, by the first comparison after it.
+
+    On the branch where the result is null nothing may be closed or written to; where it isn't, the file must be closed; a
+    result that isn't compared with null, or whose branch doesn't follow at once, is an alarm. Traces without rows after the call are alarms too.
+    """
+    rows = with_target(instrs)
+    later = (F.col("idx") > F.col("t")) & (F.col("op") == "Call")
+    calls = rows.groupBy(*KEY).agg(any_(later & (F.col("func") == closing)).alias("closed"), any_(later & (F.col("func") == writing)).alias("wrote"))
+    first = branch_results(instrs).groupBy(*KEY).agg(F.min_by("result", "idx").alias("first"))
+    is_null = F.col("first").isin("Checked(EQ,0,Then,now)", "Checked(NE,0,Else,now)")
+    not_null = F.col("first").isin("Checked(EQ,0,Else,now)", "Checked(NE,0,Then,now)")
+    ok = no(is_null & ~F.col("closed") & ~F.col("wrote")) | no(not_null & F.col("closed"))
+    return calls.join(first, KEY, "left").select(*KEY, F.when(ok, "Ok").otherwise("Alarm").alias("verdict"))
 
 
 def matches(features: DataFrame, predicate: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.relations import KEY
+from .graph import merged_clusters
 
 
 def branch_comparisons(instrs: DataFrame) -> DataFrame:
@@ -59,15 +60,14 @@ def whole_slices(points: DataFrame, chosen: DataFrame, width: int = 50) -> DataF
     return points.join(c, ["bc", "slice_id"]).filter((F.col("dp_id") >= F.col("chosen") - width) & (F.col("dp_id") < F.col("chosen") + width)).select("chosen", "dp_id")
 
 
-def reduce_dugraph(edges: DataFrame, nodes: DataFrame, hops: int = 10) -> DataFrame:
-    """Nodes to keep (key, id): those connected to the target by du edges (key, src, dst) either way, and those marked keep; nodes: key, id, is_target, keep."""
-    both = edges.select(*KEY, "src", "dst").unionAll(edges.select(*KEY, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    found = nodes.filter("is_target").select(*KEY, "id")
-    now = found
-    for _ in range(hops):
-        now = now.join(both.withColumnRenamed("src", "id"), [*KEY, "id"]).select(*KEY, F.col("dst").alias("id")).distinct().join(found, [*KEY, "id"], "left_anti")
-        found = found.unionAll(now)
-    return found.unionAll(nodes.filter("keep").select(*KEY, "id")).distinct()
+def reduce_dugraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes to keep (key, id): all that are connected to the target by du edges (key, src, dst) either way, and those marked keep; nodes: key, id, is_target, keep."""
+    node = lambda c: F.struct(*KEY, F.col(c).cast("long").alias("id"))
+    clusters = merged_clusters(edges.filter("src is not null and dst is not null").select(node("src").alias("a"), node("dst").alias("b")))
+    targets = nodes.filter("is_target").select(node("id").alias("node"))
+    own = clusters.join(targets, "node", "left_semi").select("cluster").distinct()
+    kept = clusters.join(own, "cluster", "left_semi").select("node").unionAll(targets).unionAll(nodes.filter("keep").select(node("id").alias("node")))
+    return kept.distinct().select("node.*")
 
 
 def relinked(kept: DataFrame) -> DataFrame:
@@ -75,6 +75,15 @@ def relinked(kept: DataFrame) -> DataFrame:
     return kept.withColumn("dst", F.lead("id").over(Window.partitionBy(*KEY).orderBy("id"))).filter("dst is not null").select(*KEY, F.col("id").alias("src"), "dst")
 
 
+def legacy_metadata(instrs: DataFrame) -> DataFrame:
+    """For each target: traces explored, duplicated (the same operations as an earlier one of their slice) and rejected (without the target), nodes and edges, and their averages over what is explored."""
+    per = instrs.groupBy(*KEY).agg(F.bool_or("is_target").alias("hit"), F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "op"))), lambda x: x["op"]), ">").alias("seq"))
+    w = Window.partitionBy("target", "bc", "slice_id", "seq").orderBy("trace_id")
+    per = per.withColumn("again", F.row_number().over(w) > 1)
+    out = per.groupBy("target").agg(F.count("*").alias("explored"), F.count_if("again").alias("duplicated"), F.count_if(~F.col("hit")).alias("rejected"), F.sum("n").alias("nodes"), F.sum(F.col("n") - 1).alias("edges"))
+    return out.select("*", (F.col("nodes") / F.col("explored")).alias("avg_nodes"), (F.col("edges") / F.col("explored")).alias("avg_edges"))
+
+
 def execution_metadata(instrs: DataFrame) -> DataFrame:
     """For each target and file: traces by how they finish: no target, returned, or cut."""
     per = instrs.groupBy(*KEY).agg(F.bool_or("is_target").alias("hit"), F.max_by("op", "idx").alias("final"), F.count("*").alias("n"))

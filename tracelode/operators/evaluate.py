@@ -7,23 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+RANGE = 1 << 16
+
+
+def running(rows: DataFrame, at: str, sums: dict[str, Column], width: int = RANGE) -> DataFrame:
+    """rows with running sums (name: what is summed) in order of the whole number ``at``, null first.
+
+    Each range of ``width`` numbers is summed by itself; what lies before it is a sum over ranges, of which there is one row each. Equal numbers share a sum.
+    """
+    rows = rows.withColumn("_range", F.floor(F.col(at) / width))
+    per = rows.groupBy("_range").agg(*[F.sum(x).alias(f"_{k}") for k, x in sums.items()])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("_range", *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0).cast("long")).alias(f"_before_{k}") for k in sums])
+    both = rows.join(before, rows["_range"].eqNullSafe(before["_range"])).drop(before["_range"])
+    within = Window.partitionBy("_range").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    out = both.select("*", *[(F.sum(x).over(within) + F.col(f"_before_{k}")).alias(k) for k, x in sums.items()])
+    return out.drop("_range", *[f"_before_{k}" for k in sums])
+
+
 def curve(feedback: DataFrame) -> DataFrame:
-    """attempt, tp, fp: running counts over the attempts of one experiment, whose length is its number of questions.
+    """attempt, tp, fp: running counts over the attempts of an experiment.
 
     The curve starts with a point without true positives, which counts as a false one.
     """
-    w = Window.orderBy("attempt").rowsBetween(Window.unboundedPreceding, 0)
     hit = F.col("is_alarm").cast("int")
-    points = feedback.select("attempt", F.sum(hit).over(w).alias("tp"), (F.sum(1 - hit).over(w) + 1).alias("fp"))
+    points = running(feedback, "attempt", {"tp": hit, "_fp": 1 - hit}).select("attempt", "tp", (F.col("_fp") + 1).alias("fp"))
     first = feedback.sparkSession.range(1).select(F.lit(0).alias("attempt"), F.lit(0).cast("long").alias("tp"), F.lit(1).cast("long").alias("fp"))
     return first.unionAll(points)
 
 
 def auc(feedback: DataFrame) -> DataFrame:
     """The sum of tp at steps that add a false positive, over the product of the final counts; 0 if either is 0."""
-    w = Window.orderBy("attempt")
-    steps = curve(feedback).withColumn("before", F.coalesce(F.lag("fp").over(w), F.lit(0).cast("long")))
-    return steps.agg(F.sum(F.when(F.col("fp") > F.col("before"), F.col("tp")).otherwise(0)).alias("s"), F.max("tp").alias("tp"), F.max("fp").alias("fp")).select(F.when(F.col("tp") * F.col("fp") > 0, F.col("s") / (F.col("tp") * F.col("fp"))).otherwise(0.0).alias("auc"), "tp", "fp")
+    hit = F.col("is_alarm").cast("int")
+    steps = running(feedback, "attempt", {"tp": hit})
+    total = steps.agg(F.coalesce(F.sum(F.when(hit == 0, F.col("tp"))), F.lit(0).cast("long")).alias("s"), F.coalesce(F.sum(hit), F.lit(0).cast("long")).alias("tp"), (F.count_if(hit == 0) + 1).alias("fp"))
+    return total.select(F.when(F.col("tp") * F.col("fp") > 0, F.col("s") / (F.col("tp") * F.col("fp"))).otherwise(0.0).alias("auc"), "tp", "fp")
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
@@ -42,6 +60,7 @@ def brief(alarms: DataFrame) -> DataFrame:
 
 
 def steps(feedback: DataFrame) -> DataFrame:
-    """Labelled points and mean seconds of a step; feedback: attempt, ts."""
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(Window.orderBy("attempt"))
-    return feedback.withColumn("gap", gap).agg(F.count("*").alias("n_labeled"), (F.avg("gap") / 1e6).alias("mean_seconds"))
+    """Labelled points and mean seconds of a step; feedback: attempt, ts. The gaps between neighbours add up to the last time less the first."""
+    micros = F.unix_micros("ts")
+    n = F.count("*")
+    return feedback.agg(n.alias("n_labeled"), ((F.max_by(micros, "attempt") - F.min_by(micros, "attempt")) / F.nullif(n - 1, F.lit(0)) / 1e6).alias("mean_seconds"))

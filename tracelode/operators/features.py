@@ -124,21 +124,29 @@ def arg_pre(instrs: DataFrame, i: int = 0, lookahead: int = 5) -> DataFrame:
 
 
 def arg_post(instrs: DataFrame, i: int = 0) -> DataFrame:
-    """What happens to argument i after the call."""
+    """What happens to argument i after the call, for each of the values it stands for in turn.
+
+    A place that the argument is stored to is tracked, as is what is allocated there; of a GEP its location is tracked instead. What a value
+    finds is remembered for those after it.
+    """
     rows = _arguments(instrs, i, 5)
-    before = Window.partitionBy(*KEY).orderBy("idx", "at").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*KEY).orderBy("at", "idx").rowsBetween(Window.unboundedPreceding, -1)
     arg, mem, after = F.col("arg"), F.col("mem"), F.col("idx") > F.col("t")
+    into = no(_op("Store") & (mem == arg))
+    kept = after & _op("Store") & (F.col("val") == arg) & ~into
+    place = F.when(mem.rlike(r'^\{"(Arg|Sym|Glob|Alloc)":'), mem).when(mem.startswith('{"GEP":'), F.get_json_object(mem, "$.GEP.loc"))
     children = F.collect_set(F.when(after & _op("GEP") & (mem == arg), F.col("res"))).over(before)
-    tracked = F.collect_set(F.when(after & _op("Store") & (F.col("val") == arg), mem)).over(before)
-    rows = rows.withColumn("cp", children).withColumn("tv", tracked)
+    places = F.collect_set(F.when(kept, place)).over(before)
+    allocated = F.collect_set(F.when(kept, F.concat(F.lit('{"AllocOf":'), mem, F.lit("}")))).over(before)
+    rows = rows.withColumn("cp", children).withColumn("tv", F.concat(places, allocated))
     child, ends = F.array_contains("cp", mem), _op("Ret") & (F.col("idx") == F.col("last_idx"))
     either = (F.col("op0") == arg) | (F.col("op1") == arg)
     in_call, in_check, in_bin = after & _op("Call") & F.array_contains("args", arg), after & _op("ICmp") & either, after & _op("Bin") & either
-    derefed = after & ((_op("Store", "Load") & (mem == arg)) | (_op("Store", "Load") & child))
+    derefed = after & (into | (_op("Load") & ((mem == arg) | child)) | (_op("Store") & no(F.col("val") != arg) & child))
     out = F.col("op0")
     return rows.groupBy(*KEY).agg(
         any_(no(in_call) | no(in_check) | no(in_bin) | no(derefed)).alias("used"), any_(in_call).alias("used_in_call"), any_(in_bin).alias("used_in_bin"), any_(in_check).alias("used_in_check"), any_(derefed).alias("derefed"),
-        any_(after & ends & (out == arg)).alias("returned"), any_(after & ends & (out != arg) & (F.array_contains("tv", out) | (v.base_of(arg) == out))).alias("indir_returned"),
+        any_(after & ends & (out == arg)).alias("returned"), any_(after & ends & (out != arg) & (F.array_contains("tv", out) | out.contains(arg))).alias("indir_returned"),
     )
 
 

@@ -104,3 +104,8 @@ def has_context(instrs: DataFrame, keys: Sequence[str]) -> DataFrame:
     out = rows.groupBy(*keys).agg(F.first("targs").alias("targs"), made.alias("made"), F.coalesce(F.bool_or((F.col("idx") > F.col("t")) & uses), F.lit(False)).alias("used"))
     given = F.forall(F.filter("targs", lambda a: ~a.rlike(v.CONSTANTS)), lambda a: F.array_contains("made", a))
     return out.select(*keys, (given | F.col("used")).alias("has_context"))
+
+
+def opens_file(name: Column) -> Column:
+    """Functions that the file rule is for: fopen anywhere in the name's first line."""
+    return name.rlike(r"\A.*fopen")

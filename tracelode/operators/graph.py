@@ -6,6 +6,7 @@ a fixed chain that Catalyst sees as a whole. Each level is distinct before the n
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,24 @@ def reduced(slices: DataFrame, edges: DataFrame, hops: int, related: Column | No
     return slices.join(reduce(DataFrame.unionAll, found).distinct(), ["target", "entry", "func"], "left_semi")
 
 
+def struct_names(function_type: Column) -> Column:
+    """Names of the struct types that a function's type mentions, however deep in arrays, pointers, vectors or functions."""
+    return F.array_distinct(F.regexp_extract_all(function_type, F.lit(r"%?struct\.([A-Za-z_][\w.]*)"), F.lit(1)))
+
+
+def related_by_structs(slices: DataFrame, types: DataFrame) -> DataFrame:
+    """slices (target, entry, func) with ``related``: the function and the target use a struct type in common (types: func, type, one row each)."""
+    of = types.select("func", struct_names(F.col("type")).alias("structs"))
+    both = slices.join(of, "func", "left").join(of.select(F.col("func").alias("target"), F.col("structs").alias("wanted")), "target", "left")
+    none = F.array().cast("array<string>")
+    return both.select("target", "entry", "func", share_structs(F.coalesce("structs", none), F.coalesce("wanted", none)).alias("related"))
+
+
+def num_elements(batched: DataFrame) -> DataFrame:
+    """Elements of all batches, and of each target over all its batches (target null: all)."""
+    return batched.rollup("target").agg(F.count("*").alias("n"))
+
+
 def share_structs(a: Column, b: Column) -> Column:
     """Two functions use a struct type in common."""
     return F.arrays_overlap(a, b)
@@ -138,6 +157,7 @@ def merged_clusters(links: DataFrame, rounds: int = 100) -> DataFrame:
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
+    ensure_checkpoints(links.sparkSession)
     nodes = links.select(F.col("a").alias("node")).unionAll(links.select("b")).filter("node is not null").distinct().checkpoint()
     now = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct().checkpoint()
     was = state(now)
@@ -156,6 +176,18 @@ def merged_clusters(links: DataFrame, rounds: int = 100) -> DataFrame:
     return nodes.join(now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("cluster")), "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 
+def ensure_checkpoints(spark) -> None:
+    """Checkpoints go to the folder that spark.checkpoint.dir names; where it is unset, to one of our own, which only a local session may use."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tracelode-")
+    spark.sparkContext.setCheckpointDir(folder)
+
+
 def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of a DOT text, in order: nodes (id, label, is_target) and edges (src, dst, kind: du or cf)."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('\\"')), F.lit('"'))

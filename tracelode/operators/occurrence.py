@@ -107,3 +107,30 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     cols = [x for x in old.columns if x != key]
     o, n = old.alias("o"), new.alias("n")
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(F.coalesce(f"n.{key}", f"o.{key}").alias(key), *[F.coalesce(f"n.{x}", f"o.{x}").alias(x) for x in cols])
+
+
+def slice_totals(traces: DataFrame, bc_part: str | None = None) -> DataFrame:
+    """Slices and traces at every grouping: of a target in a file, of a target, of a file, and of all (null where summed over); bc_part: only files whose name contains it."""
+    own = traces if bc_part is None else traces.filter(F.col("bc").contains(bc_part))
+    per = own.select("target", "bc", "slice_id", "trace_id").distinct().groupBy("target", "bc", "slice_id").agg(F.count("*").alias("n"))
+    return per.cube("target", "bc").agg(F.count("*").alias("n_slices"), F.sum("n").alias("n_traces"))
+
+
+def function_types(definitions: DataFrame) -> DataFrame:
+    """func, type: the type of each function in the first package that defines it (definitions: pos, func, type; ties by type)."""
+    return definitions.groupBy("func").agg(F.min_by("type", F.struct("pos", "type")).alias("type"))
+
+
+def input_kind(name: Column, is_folder: Column) -> Column:
+    """What an input is taken for: a list of packages, a bitcode file, a folder of sources, or the name of a package."""
+    return F.when(name.contains(".json"), "list").when(name.contains(".bc"), "bitcode").when(is_folder, "folder").otherwise("debian")
+
+
+def build_state(n_libs: Column, n_files: Column) -> Column:
+    """The result of a build by what it left: libraries, and bitcode files in them."""
+    return F.when(n_libs == 0, "nolibs").when(n_files == 0, "nobc").otherwise("success")
+
+
+def alarms_of_points(alarms: DataFrame, points: DataFrame) -> DataFrame:
+    """Alarms (bc, slice_id, trace_id, score) with their datapoints (dp_id, target, ...), those of unknown traces left out."""
+    return alarms.join(points, ["bc", "slice_id", "trace_id"])

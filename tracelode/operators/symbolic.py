@@ -1,6 +1,7 @@
 """Symbolic execution of slices: from an IR table to rows of trace_instrs.
 
-IR rows: bc, func, block, pos, op, dst, a (JSON array of operands), loc. Operands are JSON values: a number, null,
+IR rows: bc, func, block, pos, op, dst, a (JSON array of operands), loc and, if there is one, block_no, the block's place in
+its function; without it blocks are in order of the first number in their names, then of the names. Operands are JSON values: a number, null,
 {"reg": name}, {"arg": i}, {"glob": name}, {"func": name}. Operations: alloca, load (place), store (place, value),
 gep (place, indices...), bin (name, x, y), cast (x), icmp (pred, x, y), br (block) or br (cond, then, else),
 switch (x, default, case blocks...), call (callee, arguments...), phi ([value, block]...), ret (x?), unreachable.
@@ -13,6 +14,8 @@ end. A path is dropped if its branch conditions exclude each other; what the che
 from __future__ import annotations
 
 import json
+import random
+import re
 from collections.abc import Iterator
 from copy import deepcopy
 from dataclasses import dataclass, field
@@ -33,6 +36,7 @@ class Limits:
     instrs: int = 5000
     work: int = 50
     depth: int = 8
+    seed: int | None = None  # of a random choice among pending states, else the latest
 
 
 def text(v: Any) -> str:
@@ -117,7 +121,10 @@ class Slice:
 
     def __init__(self, ir: dict[str, dict[str, list]], entry: str, target: str, limits: Limits, check: bool = True) -> None:
         self.ir, self.entry, self.target, self.limits, self.check = ir, entry, target, limits, check
-        self.first = {f: min(blocks) for f, blocks in ir.items()}
+        # Blocks are numbered in the order in which the function lists them; the first is its entry.
+        self.number = {f: {b: i for i, b in enumerate(blocks)} for f, blocks in ir.items()}
+        self.first = {f: next(iter(blocks)) for f, blocks in ir.items()}
+        self.rng = None if limits.seed is None else random.Random(limits.seed)
         self.work: list[State] = []
 
     def value(self, s: State, v: Any) -> Any:
@@ -139,6 +146,9 @@ class Slice:
         self.work = [State([Frame(self.entry, self.first[self.entry])])]
         seen, found, explored = set(), 0, 0
         while self.work and found < self.limits.traces and explored < self.limits.explored:
+            if self.rng is not None:
+                k = self.rng.randrange(len(self.work))
+                self.work[k], self.work[-1] = self.work[-1], self.work[k]
             s, explored = self.work.pop(), explored + 1
             if self.run(s) != "returned" or s.target is None or self.check and not satisfiable(s.conditions):
                 continue
@@ -165,7 +175,7 @@ class Slice:
         f.before, f.block, f.pos = f.block, block, 0
 
     def back(self, f: Frame, block: str) -> bool:
-        return block <= f.block
+        return self.number[f.func].get(block, -1) <= self.number[f.func][f.block]
 
     def fork(self, s: State, f: Frame, block: str, taken: Any, condition: Any = None, row: dict | None = None) -> None:
         if len(self.work) < self.limits.work:
@@ -286,7 +296,10 @@ def execute(slices: DataFrame, ir: DataFrame, limits: Limits = Limits(), check:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         program: dict[str, dict[str, list]] = {}
-        for r in rows.sort_values(["func", "block", "pos"]).itertuples():
+        if "block_no" not in rows:
+            numbers = rows["block"].map(lambda b: int(m[0]) if (m := re.search(r"\d+", b)) else -1)
+            rows = rows.assign(block_no=numbers)
+        for r in rows.sort_values(["func", "block_no", "block", "pos"]).itertuples():
             program.setdefault(r.func, {}).setdefault(r.block, []).append({"op": r.op, "dst": r.dst, "a": json.loads(r.a), "loc": r.loc})
         head, out = rows.iloc[0], []
         if head["entry"] in program:

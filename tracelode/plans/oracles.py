@@ -8,12 +8,9 @@ BASE = {
     "occ": "SELECT 'nation_' || s_nationkey AS bc, p_brand AS func, count(*)::BIGINT AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
     "pkg": """SELECT r_name AS name, r_regionkey % 2 = 0 AS fetched, CASE r_regionkey % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'nobc' ELSE 'notbuilt' END AS build_result, list(n_name ORDER BY n_nationkey) AS libs
       FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name, r_regionkey""",
-    "calls": "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_partkey <= 20",
-    "ords": "SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM calls)",
-    "custs": "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM ords)",
-    "ce": """SELECT 'p' || l_orderkey || '_' || l_linenumber AS edge_id, 'order_' || l_orderkey AS caller, 'part_' || l_partkey AS callee FROM calls
-      UNION ALL SELECT 'o' || o_orderkey, 'customer_' || o_custkey, 'order_' || o_orderkey FROM ords
-      UNION ALL SELECT 'c' || c_custkey, 'nation_' || c_nationkey, 'customer_' || c_custkey FROM custs
+    "ce": """SELECT 'p' || l_orderkey || '_' || l_linenumber AS edge_id, 'order_' || l_orderkey AS caller, 'part_' || l_partkey AS callee FROM lineitem
+      UNION ALL SELECT 'o' || o_orderkey, 'customer_' || o_custkey, 'order_' || o_orderkey FROM orders
+      UNION ALL SELECT 'c' || c_custkey, 'nation_' || c_nationkey, 'customer_' || c_custkey FROM customer
       UNION ALL SELECT 'n' || n_nationkey, 'region_' || n_regionkey, 'nation_' || n_nationkey FROM nation""",
     "ev": """SELECT *, row_number() OVER (PARTITION BY user_id, week ORDER BY ts, event_id) - 1 AS idx, count(*) OVER (PARTITION BY user_id, week) - 1 AS last FROM
       (SELECT event_id, user_id, ts, event_type AS kind, (props->>'k')::INTEGER AS k, floor(date_diff('day', DATE '2024-01-01', ts::DATE) / 7)::BIGINT AS week FROM events)""",
@@ -34,7 +31,7 @@ BASE = {
     "vec": "SELECT vec_id AS dp_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings",
     "lab": "SELECT doc_id, list_filter([CASE WHEN quality = 0 THEN 'retval-alarm' END, CASE WHEN toxic = 1 THEN 'argrel-alarm' END], lambda l: l IS NOT NULL) AS labels FROM labels",
 }
-NEEDS = {"ords": ["calls"], "custs": ["calls", "ords"], "ce": ["calls", "ords", "custs"], "op": ["ev"], "ti": ["ev", "op"], "tg": ["ev", "op", "ti"], "tt": ["ev", "op", "ti", "tg"]}
+NEEDS = {"op": ["ev"], "ti": ["ev", "op"], "tg": ["ev", "op", "ti"], "tt": ["ev", "op", "ti", "tg"]}
 KEY = "target, bc, slice_id, trace_id"
 
 
@@ -67,7 +64,7 @@ O["occ_function_total"] = sql("occ", TOTAL, hit="SELECT bc, sum(n)::BIGINT AS n
 O["occ_regex_total"] = sql("occ", TOTAL, hit="SELECT bc, sum(n)::BIGINT AS n FROM occ WHERE regexp_matches(func, '^Brand#[12][0-9]') GROUP BY bc")
 O["occ_of_package"] = sql("occ", "SELECT * FROM occ WHERE bc IN (SELECT 'nation_' || n_nationkey FROM nation WHERE n_regionkey = 1)")
 O["occ_intersection"] = sql("occ", "SELECT func, bc, n FROM occ WHERE bc IN ('nation_1', 'nation_2', 'nation_3') QUALIFY count(*) OVER (PARTITION BY func) = 3")
-O["occ_call_sites"] = sql("ce", "SELECT f AS func, (SELECT count(*) FROM ce WHERE callee = f)::BIGINT AS n FROM (SELECT caller AS f FROM ce UNION SELECT callee FROM ce)")
+O["occ_call_sites"] = sql("ce", "SELECT f AS func, count(callee)::BIGINT AS n FROM (SELECT caller AS f FROM ce UNION SELECT callee FROM ce) LEFT JOIN ce ON callee = f GROUP BY f")
 O["occ_entries_depth1"] = sql("ce", "SELECT callee, sum(coalesce(up, 1))::BIGINT AS n FROM ce LEFT JOIN (SELECT callee AS caller, count(DISTINCT caller) AS up FROM ce GROUP BY callee) USING (caller) GROUP BY callee")
 O["bc_substring_lookup"] = sql("occ", "SELECT part, min(bc) AS bc FROM occ JOIN (VALUES ('_1'), ('_2'), ('zzz')) AS w(part) ON contains(bc, part) GROUP BY part")
 O["count_slices"] = sql("ti", "SELECT target, bc, count(DISTINCT slice_id)::BIGINT AS n_slices, count(DISTINCT (slice_id, trace_id))::BIGINT AS n_traces FROM ti GROUP BY target, bc")
@@ -118,11 +115,11 @@ false AS is_arg, false AS is_constant, false AS is_global, false AS is_alloca FR
 EXISTS (FROM tt b WHERE b.target = a.target AND b.bc = a.bc AND b.slice_id = a.slice_id AND b.trace_id = a.trace_id AND b.op = 'CondBr' AND b.idx BETWEEN a.idx + 1 AND a.idx + 5 AND b.cond = a.res AND (a.pred = 'EQ') = (b.br = 'Then')) AS y,
 EXISTS (FROM tt b WHERE b.target = a.target AND b.bc = a.bc AND b.slice_id = a.slice_id AND b.trace_id = a.trace_id AND b.op = 'CondBr' AND b.idx BETWEEN a.idx + 1 AND a.idx + 5 AND b.cond = a.res AND (a.pred = 'EQ') <> (b.br = 'Then')) AS n FROM tt a) GROUP BY ALL"""
 O["feat_arg_pre_0"] = sql("tt", PRE)
-O["feat_arg_post_0"] = sql("tt", f"""SELECT {KEY}, {any_("idx > t AND (op = 'Call' AND list_contains(args, targs[1]) OR op IN ('ICmp', 'Bin') AND (op0 = targs[1] OR op1 = targs[1]) OR op IN ('Store', 'Load') AND (mem = targs[1] OR child))")} AS used,
+O["feat_arg_post_0"] = sql("tt", f"""SELECT {KEY}, {any_("idx > t AND (op = 'Call' AND list_contains(args, targs[1]) OR op IN ('ICmp', 'Bin') AND (op0 = targs[1] OR op1 = targs[1]) OR op IN ('Store', 'Load') AND mem = targs[1] OR child AND (op = 'Load' OR op = 'Store' AND val <> targs[1]))")} AS used,
 {any_("idx > t AND op = 'Call' AND list_contains(args, targs[1])")} AS used_in_call, {any_("idx > t AND op = 'Bin' AND (op0 = targs[1] OR op1 = targs[1])")} AS used_in_bin, {any_("idx > t AND op = 'ICmp' AND (op0 = targs[1] OR op1 = targs[1])")} AS used_in_check,
-{any_("idx > t AND op IN ('Store', 'Load') AND (mem = targs[1] OR child)")} AS derefed, {any_("idx > t AND op = 'Ret' AND idx = last_idx AND op0 = targs[1]")} AS returned, {any_("idx > t AND op = 'Ret' AND idx = last_idx AND op0 <> targs[1] AND kept")} AS indir_returned FROM x GROUP BY ALL""",
+{any_("idx > t AND (op IN ('Store', 'Load') AND mem = targs[1] OR child AND (op = 'Load' OR op = 'Store' AND val <> targs[1]))")} AS derefed, {any_("idx > t AND op = 'Ret' AND idx = last_idx AND op0 = targs[1]")} AS returned, {any_("idx > t AND op = 'Ret' AND idx = last_idx AND op0 <> targs[1] AND kept")} AS indir_returned FROM x GROUP BY ALL""",
     x="""SELECT a.*, EXISTS (FROM tt b WHERE b.target = a.target AND b.bc = a.bc AND b.slice_id = a.slice_id AND b.trace_id = a.trace_id AND b.idx > b.t AND b.idx < a.idx AND b.op = 'GEP' AND b.mem = b.targs[1] AND b.res = a.mem) AS child,
-EXISTS (FROM tt b WHERE b.target = a.target AND b.bc = a.bc AND b.slice_id = a.slice_id AND b.trace_id = a.trace_id AND b.idx > b.t AND b.idx < a.idx AND b.op = 'Store' AND b.val = b.targs[1] AND b.mem = a.op0) AS kept FROM tt a""")
+EXISTS (FROM tt b WHERE b.target = a.target AND b.bc = a.bc AND b.slice_id = a.slice_id AND b.trace_id = a.trace_id AND b.idx > b.t AND b.idx < a.idx AND b.op = 'Store' AND b.val = b.targs[1] AND b.mem <> b.targs[1] AND b.mem = a.op0) AS kept FROM tt a""")
 DICT = "SELECT target, func, sum(c / n) AS weight FROM (SELECT target, bc, slice_id, func, count(DISTINCT trace_id) AS c FROM tt WHERE op = 'Call' GROUP BY ALL) JOIN (SELECT target, bc, slice_id, count(DISTINCT trace_id) AS n FROM tt GROUP BY ALL) USING (target, bc, slice_id) GROUP BY target, func"
 O["causality_dictionary"] = sql("tt", "SELECT target, func, round(weight, 6) AS weight FROM di", di=DICT)
 TOP = "SELECT target, func, row_number() OVER (PARTITION BY target ORDER BY round(weight, 9) DESC, func)::INTEGER AS rank FROM di QUALIFY rank <= 5"
@@ -162,10 +159,21 @@ O["checker_stats"] = sql("tt", "SELECT * FROM st", rv=RETVAL, st=STATS)
 O["checker_scores"] = sql("tt", f"SELECT {KEY}, result, round(1 - n / total, 6) AS score FROM rv JOIN st USING (target, result)", rv=RETVAL, st=STATS)
 O["checker_bugs"] = sql("tt", f"SELECT {KEY}, result, round(1 - n / total, 6) AS score FROM rv JOIN st USING (target, result) WHERE result <> 'NoCheck' AND 1 - n / total > 0.9", rv=RETVAL, st=STATS)
 O["checker_causality"] = sql("tt", f"SELECT {KEY}, func, CASE WHEN invoked THEN 'Causing ' || func ELSE 'None' END AS result FROM un", **_causality(True))
-O["checker_branches"] = sql("tt", f"""SELECT i.target, i.bc, i.slice_id, i.trace_id, i.idx, CASE WHEN NOT (i.op0 = i.r OR i.op1 = i.r) THEN 'CheckedOtherVar' WHEN coalesce({number("i.op0")}, {number("i.op1")}) IS NULL THEN 'CheckedAgainstVar'
+BRANCHES = f"""SELECT i.target, i.bc, i.slice_id, i.trace_id, i.idx, CASE WHEN NOT (i.op0 = i.r OR i.op1 = i.r) THEN 'CheckedOtherVar' WHEN coalesce({number("i.op0")}, {number("i.op1")}) IS NULL THEN 'CheckedAgainstVar'
 ELSE 'Checked(' || i.pred || ',' || coalesce({number("i.op0")}, {number("i.op1")}) || ',' || coalesce(min_by(b.br, b.idx), '-') || ',' || CASE WHEN min(b.idx) = i.idx + 1 THEN 'now' ELSE 'later' END || ')' END AS result
-FROM tt i LEFT JOIN tt b ON b.target = i.target AND b.bc = i.bc AND b.slice_id = i.slice_id AND b.trace_id = i.trace_id AND b.op = 'CondBr' AND b.cond = i.res AND b.idx BETWEEN i.idx + 1 AND i.idx + 5 WHERE i.op = 'ICmp' AND i.idx > i.t GROUP BY i.target, i.bc, i.slice_id, i.trace_id, i.idx, i.op0, i.op1, i.r, i.pred""")
-O["fopen_rule"] = sql("tt", f"SELECT {KEY}, CASE WHEN checked AND closed OR NOT checked AND NOT wrote THEN 'Ok' ELSE 'Alarm' END AS verdict FROM (SELECT {KEY}, {any_('idx > t AND op = ' + chr(39) + 'ICmp' + chr(39) + ' AND (op0 = r OR op1 = r)')} AS checked, {any_('idx > t AND func = ' + chr(39) + 'f1' + chr(39))} AS closed, {any_('idx > t AND func = ' + chr(39) + 'f2' + chr(39))} AS wrote FROM tt GROUP BY ALL)")
+FROM tt i LEFT JOIN tt b ON b.target = i.target AND b.bc = i.bc AND b.slice_id = i.slice_id AND b.trace_id = i.trace_id AND b.op = 'CondBr' AND b.cond = i.res AND b.idx BETWEEN i.idx + 1 AND i.idx + 5 WHERE i.op = 'ICmp' AND i.idx > i.t GROUP BY i.target, i.bc, i.slice_id, i.trace_id, i.idx, i.op0, i.op1, i.r, i.pred"""
+O["checker_branches"] = sql("tt", BRANCHES)
+O["fopen_rule"] = sql("tt", f"""SELECT {KEY}, CASE WHEN first IN ('Checked(EQ,0,Then,now)', 'Checked(NE,0,Else,now)') AND NOT closed AND NOT wrote OR first IN ('Checked(EQ,0,Else,now)', 'Checked(NE,0,Then,now)') AND closed THEN 'Ok' ELSE 'Alarm' END AS verdict
+FROM (SELECT {KEY}, {any_("idx > t AND func = 'f1'")} AS closed, {any_("idx > t AND func = 'f2'")} AS wrote FROM tt GROUP BY ALL) LEFT JOIN (SELECT {KEY}, min_by(result, idx) AS first FROM cb GROUP BY ALL) USING ({KEY})""", cb=BRANCHES)
+O["filter_opens_file"] = "SELECT event_id, event_id % 5 IN (0, 1) AS opens FROM events"
+O["count_all_groupings"] = sql("ti", "SELECT target, bc, count(DISTINCT (bc, slice_id))::BIGINT AS n_slices, count(DISTINCT (bc, slice_id, trace_id))::BIGINT AS n_traces FROM ti WHERE contains(bc, 'kg') GROUP BY CUBE (target, bc)")
+O["function_types"] = "SELECT p_brand AS func, p_type AS type FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, p_type) = 1"
+O["input_kinds"] = """SELECT n_nationkey::BIGINT AS id, n_name || ['.json', '.bc', '', '/src'][n_nationkey % 4 + 1] AS name, ['list', 'bitcode', 'debian', 'folder'][n_nationkey % 4 + 1] AS kind,
+CASE WHEN n_nationkey % 3 = 0 THEN 'nolibs' WHEN n_regionkey % 2 = 0 THEN 'nobc' ELSE 'success' END AS state FROM nation"""
+O["feature_fields"] = "SELECT event_id, (props->>'k')::BIGINT AS k, true AS has_none, false AS has_arg, true AS in_group, true AS not_in_group FROM events"
+O["legacy_metadata"] = sql("ti", """SELECT target, count(*)::BIGINT AS explored, count_if(nth > 1)::BIGINT AS duplicated, count_if(NOT hit)::BIGINT AS rejected, sum(n)::BIGINT AS nodes, sum(n - 1)::BIGINT AS edges, round(avg(n), 6) AS avg_nodes, round(avg(n - 1), 6) AS avg_edges
+FROM (SELECT *, row_number() OVER (PARTITION BY target, bc, slice_id, seq ORDER BY trace_id) AS nth FROM pt) GROUP BY target""", pt=f"SELECT {KEY}, bool_or(is_target) AS hit, count(*) AS n, string_agg(op, '>' ORDER BY idx) AS seq FROM ti GROUP BY ALL")
+O["batch_counts"] = sql("ti", "SELECT bc AS target, count(DISTINCT slice_id)::BIGINT AS n FROM ti GROUP BY bc UNION ALL SELECT NULL, count(DISTINCT (bc, slice_id)) FROM ti")
 O["spec_match"] = sql("tt", f"SELECT {KEY}, NOT (checked OR br_eq_zero) AS is_alarm FROM rc", br=BRANCH, rc=RETCHK)
 O["arg_relation"] = sql("ti", f"SELECT DISTINCT a.target, a.bc, a.slice_id, a.trace_id, a.i, b.i AS j FROM ar a JOIN ar b USING (target, bc, slice_id, trace_id, s) WHERE a.i <> b.i",
     ar=f"SELECT {KEY}, 0::INTEGER AS i, 's' || k % 10 AS s FROM ti WHERE is_target UNION ALL SELECT {KEY}, 1, 's' || k % 5 FROM ti WHERE is_target UNION ALL SELECT {KEY}, 2, 's' || k % 3 FROM ti WHERE is_target UNION ALL SELECT {KEY}, 2, 'c' || k % 4 FROM ti WHERE is_target")
@@ -175,9 +183,9 @@ O["reaching_def"] = sql("ti", f"SELECT b.target, b.bc, b.slice_id, b.trace_id, b
 O["global_use_chain"] = sql("ti", f"SELECT {KEY}, mem AS place, idx, prev_idx FROM (SELECT *, lag(idx) OVER (PARTITION BY {KEY}, mem ORDER BY idx) AS prev_idx FROM ti WHERE mem IS NOT NULL) WHERE prev_idx IS NOT NULL")
 O["syntactic_use"] = sql("ti", f"SELECT {KEY}, b.idx, b.cond AS operand, i.idx AS def_idx FROM ti b JOIN ti i USING (target, bc, slice_id, trace_id) WHERE b.op = 'CondBr' AND i.op = 'ICmp' AND b.cond = i.res")
 O["control_edges"] = sql("ti", f"SELECT {KEY}, (idx - 1)::INTEGER AS src, idx AS dst FROM ti WHERE idx > 0")
-O["dugraph_reduce"] = sql("ti", f"SELECT {KEY}, id FROM n2 UNION SELECT {KEY}, idx FROM ti WHERE op = 'CondBr'",
+O["dugraph_reduce"] = sql("ti", f"SELECT {KEY}, id FROM n2 UNION SELECT {KEY}, idx::BIGINT FROM ti WHERE op = 'CondBr'",
     rd=f"SELECT b.target, b.bc, b.slice_id, b.trace_id, b.idx AS x, max(i.idx) AS y FROM ti b JOIN ti i USING (target, bc, slice_id, trace_id) WHERE b.op = 'Load' AND i.op = 'Store' AND b.mem = i.mem AND i.idx < b.idx GROUP BY ALL UNION SELECT {KEY}, idx, lag(idx) OVER (PARTITION BY {KEY}, coalesce(mem, args[1]) ORDER BY idx) FROM ti WHERE coalesce(mem, args[1]) IS NOT NULL",
-    du=f"SELECT {KEY}, x, y FROM rd WHERE y IS NOT NULL UNION SELECT {KEY}, y, x FROM rd WHERE y IS NOT NULL", n0=f"SELECT {KEY}, idx AS id FROM ti WHERE is_target", n1=f"SELECT {KEY}, id FROM n0 UNION SELECT {KEY}, y FROM n0 JOIN du USING (target, bc, slice_id, trace_id) WHERE x = id", n2=f"SELECT {KEY}, id FROM n1 UNION SELECT {KEY}, y FROM n1 JOIN du USING (target, bc, slice_id, trace_id) WHERE x = id")
+    du=f"SELECT {KEY}, x, y FROM rd WHERE y IS NOT NULL UNION SELECT {KEY}, y, x FROM rd WHERE y IS NOT NULL", n2=f"SELECT {KEY}, idx::BIGINT AS id FROM ti WHERE is_target UNION SELECT {KEY}, y::BIGINT FROM n2 JOIN du USING (target, bc, slice_id, trace_id) WHERE x = id")
 O["dugraph_relinked"] = sql("ti", f"SELECT * FROM (SELECT {KEY}, idx AS src, lead(idx) OVER (PARTITION BY {KEY} ORDER BY idx) AS dst FROM ti WHERE op IN ('Call', 'CondBr')) WHERE dst IS NOT NULL")
 O["block_trace_dedupe"] = sql("ti", "SELECT target, bc, slice_id, seq, min(trace_id) AS trace_id, count(*)::BIGINT AS n_same FROM sq GROUP BY target, bc, slice_id, seq", sq=f"SELECT {KEY}, string_agg(op, '>' ORDER BY idx) AS seq FROM (SELECT *, lag(op) OVER (PARTITION BY {KEY} ORDER BY idx) AS was FROM ti) WHERE was IS DISTINCT FROM op GROUP BY ALL")
 O["whole_slice_band"] = sql("ti", "SELECT c.dp_id AS chosen, p.dp_id FROM pt c JOIN pt p USING (bc, slice_id) WHERE c.dp_id % 40 = 0 AND p.dp_id BETWEEN c.dp_id - 50 AND c.dp_id + 49", pt=f"SELECT row_number() OVER (ORDER BY bc, target, slice_id, trace_id) - 1 AS dp_id, bc, slice_id FROM (SELECT DISTINCT {KEY} FROM ti)")
@@ -187,14 +195,15 @@ O["batch_offsets"] = sql("ti", "SELECT target, slice_id, ((row_number() OVER (OR
 
 O["target_edges"] = sql("ce", "SELECT * FROM ce WHERE regexp_matches(callee, '^part_[0-9]$')")
 UP = "SELECT DISTINCT callee AS f, caller AS up FROM ce"
-O["entries_bounded"] = sql("ce", "SELECT DISTINCT target, f AS entry FROM walk WHERE d = 2", up=UP, walk="SELECT callee AS target, caller AS f, 0 AS d FROM ce WHERE starts_with(callee, 'part_') UNION SELECT target, coalesce(u.up, w.f), d + 1 FROM walk w LEFT JOIN up u ON u.f = w.f WHERE d < 2")
-O["slices_of_edges"] = sql("ce", "SELECT target, edge_id, caller, entry, (row_number() OVER (PARTITION BY target ORDER BY edge_id, entry) - 1)::INTEGER AS slice_id FROM (SELECT DISTINCT callee AS target, edge_id, caller, coalesce(u.up, caller) AS entry FROM ce LEFT JOIN up u ON u.f = caller WHERE starts_with(callee, 'part_'))", up=UP)
-ENT = "SELECT DISTINCT c.callee AS target, coalesce(u.up, c.caller) AS entry FROM ce c LEFT JOIN up u ON u.f = c.caller WHERE starts_with(c.callee, 'part_')"
+O["entries_bounded"] = sql("ce", "SELECT DISTINCT target, f AS entry FROM walk WHERE d = 2", up=UP, walk="SELECT callee AS target, caller AS f, 0 AS d FROM ce WHERE regexp_matches(callee, '^part_([0-9]|1[0-9]|20)$') UNION SELECT target, coalesce(u.up, w.f), d + 1 FROM walk w LEFT JOIN up u ON u.f = w.f WHERE d < 2")
+O["slices_of_edges"] = sql("ce", "SELECT target, edge_id, caller, entry, (row_number() OVER (PARTITION BY target ORDER BY edge_id, entry) - 1)::INTEGER AS slice_id FROM (SELECT DISTINCT callee AS target, edge_id, caller, coalesce(u.up, caller) AS entry FROM ce LEFT JOIN up u ON u.f = caller WHERE regexp_matches(callee, '^part_([0-9]|1[0-9]|20)$'))", up=UP)
+ENT = "SELECT DISTINCT c.callee AS target, coalesce(u.up, c.caller) AS entry FROM ce c LEFT JOIN up u ON u.f = c.caller WHERE regexp_matches(c.callee, '^part_([0-9]|1[0-9]|20)$')"
 MEMBERS = "SELECT target, entry, entry AS func, 0 AS d FROM en UNION SELECT m.target, m.entry, c.callee, d + 1 FROM mem m JOIN ce c ON c.caller = m.func WHERE d < 2 AND c.callee <> m.target"
 O["slice_functions"] = sql("ce", "SELECT DISTINCT target, entry, func FROM mem", up=UP, en=ENT, mem=MEMBERS)
-O["slice_reduce"] = sql("ce", "SELECT DISTINCT m.target, m.entry, m.func FROM mem m WHERE EXISTS (FROM good g WHERE g.target = m.target AND g.entry = m.entry AND g.func = m.func)", up=UP, en=ENT, mem=MEMBERS, good="SELECT target, entry, func, 0 AS h FROM mem WHERE suffix(func, '7') UNION SELECT g.target, g.entry, c.caller, h + 1 FROM good g JOIN ce c ON c.callee = g.func WHERE h < 2")
+O["slice_reduce"] = sql("ce", "SELECT DISTINCT m.target, m.entry, m.func FROM mem m SEMI JOIN good g ON g.target = m.target AND g.entry = m.entry AND g.func = m.func", up=UP, en=ENT, mem=MEMBERS, good="SELECT target, entry, func, 0 AS h FROM mem WHERE suffix(func, '7') UNION SELECT g.target, g.entry, c.caller, h + 1 FROM good g JOIN ce c ON c.callee = g.func WHERE h < 2")
+O["slice_reduce_structs"] = sql("ce", "SELECT DISTINCT m.target, m.entry, m.func FROM mem m SEMI JOIN good g ON g.target = m.target AND g.entry = m.entry AND g.func = m.func", up=UP, en=ENT, mem=MEMBERS, good="SELECT target, entry, func, 0 AS h FROM mem WHERE regexp_extract(func, '([0-9]+)$', 1)::BIGINT % 7 = regexp_extract(target, '([0-9]+)$', 1)::BIGINT % 7 UNION SELECT g.target, g.entry, c.caller, h + 1 FROM good g JOIN ce c ON c.callee = g.func WHERE h < 2")
 O["simple_paths"] = sql("ce", "SELECT split_part(path, '>', 1) AS start, node AS stop, path FROM pa WHERE node IN ('part_1', 'part_2', 'part_3')", st="SELECT DISTINCT caller, callee FROM ce", pa="SELECT DISTINCT caller AS node, caller AS path, 0 AS d FROM ce WHERE starts_with(caller, 'nation') UNION ALL SELECT callee, path || '>' || callee, d + 1 FROM pa JOIN st ON caller = node WHERE d < 3")
-O["function_traces"] = sql("ce", "SELECT DISTINCT u.up AS start, c.caller AS stop, u.up || '>' || c.caller AS path FROM ce c JOIN up u ON u.f = c.caller WHERE starts_with(c.callee, 'part_')", up=UP)
+O["function_traces"] = sql("ce", "SELECT DISTINCT u.up AS start, c.caller AS stop, u.up || '>' || c.caller AS path FROM ce c JOIN up u ON u.f = c.caller WHERE regexp_matches(c.callee, '^part_([0-9]|1[0-9]|20)$')", up=UP)
 O["cartesian_choices"] = "SELECT 'k' AS key, a.n_name || '|' || b.n_name || '|' || c.n_name AS choice FROM nation a, nation b, nation c WHERE a.n_regionkey = 0 AND b.n_regionkey = 1 AND c.n_regionkey = 2"
 O["merged_clusters"] = "WITH c AS (SELECT n_nationkey, n_regionkey, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS m FROM nation) SELECT n_nationkey::BIGINT AS node, m::BIGINT AS cluster FROM c UNION SELECT n_regionkey + 100, m FROM c"
 O["dot_export"] = sql("ti", """SELECT idx || ' [label="' || op || '"' || CASE WHEN is_target THEN ', style=filled, fillcolor=blue, fontcolor=white' ELSE '' END || '];' AS line FROM ti WHERE slice_id = 1 AND trace_id = 0 UNION ALL SELECT idx - 1 || ' -> ' || idx || ' [color=black];' FROM ti WHERE slice_id = 1 AND trace_id = 0 AND idx > 0""")

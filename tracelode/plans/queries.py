@@ -343,6 +343,66 @@ def fopen_rule(s: SparkSession, d: str) -> DataFrame:
     return checkers.fopen_rule(rel.trace_instrs(s, d), "f1", "f2")
 
 
+@query
+def filter_opens_file(s: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, ["fopen", "my_fopen64", "open", "a\nfopen", "freopen"])), (F.col("event_id") % 5).cast("int") + 1)
+    return rel.table(s, d, "events").select("event_id", filters.opens_file(name).alias("opens"))
+
+
+@query
+def count_all_groupings(s: SparkSession, d: str) -> DataFrame:
+    return occurrence.slice_totals(rel.trace_instrs(s, d), "kg")
+
+
+@query
+def function_types(s: SparkSession, d: str) -> DataFrame:
+    return occurrence.function_types(rel.table(s, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("func"), F.col("p_type").alias("type")))
+
+
+@query
+def input_kinds(s: SparkSession, d: str) -> DataFrame:
+    n = rel.table(s, d, "nation")
+    name = F.concat("n_name", F.element_at(F.array(*map(F.lit, [".json", ".bc", "", "/src"])), (F.col("n_nationkey") % 4).cast("int") + 1))
+    return n.select(F.col("n_nationkey").cast("long").alias("id"), name.alias("name"), occurrence.input_kind(name, name.endswith("/src")).alias("kind"), occurrence.build_state(F.col("n_nationkey") % 3, F.col("n_regionkey") % 2).alias("state"))
+
+
+@query
+def alarms_of_points(s: SparkSession, d: str) -> DataFrame:
+    shape = features.shape(rel.trace_instrs(s, d))
+    alarms = shape.filter("n_before > n_after").select("bc", "slice_id", "trace_id", (F.col("n_after") - F.col("n_before")).cast("double").alias("score"))
+    return occurrence.alarms_of_points(alarms, vectors.numbered(rel.trace_instrs(s, d).select(*KEY).distinct())).select("dp_id", "target", "bc", "slice_id", "trace_id", "score")
+
+
+@query
+def feature_fields(s: SparkSession, d: str) -> DataFrame:
+    doc = F.concat(F.lit('{"ret":{"k":'), F.get_json_object("props", "$.k"), F.lit(',"none":null},"x.y":1}'))
+    e = rel.table(s, d, "events").select("event_id", doc.alias("doc"))
+    g = v.grouped(F.col("doc"), ["ret", "arg"])
+    return e.select("event_id", v.field(F.col("doc"), "ret.k").cast("long").alias("k"), v.has_field(F.col("doc"), "ret.none").alias("has_none"), v.has_field(F.col("doc"), "arg.k").alias("has_arg"), g["ret"].isNotNull().alias("in_group"), g["arg"].isNull().alias("not_in_group"))
+
+
+@query
+def legacy_metadata(s: SparkSession, d: str) -> DataFrame:
+    out = dataflow.legacy_metadata(rel.trace_instrs(s, d))
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_nodes", "avg_edges")})
+
+
+@query
+def batch_counts(s: SparkSession, d: str) -> DataFrame:
+    slices = rel.trace_instrs(s, d).select(F.col("bc").alias("target"), "slice_id").distinct()
+    return graph.num_elements(graph.batches(slices, 7))
+
+
+@query
+def slice_reduce_structs(s: SparkSession, d: str) -> DataFrame:
+    """Functions use a struct for each residue of their number modulo 7."""
+    e = rel.call_edges(s, d)
+    members = _members(s, d)
+    names = e.select(F.col("caller").alias("func")).unionAll(e.select("callee")).distinct()
+    types = names.select("func", F.concat(F.lit("void (%struct.s"), F.regexp_extract("func", r"(\d+)$", 1).cast("long") % 7, F.lit("*, [4 x i8])")).alias("type"))
+    return graph.reduced(graph.related_by_structs(members, types), e, 2, F.col("related")).select("target", "entry", "func")
+
+
 @query
 def spec_match(s: SparkSession, d: str) -> DataFrame:
     return checkers.matches(features.ret_check(rel.trace_instrs(s, d)), "checked or br_eq_zero").select(*KEY, "is_alarm")
@@ -389,7 +449,7 @@ def dugraph_reduce(s: SparkSession, d: str) -> DataFrame:
     ti = rel.trace_instrs(s, d)
     edges = dataflow.reaching_definitions(ti).select(*KEY, F.col("def_idx").alias("src"), F.col("idx").alias("dst")).unionAll(dataflow.use_chains(ti, F.coalesce("mem", F.get("args", F.lit(0)))).select(*KEY, F.col("prev_idx").alias("src"), F.col("idx").alias("dst")))
     nodes = ti.select(*KEY, F.col("idx").alias("id"), "is_target", (F.col("op") == "CondBr").alias("keep"))
-    return dataflow.reduce_dugraph(edges, nodes, 2)
+    return dataflow.reduce_dugraph(edges, nodes)
 
 
 @query
@@ -427,8 +487,13 @@ def batch_offsets(s: SparkSession, d: str) -> DataFrame:
 # Call graphs.
 
 
+N_TARGETS = 20
+
+
 def _targets(edges: DataFrame) -> DataFrame:
-    return edges.filter(F.col("callee").startswith("part_")).select(F.col("callee").alias("target")).distinct()
+    """The functions asked about: the parts up to N_TARGETS."""
+    number = F.regexp_extract("callee", r"^part_(\d+)$", 1).try_cast("long")
+    return edges.filter(number <= N_TARGETS).select(F.col("callee").alias("target")).distinct()
 
 
 @query
@@ -488,10 +553,6 @@ def cartesian_choices(s: SparkSession, d: str) -> DataFrame:
 @query
 def merged_clusters(s: SparkSession, d: str) -> DataFrame:
     links = rel.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_regionkey") + 100).cast("long").alias("b"))
-    if not s.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracelode-"))
     return graph.merged_clusters(links)
 
 

@@ -6,6 +6,8 @@ JSON documents are read with declared schemas; what the engine writes itself is
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +116,40 @@ class Workspace:
         out = alarms.select("bc", "slice_id", "trace_id", F.lit(0.0).alias("score"), "alarms", "attempt").orderBy("attempt") if match else alarms.select("bc", "slice_id", "trace_id", "score", "alarms").orderBy("score", "bc", "slice_id", "trace_id")
         out.write.mode("overwrite").option("header", True).csv(f"{self.root}/learning/{exp}/{'match' if match else 'alarms'}.csv")
 
+    def slice_counts(self) -> DataFrame:
+        """target, n_slices: from the names of the slice files alone, which are not read."""
+        path = f"{self.root}/analysis/slices/*/*/*.json"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], "target string, n_slices long")
+        files = self.spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", r"\.json$", "").alias("_path"))
+        return files.groupBy(_part(3).alias("target")).agg(F.count("*").alias("n_slices"))
+
+    def save_occurrences(self, occurrences: DataFrame, location: str | None = None, pointer: bool = False) -> str:
+        """One JSON object {function: count} for each file, under file=<bc>[_<location>][_ptr]."""
+        name = F.concat(F.col("bc"), F.lit(f"_{location}" if location else ""), F.lit("_ptr" if pointer else ""))
+        rows = occurrences.groupBy(name.alias("file")).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("func", "n"))))).alias("value"))
+        path = f"{self.root}/analysis/occurrence_tables"
+        rows.write.mode("overwrite").partitionBy("file").text(path)
+        return path
+
+    def save_occurrence_list(self, occurrences: DataFrame, name: str) -> str:
+        """func, n over all files, most frequent first, as CSV."""
+        path = f"{self.root}/analysis/{name}.csv"
+        occurrences.groupBy("func").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "func").write.mode("overwrite").option("header", True).csv(path)
+        return path
+
+    def save_learning(self, exp: str, unified: list[str], vectors: DataFrame, model: dict, mask: list[bool] | None = None, fitness: float | None = None) -> None:
+        """What an experiment leaves: the unified feature names, the vectors, the model's parameters, and mask and fitness of a feature choice."""
+        base = f"{self.root}/learning/{exp}"
+        said = json.dumps({"unified": unified, "model": model, "mask": mask, "fitness": fitness})
+        self.spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/learned.json")
+        vectors.write.mode("overwrite").parquet(f"{base}/vectors")
+
+    def load_learning(self, exp: str) -> tuple[dict, DataFrame]:
+        """The names, model, mask and fitness that ``save_learning`` wrote, and the vectors."""
+        base = f"{self.root}/learning/{exp}"
+        return json.loads(self.spark.read.text(f"{base}/learned.json").first()["value"]), self.spark.read.parquet(f"{base}/vectors")
+
     def remove(self, name: str, target: str) -> None:
         """Drop what a table holds on a target."""
         fs, p = self._fs(f"{self.root}/tables/{name}/target={target}")
