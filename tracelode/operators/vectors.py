@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,11 +59,53 @@ def kernel_matrix(a: DataFrame, b: DataFrame, param: float = 2.0, linear: bool =
     return left.join(right).select("i", "j", k.alias("k"))
 
 
+#: Points of one chunk, and of one block that it meets.
+BLOCK = 2048
+
+
+def in_blocks(points: DataFrame, others: DataFrame, meet: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, size: int = BLOCK) -> DataFrame:
+    """What ``meet`` makes of each chunk of points with each block of others; both are dealt by hash, so a task holds about ``size`` rows of either.
+
+    Points and others have dp_id and x, arrays of one length. Null vectors take no part.
+    """
+    points, others = points.filter("x is not null"), others.filter("x is not null")
+    n_chunks, n_blocks = max(1, -(-points.count() // size)), max(1, -(-others.count() // size))
+    deal = lambda n: F.pmod(F.xxhash64("dp_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = points.withColumn("chunk", deal(n_chunks)).withColumn("block", every(n_blocks))
+    right = others.withColumn("block", deal(n_blocks)).withColumn("chunk", every(n_chunks))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
+        matrix = lambda d: np.stack(d["x"].to_numpy()).astype(float)
+        return meet(a, matrix(a), b, matrix(b))
+
+    return left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(run, schema)
+
+
+def distances2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of x from all rows of y, without the cancellation of a product form; row by row, so memory is that of the result and one difference."""
+    out = np.empty((len(x), len(y)))
+    for i, row in enumerate(x):
+        d = y - row
+        out[i] = np.einsum("ij,ij->i", d, d)
+    return out
+
+
 def kde_scores(points: DataFrame, labeled: DataFrame, bandwidth: float = 1.0) -> DataFrame:
-    """dp_id, positive and negative (mean kernels over the labelled points of either kind) and score, their difference; labeled: dp_id, x, is_alarm, what people have labelled, so few rows."""
-    lab = F.broadcast(labeled.select(F.col("x").alias("y"), "is_alarm"))
-    near = v.gaussian(v.distance2(F.col("x"), F.col("y")), bandwidth)
-    out = points.join(lab).groupBy("dp_id").agg(F.coalesce(F.avg(F.when(F.col("is_alarm"), near)), F.lit(0.0)).alias("positive"), F.coalesce(F.avg(F.when(~F.col("is_alarm"), near)), F.lit(0.0)).alias("negative"))
+    """dp_id, positive and negative (mean kernels over the labelled points of either kind) and score, their difference; labeled: dp_id, x, is_alarm. Points and labelled points meet in blocks."""
+
+    def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        near, alarm = np.exp(-distances2(x, y) / (2 * bandwidth**2)) * scale, b["is_alarm"].to_numpy(bool)
+        return pd.DataFrame({"dp_id": a["dp_id"], "p": near[:, alarm].sum(axis=1), "q": near[:, ~alarm].sum(axis=1)})
+
+    scale = 1 / (bandwidth * math.sqrt(2 * math.pi))
+    n = labeled.filter("x is not null").agg(F.count_if("is_alarm").alias("p"), F.count_if(~F.col("is_alarm")).alias("q")).first()
+    found = in_blocks(points.select("dp_id", "x"), labeled.select("dp_id", "x", "is_alarm"), meet, "dp_id long, p double, q double").groupBy("dp_id").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    none = lambda c, k: F.coalesce(F.col(c) / k if k else F.lit(0.0), F.lit(0.0))
+    out = points.select("dp_id").join(found, "dp_id", "left").select("dp_id", none("p", n["p"]).alias("positive"), none("q", n["q"]).alias("negative"))
     return out.withColumn("score", F.col("positive") - F.col("negative"))
 
 
@@ -76,17 +121,30 @@ def ranked_alarms(scores: DataFrame, limit: int | None = None, ascending: bool =
     return out if limit is None else out.limit(limit)
 
 
-def mean_distance(points: DataFrame, sample: DataFrame) -> DataFrame:
-    """The mean distance of pairs i < j, i from the sample and j from the points."""
-    s = F.broadcast(sample.select(F.col("dp_id").alias("i"), F.col("x").alias("xi")))
-    return points.join(s, F.col("i") < F.col("dp_id")).agg(F.avg(F.sqrt(v.distance2(F.col("xi"), F.col("x")))).alias("mean_distance"), F.count("*").alias("n_pairs"))
+def mean_distance(points: DataFrame) -> DataFrame:
+    """The mean distance of all pairs i < j."""
+
+    def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        pair = a["dp_id"].to_numpy()[:, None] < b["dp_id"].to_numpy()
+        return pd.DataFrame({"s": [np.sqrt(distances2(x, y))[pair].sum()], "n": [int(pair.sum())]})
+
+    p = points.select("dp_id", "x")
+    return in_blocks(p, p, meet, "s double, n long").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean_distance"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_pairs"))
 
 
 def nearest(points: DataFrame, among: DataFrame) -> DataFrame:
-    """For each point the nearest other one of ``among``, a bounded set."""
-    a = F.broadcast(among.select(F.col("dp_id").alias("other"), F.col("x").alias("y")))
-    d = v.distance2(F.col("x"), F.col("y"))
-    return points.join(a, F.col("dp_id") != F.col("other")).groupBy("dp_id").agg(F.min_by("other", F.struct(d, "other")).alias("other"), F.sqrt(F.min(d)).alias("distance"))
+    """For each point the nearest other one of ``among``, ties to the lower dp_id."""
+
+    def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(b["dp_id"].to_numpy(), kind="stable")
+        ids, d = b["dp_id"].to_numpy()[order], distances2(x, y[order])
+        d[a["dp_id"].to_numpy()[:, None] == ids] = np.inf
+        best = d.argmin(axis=1)
+        out = pd.DataFrame({"dp_id": a["dp_id"].to_numpy(), "other": ids[best], "d": d[np.arange(len(d)), best]})
+        return out[np.isfinite(out["d"])]
+
+    found = in_blocks(points.select("dp_id", "x"), among.select("dp_id", "x"), meet, "dp_id long, other long, d double")
+    return found.groupBy("dp_id").agg(F.min_by("other", F.struct("d", "other")).alias("other"), F.sqrt(F.min("d")).alias("distance"))
 
 
 def entropy(clusters: DataFrame, cluster: str = "cluster") -> DataFrame:

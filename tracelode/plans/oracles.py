@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .queries import N_POINTS
-
 BASE = {
     "occ": "SELECT 'nation_' || s_nationkey AS bc, p_brand AS func, count(*)::BIGINT AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
     "pkg": """SELECT r_name AS name, r_regionkey % 2 = 0 AS fetched, CASE r_regionkey % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'nobc' ELSE 'notbuilt' END AS build_result, list(n_name ORDER BY n_nationkey) AS libs
@@ -188,7 +186,7 @@ O["dugraph_reduce"] = sql("ti", f"SELECT {KEY}, id FROM n2 UNION SELECT {KEY}, i
     du=f"SELECT {KEY}, x, y FROM rd WHERE y IS NOT NULL UNION SELECT {KEY}, y, x FROM rd WHERE y IS NOT NULL", n2=f"SELECT {KEY}, idx::BIGINT AS id FROM ti WHERE is_target UNION SELECT {KEY}, y::BIGINT FROM n2 JOIN du USING (target, bc, slice_id, trace_id) WHERE x = id")
 O["dugraph_relinked"] = sql("ti", f"SELECT * FROM (SELECT {KEY}, idx AS src, lead(idx) OVER (PARTITION BY {KEY} ORDER BY idx) AS dst FROM ti WHERE op IN ('Call', 'CondBr')) WHERE dst IS NOT NULL")
 O["block_trace_dedupe"] = sql("ti", "SELECT target, bc, slice_id, seq, min(trace_id) AS trace_id, count(*)::BIGINT AS n_same FROM sq GROUP BY target, bc, slice_id, seq", sq=f"SELECT {KEY}, string_agg(op, '>' ORDER BY idx) AS seq FROM (SELECT *, lag(op) OVER (PARTITION BY {KEY} ORDER BY idx) AS was FROM ti) WHERE was IS DISTINCT FROM op GROUP BY ALL")
-O["whole_slice_band"] = sql("ti", "SELECT c.dp_id AS chosen, p.dp_id FROM pt c JOIN pt p USING (bc, slice_id) WHERE c.dp_id % 40 = 0 AND p.dp_id BETWEEN c.dp_id - 50 AND c.dp_id + 49", pt=f"SELECT row_number() OVER (ORDER BY bc, target, slice_id, trace_id) - 1 AS dp_id, bc, slice_id FROM (SELECT DISTINCT {KEY} FROM ti)")
+O["whole_slice_band"] = sql("ti", "SELECT c.dp_id AS chosen, p.dp_id FROM pt c JOIN pt p USING (bc, slice_id) WHERE c.dp_id IN (SELECT min(dp_id) FROM pt GROUP BY bc, slice_id) AND p.dp_id BETWEEN c.dp_id - 50 AND c.dp_id + 49", pt=f"SELECT row_number() OVER (ORDER BY bc, target, slice_id, trace_id) - 1 AS dp_id, bc, slice_id FROM (SELECT DISTINCT {KEY} FROM ti)")
 O["exec_metadata"] = sql("ti", "SELECT target, bc, count(*)::BIGINT AS explored, count_if(NOT hit)::BIGINT AS no_target, count_if(hit AND f = 'Ret')::BIGINT AS proper, count_if(hit AND f <> 'Ret')::BIGINT AS cut, sum(n)::BIGINT AS nodes FROM pt GROUP BY target, bc", pt=f"SELECT {KEY}, bool_or(is_target) AS hit, arg_max(op, idx) AS f, count(*) AS n FROM ti GROUP BY ALL")
 O["capped_traces"] = sql("ti", f"SELECT {KEY} FROM (SELECT DISTINCT {KEY} FROM ti) QUALIFY row_number() OVER (PARTITION BY target, bc, slice_id ORDER BY trace_id) <= 3")
 O["batch_offsets"] = sql("ti", "SELECT target, slice_id, ((row_number() OVER (ORDER BY target, slice_id) - 1) // 7)::BIGINT AS batch FROM (SELECT DISTINCT bc AS target, slice_id FROM ti)")
@@ -209,18 +207,18 @@ O["merged_clusters"] = "WITH c AS (SELECT n_nationkey, n_regionkey, min(n_nation
 O["dot_export"] = sql("ti", """SELECT idx || ' [label="' || op || '"' || CASE WHEN is_target THEN ', style=filled, fillcolor=blue, fontcolor=white' ELSE '' END || '];' AS line FROM ti WHERE slice_id = 1 AND trace_id = 0 UNION ALL SELECT idx - 1 || ' -> ' || idx || ' [color=black];' FROM ti WHERE slice_id = 1 AND trace_id = 0 AND idx > 0""")
 
 D2 = "list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) ** 2))"
-LABELED = f"SELECT dp_id, x, label = 0 AS is_alarm FROM vec WHERE label IN (0, 1) AND dp_id < {N_POINTS}"
+LABELED = f"SELECT dp_id, x, label = 0 AS is_alarm FROM vec WHERE label IN (0, 1)"
 KDE = f"SELECT a.dp_id, coalesce(avg(CASE WHEN is_alarm THEN k END), 0) AS pos, coalesce(avg(CASE WHEN NOT is_alarm THEN k END), 0) AS neg FROM (SELECT a.dp_id, is_alarm, exp(-{D2} / 2) / sqrt(2 * pi()) AS k FROM vec a, la b) a GROUP BY a.dp_id"
 O["kde_score"] = sql("vec", "SELECT dp_id, round(pos, 6) + 0.0::DOUBLE AS positive, round(neg, 6) + 0.0::DOUBLE AS negative, round(pos - neg, 6) + 0.0::DOUBLE AS score FROM kd", la=LABELED, kd=KDE)
 O["kde_log_score"] = sql("vec", "SELECT dp_id, round(ln(greatest(pos, 1e-300)) - ln(greatest(neg, 1e-300)), 6) + 0.0::DOUBLE AS score FROM kd", la=LABELED, kd=KDE)
 O["kde_alarms"] = sql("vec", "SELECT dp_id FROM kd ORDER BY round(pos - neg, 6) DESC, dp_id LIMIT 25", la=LABELED, kd=KDE)
 O["feedback_stream_scores"] = sql("vec", "SELECT dp_id, round(pos - neg, 6) + 0.0::DOUBLE AS score FROM kd", la=LABELED, kd=KDE)
-O["pairwise_mean_distance"] = sql("vec", f"SELECT round(avg(sqrt({D2})), 6) AS mean_distance, count(*)::BIGINT AS n_pairs FROM vec a JOIN vec b ON a.dp_id < b.dp_id AND a.dp_id < {N_POINTS}")
-O["rbf_kernel"] = sql("vec", f"SELECT a.dp_id AS i, b.dp_id AS j, round(exp(-{D2} / 2), 6) AS k FROM vec a, vec b WHERE a.dp_id < 20")
-O["linear_kernel"] = sql("vec", "SELECT a.dp_id AS i, b.dp_id AS j, round(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])), 6) + 0.0::DOUBLE AS k FROM vec a, vec b WHERE a.dp_id < 20")
-O["nearest_neighbour"] = sql("vec", f"SELECT dp_id, other, round(sqrt(d), 6) AS distance FROM (SELECT b.dp_id, a.dp_id AS other, {D2} AS d FROM vec a, vec b WHERE a.dp_id < {N_POINTS} AND a.dp_id <> b.dp_id) QUALIFY row_number() OVER (PARTITION BY dp_id ORDER BY d, other) = 1")
+O["pairwise_mean_distance"] = sql("vec", f"SELECT round(avg(sqrt({D2})), 6) AS mean_distance, count(*)::BIGINT AS n_pairs FROM vec a JOIN vec b ON a.dp_id < b.dp_id")
+O["rbf_kernel"] = sql("vec", f"SELECT a.dp_id AS i, b.dp_id AS j, round(exp(-{D2} / 2), 6) AS k FROM vec a, vec b WHERE a.dp_id IN (SELECT min(dp_id) FROM vec GROUP BY label)")
+O["linear_kernel"] = sql("vec", "SELECT a.dp_id AS i, b.dp_id AS j, round(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])), 6) + 0.0::DOUBLE AS k FROM vec a, vec b WHERE a.dp_id IN (SELECT min(dp_id) FROM vec GROUP BY label)")
+O["nearest_neighbour"] = sql("vec", f"SELECT dp_id, other, round(sqrt(d), 6) AS distance FROM (SELECT b.dp_id, a.dp_id AS other, {D2} AS d FROM vec a, vec b WHERE a.dp_id <> b.dp_id) QUALIFY row_number() OVER (PARTITION BY dp_id ORDER BY d, other) = 1")
 O["cluster_entropy"] = sql("vec", "SELECT round(-sum(n / t * ln(n / t)), 6) AS entropy FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM vec GROUP BY label)")
-O["unlabeled_pool"] = sql("vec", f"SELECT dp_id, label FROM vec WHERE NOT (label IN (0, 1) AND dp_id < {N_POINTS})")
+O["unlabeled_pool"] = sql("vec", f"SELECT dp_id, label FROM vec WHERE NOT (label IN (0, 1))")
 O["mark_first_bug"] = sql("ti", f"SELECT DISTINCT {KEY} FROM ti WHERE contains(bc, 'kg1') AND slice_id = 4")
 CURVE = "SELECT 0::INTEGER AS attempt, 0::BIGINT AS tp, 1::BIGINT AS fp UNION ALL SELECT row_number() OVER (ORDER BY doc_id)::INTEGER, sum((toxic = 1)::INT) OVER (ORDER BY doc_id)::BIGINT, (1 + sum((toxic <> 1)::INT) OVER (ORDER BY doc_id))::BIGINT FROM labels"
 O["auc_curve"] = sql("", "SELECT * FROM cu", cu=CURVE)
@@ -230,7 +228,7 @@ O["accuracy"] = "SELECT round(avg(((quality = 0) = (toxic = 1))::INT), 6) AS acc
 O["alarms_brief"] = sql("tt", "SELECT bc, slice_id, count(*)::BIGINT AS num_traces, round(avg((n_before - n_after)::DOUBLE), 6) + 0.0::DOUBLE AS score_avg FROM sh GROUP BY bc, slice_id", sh=SHAPE)
 O["feedback_steps"] = "SELECT count(*)::BIGINT AS n_labeled, round(avg(gap) / 1e6, 3) AS mean_seconds FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY event_id) AS gap FROM events WHERE user_id = 3)"
 
-FEW = {"fv": "SELECT dp_id, x[1:4] AS x FROM vec", "fl": f"SELECT dp_id, x[1:4] AS x, label = 0 AS pos FROM vec WHERE label IN (0, 1) AND dp_id < 120"}
+FEW = {"fv": "SELECT dp_id, x[1:4] AS x FROM vec", "fl": f"SELECT dp_id, x[1:4] AS x, label = 0 AS pos FROM vec WHERE label IN (0, 1)"}
 LK = "(-list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) ** 2)) / 2 - 4 * ln(sqrt(2 * pi())))"
 FEW["uk"] = f"SELECT a.dp_id AS u, b.dp_id AS j, b.pos, {LK} AS lk FROM fv a, fl b"
 FEW["ll"] = f"SELECT a.dp_id AS i, b.dp_id AS j, a.pos AS ipos, b.pos AS jpos, {LK} AS lk FROM fl a, fl b"
@@ -241,7 +239,7 @@ O["kde_leave_in"] = sql("vec", """SELECT s.u AS dp_id, round(0.3 * ((ln_ + own)
 O["kde_leave_one_out"] = sql("vec", """SELECT u AS dp_id, round(0.3 * ((x1 + pu / n) / (n + 1) - z1) + 0.7 * -((SELECT sum(b) FROM nz) / n + pu / n) / (m + 1), 6) + 0.0::DOUBLE AS score FROM pa JOIN px USING (u) JOIN pz USING (u), cn""",
     **FEW, pa="SELECT u, sum(exp(lk)) AS pu FROM uk WHERE pos GROUP BY u", ao="SELECT i, sum(exp(lk)) AS a FROM ll WHERE ipos AND jpos AND i <> j GROUP BY i", px="SELECT u, sum((a + exp(lk)) / n) AS x1 FROM uk JOIN ao ON i = j, cn WHERE pos GROUP BY u",
     nz="SELECT i, sum(exp(lk)) AS b FROM ll WHERE NOT ipos AND jpos GROUP BY i", pz="SELECT u, avg((b + exp(lk)) / (n + 1)) AS z1 FROM uk JOIN nz ON i = j, cn WHERE NOT pos GROUP BY u")
-O["kde_bandwidths"] = sql("vec", "SELECT h::DOUBLE AS bandwidth, round(sum(ln(greatest(k, 1e-300)) - 4 * ln(h * sqrt(2 * pi()))), 4) AS fitness FROM kk GROUP BY h", fv="SELECT dp_id, x[1:4] AS x FROM vec WHERE dp_id < 100",
+O["kde_bandwidths"] = sql("vec", "SELECT h::DOUBLE AS bandwidth, round(sum(ln(greatest(k, 1e-300)) - 4 * ln(h * sqrt(2 * pi()))), 4) AS fitness FROM kk GROUP BY h", fv="SELECT dp_id, x[1:4] AS x FROM vec",
     kk="SELECT h, a.dp_id, avg(exp(-list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) ** 2)) / (2 * h * h))) AS k FROM fv a JOIN fv b ON a.dp_id % 5 <> b.dp_id % 5, (VALUES (0.1::DOUBLE), (0.3), (1.0), (3.0)) g(h) GROUP BY h, a.dp_id")
 SAME = "b.target = a.target AND b.bc = a.bc AND b.slice_id = a.slice_id AND b.trace_id = a.trace_id AND b.idx > b.t AND b.idx < a.idx"
 O["legacy_context_columns"] = sql("tt", f"""SELECT {KEY}, {any_("oc")} AS has_other_retval_check, {any_("fo")} AS used_in_logical_formula, arg_min(CASE WHEN tk THEN br END, CASE WHEN tk THEN idx END) AS check_branch_taken, {any_("idx > t AND beg_loop")} AS has_loop_after FROM x GROUP BY ALL""",

@@ -12,7 +12,6 @@ from ..sources.relations import KEY
 from ..streaming import feedback as stream
 
 QUERIES: dict = {}
-N_POINTS = 200  # labelled points and sample of the pairwise queries: those of the lowest ids
 
 
 def query(f):
@@ -465,7 +464,7 @@ def block_trace_dedupe(s: SparkSession, d: str) -> DataFrame:
 @query
 def whole_slice_band(s: SparkSession, d: str) -> DataFrame:
     points = vectors.numbered(rel.trace_instrs(s, d).select(*KEY).distinct()).select("dp_id", "bc", "slice_id")
-    return dataflow.whole_slices(points, points.filter("dp_id % 40 = 0").select("dp_id"))
+    return dataflow.whole_slices(points, points.groupBy("bc", "slice_id").agg(F.min("dp_id").alias("dp_id")).select("dp_id"))
 
 
 @query
@@ -566,7 +565,7 @@ def dot_export(s: SparkSession, d: str) -> DataFrame:
 
 
 def _labeled(s: SparkSession, d: str) -> DataFrame:
-    return rel.vectors(s, d).filter(f"label in (0, 1) and dp_id < {N_POINTS}").select("dp_id", "x", (F.col("label") == 0).alias("is_alarm"))
+    return rel.vectors(s, d).filter("label in (0, 1)").select("dp_id", "x", (F.col("label") == 0).alias("is_alarm"))
 
 
 @query
@@ -588,26 +587,30 @@ def kde_alarms(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def pairwise_mean_distance(s: SparkSession, d: str) -> DataFrame:
-    p = rel.vectors(s, d)
-    return vectors.mean_distance(p, p.filter(f"dp_id < {N_POINTS}")).select(F.round("mean_distance", 6).alias("mean_distance"), "n_pairs")
+    return vectors.mean_distance(rel.vectors(s, d)).select(F.round("mean_distance", 6).alias("mean_distance"), "n_pairs")
+
+
+def _representatives(points: DataFrame) -> DataFrame:
+    """One point of each cluster: as many rows as there are labels."""
+    return points.groupBy("label").agg(F.min("dp_id").alias("dp_id"), F.min_by("x", "dp_id").alias("x"))
 
 
 @query
 def rbf_kernel(s: SparkSession, d: str) -> DataFrame:
     p = rel.vectors(s, d)
-    return vectors.kernel_matrix(p.filter("dp_id < 20"), p).select("i", "j", F.round("k", 6).alias("k"))
+    return vectors.kernel_matrix(_representatives(p), p).select("i", "j", F.round("k", 6).alias("k"))
 
 
 @query
 def linear_kernel(s: SparkSession, d: str) -> DataFrame:
     p = rel.vectors(s, d)
-    return vectors.kernel_matrix(p.filter("dp_id < 20"), p, linear=True).select("i", "j", (F.round("k", 6) + 0.0).alias("k"))
+    return vectors.kernel_matrix(_representatives(p), p, linear=True).select("i", "j", (F.round("k", 6) + 0.0).alias("k"))
 
 
 @query
 def nearest_neighbour(s: SparkSession, d: str) -> DataFrame:
     p = rel.vectors(s, d)
-    return vectors.nearest(p, p.filter(f"dp_id < {N_POINTS}")).select("dp_id", "other", F.round("distance", 6).alias("distance"))
+    return vectors.nearest(p, p).select("dp_id", "other", F.round("distance", 6).alias("distance"))
 
 
 @query
@@ -675,7 +678,7 @@ def _few(s: SparkSession, d: str) -> DataFrame:
 
 
 def _few_labeled(s: SparkSession, d: str) -> DataFrame:
-    return _labeled(s, d).filter("dp_id < 120").select("dp_id", F.slice("x", 1, 4).alias("x"), "is_alarm")
+    return _labeled(s, d).select("dp_id", F.slice("x", 1, 4).alias("x"), "is_alarm")
 
 
 @query
@@ -690,7 +693,7 @@ def kde_leave_one_out(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def kde_bandwidths(s: SparkSession, d: str) -> DataFrame:
-    return vectors.bandwidths(_few(s, d).filter("dp_id < 100"), [0.1, 0.3, 1.0, 3.0]).select("bandwidth", F.round("fitness", 4).alias("fitness"))
+    return vectors.bandwidths(_few(s, d), [0.1, 0.3, 1.0, 3.0]).select("bandwidth", F.round("fitness", 4).alias("fitness"))
 
 
 @query
