@@ -319,3 +319,15 @@ def test_running_sums_by_ranges(spark):
     assert got == {a: sum(hits[b] for b in range(a + 1)) for a in range(50)}
     none = rows.limit(0)
     assert evaluate.auc(none).first().auc == 0.0 and evaluate.curve(none).count() == 1
+
+
+def test_learners_without_points(spark):
+    none = spark.createDataFrame([], "dp_id long, x array<double>")
+    lab, y = spark.createDataFrame([], "dp_id long, is_alarm boolean"), spark.createDataFrame([], "dp_id long, y int")
+    for df in (learn.one_class(none), learn.ssad(none, y), learn.svc(none, lab), learn.dual_one_class(none, lab), learn.uncertain(none, lab), learn.isolation_forest(none), vectors.nearest(none, none), vectors.kde_scores(none, spark.createDataFrame([], "dp_id long, x array<double>, is_alarm boolean"))):
+        assert df.count() == 0
+    assert learn.gmm_entropy(none).first().entropy is None and learn.mcmc_mask(none) == ([], 0.0)
+    assert vectors.mean_distance(none).first().n_pairs == 0
+    some = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0])], "dp_id long, x array<double>")
+    assert {r.pred for r in learn.svc(some, spark.createDataFrame([(1, True)], "dp_id long, is_alarm boolean")).collect()} == {-1}
+    assert [(r.dp_id, r.other) for r in vectors.nearest(some, some).orderBy("dp_id").collect()] == [(1, 2), (2, 1)]

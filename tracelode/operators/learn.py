@@ -2,6 +2,9 @@
 
 Fits on unlabelled points collect at most MAX_SAMPLE of them, those least by hash of dp_id; that bound is the caller's to change.
 ``ssad`` takes all labelled points besides, and ``mcmc_mask`` counts all rows.
+
+Defined cases: without points a result is empty (an entropy is null, a mask empty); without anything to fit on scores are 0, and a classifier
+that was given one class only answers with it. Repeated rows each count and get a row.
 """
 
 from __future__ import annotations
@@ -63,9 +66,15 @@ def isolation_forest(points: DataFrame, trees: int = 100, size: int = 256, conta
     return scored(points, lambda rows: raw(rows) - offset)
 
 
+def _unfitted(points: DataFrame) -> DataFrame:
+    return points.select("dp_id", F.lit(0.0).alias("score"))
+
+
 def one_class(points: DataFrame, nu: float = 0.01, gamma: float | None = None, steps: int = 500, most: int = 1000) -> DataFrame:
     """dp_id, score of a one-class support vector machine with an rbf kernel, fitted by projected gradient on its dual over ``most`` points."""
     x = sample(points, most)
+    if not len(x):
+        return _unfitted(points)
     gamma = gamma or 1 / max(x.shape[1] * x.var(), 1e-12) if len(x) else 1.0
     kernel = lambda a, b: np.exp(-gamma * ((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T).clip(0))
     k, top = kernel(x, x), 1 / (nu * max(len(x), 1))
@@ -94,6 +103,8 @@ def ssad(points: DataFrame, labeled: DataFrame, kappa: float = 1.0, cost: float
     rows = sorted(given.filter("y <> 0").unionAll(others).collect(), key=lambda r: r["dp_id"])
     x, y = np.array([r["x"] for r in rows], float), np.array([r["y"] or 1 for r in rows], float)
     known = np.array([r["y"] != 0 for r in rows])
+    if not len(x):
+        return _unfitted(points)
     gamma = 1 / max(x.shape[1] * x.var(), 1e-12)
     kernel = lambda a, b: np.exp(-gamma * ((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T).clip(0))
     top = np.where(known, kappa * cost, cost / max(len(x), 1) * 10)
@@ -120,6 +131,12 @@ def random_features(points: DataFrame, features: int = 64, gamma: float = 0.5, s
     return points.select("dp_id", "x").mapInPandas(run, "dp_id long, z array<double>")
 
 
+def _one_label(train: DataFrame) -> int | None:
+    """The label, if there aren't both (0 without rows), else None."""
+    n = train.agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no")).first()
+    return None if n["yes"] and n["no"] else int(n["yes"] > 0)
+
+
 def svc(points: DataFrame, labeled: DataFrame, seed: int = 0) -> DataFrame:
     """dp_id, pred (-1 alarm, 1 not) of a support vector classifier with an approximate rbf kernel; labeled: dp_id, is_alarm."""
     from pyspark.ml.classification import LinearSVC
@@ -127,6 +144,8 @@ def svc(points: DataFrame, labeled: DataFrame, seed: int = 0) -> DataFrame:
 
     z = random_features(points, seed=seed).select("dp_id", array_to_vector("z").alias("features"))
     train = z.join(labeled.select("dp_id", F.col("is_alarm").cast("double").alias("label")), "dp_id")
+    if (only := _one_label(train)) is not None:
+        return points.select("dp_id", F.lit(-1 if only else 1).alias("pred"))
     model = LinearSVC(maxIter=50, regParam=0.01).fit(train)
     return model.transform(z).select("dp_id", F.when(F.col("prediction") == 1, -1).otherwise(1).alias("pred"))
 
@@ -137,6 +156,8 @@ def gmm_entropy(points: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     df = points.select(array_to_vector("x").alias("features"))
+    if df.isEmpty():
+        return df.sparkSession.createDataFrame([(None,)], "entropy double")
     out = GaussianMixture(k=k, seed=seed, maxIter=20).fit(df).transform(df).select(F.posexplode(vector_to_array("probability")).alias("c", "p")).groupBy("c").agg(F.sum("p").alias("n"))
     p = F.col("n") / F.col("t")
     return out.join(F.broadcast(out.agg(F.sum("n").alias("t")))).agg((-F.sum(F.when(p > 0, p * F.log(p)).otherwise(0.0))).alias("entropy"))
@@ -151,6 +172,8 @@ def mcmc_mask(points: DataFrame, rounds: int = 50, groups: list[list[int]] | Non
     rng = np.random.default_rng(seed)
     width = points.select(F.max(F.size("x")).alias("d")).first()["d"] or 0
     groups = groups or [[i] for i in range(width)]
+    if not width:
+        return [], 0.0
     # Halves go to the even neighbour, as in numpy.
     distinct = points.select(F.transform("x", lambda v: F.rint(v * 10).cast("long")).alias("x")).groupBy("x").agg(F.count("*").alias("n")).persist()
     total = distinct.agg(F.sum("n")).first()[0] or 0
@@ -221,5 +244,7 @@ def uncertain(points: DataFrame, labeled: DataFrame, seed: int = 0) -> DataFrame
 
     z = random_features(points, seed=seed).select("dp_id", array_to_vector("z").alias("features"))
     train = z.join(labeled.select("dp_id", F.col("is_alarm").cast("double").alias("label")), "dp_id")
+    if _one_label(train) is not None:
+        return points.join(labeled.select("dp_id"), "dp_id", "left_anti").select("dp_id", F.lit(0.0).alias("margin")).orderBy("dp_id")
     out = LinearSVC(maxIter=50, regParam=0.01).fit(train).transform(z.join(labeled.select("dp_id"), "dp_id", "left_anti"))
     return out.select("dp_id", F.abs(F.get(vector_to_array("rawPrediction"), F.lit(0))).alias("margin")).orderBy("margin", "dp_id")
