@@ -162,6 +162,30 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), lab).count() == 0
 
 
+def test_toxicity_of_pairs_of_neutral_words(spark):
+    """Each of four words is as frequent in either class; which two come together tells the class. Fitted from texts, seen on held-out rows."""
+    rows, labels = [], []
+    for i in range(1500):
+        toxic, which = i % 5 == 0, i // 5 % 2
+        filler = [f"word{(7 * i + 3 * k * k) % 41}" for k in range(12)]
+        at = i % 9
+        filler[at:at] = [("zarnak", "vulmo")[which], "the", ("folk", "gizmo")[which if toxic else 1 - which]]
+        rows.append((i, " ".join(filler)))
+        labels.append((i, 1, int(toxic)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, lab).filter("held_out").collect()
+    assert {r.doc_id for r in got if r.predicted} == {r.doc_id for r in got if r.doc_id % 5 == 0}
+    assert len(toxicity.fit(docs, lab, max_pairs=0).slots) == 0
+
+
+def test_near_pairs_are_those_of_brute_force():
+    texts = ["", "one", "one one", "a b c d e f g", "B a b a " * 4, "x " * 9 + "y z"]
+    for text in texts:
+        words = [next(iter(toxicity.slots(w))) for w in text.split()]
+        want = {min(a, b) << toxicity.HASH_BITS | max(a, b) for i, a in enumerate(words) for b in words[i + 1 : i + 1 + toxicity.WINDOW] if a != b}
+        assert toxicity.near_pairs(text).tolist() == sorted(want)
+
+
 def test_toxic_pairs_learn_what_is_not_additive():
     """Two terms that are harmless alone and toxic together."""
     rng = np.random.default_rng(1)

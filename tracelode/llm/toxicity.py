@@ -6,10 +6,13 @@ sigmoid(b + sum w_i + sum over pairs of <v_i, v_j>) over the slots present, so a
 parts: the pairwise sum is computed as half of |sum v_i|^2 - sum |v_i|^2.
 
 The machine is fitted on the driver, on a bounded sample: at most MAX_ROWS labelled rows of each class, those
-least by hash of doc_id. Slots that no class prefers at a z score of MIN_Z have weight zero, which keeps the
-noise of thousands of ordinary terms out of long documents. Executors reduce the sample's texts to slots, and
-counts for each slot are summed before anything reaches the driver; only the slots that pass are sent on. Scoring
-covers every whole text; the weights it needs are of fixed size.
+least by hash of doc_id. A slot gets weights if a class prefers it at a z score of MIN_Z, or if it is one of two words that
+together tell the class better than either alone: of the sample's rows with both within WINDOW words of each other, at least
+MIN_PAIR_ROWS, the share of label 1 differs from that of the rows with either one, both by a signed root of the deviance of
+MIN_PAIR_Z or more and in the same direction (the MAX_PAIRS strongest pairs). All other slots weigh zero, which keeps the noise
+of thousands of ordinary terms out of long documents. Executors reduce the sample's texts to slots, and
+counts for each slot and pair are summed before anything reaches the driver; only the slots that pass are sent on. Scoring
+covers every whole text, and there a pair counts at any distance; the weights it needs are of bounded size.
 
 Defined cases: null or empty text scores sigmoid(b); a row without terms, with a share EMPTY of the weight,
 teaches that such a text isn't toxic. Label rows with null doc_id or
@@ -38,6 +41,10 @@ PREFIXES = (4, 5, 6)
 MAX_ROWS = 6000
 MIN_Z = 4.0
 MAX_SLOTS = 8192
+WINDOW = 5
+MIN_PAIR_ROWS = 8
+MIN_PAIR_Z = 6.0
+MAX_PAIRS = 1024
 EMPTY = 0.05
 WORD = re.compile(r"\w+")
 
@@ -69,6 +76,63 @@ def slots(text: str) -> set[int]:
     return out
 
 
+def near_pairs(text: str) -> np.ndarray:
+    """The distinct pairs of slots of words within WINDOW words of each other, the lesser slot in the upper bits."""
+    mask = (1 << HASH_BITS) - 1
+    words = WORD.findall(text.lower())
+    known = {w: crc32(w.encode(), 1) & mask for w in set(words)}
+    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    pairs = [np.zeros(0, np.int64)]
+    for back in range(1, WINDOW + 1):
+        a, b = at[:-back], at[back:]
+        pairs.append((np.minimum(a, b) << HASH_BITS | np.maximum(a, b))[a != b])
+    return np.unique(np.concatenate(pairs))
+
+
+def _pair_counts(texts: DataFrame) -> DataFrame:
+    """pair, c, c1: in how many rows of toxic and text words come near each other, and in how many of label 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, int]] = []
+        n = 0
+
+        def counted() -> pa.RecordBatch:
+            found, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            ones = np.concatenate([np.full(len(x), y) for x, y in held])
+            c1 = np.bincount(place, ones, len(found)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(place, minlength=len(found)).astype(np.int64)), pa.array(c1)], names=["pair", "c", "c1"])
+
+        for b in batches:
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.append((near_pairs(text), toxic))
+                n += len(held[-1][0])
+                if n >= 1 << 20:
+                    yield counted()
+                    held, n = [], 0
+        if held:
+            yield counted()
+
+    return texts.select("toxic", "text").mapInArrow(run, "pair long, c long, c1 long").groupBy("pair").agg(F.sum("c").alias("c"), F.sum("c1").alias("c1"))
+
+
+def _root_deviance(c: Column, c1: Column, rate: Column) -> Column:
+    """How far c1 of c is from the rate, signed."""
+    term = lambda n, share: F.when(n > 0, n * F.log(n / (c * share))).otherwise(0.0)
+    return F.signum(c1 / c - rate) * F.sqrt(F.greatest(F.lit(0.0), 2 * (term(c1, rate) + term(c - c1, 1 - rate))))
+
+
+def _telling_pairs(texts: DataFrame, counts: DataFrame, max_pairs: int) -> DataFrame:
+    """lo, hi of the pairs that tell the class better than either of their words."""
+    known = counts.select("slot", ((F.col("c1") + 0.5) / (F.col("c") + 1)).alias("rate"))
+    pairs = _pair_counts(texts).filter(F.col("c") >= MIN_PAIR_ROWS)
+    pairs = pairs.select("c", "c1", F.shiftright("pair", HASH_BITS).cast("int").alias("lo"), F.col("pair").bitwiseAND((1 << HASH_BITS) - 1).cast("int").alias("hi"))
+    for side in ("lo", "hi"):
+        pairs = pairs.join(known.select(F.col("slot").alias(side), F.col("rate").alias(f"rate_{side}")), side)
+    by = [_root_deviance(F.col("c"), F.col("c1"), F.col(f"rate_{side}")) for side in ("lo", "hi")]
+    pairs = pairs.select("lo", "hi", F.when(F.signum(by[0]) == F.signum(by[1]), F.least(F.abs(by[0]), F.abs(by[1]))).alias("z"))
+    return pairs.filter(F.col("z") >= MIN_PAIR_Z).orderBy(F.col("z").desc(), "lo", "hi").limit(max_pairs).select("lo", "hi")
+
+
 def score(m: Machine, text: str, place: dict[int, int]) -> float:
     """place: where each weighted slot is in ``m.slots``."""
     at = [place[s] for s in slots(text) & place.keys()]
@@ -124,16 +188,16 @@ def _fit_machine(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, weight: np.n
     return float(theta[0][0]), theta[1] * size, theta[2] * size[:, None]
 
 
-def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed: int = 7, max_rows: int = MAX_ROWS, min_z: float = MIN_Z, max_slots: int = MAX_SLOTS) -> Machine:
-    """max_rows: labelled rows of each class in the sample; max_slots: slots with weights, of those that a class prefers at min_z."""
+def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed: int = 7, max_rows: int = MAX_ROWS, min_z: float = MIN_Z, max_slots: int = MAX_SLOTS, max_pairs: int = MAX_PAIRS) -> Machine:
+    """max_rows: labelled rows of each class in the sample; max_slots: slots with weights, of those that a class prefers at min_z; max_pairs: pairs of words whose slots have weights beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [sorted(slots(t.as_py())) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "slots"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "text", "slots"])
 
     none = np.empty(0, np.int64)
-    sample = c.written(_sample(docs, labels, max_rows).select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, slots array<int>"), "toxicity-sample")
+    sample = c.written(_sample(docs, labels, max_rows).select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, text string, slots array<int>"), "toxicity-sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
@@ -143,8 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 4, steps: int = 500, seed:
     p = F.col("c") / (n1 + n0)
     z = (F.col("c1") / n1 - (F.col("c") - F.col("c1")) / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     chosen = counts.filter((F.col("c") < n1 + n0) & (F.abs(z) >= min_z)).orderBy(F.abs(z).desc(), "slot").limit(max_slots)
-    at = np.array(sorted(r["slot"] for r in chosen.select("slot").collect()), np.int64)
-    # Slots that pass, at most max_slots, and for each row of the bounded sample which of them it has.
+    paired = {x for r in _telling_pairs(sample, counts, max_pairs).collect() for x in r}
+    at = np.array(sorted({r["slot"] for r in chosen.select("slot").collect()} | paired), np.int64)
+    # Slots that pass, at most max_slots and those of max_pairs pairs, and for each row of the bounded sample which of them it has.
     kept = sample.select("doc_id", "toxic", F.array_intersect("slots", F.lit(at.tolist()).cast("array<int>") if len(at) else F.array().cast("array<int>")).alias("slots")).collect()
     kept.sort(key=lambda r: (r["doc_id"], r["slots"]))
     y = np.array([r["toxic"] for r in kept], float)
