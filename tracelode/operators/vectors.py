@@ -70,19 +70,22 @@ def in_blocks(points: DataFrame, others: DataFrame, meet: Callable[[pd.DataFrame
     """
     points, others = points.filter("x is not null"), others.filter("x is not null")
     n_chunks, n_blocks = max(1, -(-points.count() // size)), max(1, -(-others.count() // size))
-    deal = lambda n: F.pmod(F.xxhash64("dp_id"), F.lit(n)).cast("int")
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = points.withColumn("chunk", deal(n_chunks)).withColumn("block", every(n_blocks))
-    right = others.withColumn("block", deal(n_blocks)).withColumn("chunk", every(n_chunks))
+    columns = others.columns
+    left = points.withColumn("chunk", deal("dp_id", n_chunks)).withColumn("block", every(n_blocks))
+    # Other names, so that the sides share no column even where both come from the same rows.
+    right = others.toDF(*[f"o_{c}" for c in columns]).withColumn("o_block", deal("o_dp_id", n_blocks)).withColumn("o_chunk", every(n_chunks))
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({n: [] for n in names})
         matrix = lambda d: np.stack(d["x"].to_numpy()).astype(float)
+        b = b.rename(columns={f"o_{c}": c for c in columns})
         return meet(a, matrix(a), b, matrix(b))
 
-    return left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(run, schema)
+    return left.groupBy("chunk", "block").cogroup(right.groupBy("o_chunk", "o_block")).applyInPandas(run, schema)
 
 
 def distances2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
