@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tracelode.operators import checkers, features, filters, graph, learn, occurrence, symbolic, vectors
 from tracelode.sources import catalog
-from tracelode.streaming import feedback as stream
 
 COLUMNS = "target string, bc string, slice_id long, trace_id long, idx int, is_target boolean, loc string, op string, func string, args array<string>, pred string, op0 string, op1 string, cond string, br string, beg_loop boolean, end_loop boolean, mem string, val string, res string"
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
@@ -150,21 +149,6 @@ def test_learners(spark):
     assert mask[0] and fitness > 0
 
 
-def test_feedback_stream(spark, tmp_path):
-    p = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)], "dp_id long, x array<double>")
-    labels = spark.createDataFrame([(0, True), (5, False), (1, True)], "dp_id long, is_alarm boolean")
-    labels.repartition(3).write.parquet(str(tmp_path / "in"))
-    feed = spark.readStream.schema("dp_id long, is_alarm boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream.follow(feed, p, str(tmp_path / "state"))
-    q.awaitTermination(60)
-    last = max(int(x.name[1:]) for x in (tmp_path / "state").glob("v*"))
-    got = {r.dp_id: r.score for r in stream.scores(spark.read.parquet(str(tmp_path / "state" / f"v{last}"))).collect()}
-    want = {r.dp_id: r.score for r in vectors.kde_scores(p, labels.join(p, "dp_id")).collect()}
-    assert got == pytest.approx(want)
-    asked = stream.ask(p, lambda i: i < 2, 3, [(0, True)]).orderBy("attempt").collect()
-    assert [r.dp_id for r in asked][:2] == [0, 1] and len(asked) == 4
-
-
 def test_workspace(spark, tmp_path):
     root = tmp_path / "db"
     for path, doc in {

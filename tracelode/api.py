@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import evaluate, features, filters, graph, labels, occurrence, symbolic, vectors
 from .sources.catalog import Workspace, long_traces
 from .sources.relations import KEY
-from .streaming import feedback
+from .streaming import state
 
 
 class Engine:
@@ -118,7 +118,7 @@ class Engine:
 
     def learn_active(self, points: DataFrame, oracle: Callable[[int], bool], amount: int, seed: list[tuple[int, bool]] = (), bandwidth: float = 1.0) -> DataFrame:
         """The questions asked and answers given, with the running counts of the curve."""
-        asked = feedback.ask(points, oracle, amount, list(seed), bandwidth)
+        asked = state.ask(points, oracle, amount, list(seed), graph.shared_folder(self.spark, "feedback"), bandwidth)
         return asked.join(evaluate.curve(asked), "attempt").orderBy("attempt")
 
     def learn_unsupervised(self, points: DataFrame, score: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ a fixed chain that Catalyst sees as a whole. Each level is distinct before the n
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -188,6 +189,20 @@ def ensure_checkpoints(spark) -> None:
     spark.sparkContext.setCheckpointDir(folder)
 
 
+def shared_folder(spark, name: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names."""
+    ensure_checkpoints(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or str(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    return f"{base.rstrip('/')}/tracelode/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: computed once, and safe from lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of a DOT text, in order: nodes (id, label, is_target) and edges (src, dst, kind: du or cf)."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('\\"')), F.lit('"'))

@@ -97,18 +97,23 @@ def distances2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def kde_scores(points: DataFrame, labeled: DataFrame, bandwidth: float = 1.0) -> DataFrame:
-    """dp_id, positive and negative (mean kernels over the labelled points of either kind) and score, their difference; labeled: dp_id, x, is_alarm. Points and labelled points meet in blocks."""
+def kde_sums(points: DataFrame, labeled: DataFrame, bandwidth: float = 1.0) -> DataFrame:
+    """dp_id, pos and neg: sums of kernels over the labelled points (dp_id, x, is_alarm) of either kind, which the points meet in blocks. A point without vector has null sums."""
+    scale = 1 / (bandwidth * math.sqrt(2 * math.pi))
 
     def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
         near, alarm = np.exp(-distances2(x, y) / (2 * bandwidth**2)) * scale, b["is_alarm"].to_numpy(bool)
         return pd.DataFrame({"dp_id": a["dp_id"], "p": near[:, alarm].sum(axis=1), "q": near[:, ~alarm].sum(axis=1)})
 
-    scale = 1 / (bandwidth * math.sqrt(2 * math.pi))
+    found = in_blocks(points.select("dp_id", "x"), labeled.select("dp_id", "x", "is_alarm"), meet, "dp_id long, p double, q double").groupBy("dp_id").agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
+    return points.select("dp_id").join(found, "dp_id", "left")
+
+
+def kde_scores(points: DataFrame, labeled: DataFrame, bandwidth: float = 1.0) -> DataFrame:
+    """dp_id, positive and negative (mean kernels over the labelled points of either kind) and score, their difference; labeled: dp_id, x, is_alarm."""
     n = labeled.filter("x is not null").agg(F.count_if("is_alarm").alias("p"), F.count_if(~F.col("is_alarm")).alias("q")).first()
-    found = in_blocks(points.select("dp_id", "x"), labeled.select("dp_id", "x", "is_alarm"), meet, "dp_id long, p double, q double").groupBy("dp_id").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     none = lambda c, k: F.coalesce(F.col(c) / k if k else F.lit(0.0), F.lit(0.0))
-    out = points.select("dp_id").join(found, "dp_id", "left").select("dp_id", none("p", n["p"]).alias("positive"), none("q", n["q"]).alias("negative"))
+    out = kde_sums(points, labeled, bandwidth).select("dp_id", none("pos", n["p"]).alias("positive"), none("neg", n["q"]).alias("negative"))
     return out.withColumn("score", F.col("positive") - F.col("negative"))
 
 
@@ -169,64 +174,76 @@ def mark_first(points: DataFrame, part: str, slice_id: int, trace_id: int | None
     return hit if trace_id is None else hit & (F.col("trace_id") == trace_id)
 
 
-def _density(d2: Column, bandwidth: float, dim: Column) -> Column:
-    """The kernel with the normaliser of all dimensions."""
-    return F.exp(-d2 / (2 * bandwidth**2)) / F.pow(F.lit(bandwidth) * F.sqrt(2 * F.pi()), dim)
+def _log_density(d2: np.ndarray, bandwidth: float, dim: int) -> np.ndarray:
+    """Logarithm of the kernel with the normaliser of all dimensions; far kernels would round to zero."""
+    return -d2 / (2 * bandwidth**2) - dim * math.log(bandwidth * math.sqrt(2 * math.pi))
 
 
 def _labeled_constants(labeled: DataFrame, bandwidth: float) -> DataFrame:
-    """Each labelled point with the sum of its kernels to the positives other than itself (s); labelled points are few."""
-    pos = F.broadcast(labeled.filter("is_alarm").select(F.col("dp_id").alias("j"), F.col("x").alias("y")))
-    k = F.when(F.col("dp_id") != F.col("j"), _density(v.distance2(F.col("x"), F.col("y")), bandwidth, F.size("x")))
-    return labeled.join(pos, F.lit(True), "left").groupBy("dp_id").agg(F.first("x").alias("x"), F.first("is_alarm").alias("is_alarm"), F.coalesce(F.sum(k), F.lit(0.0)).alias("s"))
+    """Each labelled point (dp_id, x, is_alarm) with s, the sum of its kernels to the positives other than itself."""
+
+    def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        k = np.exp(_log_density(distances2(x, y), bandwidth, x.shape[1]))
+        k[a["dp_id"].to_numpy()[:, None] == b["dp_id"].to_numpy()] = 0
+        return pd.DataFrame({"dp_id": a["dp_id"], "s": k.sum(axis=1)})
+
+    own = labeled.select("dp_id", "x", "is_alarm")
+    sums = in_blocks(own.select("dp_id", "x"), own.filter("is_alarm").select("dp_id", "x"), meet, "dp_id long, s double").groupBy("dp_id").agg(F.sum("s").alias("s"))
+    return own.filter("x is not null").join(sums, "dp_id", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
 
 
 def leave_one_out_scores(points: DataFrame, labeled: DataFrame, p_pos: float = 0.5, bandwidth: float = 1.0) -> DataFrame:
     """dp_id, score: how well a point fits among the positives, each left out once, and how badly the negatives do then.
 
     All sums over pairs of labelled points are constants of the labelled set, so a point needs only its two sums
-    of kernels.
+    of kernels. Points without vector get no row.
     """
-    c = _labeled_constants(labeled, bandwidth).persist()
+
+    def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        k, alarm = np.exp(_log_density(distances2(x, y), bandwidth, x.shape[1])), b["is_alarm"].to_numpy(bool)
+        return pd.DataFrame({"dp_id": a["dp_id"], "p": k[:, alarm].sum(axis=1), "q": k[:, ~alarm].sum(axis=1)})
+
     side = lambda flag, x: F.coalesce(F.sum(F.when(flag, x)), F.lit(0.0))
-    total = c.agg(F.count_if("is_alarm").alias("n"), F.count_if(~F.col("is_alarm")).alias("m"), side(F.col("is_alarm"), F.col("s")).alias("pp"), side(~F.col("is_alarm"), F.col("s")).alias("np"))
-    near = _density(v.distance2(F.col("x"), F.col("y")), bandwidth, F.size("x"))
-    lab = F.broadcast(c.select(F.col("x").alias("y"), "is_alarm"))
-    own = points.join(lab).groupBy("dp_id").agg(side(F.col("is_alarm"), near).alias("a"), side(~F.col("is_alarm"), near).alias("b"))
-    n, m, a, b = F.col("n"), F.col("m"), F.col("a"), F.col("b")
-    pos = F.when(n > 0, (F.col("pp") + 2 * a) / (n * (n + 1))).otherwise(0.0) - F.when(m > 0, (F.col("np") + b) / (m * (n + 1))).otherwise(0.0)
-    neg = -F.when(n > 0, (F.col("np") + a) / (n * (m + 1))).otherwise(0.0)
-    return own.join(F.broadcast(total)).select("dp_id", (p_pos * pos + (1 - p_pos) * neg).alias("score"))
+    total = _labeled_constants(labeled, bandwidth).agg(F.count_if("is_alarm").alias("n"), F.count_if(~F.col("is_alarm")).alias("m"), side(F.col("is_alarm"), F.col("s")).alias("pp"), side(~F.col("is_alarm"), F.col("s")).alias("np")).first()
+    n, m, pp, to_negatives = (total[c] for c in ("n", "m", "pp", "np"))
+    found = in_blocks(points.select("dp_id", "x"), labeled.select("dp_id", "x", "is_alarm"), meet, "dp_id long, p double, q double").groupBy("dp_id").agg(F.sum("p").alias("a"), F.sum("q").alias("b"))
+    a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
+    pos = (((pp + 2 * a) / (n * (n + 1))) if n else F.lit(0.0)) - (((to_negatives + b) / (m * (n + 1))) if m else F.lit(0.0))
+    neg = -((to_negatives + a) / (n * (m + 1))) if n else F.lit(0.0)
+    return points.filter("x is not null").select("dp_id").join(found, "dp_id", "left").select("dp_id", (p_pos * pos + (1 - p_pos) * neg).alias("score"))
 
 
 def leave_in_scores(points: DataFrame, labeled: DataFrame, p_pos: float = 0.5, bandwidth: float = 1.0) -> DataFrame:
-    """dp_id, score from mean log densities around the point and of the positives with it among them; 0 without negatives."""
-    c = _labeled_constants(labeled, bandwidth)
-    lab = F.broadcast(c.select(F.col("x").alias("y"), "is_alarm", "s"))
-    d2, dim = v.distance2(F.col("x"), F.col("y")), F.size("x")
-    k, self_k = _density(d2, bandwidth, dim), _density(F.lit(0.0), bandwidth, dim)
-    # Logarithms of kernels directly, since far kernels round to zero.
-    log_k = -d2 / (2 * bandwidth**2) - dim * F.log(F.lit(bandwidth) * F.sqrt(2 * F.pi()))
-    is_pos = F.col("is_alarm")
-    n = F.sum(is_pos.cast("int"))
-    sums = points.join(lab).groupBy("dp_id").agg(
-        n.alias("n"), F.sum((~is_pos).cast("int")).alias("m"), F.first(F.log(self_k)).alias("own"), F.coalesce(F.sum(F.when(~is_pos, log_k)), F.lit(0.0)).alias("ln"), F.coalesce(F.sum(F.when(is_pos, log_k)), F.lit(0.0)).alias("lp"),
-        F.coalesce(F.sum(F.when(is_pos, F.log(F.col("s") + self_k + k))), F.lit(0.0)).alias("with_u"),
-    )
-    n, m = F.col("n"), F.col("m")
-    with_u = F.when(n > 0, F.col("with_u") / n - F.log(n + 1)).otherwise(0.0)
+    """dp_id, score from mean log densities around the point and of the positives with it among them; 0 without negatives. Points without vector get no row."""
+
+    def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        log_k, alarm, own = _log_density(distances2(x, y), bandwidth, x.shape[1]), b["is_alarm"].to_numpy(bool), math.exp(_log_density(np.zeros(1), bandwidth, x.shape[1])[0])
+        with_u = np.log(b["s"].to_numpy()[alarm] + own + np.exp(log_k[:, alarm])).sum(axis=1)
+        return pd.DataFrame({"dp_id": a["dp_id"], "lp": log_k[:, alarm].sum(axis=1), "ln": log_k[:, ~alarm].sum(axis=1), "w": with_u, "own": math.log(own) if own else -math.inf})
+
+    lab = _labeled_constants(labeled, bandwidth)
+    total = lab.agg(F.count_if("is_alarm").alias("n"), F.count_if(~F.col("is_alarm")).alias("m")).first()
+    n, m = total["n"], total["m"]
+    held = points.filter("x is not null").select("dp_id", "x")
+    if not m:
+        return held.select("dp_id", F.lit(0.0).alias("score"))
+    sums = in_blocks(held, lab, meet, "dp_id long, lp double, ln double, w double, own double").groupBy("dp_id").agg(*[F.sum(c).alias(c) for c in ("lp", "ln", "w")], F.max("own").alias("own"))
+    with_u = F.col("w") / n - math.log(n + 1) if n else F.lit(0.0)
     t = (F.col("ln") + F.col("own")) / (m + 1) - with_u
     o = F.col("ln") / m - (F.col("lp") + F.col("own")) / (n + 1)
-    return sums.select("dp_id", F.when(m > 0, p_pos * t + (1 - p_pos) * o).otherwise(0.0).alias("score"))
-
-
-def bandwidths(sample: DataFrame, grid: Sequence[float], folds: int = 5) -> DataFrame:
-    """bandwidth, fitness: the log-likelihood of each fold under the others; sample is a bounded set of points."""
-    p = sample.withColumn("fold", F.pmod("dp_id", F.lit(folds)))
-    other = F.broadcast(p.select(F.col("fold").alias("f"), F.col("x").alias("y")))
-    d2, dim = v.distance2(F.col("x"), F.col("y")), F.size("x")
-    pairs = p.join(other, F.col("fold") != F.col("f")).select("dp_id", d2.alias("d2"), dim.alias("dim"), F.explode(F.array(*map(F.lit, grid))).alias("bandwidth"))
-    b = F.col("bandwidth")
-    near = pairs.groupBy("bandwidth", "dp_id").agg(F.avg(F.exp(-F.col("d2") / (2 * b * b))).alias("k"), F.first("dim").alias("dim"))
-    ll = F.log(F.greatest("k", F.lit(1e-300))) - F.col("dim") * F.log(b * F.sqrt(2 * F.pi()))
+    return sums.select("dp_id", (p_pos * t + (1 - p_pos) * o).alias("score"))
+
+
+def bandwidths(points: DataFrame, grid: Sequence[float], folds: int = 5) -> DataFrame:
+    """bandwidth, fitness: the log-likelihood of each fold of the points under the others, over all pairs in blocks. Points whose mean kernel is under 1e-300 count as that."""
+
+    def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        d2 = distances2(x, y)
+        other = (a["dp_id"].to_numpy() % folds)[:, None] != (b["dp_id"].to_numpy() % folds)
+        parts = [pd.DataFrame({"dp_id": a["dp_id"], "bandwidth": float(h), "k": (np.exp(-d2 / (2 * h * h)) * other).sum(axis=1), "n": other.sum(axis=1), "dim": x.shape[1]}) for h in grid]
+        return pd.concat(parts)
+
+    p = points.select("dp_id", "x")
+    near = in_blocks(p, p, meet, "dp_id long, bandwidth double, k double, n long, dim int").groupBy("bandwidth", "dp_id").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max("dim").alias("dim")).filter("n > 0")
+    ll = F.log(F.greatest(F.col("k") / F.col("n"), F.lit(1e-300))) - F.col("dim") * F.log(F.col("bandwidth") * F.sqrt(2 * F.pi()))
     return near.groupBy("bandwidth").agg(F.sum(ll).alias("fitness"))

@@ -212,6 +212,7 @@ KDE = f"SELECT a.dp_id, coalesce(avg(CASE WHEN is_alarm THEN k END), 0) AS pos,
 O["kde_score"] = sql("vec", "SELECT dp_id, round(pos, 6) + 0.0::DOUBLE AS positive, round(neg, 6) + 0.0::DOUBLE AS negative, round(pos - neg, 6) + 0.0::DOUBLE AS score FROM kd", la=LABELED, kd=KDE)
 O["kde_log_score"] = sql("vec", "SELECT dp_id, round(ln(greatest(pos, 1e-300)) - ln(greatest(neg, 1e-300)), 6) + 0.0::DOUBLE AS score FROM kd", la=LABELED, kd=KDE)
 O["kde_alarms"] = sql("vec", "SELECT dp_id FROM kd ORDER BY round(pos - neg, 6) DESC, dp_id LIMIT 25", la=LABELED, kd=KDE)
+O["feedback_state_scores"] = O["kde_score"]
 O["feedback_stream_scores"] = sql("vec", "SELECT dp_id, round(pos - neg, 6) + 0.0::DOUBLE AS score FROM kd", la=LABELED, kd=KDE)
 O["pairwise_mean_distance"] = sql("vec", f"SELECT round(avg(sqrt({D2})), 6) AS mean_distance, count(*)::BIGINT AS n_pairs FROM vec a JOIN vec b ON a.dp_id < b.dp_id")
 O["rbf_kernel"] = sql("vec", f"SELECT a.dp_id AS i, b.dp_id AS j, round(exp(-{D2} / 2), 6) AS k FROM vec a, vec b WHERE a.dp_id IN (SELECT min(dp_id) FROM vec GROUP BY label)")
@@ -228,19 +229,20 @@ O["accuracy"] = "SELECT round(avg(((quality = 0) = (toxic = 1))::INT), 6) AS acc
 O["alarms_brief"] = sql("tt", "SELECT bc, slice_id, count(*)::BIGINT AS num_traces, round(avg((n_before - n_after)::DOUBLE), 6) + 0.0::DOUBLE AS score_avg FROM sh GROUP BY bc, slice_id", sh=SHAPE)
 O["feedback_steps"] = "SELECT count(*)::BIGINT AS n_labeled, round(avg(gap) / 1e6, 3) AS mean_seconds FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY event_id) AS gap FROM events WHERE user_id = 3)"
 
-FEW = {"fv": "SELECT dp_id, x[1:4] AS x FROM vec", "fl": f"SELECT dp_id, x[1:4] AS x, label = 0 AS pos FROM vec WHERE label IN (0, 1)"}
-LK = "(-list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) ** 2)) / 2 - 4 * ln(sqrt(2 * pi())))"
-FEW["uk"] = f"SELECT a.dp_id AS u, b.dp_id AS j, b.pos, {LK} AS lk FROM fv a, fl b"
+FEW = {"fl": "SELECT dp_id, x, label = 0 AS pos FROM vec WHERE label IN (0, 1)"}
+NORM = "64 * ln(0.4::DOUBLE * sqrt(2 * pi()))"
+LK = f"(-{D2} / (2 * 0.4::DOUBLE ** 2) - {NORM})"
+FEW["uk"] = f"SELECT a.dp_id AS u, b.dp_id AS j, b.pos, {LK} AS lk FROM vec a, fl b"
 FEW["ll"] = f"SELECT a.dp_id AS i, b.dp_id AS j, a.pos AS ipos, b.pos AS jpos, {LK} AS lk FROM fl a, fl b"
-FEW["cn"] = "SELECT count_if(pos)::DOUBLE AS n, count_if(NOT pos)::DOUBLE AS m, -4 * ln(sqrt(2 * pi())) AS own FROM fl"
+FEW["cn"] = f"SELECT count_if(pos)::DOUBLE AS n, count_if(NOT pos)::DOUBLE AS m, -{NORM} AS own FROM fl"
 O["kde_leave_in"] = sql("vec", """SELECT s.u AS dp_id, round(0.3 * ((ln_ + own) / (m + 1) - w / n) + 0.7 * (ln_ / m - (lp + own) / (n + 1)), 5) + 0.0::DOUBLE AS score FROM su s JOIN wu USING (u), cn""",
     **FEW, su="SELECT u, sum(CASE WHEN NOT pos THEN lk END) AS ln_, sum(CASE WHEN pos THEN lk END) AS lp FROM uk GROUP BY u",
     sx="SELECT i, sum(exp(lk)) AS s FROM ll WHERE ipos AND jpos GROUP BY i", wu="SELECT u, sum(ln((s + exp(lk)) / (n + 1))) AS w FROM uk JOIN sx ON i = j, cn WHERE pos GROUP BY u")
-O["kde_leave_one_out"] = sql("vec", """SELECT u AS dp_id, round(0.3 * ((x1 + pu / n) / (n + 1) - z1) + 0.7 * -((SELECT sum(b) FROM nz) / n + pu / n) / (m + 1), 6) + 0.0::DOUBLE AS score FROM pa JOIN px USING (u) JOIN pz USING (u), cn""",
+O["kde_leave_one_out"] = sql("vec", """SELECT u AS dp_id, round(0.3 * ((x1 + pu / n) / (n + 1) - z1) + 0.7 * -((SELECT sum(b) FROM nz) / n + pu / n) / (m + 1), 9) + 0.0::DOUBLE AS score FROM pa JOIN px USING (u) JOIN pz USING (u), cn""",
     **FEW, pa="SELECT u, sum(exp(lk)) AS pu FROM uk WHERE pos GROUP BY u", ao="SELECT i, sum(exp(lk)) AS a FROM ll WHERE ipos AND jpos AND i <> j GROUP BY i", px="SELECT u, sum((a + exp(lk)) / n) AS x1 FROM uk JOIN ao ON i = j, cn WHERE pos GROUP BY u",
     nz="SELECT i, sum(exp(lk)) AS b FROM ll WHERE NOT ipos AND jpos GROUP BY i", pz="SELECT u, avg((b + exp(lk)) / (n + 1)) AS z1 FROM uk JOIN nz ON i = j, cn WHERE NOT pos GROUP BY u")
-O["kde_bandwidths"] = sql("vec", "SELECT h::DOUBLE AS bandwidth, round(sum(ln(greatest(k, 1e-300)) - 4 * ln(h * sqrt(2 * pi()))), 4) AS fitness FROM kk GROUP BY h", fv="SELECT dp_id, x[1:4] AS x FROM vec",
-    kk="SELECT h, a.dp_id, avg(exp(-list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) ** 2)) / (2 * h * h))) AS k FROM fv a JOIN fv b ON a.dp_id % 5 <> b.dp_id % 5, (VALUES (0.1::DOUBLE), (0.3), (1.0), (3.0)) g(h) GROUP BY h, a.dp_id")
+O["kde_bandwidths"] = sql("vec", "SELECT h AS bandwidth, round(sum(ln(greatest(k, 1e-300)) - 64 * ln(h * sqrt(2 * pi()))), 3) AS fitness FROM kk GROUP BY h",
+    kk=f"SELECT h, a.dp_id, avg(exp(-{D2} / (2 * h * h))) AS k FROM vec a JOIN vec b ON a.dp_id % 5 <> b.dp_id % 5, (VALUES (0.3::DOUBLE), (0.4), (1.0), (3.0)) g(h) GROUP BY h, a.dp_id")
 SAME = "b.target = a.target AND b.bc = a.bc AND b.slice_id = a.slice_id AND b.trace_id = a.trace_id AND b.idx > b.t AND b.idx < a.idx"
 O["legacy_context_columns"] = sql("tt", f"""SELECT {KEY}, {any_("oc")} AS has_other_retval_check, {any_("fo")} AS used_in_logical_formula, arg_min(CASE WHEN tk THEN br END, CASE WHEN tk THEN idx END) AS check_branch_taken, {any_("idx > t AND beg_loop")} AS has_loop_after FROM x GROUP BY ALL""",
     x=f"""SELECT a.*, a.idx > a.t AND a.op = 'ICmp' AND NOT coalesce(a.op0 = a.r OR a.op1 = a.r, false) AND EXISTS (FROM tt b WHERE {SAME} AND b.op = 'Call' AND b.res IN (a.op0, a.op1)) AS oc,

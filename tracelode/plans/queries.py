@@ -10,6 +10,7 @@ from ..operators import checkers, dataflow, evaluate, features, filters, graph,
 from ..sources import relations as rel
 from ..sources.relations import KEY
 from ..streaming import feedback as stream
+from ..streaming import state
 
 QUERIES: dict = {}
 
@@ -673,27 +674,29 @@ def feedback_stream_scores(s: SparkSession, d: str) -> DataFrame:
     return stream.scores(stream.merge(stream.merge(None, parts[0]), parts[1])).select("dp_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
-def _few(s: SparkSession, d: str) -> DataFrame:
-    return rel.vectors(s, d).select("dp_id", F.slice("x", 1, 4).alias("x"))
-
-
-def _few_labeled(s: SparkSession, d: str) -> DataFrame:
-    return _labeled(s, d).select("dp_id", F.slice("x", 1, 4).alias("x"), "is_alarm")
+@query
+def feedback_state_scores(s: SparkSession, d: str) -> DataFrame:
+    """The labels as a stream of two micro-batches into keyed state, and the scores read from the state store."""
+    folder = graph.shared_folder(s, "feedback")
+    _labeled(s, d).select("dp_id", "is_alarm").repartition(2).write.parquet(f"{folder}/labels")
+    feed = s.readStream.schema("dp_id long, is_alarm boolean").option("maxFilesPerTrigger", 1).parquet(f"{folder}/labels")
+    state.follow(feed, rel.vectors(s, d), f"{folder}/loop").awaitTermination()
+    return state.scores(s, f"{folder}/loop").select("dp_id", *[(F.round(F.col(x), 6) + 0.0).alias(x) for x in ("positive", "negative", "score")])
 
 
 @query
 def kde_leave_in(s: SparkSession, d: str) -> DataFrame:
-    return vectors.leave_in_scores(_few(s, d), _few_labeled(s, d), 0.3).select("dp_id", (F.round("score", 5) + 0.0).alias("score"))
+    return vectors.leave_in_scores(rel.vectors(s, d), _labeled(s, d), 0.3, 0.4).select("dp_id", (F.round("score", 5) + 0.0).alias("score"))
 
 
 @query
 def kde_leave_one_out(s: SparkSession, d: str) -> DataFrame:
-    return vectors.leave_one_out_scores(_few(s, d), _few_labeled(s, d), 0.3).select("dp_id", (F.round("score", 6) + 0.0).alias("score"))
+    return vectors.leave_one_out_scores(rel.vectors(s, d), _labeled(s, d), 0.3, 0.4).select("dp_id", (F.round("score", 9) + 0.0).alias("score"))
 
 
 @query
 def kde_bandwidths(s: SparkSession, d: str) -> DataFrame:
-    return vectors.bandwidths(_few(s, d), [0.1, 0.3, 1.0, 3.0]).select("bandwidth", F.round("fitness", 4).alias("fitness"))
+    return vectors.bandwidths(rel.vectors(s, d), [0.3, 0.4, 1.0, 3.0]).select("bandwidth", F.round("fitness", 3).alias("fitness"))
 
 
 @query

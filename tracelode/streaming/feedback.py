@@ -1,9 +1,7 @@
-"""The feedback loop as a stream: each label moves the scores of all datapoints that are still open."""
+"""Feedback by batches: each label moves the scores of all datapoints, and sums of batches add up in any order. ``state`` keeps the same sums in a state store."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +9,11 @@ from ..operators import vectors
 
 
 def contribution(points: DataFrame, labeled: DataFrame, bandwidth: float) -> DataFrame:
-    """dp_id, pos, neg: sums of kernels over the labels of one batch, and how many they are (n, m)."""
-    from ..functions import values as v
-
-    lab = F.broadcast(labeled.join(points, "dp_id").select(F.col("x").alias("y"), "is_alarm"))
-    near = v.gaussian(v.distance2(F.col("x"), F.col("y")), bandwidth)
-    side = lambda c, flag: F.coalesce(F.sum(F.when(flag, c)), F.lit(0.0))
-    return points.join(lab).groupBy("dp_id").agg(side(near, F.col("is_alarm")).alias("pos"), side(near, ~F.col("is_alarm")).alias("neg"), F.count_if("is_alarm").alias("n"), F.count_if(~F.col("is_alarm")).alias("m"))
+    """dp_id, pos, neg: sums of kernels over the labels (dp_id, is_alarm) of one batch, and how many they are (n, m); points and labels meet in blocks."""
+    lab = labeled.join(points.select("dp_id", "x"), "dp_id").filter("x is not null")
+    count = lab.agg(F.count_if("is_alarm").alias("n"), F.count_if(~F.col("is_alarm")).alias("m")).first()
+    sums = vectors.kde_sums(points, lab, bandwidth)
+    return sums.select("dp_id", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("pos", "neg")], *[F.lit(count[x]).cast("long").alias(x) for x in ("n", "m")])
 
 
 def merge(state: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -29,33 +25,3 @@ def merge(state: DataFrame | None, more: DataFrame) -> DataFrame:
 def scores(state: DataFrame) -> DataFrame:
     mean = lambda s, n: F.when(F.col(n) > 0, F.col(s) / F.col(n)).otherwise(0.0)
     return state.select("dp_id", (mean("pos", "n") - mean("neg", "m")).alias("score"))
-
-
-def follow(feedback: DataFrame, points: DataFrame, state_path: str, bandwidth: float = 1.0, trigger: dict | None = None):
-    """Start a streaming query that keeps the state as versions under state_path, one for each micro-batch.
-
-    A batch that is run again after a failure writes its version anew from the one before, so labels count once.
-    """
-    spark = points.sparkSession
-
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(f"{state_path}/v{batch_id - 1}") if batch_id else None
-        merge(before, contribution(points, rows.select("dp_id", "is_alarm"), bandwidth)).write.mode("overwrite").parquet(f"{state_path}/v{batch_id}")
-
-    return feedback.writeStream.foreachBatch(batch).option("checkpointLocation", f"{state_path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
-
-
-def ask(points: DataFrame, oracle: Callable[[int], bool], amount: int, seed: list[tuple[int, bool]], bandwidth: float = 1.0) -> DataFrame:
-    """attempt, dp_id, is_alarm: the loop itself. The pool stays distributed; only the best point of each step reaches the driver."""
-    spark = points.sparkSession
-    asked: list[tuple[int, int, bool]] = [(i + 1, dp, hit) for i, (dp, hit) in enumerate(seed)]
-    frame = lambda rows: spark.createDataFrame(rows, "attempt int, dp_id long, is_alarm boolean")
-    state = contribution(points, frame(asked), bandwidth).persist() if asked else None
-    for _ in range(amount):
-        pool = vectors.pool(points, frame(asked)) if asked else points
-        best = (scores(state).join(pool.select("dp_id"), "dp_id") if state is not None else pool.select("dp_id", F.lit(0.0).alias("score"))).orderBy(F.desc("score"), "dp_id").first()
-        if best is None:
-            break
-        asked.append((len(asked) + 1, best["dp_id"], oracle(best["dp_id"])))
-        state = merge(state, contribution(points, frame(asked[-1:]), bandwidth)).persist()
-    return frame(asked)
