@@ -55,6 +55,13 @@ def then(batches: Iterator, last: Callable[[], None] = lambda: None) -> Iterator
         pass
 
 
+def rows_of(batches: Iterator) -> Iterator[dict]:
+    """The rows of Arrow batches, one at a time: rows that hold much are not turned into Python objects together."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {n: b.column(n)[i].as_py() for n in b.schema.names}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/tracelode/{name}-{uuid.uuid4().hex}"
 

@@ -197,13 +197,12 @@ def one_round(forest: DataFrame, centroids: list[list[int]]) -> list[tuple[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums, inertia = [0] * k, [[0] * dim for _ in range(k)], [0] * k
-        for b in batches:
-            for row in b.to_pylist():
-                got = gathered(_unpack(row, dim), m)
-                for j in range(k):
-                    n[j] += int(got[0][j])
-                    sums[j] = [p + int(q) for p, q in zip(sums[j], got[1][j], strict=True)]
-                    inertia[j] += got[2][j]
+        for row in c.rows_of(batches):
+            got = gathered(_unpack(row, dim), m)
+            for j in range(k):
+                n[j] += int(got[0][j])
+                sums[j] = [p + int(q) for p, q in zip(sums[j], got[1][j], strict=True)]
+                inertia[j] += got[2][j]
         out = [(j, i, x) for j in range(k) if n[j] for i, x in enumerate([n[j], inertia[j], *sums[j]])]
         yield pa.RecordBatch.from_pydict({"cluster": pa.array([o[0] for o in out], pa.int32()), "i": pa.array([o[1] for o in out], pa.int32()), "x": pa.array([Decimal(o[2]) for o in out], pa.decimal128(38, 0))})
 
@@ -216,15 +215,14 @@ def assigned(forest: DataFrame, centroids: list[list[int]]) -> DataFrame:
     dim, m = len(centroids[0]), np.array(centroids, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                tree = _unpack(row, dim)
-                cluster, distance = np.empty(len(tree.vectors), np.int32), np.empty(len(tree.vectors), np.int64)
-                for i, whole, live in descend(tree, m):
-                    own = slice(tree.start[i], tree.end[i])
-                    best, distance[own] = nearest(tree.vectors[own], m[live])
-                    cluster[own] = live[best] if whole is None else whole
-                yield pa.RecordBatch.from_pydict({"vec_id": pa.array(row["ids"], pa.int64()), "cluster": pa.array(cluster), "distance": pa.array(distance)})
+        for row in c.rows_of(batches):
+            tree = _unpack(row, dim)
+            cluster, distance = np.empty(len(tree.vectors), np.int32), np.empty(len(tree.vectors), np.int64)
+            for i, whole, live in descend(tree, m):
+                own = slice(tree.start[i], tree.end[i])
+                best, distance[own] = nearest(tree.vectors[own], m[live])
+                cluster[own] = live[best] if whole is None else whole
+            yield pa.RecordBatch.from_pydict({"vec_id": pa.array(row["ids"], pa.int64()), "cluster": pa.array(cluster), "distance": pa.array(distance)})
 
     return forest.mapInArrow(run, "vec_id long, cluster int, distance long")
 

@@ -155,12 +155,11 @@ def _search_block(held: DataFrame, items: list[str], numbers: list[int], k: int)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, df, n, total = pa.array(terms, pa.string()), np.zeros(len(terms), np.int64), 0, 0
-        for b in batches:
-            for row in b.to_pylist():
-                at, begin, end, lengths = _postings(row, asked)
-                df[at] += end - begin
-                n += int((lengths > 0).sum())
-                total += int(lengths.sum())
+        for row in c.rows_of(batches):
+            at, begin, end, lengths = _postings(row, asked)
+            df[at] += end - begin
+            n += int((lengths > 0).sum())
+            total += int(lengths.sum())
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, -2, at]), pa.array(np.r_[n, total, df[at]].astype(np.int64))], names=["term", "n"])
 
@@ -177,24 +176,23 @@ def _search_block(held: DataFrame, items: list[str], numbers: list[int], k: int)
         asked = pa.array(terms, pa.string())
         none = (np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64))
         best = [none] * len(of_item)
-        for b in batches:
-            for row in b.to_pylist():
-                at, begin, end, lengths = _postings(row, asked)
-                m = 25 + 75 * lengths * n_docs // all_terms
-                tree = RangeTree(begin, end, np.frombuffer(row["places"], "<u2"), np.frombuffer(row["counts"], "<u4"), m)
-                ids, absent = np.array([x or 0 for x in row["doc_ids"]], np.int64), np.array([x is None for x in row["doc_ids"]], bool)
-                line = np.full(len(terms), -1, np.int64)
-                line[at] = np.arange(len(at))
-                for i, (own, repeats) in enumerate(of_item):
-                    rows = line[own]
-                    here = rows >= 0
-                    if not here.any():
-                        continue
-                    known = best[i]
-                    floor = int(known[2][-1]) if len(known[2]) == k else 0
-                    p, s, _ = tree.best(rows[here], (weights[own] * repeats)[here], k, floor)
-                    if len(p):
-                        best[i] = _cut(*(np.concatenate(x) for x in zip(known, (ids[p], absent[p], s), strict=True)), k)
+        for row in c.rows_of(c.then(batches)):
+            at, begin, end, lengths = _postings(row, asked)
+            m = 25 + 75 * lengths * n_docs // all_terms
+            tree = RangeTree(begin, end, np.frombuffer(row["places"], "<u2"), np.frombuffer(row["counts"], "<u4"), m)
+            ids, absent = np.array([x or 0 for x in row["doc_ids"]], np.int64), np.array([x is None for x in row["doc_ids"]], bool)
+            line = np.full(len(terms), -1, np.int64)
+            line[at] = np.arange(len(at))
+            for i, (own, repeats) in enumerate(of_item):
+                rows = line[own]
+                here = rows >= 0
+                if not here.any():
+                    continue
+                known = best[i]
+                floor = int(known[2][-1]) if len(known[2]) == k else 0
+                p, s, _ = tree.best(rows[here], (weights[own] * repeats)[here], k, floor)
+                if len(p):
+                    best[i] = _cut(*(np.concatenate(x) for x in zip(known, (ids[p], absent[p], s), strict=True)), k)
         got = [(numbers[i], *x) for i, x in enumerate(best)]
         flat = lambda j, kind: np.concatenate([x[j] for x in got]) if got else np.empty(0, kind)
         item = np.repeat(np.array([x[0] for x in got], np.int64), [len(x[1]) for x in got])
