@@ -102,3 +102,9 @@ def has_field(doc: Column, name: str) -> Column:
 def grouped(doc: Column, names: list[str]) -> Column:
     """A map from each name to the part of the document under it."""
     return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[field(doc, n) for n in names]))
+
+
+def symbols(value: Column) -> Column:
+    """The symbols and call ids that a value uses, at any depth; texts of names and strings are not searched."""
+    bare = F.regexp_replace(value, r'("(?:Glob|Func|name)":)"(?:[^"\\]|\\.)*"', "$1null")
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(r'("Sym":\d+|"id":\d+)'), F.lit(1)))

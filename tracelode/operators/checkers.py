@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,3 +86,124 @@ def fopen_rule(instrs: DataFrame, closing: str = "fclose", writing: str = "fputs
 def matches(features: DataFrame, predicate: str) -> DataFrame:
     """Datapoints that satisfy a specification, a SQL expression over feature columns; an alarm is one that does not."""
     return features.withColumn("is_alarm", ~no(F.expr(predicate)))
+
+
+class Checker:
+    """A checker that plugs into ``run``: which targets it is for, what it finds in a trace, and which results are problematic."""
+
+    name: str
+    #: The result of a trace in which nothing is found; with None such a trace has no result.
+    default: str | None = "NoCheck"
+
+    def applies(self, returns: Column, kinds: Column) -> Column:
+        """Whether a target with such a result and arguments (an array of kinds, "*" for a pointer) is checked."""
+        return F.lit(True)
+
+    def results(self) -> Column:
+        """Aggregate over a trace's rows (with t, r and targs): an array of results, empty or null if nothing is found."""
+        raise NotImplementedError
+
+    def present(self) -> Column:
+        """Aggregate: whether a trace has what is checked; without it there is no result, not even the default."""
+        return F.lit(True)
+
+    def problematic(self, result: Column) -> Column:
+        return result == self.default
+
+
+def _checked(value: Column, side: Column, order: Column) -> Column:
+    other = F.when(F.col("op0") == value, F.col("op1")).when(F.col("op1") == value, F.col("op0"))
+    number = v.number_of(other)
+    hit = no(side & (F.col("op") == "ICmp") & number.isNotNull())
+    text = F.concat(F.lit("Checked("), F.when(F.col("pred") == "NE", "EQ").otherwise(F.col("pred")), F.lit(","), number.cast("string"), F.lit(")"))
+    first = F.min_by(F.when(hit, text), F.when(hit, order))
+    return F.when(first.isNotNull(), F.array(first))
+
+
+class ReturnValue(Checker):
+    """The first comparison of the target's result with a constant after the call."""
+
+    name = "retval"
+
+    def applies(self, returns: Column, kinds: Column) -> Column:
+        return returns != "void"
+
+    def results(self) -> Column:
+        return _checked(F.col("r"), F.col("idx") > F.col("t"), F.col("idx"))
+
+
+class ArgumentValue(Checker):
+    """The nearest comparison of argument i with a constant before the call; for pointers only."""
+
+    def __init__(self, i: int) -> None:
+        self.i, self.name = i, f"argval-{i}"
+
+    def applies(self, returns: Column, kinds: Column) -> Column:
+        return F.get(kinds, F.lit(self.i)) == "*"
+
+    def results(self) -> Column:
+        found = _checked(F.get("targs", F.lit(self.i)), F.col("idx") < F.col("t"), -F.col("idx"))
+        return F.coalesce(found, F.array().cast("array<string>"))
+
+    def present(self) -> Column:
+        return F.max(F.get("targs", F.lit(self.i))).isNotNull()
+
+
+class ArgumentRelation(Checker):
+    """Pairs of different arguments of the target that use a symbol or a call's result in common."""
+
+    name, default = "argrel", "NoRelation"
+
+    def results(self) -> Column:
+        args = F.max(F.when(F.col("is_target"), F.col("targs")))
+        used = F.transform(args, v.symbols)
+        pairs = F.flatten(F.transform(used, lambda a, i: F.filter(F.transform(used, lambda b, j: F.when((i != j) & F.arrays_overlap(a, b), F.concat(F.lit("Relation("), i.cast("string"), F.lit(","), j.cast("string"), F.lit(")")))), lambda x: x.isNotNull())))
+        return pairs
+
+
+class Called(Checker):
+    """Functions called after the target, one result for each."""
+
+    name, default = "causality", "None"
+
+    def results(self) -> Column:
+        call = (F.col("idx") > F.col("t")) & (F.col("op") == "Call")
+        return F.transform(F.array_sort(F.collect_set(F.when(call, F.col("func")))), lambda f: F.concat(F.lit("Causing("), f, F.lit(")")))
+
+
+def standard(arguments: int = 4) -> list[Checker]:
+    return [ReturnValue(), *[ArgumentValue(i) for i in range(arguments)], ArgumentRelation(), Called()]
+
+
+def run(instrs: DataFrame, checkers: Sequence[Checker], types: DataFrame | None = None) -> DataFrame:
+    """key, checker and result of all checkers from one grouping of the instructions by trace.
+
+    types: target, returns and kinds, a row for each target; without it every checker is for every target. A trace in which a checker finds nothing
+    has the checker's default, or no row if that is None; nor has it one if the checker isn't for the target or what it checks isn't there.
+    """
+    rows = with_target(instrs)
+    found = rows.groupBy(*KEY).agg(F.lit(1).alias("_one"), *[x for i, c in enumerate(checkers) for x in (c.results().alias(f"c{i}"), c.present().alias(f"p{i}"))])
+    for i, c in enumerate(checkers):
+        none = F.lit(None) if c.default is None else F.array(F.lit(c.default))
+        full = F.when(F.coalesce(F.size(f"c{i}"), F.lit(0)) > 0, F.col(f"c{i}")).otherwise(none)
+        found = found.withColumn(f"c{i}", F.when(F.col(f"p{i}"), full))
+    if types is not None:
+        fits = types.select("target", *[c.applies(F.col("returns"), F.col("kinds")).alias(f"f{i}") for i, c in enumerate(checkers)])
+        found = found.join(fits, "target", "left").withColumns({f"c{i}": F.when(F.col(f"f{i}"), F.col(f"c{i}")) for i in range(len(checkers))})
+    each = F.filter(F.array(*[F.struct(F.lit(c.name).alias("checker"), F.col(f"c{i}").alias("results")) for i, c in enumerate(checkers)]), lambda x: x["results"].isNotNull())
+    return found.select(*KEY, F.explode(each).alias("e")).select(*KEY, "e.checker", F.explode("e.results").alias("result"))
+
+
+def scored(results: DataFrame) -> DataFrame:
+    """The results of ``run`` with n and total (how often each occurs for its checker and target, and all of them) and score, 1 - n / total."""
+    counted = results.groupBy("checker", "target", "result").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy("checker", "target")))
+    return results.join(counted, ["checker", "target", "result"]).withColumn("score", 1 - F.col("n") / F.col("total"))
+
+
+def flagged(found: DataFrame, checkers: Sequence[Checker], threshold: float = 0.9) -> DataFrame:
+    """Of ``scored``, the problematic results whose score is above the threshold."""
+    bad = F.lit(False)
+    for c in checkers:
+        bad = bad | ((F.col("checker") == c.name) & no(c.problematic(F.col("result"))))
+    return found.filter(bad & (F.col("score") > threshold))

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -203,6 +203,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_with_count(df: DataFrame, path: str) -> int:
+    """Write df as Parquet under the path, and count its rows while that runs."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]
+
+
 def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of a DOT text, in order: nodes (id, label, is_target) and edges (src, dst, kind: du or cf)."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('\\"')), F.lit('"'))

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import values as v
 from ..sources.relations import KEY
+from . import graph
 
 #: The columns of each group that enter a vector, in order.
 GROUPS = {
@@ -163,6 +164,23 @@ def entropy(clusters: DataFrame, cluster: str = "cluster") -> DataFrame:
     return c.join(F.broadcast(total)).agg((-F.sum(p * F.log(p))).alias("entropy"))
 
 
+def neighbour_clusters(points: DataFrame, cut: float | None = None) -> DataFrame:
+    """dp_id, cluster: components of the graph that joins each point with its nearest other one, if that is no further than ``cut``; a cluster is named by its least dp_id. Points without vector are left out."""
+    near = nearest(points, points)
+    links = (near if cut is None else near.filter(F.col("distance") <= cut)).select(F.col("dp_id").alias("a"), F.col("other").alias("b"))
+    alone = points.filter("x is not null").select("dp_id").distinct()
+    found = graph.merged_clusters(links).withColumnRenamed("node", "dp_id")
+    return alone.join(found, "dp_id", "left").select("dp_id", F.coalesce("cluster", "dp_id").alias("cluster"))
+
+
+def neighbour_cluster_entropy(points: DataFrame, cut: float | None = None) -> DataFrame:
+    """entropy of the shares of the neighbour clusters, n_clusters and n_points; the entropy of no points is null."""
+    sizes = graph.written(neighbour_clusters(points, cut).groupBy("cluster").agg(F.count("*").alias("n")), "clusters")
+    total = sizes.agg(F.sum("n")).first()[0]
+    p = F.col("n") / F.lit(total)
+    return sizes.agg((-F.sum(p * F.log(p))).alias("entropy"), F.count("*").alias("n_clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_points"))
+
+
 def pool(points: DataFrame, labeled: DataFrame) -> DataFrame:
     """Points not labelled yet."""
     return points.join(labeled.select("dp_id"), "dp_id", "left_anti")

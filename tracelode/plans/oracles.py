@@ -252,4 +252,68 @@ O["legacy_result_table"] = sql("tt", "SELECT count(*)::BIGINT AS \"Count\", resu
 O["legacy_duplicates"] = sql("ti", "SELECT slice_id AS slice, trace_id, row_number() OVER (PARTITION BY slice_id, v ORDER BY trace_id) > 1 AS is_duplicate FROM (SELECT slice_id, trace_id, list_sort(list(DISTINCT op)) AS v FROM ti GROUP BY ALL)")
 O["phi_values"] = "SELECT event_id, CASE event_id % 3 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN event_type END AS value FROM events"
 
+
+# Extractors and checkers in one pass: the SQL of the single ones, on targets with three arguments.
+
+_three = lambda q: q.replace("args AS targs FROM ti WHERE is_target", """list_concat(args, ['{"Sym":' || k % 7 || '}', '{"Sym":' || k % 3 || '}']) AS targs FROM ti WHERE is_target""")
+_PARTS = [("ret", O["feat_ret"]), ("ret_check", O["feat_ret_check"]), ("control_flow", O["feat_control_flow"])]
+_PARTS += [(f"arg_{i}_{w}", O[f"feat_arg_{w}_0"].replace("targs[1]", f"targs[{i + 1}]")) for i in range(3) for w in ("pre", "post")]
+_PARTS += [("before", O["feat_before"]), ("after", O["feat_after"])]
+O["extract_all"] = "\nUNION ALL\n".join(
+    f"SELECT {KEY}, '{n}' AS extractor, {'func' if n in ('before', 'after') else 'NULL::VARCHAR'} AS func, feature, value FROM (UNPIVOT {_strip(_three(q))} ON COLUMNS(* EXCLUDE ({KEY}{', func' if n in ('before', 'after') else ''})) INTO NAME feature VALUE value)" for n, q in _PARTS
+)
+_symbols = lambda i: f"CASE WHEN len(targs) >= {i} THEN regexp_extract_all(targs[{i}], '\"Sym\":\\d+') END"
+
+
+def _all_checkers(pointers: list[int], arguments: int) -> str:
+    parts = [f"SELECT {KEY}, 'retval' AS checker, result FROM ({RETVAL})"]
+    parts += [f"SELECT {KEY}, 'argval-{i}', result FROM ({FIRST.format(key=KEY, side='idx < t', x=f'targs[{i + 1}]', n0=number('op0'), n1=number('op1'), pos='-idx')})" for i in pointers if i < arguments]
+    relations = " UNION ALL ".join(f"SELECT {KEY}, 'Relation({i},{j})' AS result FROM tg WHERE targs[{i + 1}] = targs[{j + 1}]" for i in range(3) for j in range(3) if i != j)
+    parts += [f"SELECT {KEY}, 'argrel', coalesce(result, 'NoRelation') FROM tg LEFT JOIN ({relations}) USING ({KEY})"]
+    parts += [f"SELECT {KEY}, 'causality', coalesce('Causing(' || func || ')', 'None') FROM tg LEFT JOIN (SELECT DISTINCT {KEY}, func FROM tt WHERE op = 'Call' AND idx > t) USING ({KEY})"]
+    return " UNION ALL ".join(parts)
+
+
+_SCORED = "SELECT *, count(*) OVER (PARTITION BY checker, target, result) AS n, count(*) OVER (PARTITION BY checker, target) AS total FROM al"
+O["checker_all"] = _three(sql("tt", f"SELECT checker, target, result, bc, slice_id, trace_id, n, total, round(1 - n / total, 6) AS score FROM ({_SCORED})", al=_all_checkers([0, 2], 4)))
+O["checker_flagged"] = _three(sql("tt", f"SELECT {KEY}, checker, result FROM ({_SCORED}) WHERE 1 - n / total > 0.2 AND result IN ('NoCheck', 'NoRelation', 'None')", al=_all_checkers([0, 1, 2], 3)))
+
+# Walks.
+
+_same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in KEY.split(", "))
+USES = f"SELECT DISTINCT {KEY}, idx, unnest(list_concat([op0, op1, cond, mem, val], coalesce(args, []))) AS u FROM ti"
+FLOW = f"""SELECT {KEY}, src, dst FROM (SELECT u.target, u.bc, u.slice_id, u.trace_id, max(g.idx) AS src, u.idx AS dst FROM us u JOIN ti g ON {_same("u", "g")} AND g.res = u.u AND g.idx < u.idx WHERE u.u IS NOT NULL GROUP BY ALL, u.u)
+UNION SELECT l.target, l.bc, l.slice_id, l.trace_id, max(s.idx), l.idx FROM ti l JOIN ti s ON {_same("l", "s")} AND l.mem = s.mem AND s.idx < l.idx AND s.op = 'Store' WHERE l.op = 'Load' GROUP BY ALL"""
+FLOW = FLOW.replace("GROUP BY ALL, u.u)", "GROUP BY u.target, u.bc, u.slice_id, u.trace_id, u.idx, u.u)")
+O["def_use_edges"] = sql("ti", "SELECT * FROM fl", us=USES, fl=FLOW)
+
+
+def _dictionary(forward: bool) -> str:
+    a, b = ("src", "dst") if forward else ("dst", "src")
+    struct = lambda c: f"({c} IN ('purchase', 'f1', 'f4'))"
+    return sql(
+        "tt", f"""SELECT c.target, c.func, round(sum(1 + CASE WHEN c.func = c.target THEN 10 ELSE 0 END + CASE WHEN list_has_any(c.args, c.targs) THEN 2 ELSE 0 END + CASE WHEN coalesce(list_contains(c.args, c.r), false) OR coalesce(list_contains(c.targs, c.res), false) THEN 2 ELSE 0 END
+        + CASE WHEN {struct("c.func")} = {struct("c.target")} THEN 1 ELSE 0 END) / (SELECT count(*) FROM tg), 6) AS weight FROM tt c WHERE c.op = 'Call' AND c.idx <> c.t AND EXISTS (FROM wk WHERE {_same("wk", "c")} AND wk.id = c.idx) GROUP BY c.target, c.func""",
+        us=USES, fl=FLOW, wk=f"SELECT {KEY}, t AS id FROM tg UNION SELECT w.target, w.bc, w.slice_id, w.trace_id, f.{b} FROM wk w JOIN fl f ON {_same('w', 'f')} AND f.{a} = w.id",
+    )
+
+
+O["dictionary_after"], O["dictionary_before"] = _dictionary(True), _dictionary(False)
+KEPT = {
+    "us": USES, "fl": FLOW, "ow": "SELECT * FROM tt",
+    "up": f"SELECT {KEY}, idx AS id FROM ow WHERE idx = t OR op = 'CondBr' UNION SELECT w.target, w.bc, w.slice_id, w.trace_id, f.src FROM up w JOIN fl f ON {_same('w', 'f')} AND f.dst = w.id",
+    "kp": f"(SELECT * FROM up UNION SELECT {KEY}, idx FROM ow WHERE func = 'f3') UNION SELECT w.target, w.bc, w.slice_id, w.trace_id, f.dst FROM kp w JOIN fl f ON {_same('w', 'f')} AND f.src = w.id",
+}
+O["dugraph_kept"] = sql("tt", "SELECT * FROM kp", **KEPT)
+O["dugraph_spliced"] = sql("tt", f"SELECT * FROM (SELECT {KEY}, id AS src, lead(id) OVER (PARTITION BY {KEY} ORDER BY id) AS dst FROM kp) WHERE dst IS NOT NULL", **KEPT)
+O["block_paths"] = """SELECT func, stop, path FROM (SELECT DISTINCT 'region' || lpad(n_regionkey::VARCHAR, 8, '0') AS func, 'part' || lpad(l_partkey::VARCHAR, 8, '0') AS stop,
+'region' || lpad(n_regionkey::VARCHAR, 8, '0') || '>nation' || lpad(n_nationkey::VARCHAR, 8, '0') || '>customer' || lpad(c_custkey::VARCHAR, 8, '0') || '>order' || lpad(o_orderkey::VARCHAR, 8, '0') || '>part' || lpad(l_partkey::VARCHAR, 8, '0') AS path
+FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey) QUALIFY row_number() OVER (PARTITION BY func, stop ORDER BY path) <= 2"""
+O["choices_page"] = """WITH RECURSIVE o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS i, list(l_linenumber::VARCHAR ORDER BY l_linenumber::VARCHAR) AS opts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey),
+c AS (SELECT o_custkey, 0 AS i, r AS number, r::HUGEINT AS rest, '' AS choice FROM (SELECT DISTINCT o_custkey FROM o), range(1000, 1005) t(r)
+  UNION ALL SELECT c.o_custkey, c.i + 1, number, rest // len(opts), opts[(rest % len(opts))::BIGINT + 1] || choice FROM c JOIN o ON o.o_custkey = c.o_custkey AND o.i = c.i + 1)
+SELECT o_custkey, number, choice FROM c JOIN (SELECT o_custkey, max(i) AS i FROM o GROUP BY o_custkey) USING (o_custkey, i) WHERE rest = 0"""
+O["mdc_entropy"] = sql("vec", "SELECT round(-sum(n / t * ln(n / t)), 6) AS entropy, count(*) AS n_clusters, sum(n)::BIGINT AS n_points FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT a, min(b) AS c FROM cl GROUP BY a) GROUP BY c)",
+    nn=f"SELECT dp_id AS a, other AS b FROM (SELECT b.dp_id, a.dp_id AS other, {D2} AS d FROM vec a, vec b WHERE a.dp_id <> b.dp_id) QUALIFY row_number() OVER (PARTITION BY dp_id ORDER BY d, other) = 1",
+    lk="SELECT a, b FROM nn UNION SELECT b, a FROM nn", cl="SELECT dp_id AS a, dp_id AS b FROM vec UNION SELECT c.a, l.b FROM cl c JOIN lk l ON l.a = c.b")
 ORACLES = O

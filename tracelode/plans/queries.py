@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import values as v
-from ..operators import checkers, dataflow, evaluate, features, filters, graph, labels, learn, legacy, occurrence, symbolic, vectors
+from ..operators import checkers, dataflow, evaluate, extractors, features, filters, graph, labels, learn, legacy, occurrence, symbolic, vectors, walks
 from ..sources import relations as rel
 from ..sources.relations import KEY
 from ..streaming import feedback as stream
@@ -726,6 +727,135 @@ def phi_values(s: SparkSession, d: str) -> DataFrame:
     return dataflow.phi_values(e).select("event_id", "value")
 
 
+# Extractors and checkers that plug into one pass.
+
+
+def _with_arguments(s: SparkSession, d: str) -> DataFrame:
+    """Traces whose target has three arguments."""
+    more = F.array(F.concat(F.lit('{"Sym":'), F.col("k") % 7, F.lit("}")), F.concat(F.lit('{"Sym":'), F.col("k") % 3, F.lit("}")))
+    return rel.trace_instrs(s, d).withColumn("args", F.when(F.col("is_target"), F.concat("args", more)).otherwise(F.col("args")))
+
+
+@query
+def extract_all(s: SparkSession, d: str) -> DataFrame:
+    """All features of each trace from one pass, a row for each extractor, function (for causality) and feature."""
+    members = extractors.standard(5, arguments=3)
+    out = extractors.run(_with_arguments(s, d), members)
+    words = _words(s, d).groupBy("target").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "func"))), lambda x: x["func"]).alias("_words"))
+    out = out.join(words, "target", "left")
+
+    def cell(extractor: str, func: Column, feature: str, value: Column) -> Column:
+        return F.struct(F.lit(extractor).alias("extractor"), func.alias("func"), F.lit(feature).alias("feature"), value.alias("value"))
+
+    def cells(e: extractors.Extractor) -> list[Column]:
+        kind = out.schema[e.name].dataType
+        if e.parts == 1:
+            return [F.array(cell(e.name, F.lit(None).cast("string"), f, F.col(f"{e.name}.{f}"))) for f in kind.names]
+        return [F.transform(e.name, lambda x, j: F.array(*[cell(e.name, F.get("_words", j), f, x[f]) for f in kind.elementType.names])).alias(e.name)]
+
+    found = [F.flatten(x) if e.parts > 1 else x for e in members for x in cells(e)]
+    return out.select(*KEY, F.explode(F.concat(*found)).alias("_f")).select(*KEY, "_f.*")
+
+
+@query
+def checker_all(s: SparkSession, d: str) -> DataFrame:
+    """Results of all checkers from one pass, with how rare each is."""
+    ti = _with_arguments(s, d)
+    types = ti.select("target").distinct().select("target", F.lit("int").alias("returns"), F.array(F.lit("*"), F.lit("int"), F.lit("*")).alias("kinds"))
+    return checkers.scored(checkers.run(ti, checkers.standard(), types)).withColumn("score", F.round("score", 6))
+
+
+@query
+def checker_flagged(s: SparkSession, d: str) -> DataFrame:
+    members = checkers.standard(3)
+    return checkers.flagged(checkers.scored(checkers.run(_with_arguments(s, d), members)), members, 0.2).select(*KEY, "checker", "result")
+
+
+# Walks over the data flow of traces and over blocks.
+
+
+@query
+def def_use_edges(s: SparkSession, d: str) -> DataFrame:
+    return walks.def_use_edges(rel.trace_instrs(s, d))
+
+
+def _argument_types(s: SparkSession, d: str) -> DataFrame:
+    """The target and two of the functions use a struct in common."""
+    names = rel.trace_instrs(s, d).filter("func is not null").select("func").distinct()
+    return names.select("func", F.when(F.col("func").isin("purchase", "f1", "f4"), "void (%struct.cart*)").otherwise("void (%struct.other*, i32)").alias("type"))
+
+
+@query
+def dictionary_after(s: SparkSession, d: str) -> DataFrame:
+    ti = rel.trace_instrs(s, d)
+    return walks.causal_dictionary(ti, walks.def_use_edges(ti), _argument_types(s, d)).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def dictionary_before(s: SparkSession, d: str) -> DataFrame:
+    ti = rel.trace_instrs(s, d)
+    return walks.causal_dictionary(ti, walks.def_use_edges(ti), _argument_types(s, d), forward=False).withColumn("weight", F.round("weight", 6))
+
+
+def _reduced_traces(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    ti = rel.trace_instrs(s, d)
+    has = F.max("is_target").over(Window.partitionBy(*KEY))
+    own = ti.withColumn("_has", has).filter("_has")
+    nodes = own.select(*KEY, F.col("idx").alias("id"), "is_target", (F.col("op") == "CondBr").alias("is_control"), (F.coalesce(F.col("func"), F.lit("")) == "f3").alias("is_related"))
+    return walks.kept_nodes(nodes, walks.def_use_edges(own)), dataflow.control_edges(own)
+
+
+@query
+def dugraph_kept(s: SparkSession, d: str) -> DataFrame:
+    return _reduced_traces(s, d)[0]
+
+
+@query
+def dugraph_spliced(s: SparkSession, d: str) -> DataFrame:
+    return walks.spliced(*_reduced_traces(s, d))
+
+
+def _block_edges(s: SparkSession, d: str) -> DataFrame:
+    """A function for each region, a block for it, its nations, customers, orders and the parts ordered."""
+    n, cu, o, li = (rel.table(s, d, t) for t in ("nation", "customer", "orders", "lineitem"))
+    name = lambda prefix, col: F.concat(F.lit(prefix), F.lpad(F.col(col).cast("string"), 8, "0"))
+    nation = n.select("n_nationkey", name("region", "n_regionkey").alias("func"))
+    customer = cu.join(nation, cu["c_nationkey"] == nation["n_nationkey"])
+    order = o.join(customer.select("c_custkey", "func"), o["o_custkey"] == F.col("c_custkey"))
+    part = li.join(order.select("o_orderkey", "func"), li["l_orderkey"] == F.col("o_orderkey"))
+    edge = lambda df, a, b: df.select("func", a.alias("src"), b.alias("dst"))
+    return (
+        edge(nation, F.col("func"), name("nation", "n_nationkey")).unionAll(edge(customer, name("nation", "n_nationkey"), name("customer", "c_custkey")))
+        .unionAll(edge(order, name("customer", "o_custkey"), name("order", "o_orderkey"))).unionAll(edge(part, name("order", "l_orderkey"), name("part", "l_partkey")))
+    )
+
+
+@query
+def block_paths(s: SparkSession, d: str) -> DataFrame:
+    """The first two paths from the entry to each part."""
+    edges = _block_edges(s, d)
+    ends = edges.filter("dst like 'part%'").select("func", F.col("func").alias("start"), F.col("dst").alias("stop")).distinct()
+    return walks.block_paths(edges, ends, 2).select("func", "stop", F.array_join("path", ">").alias("path"))
+
+
+def _options(s: SparkSession, d: str) -> DataFrame:
+    """For each customer its orders as parts, the lines of each as options."""
+    o, li = rel.table(s, d, "orders"), rel.table(s, d, "lineitem")
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber").cast("string"))).alias("options"))
+    return o.join(lines, o["o_orderkey"] == lines["l_orderkey"]).select("o_custkey", "o_orderkey", "options")
+
+
+@query
+def choices_page(s: SparkSession, d: str) -> DataFrame:
+    """Ways 1000 to 1004 of the product of each customer's orders, most of which have more than can be built."""
+    return walks.numbered_choices(_options(s, d), ["o_custkey"], "o_orderkey", "options", first=1000, most=5).select("o_custkey", "number", F.array_join("choice", "").alias("choice"))
+
+
+@query
+def mdc_entropy(s: SparkSession, d: str) -> DataFrame:
+    return vectors.neighbour_cluster_entropy(rel.vectors(s, d)).select(F.round("entropy", 6).alias("entropy"), "n_clusters", "n_points")
+
+
 # Learners and the trace producer: no SQL says what they compute.
 
 
