@@ -66,10 +66,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/tracelode/{name}-{uuid.uuid4().hex}"
 
 
-def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written_at(df: DataFrame, name: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: computed once, and safe from lost executors. Also the folder."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
