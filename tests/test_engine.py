@@ -168,7 +168,7 @@ def test_workspace(spark, tmp_path):
     assert (row.target, row.bc, row.func, row.args, row.res, row.is_target) == ("f", "x.bc", "f", ['{"Int":4}'], '{"Sym":0}', True)
     db.save(db.slices("f"), "slices")
     assert db.load("slices").count() == 1
-    db.remove("slices", "f")
+    db.remove("slices", target="f")
     alarms = spark.createDataFrame([("x", 1, 2, 0.5, "a,b")], "bc string, slice_id long, trace_id long, score double, alarms string")
     db.save_alarms(alarms, "e")
     assert db.alarms(f"{root}/learning/e/alarms.csv").first()["alarms"] == "a,b"
@@ -191,19 +191,60 @@ def test_engine_from_program_to_features(spark, tmp_path):
         ("main", "b1", 0, "ret", None, []), ("main", "b2", 0, "call", "q", [{"func": "helper"}, {"reg": "p"}]), ("main", "b2", 1, "ret", None, [{"reg": "q"}]), ("helper", "b0", 0, "ret", None, [{"arg": 0}]),
     ])
     edges = spark.createDataFrame([("a", "main.c:0:1", "main", "lock"), ("a", "main.c:0:2", "main", "helper"), ("a", "x", "main", "llvm.dbg.value")], "bc string, edge_id string, caller string, callee string")
-    engine.analyze(ir, edges, include="lock", reduce=False)
+    engine.analyze(ir, edges, include="lock")
     assert engine.slices("lock").first()["functions"] == ["helper", "main"]
-    assert engine.num_traces().first()["n_traces"] == 2
+    assert engine.num_traces().first()["n_traces"] == engine.num_traces(function="lock", where="ret_check.checked").first()["n_traces"] == 2
+    assert {(r.bc, r.n_slices) for r in engine.num_slices(function="lock").collect()} == {("a", 1), ("Total", 1)}
     checks = engine.features("ret_check").orderBy("trace_id").collect()
     assert all(r.checked and r.slice_checked for r in checks) and {r.br_eq_zero for r in checks} == {True, False}
     assert any(r.returned for r in engine.features("ret").collect())
     assert engine.features("arg_0_pre", where="is_global", one_per_slice=True).count() == 1
     assert {r.func for r in engine.features("after").collect()} == {"lock", "helper"}
+    for what in (engine.trace, engine.feature):
+        assert what("lock", "a", 0, 1).count() > 0
+        with pytest.raises(KeyError, match="lock/a/0/7"):
+            what("lock", "a", 0, 7)
+    # Labels in place, and a learner that is held against them.
+    chosen = engine.feature("lock", "a", 0, 1)
+    before = engine.db.versions.latest()
+    engine.label(chosen, "bug-alarm")
+    assert [(r.trace_id, r.labels) for r in engine.labels("lock", "alarm").collect()] == [(1, ["bug-alarm"])]
+    assert "labels" not in before.tables and before.read("features").count() == 2
+    found = engine.learn("lock", "kde", label="bug", amount=2, counts=[1, 2], exp="e").orderBy("rank").collect()
+    assert [r.rank for r in found] == [1, 2] and sum(r.is_alarm for r in found) == 1
+    said, saved = engine.db.load_learning("e")
+    assert said["model"]["hits"]["2"] == 1 and len(said["unified"]) == len(saved.first()["x"])
+    assert engine.learn("lock", "one-class", spec="ret.returned", nu=0.5).columns[-1] == "is_alarm"
+    assert engine.learn("lock", "svc", spec="ret.returned").count() <= 2
+    with pytest.raises(ValueError, match="needs a label"):
+        engine.learn("lock", "kde")
+    engine.label(chosen, "bug-alarm", erase=True)
+    assert engine.labels("lock", "alarm").count() == 0
     engine.remove("lock")
+    assert engine.num_traces().first()["n_traces"] == 0 and engine.db.load("features").count() == engine.db.load("labels").count() == 0
     asked = engine.learn_active(spark.createDataFrame([(i, [float(i)]) for i in range(4)], "dp_id long, x array<double>"), lambda i: i == 1, 2, [(0, True)])
     assert [(r.tp, r.fp) for r in asked.collect()] == [(1, 1), (2, 1), (2, 2)]
 
 
+def test_slices_by_file_types_and_entry(spark, tmp_path):
+    """Files don't mix, ids count by target and file, structs decide what stays, and entries are chosen by their file."""
+    from tracelode.api import Engine
+
+    engine = Engine.init(spark, str(tmp_path))
+    edges = spark.createDataFrame(
+        [("a", "1", "main", "lock"), ("a", "2", "main", "uses"), ("a", "3", "main", "other"), ("b", "1", "go", "lock"), ("b", "2", "go", "lock"), ("b", "3", "top", "go"), ("b", "4", "low", "go")], "bc string, edge_id string, caller string, callee string"
+    )
+    engine.slice(edges, include="lock")
+    rows = lambda: {(r.bc, r.slice_id, r.entry, tuple(r.functions)) for r in engine.slices("lock").collect()}
+    assert rows() == {("a", 0, "main", ("main", "other", "uses"))} | {("b", i, e, ("go", e) if e == "low" or e == "top" else (e,)) for i, e in enumerate(["low", "top", "low", "top"])}
+    types = spark.createDataFrame([("lock", "void (%struct.m*)"), ("uses", "i32 (%struct.m*)"), ("other", "void (%struct.n*)")], "func string, type string")
+    files = spark.createDataFrame([("b", "low", "drivers/x.c"), ("b", "top", "fs/y.c")], "bc string, func string, file string")
+    engine.slice(edges, include="lock", types=types, files=files, entry_file="^drivers")
+    assert rows() == {("a", 0, "main", ("main", "uses")), ("b", 0, "low", ("low",)), ("b", 1, "low", ("low",))}
+    path = engine.find_occurrences(spark.createDataFrame([("a", "lock", "void", ["*"]), ("b", "lock", "void", ["*"]), ("a", "uses", "int", ["int"])], "bc string, func string, returns string, kinds array<string>"), edges, pointer=True)
+    assert {r.file: json.loads(r.value) for r in spark.read.text(path).collect()} == {"a_ptr": {"lock": 1}, "b_ptr": {"lock": 2}}
+
+
 def test_clusters_of_long_chains(spark, tmp_path):
     """A chain of more than 20 links is one cluster, and too few rounds are an error."""
     spark.sparkContext.setCheckpointDir(str(tmp_path))

@@ -45,7 +45,7 @@ def rows_of(df, names):
     return {tuple(r[k] for k in KEY): tuple(r[n] for n in names) for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(1))
 def test_fused_extractors_find_what_the_single_ones_find(spark, seed):
     ti = traces(spark, seed).cache()
     long = ti.drop("t", "value", "start")

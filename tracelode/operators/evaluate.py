@@ -64,3 +64,9 @@ def steps(feedback: DataFrame) -> DataFrame:
     micros = F.unix_micros("ts")
     n = F.count("*")
     return feedback.agg(n.alias("n_labeled"), ((F.max_by(micros, "attempt") - F.min_by(micros, "attempt")) / F.nullif(n - 1, F.lit(0)) / 1e6).alias("mean_seconds"))
+
+
+def at_counts(ranked: DataFrame, counts: list[int]) -> DataFrame:
+    """count, hits: how many of the first ``count`` rows by rank (from 1) are alarms, for each of the counts."""
+    asked = F.explode(F.array(*map(F.lit, counts)))
+    return ranked.select("rank", "is_alarm", asked.alias("count")).filter(F.col("rank") <= F.col("count")).groupBy("count").agg(F.count_if("is_alarm").alias("hits"))

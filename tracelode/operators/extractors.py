@@ -267,11 +267,12 @@ class ArgumentAfter(Extractor):
 class Causality(_Checked):
     """How calls of the target's heaviest functions before or after it relate to it; one struct for each of them, by rank."""
 
-    def __init__(self, after: bool, size: int = 5, depth: int = 2) -> None:
-        self.name, self.after, self.parts, self.depth = "after" if after else "before", after, size, depth
+    def __init__(self, after: bool, size: int = 5, depth: int = 2, words: DataFrame | None = None) -> None:
+        """words: target, func and rank, if they are known already."""
+        self.name, self.after, self.parts, self.depth, self.words = "after" if after else "before", after, size, depth, words
 
     def gather(self, instrs: DataFrame) -> DataFrame:
-        words = features.top_functions(features.dictionary(instrs), self.parts)
+        words = features.top_functions(features.dictionary(instrs), self.parts) if self.words is None else self.words
         return words.groupBy("target").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "func"))), lambda x: x["func"]).alias(f"top_{self.parts}"))
 
     def _function(self, j: int) -> Column:
@@ -324,10 +325,10 @@ class Causality(_Checked):
         }
 
 
-def standard(dictionary_size: int = 5, arguments: int = 7) -> list[Extractor]:
+def standard(dictionary_size: int = 5, arguments: int = 7, words: DataFrame | None = None) -> list[Extractor]:
     """All extractors of the engine."""
     pairs = [x for i in range(arguments) for x in (ArgumentBefore(i), ArgumentAfter(i))]
-    return [Result(), ResultCheck(), *pairs, Causality(False, dictionary_size), Causality(True, dictionary_size), ControlFlow()]
+    return [Result(), ResultCheck(), *pairs, Causality(False, dictionary_size, words=words), Causality(True, dictionary_size, words=words), ControlFlow()]
 
 
 def run(instrs: DataFrame, extractors: Sequence[Extractor], types: DataFrame | None = None) -> DataFrame:

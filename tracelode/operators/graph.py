@@ -48,9 +48,9 @@ def edge_entries(edges: DataFrame, targets: DataFrame, depth: int = 1) -> DataFr
     return calls.join(now, "caller").select("target", "edge_id", "caller", "entry")
 
 
-def numbered_slices(slices: DataFrame) -> DataFrame:
-    """slice_id: the place of a slice among those of its target, from 0, by edge and entry."""
-    return slices.withColumn("slice_id", F.row_number().over(Window.partitionBy("target").orderBy("edge_id", "entry")) - 1)
+def numbered_slices(slices: DataFrame, by: tuple[str, ...] = ("target",)) -> DataFrame:
+    """slice_id: the place of a slice among those of its target (or target and file), from 0, by edge and entry."""
+    return slices.withColumn("slice_id", F.row_number().over(Window.partitionBy(*by).orderBy("edge_id", "entry")) - 1)
 
 
 def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
@@ -94,6 +94,12 @@ def num_elements(batched: DataFrame) -> DataFrame:
     return batched.rollup("target").agg(F.count("*").alias("n"))
 
 
+def of_entries(slices: DataFrame, files: DataFrame, pattern: str) -> DataFrame:
+    """Slices whose entry stands in a file that matches the regular expression, or in none that is known (files: entry, file, a row each)."""
+    named = files.select("entry", F.col("file").alias("_file"))
+    return slices.join(named, "entry", "left").filter(F.col("_file").isNull() | F.col("_file").rlike(pattern)).drop("_file")
+
+
 def share_structs(a: Column, b: Column) -> Column:
     """Two functions use a struct type in common."""
     return F.arrays_overlap(a, b)

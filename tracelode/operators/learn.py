@@ -4,7 +4,7 @@ Fits on unlabelled points collect at most MAX_SAMPLE of them, those least by has
 ``ssad`` takes all labelled points besides, and ``mcmc_mask`` counts all rows.
 
 Defined cases: without points a result is empty (an entropy is null, a mask empty); without anything to fit on scores are 0, and a classifier
-that was given one class only answers with it. Repeated rows each count and get a row.
+that was given one class only answers with it. Repeated rows each count and get a row. Points without vector take no part and get none.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ MAX_SAMPLE = 2000
 
 
 def sample(points: DataFrame, most: int = MAX_SAMPLE) -> np.ndarray:
-    rows = points.select("dp_id", "x").orderBy(F.xxhash64("dp_id"), "dp_id").limit(most).collect()
+    rows = points.select("dp_id", "x").filter("x is not null").orderBy(F.xxhash64("dp_id"), "dp_id").limit(most).collect()
     return np.array([r["x"] for r in rows], float)
 
 
@@ -32,7 +32,7 @@ def scored(points: DataFrame, score: Callable[[np.ndarray], np.ndarray]) -> Data
             x = np.stack(b["x"].to_numpy()) if len(b) else np.empty((0, 0))
             yield pd.DataFrame({"dp_id": b["dp_id"], "score": score(x) if len(b) else []})
 
-    return points.select("dp_id", "x").mapInPandas(run, "dp_id long, score double")
+    return points.select("dp_id", "x").filter("x is not null").mapInPandas(run, "dp_id long, score double")
 
 
 def isolation_forest(points: DataFrame, trees: int = 100, size: int = 256, contamination: float = 0.01, seed: int = 0) -> DataFrame:
@@ -98,7 +98,7 @@ def _to_simplex(a: np.ndarray, top: float) -> np.ndarray:
 
 def ssad(points: DataFrame, labeled: DataFrame, kappa: float = 1.0, cost: float = 1.0, steps: int = 500, most: int = 600) -> DataFrame:
     """dp_id, score of semi-supervised anomaly detection: labelled alarms (y = -1) are pushed out of, others (y = 1) into the region of the sample, which is all labelled points and ``most`` of the others. labeled: dp_id, y."""
-    given = points.join(F.broadcast(labeled.select("dp_id", "y")), "dp_id", "left").select("x", F.coalesce("y", F.lit(0)).alias("y"), "dp_id")
+    given = points.filter("x is not null").join(labeled.select("dp_id", "y"), "dp_id", "left").select("x", F.coalesce("y", F.lit(0)).alias("y"), "dp_id")
     others = given.filter("y = 0").orderBy(F.xxhash64("dp_id"), "dp_id").limit(most)
     rows = sorted(given.filter("y <> 0").unionAll(others).collect(), key=lambda r: r["dp_id"])
     x, y = np.array([r["x"] for r in rows], float), np.array([r["y"] or 1 for r in rows], float)
@@ -128,7 +128,7 @@ def random_features(points: DataFrame, features: int = 64, gamma: float = 0.5, s
             z = np.sqrt(2 / features) * np.cos(np.stack(p["x"].to_numpy()) @ w + b) if len(p) else []
             yield pd.DataFrame({"dp_id": p["dp_id"], "z": list(z)})
 
-    return points.select("dp_id", "x").mapInPandas(run, "dp_id long, z array<double>")
+    return points.select("dp_id", "x").filter("x is not null").mapInPandas(run, "dp_id long, z array<double>")
 
 
 def _one_label(train: DataFrame) -> int | None:

@@ -40,6 +40,24 @@ def encode(features: DataFrame, groups: Sequence[str], key: Sequence[str] = KEY)
     return features.select(*key, F.array(*cols).alias("x"))
 
 
+def encode_structs(rows: DataFrame, names: Sequence[str], sizes: dict[str, int]) -> tuple[DataFrame, list[str]]:
+    """key and x, the flags of the structs in columns ``names`` one after the other (true 1, false 0, unknown -1), and what each place means.
+
+    An array of structs gives sizes[name] of them, those that aren't there unknown.
+    """
+    parts, said = [], []
+    for n in names:
+        kind = rows.schema[n].dataType
+        several = hasattr(kind, "elementType")
+        for j in range(sizes.get(n, 0) if several else 1):
+            one = F.get(n, F.lit(j)) if several else F.col(n)
+            for f in (kind.elementType if several else kind).names:
+                parts.append(v.encode_bool(one[f]))
+                said.append(f"{n}.{j}.{f}" if several else f"{n}.{f}")
+    x = F.array(*parts) if parts else F.array().cast("array<int>")
+    return rows.select(*KEY, x.alias("x")), said
+
+
 def meanings(groups: Sequence[str]) -> list[str]:
     """What each place of a vector means."""
     return [f"{g}.{x}" for g in groups for x in GROUPS[g]]
@@ -130,6 +148,16 @@ def ranked_alarms(scores: DataFrame, limit: int | None = None, ascending: bool =
     return out if limit is None else out.limit(limit)
 
 
+def with_ranks(scores: DataFrame, order: Sequence[str], parts: int = 64) -> DataFrame:
+    """rank, from 1, in order: rows are dealt by ranges of the first column of the order, ranked there, and moved up by the rows of the ranges before, so no task orders all of them."""
+    cuts = sorted(set(scores.approxQuantile(order[0], [i / parts for i in range(1, parts)], 0.01)))
+    part = sum((F.when(F.col(order[0]) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    rows = graph.written(scores.withColumn("_part", part), "ranges")
+    before = rows.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    here = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.withColumn("_here", here).join(before, "_part").withColumn("rank", (F.col("_here") + F.col("_before")).cast("long")).drop("_part", "_here", "_before")
+
+
 def mean_distance(points: DataFrame) -> DataFrame:
     """The mean distance of all pairs i < j."""
 

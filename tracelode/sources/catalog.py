@@ -1,7 +1,10 @@
 """The database of an analysis: a directory of JSON documents and tables, and its sources and sinks.
 
 Layout: packages/<name>/index.json; analysis/occurrences/<bc>.json; analysis/{slices,traces,features}/<target>/<bc>/...
-JSON documents are read with declared schemas; what the engine writes itself is Parquet by target and file.
+JSON documents are read with declared schemas; what the engine writes itself are versioned tables (``versions``) by target and file.
+
+Documents are looked up by key: only the files of the key are listed and opened. A target that the database doesn't have, or a full key without document, raises
+KeyError; parts of a key that are given as a range of ids take what is there.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import Versions
+
 MARKER = ".tracelode"
 SOURCE = "struct<src_type:string,link:string>"
 BUILD = "struct<build_type:string,build_dir:string,result:string,libs:array<string>>"
@@ -27,6 +32,7 @@ class Workspace:
         self.spark, self.root = spark, root.rstrip("/")
         if not self._exists(f"{self.root}/{MARKER}"):
             raise FileNotFoundError(f"{root} is no database: it lacks {MARKER}")
+        self.versions = Versions(spark, f"{self.root}/tables")
 
     @classmethod
     def init(cls, spark: SparkSession, root: str) -> Workspace:
@@ -90,6 +96,55 @@ class Workspace:
         rows = self.spark.read.text(path, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
         return rows.select(_part(4).alias("target"), _part(3).alias("bc"), _number(2).alias("slice_id"), _number(1).alias("trace_id"), F.to_json(F.parse_json("value")).alias("doc"))
 
+    def _paths(self, kind: str, key: list[str | int | range | None]) -> list[str]:
+        """Files of documents by key: a value, a range of ids, or None for all; each level lists only the folders that fit."""
+        fs, top = self._fs(f"{self.root}/analysis/{kind}")
+        found = [top] if fs.exists(top) else []
+        for depth, part in enumerate(key):
+            last, below = depth == len(key) - 1, []
+            for p in found:
+                if isinstance(part, str | int):
+                    child = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, f"{part}.json" if last else str(part))
+                    below += [child] if fs.exists(child) else []
+                    continue
+                for status in fs.listStatus(p):
+                    name = status.getPath().getName().removesuffix(".json") if last else status.getPath().getName()
+                    if part is None or (name.isdigit() and int(name) in part):
+                        below.append(status.getPath())
+            if not below and depth == 0:
+                raise KeyError(f"no function {key[0]} in the database")
+            found = below
+        return [p.toString() for p in found]
+
+    def _documents(self, kind: str, key: list[str | int | range | None]) -> DataFrame:
+        """value, the text of each document, and its path."""
+        paths = self._paths(kind, key)
+        if not paths and all(isinstance(x, str | int) for x in key):
+            raise KeyError(f"no {kind[:-1]} {'/'.join(map(str, key))}")
+        if not paths:
+            return self.spark.createDataFrame([], "value string, _path string")
+        return self.spark.read.text(paths, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
+
+    def find_slices(self, target: str, bc: str | None = None, slice_id: int | range | None = None) -> DataFrame:
+        rows = self._documents("slices", [target, bc, slice_id])
+        doc = F.from_json("value", SLICE)
+        return rows.select(_part(3).alias("target"), _part(2).alias("bc"), _number(1).alias("slice_id"), *[doc[x.split()[0]].alias(x.split()[0]) for x in SLICE.split(", ")])
+
+    def find_traces(self, target: str, bc: str | None = None, slice_id: int | range | None = None, trace_id: int | range | None = None) -> DataFrame:
+        rows = self._documents("traces", [target, bc, slice_id, trace_id])
+        doc = F.from_json("value", TRACE)
+        return rows.select(_part(4).alias("target"), _part(3).alias("bc"), _number(2).alias("slice_id"), _number(1).alias("trace_id"), doc["target"].alias("target_idx"), doc["instrs"].alias("instrs"), doc["statically_checked"].alias("statically_checked"), F.coalesce(doc["labels"], F.array().cast("array<string>")).alias("labels"))
+
+    def find_features(self, target: str, bc: str | None = None, slice_id: int | range | None = None, trace_id: int | range | None = None) -> DataFrame:
+        rows = self._documents("features", [target, bc, slice_id, trace_id])
+        return rows.select(_part(4).alias("target"), _part(3).alias("bc"), _number(2).alias("slice_id"), _number(1).alias("trace_id"), F.to_json(F.parse_json("value")).alias("doc"))
+
+    def find_datapoints(self, target: str, bc: str | None = None, slice_id: int | range | None = None, trace_id: int | range | None = None) -> DataFrame:
+        """Traces with slices and features, where a feature document is there; files of other keys are not opened."""
+        key = ["target", "bc", "slice_id"]
+        f = self.find_features(target, bc, slice_id, trace_id)
+        return self.find_traces(target, bc, slice_id, trace_id).join(self.find_slices(target, bc, slice_id), key).join(f, [*key, "trace_id"])
+
     def datapoints(self, target: str = "*") -> DataFrame:
         """Traces with their slices, those that have features."""
         key = ["target", "bc", "slice_id"]
@@ -100,13 +155,17 @@ class Workspace:
 
     # Sinks.
 
-    def save(self, df: DataFrame, name: str, by: tuple[str, ...] = ("target", "bc"), mode: str = "overwrite") -> str:
-        path = f"{self.root}/tables/{name}"
-        df.write.mode(mode).partitionBy(*by).parquet(path)
-        return path
+    def save(self, df: DataFrame, name: str, by: tuple[str, ...] = ("target", "bc"), append: bool = False) -> int:
+        """Make a table hold these rows (or add them); the number of the version."""
+        return self.versions.commit({name: df}, by, append=append).number
+
+    def save_all(self, tables: dict[str, DataFrame], by: tuple[str, ...] = ("target", "bc")) -> int:
+        """Several tables in one version."""
+        return self.versions.commit(tables, by).number
 
-    def load(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/tables/{name}")
+    def load(self, name: str, version: int | None = None, **values: str) -> DataFrame:
+        """A table as it is now or as a version had it; with values of its partitions only their files are opened."""
+        return (self.versions.latest() if version is None else self.versions.at(version)).read(name, **values)
 
     def save_json(self, df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").json(f"{self.root}/json/{name}")
@@ -150,24 +209,31 @@ class Workspace:
         base = f"{self.root}/learning/{exp}"
         return json.loads(self.spark.read.text(f"{base}/learned.json").first()["value"]), self.spark.read.parquet(f"{base}/vectors")
 
-    def remove(self, name: str, target: str) -> None:
-        """Drop what a table holds on a target."""
-        fs, p = self._fs(f"{self.root}/tables/{name}/target={target}")
-        fs.delete(p, True)
+    def relabel(self, chosen: DataFrame, label: str, erase: bool = False, name: str = "labels") -> int:
+        """Add a label to, or erase it from, the traces of the chosen keys, in place: only the partitions with such traces are written anew."""
+        from ..operators import labels
+        from .relations import KEY
+
+        return self.versions.update(name, chosen, lambda rows, keys: labels.relabel(rows, KEY, keys, label, erase)).number
+
+    def remove(self, *names: str, target: str, bc: str | None = None) -> int:
+        """Drop what the tables (all of them, if none are named) hold on a target, or on it and a file, in one version."""
+        tables = self.versions.latest().tables
+        chosen = [n for n in names or tables if n not in tables or "target" in tables[n]["by"]]
+        return self.versions.drop(chosen, target=target, **({} if bc is None else {"bc": bc})).number
 
-    def clear_file(self, name: str, bc: str) -> None:
-        for status in self._fs(f"{self.root}/tables/{name}/*/bc={bc}")[0].globStatus(self._fs(f"{self.root}/tables/{name}/*/bc={bc}")[1]) or []:
-            self._fs(self.root)[0].delete(status.getPath(), True)
+    def clear_file(self, name: str, bc: str) -> int:
+        return self.versions.drop([name], bc=bc).number
 
-    def append_batches(self, name: str, batches: DataFrame) -> None:
-        """Commit slices of several batches (batch, local_id, callee, ...) with ids renumbered for each callee after those there are."""
+    def append_batches(self, name: str, batches: DataFrame) -> int:
+        """Commit slices of several batches (batch, local_id, callee, ...) with ids renumbered for each callee after those there are; of two that do so at once, one is told of the conflict and can do it again."""
         from pyspark.sql.window import Window
 
-        path = f"{self.root}/tables/{name}"
-        there = self.load(name).groupBy("callee").agg((F.max("slice_id") + 1).alias("_from")) if self._exists(path) else self.spark.createDataFrame([], "callee string, _from long")
+        now = self.versions.latest()
+        there = now.read(name).groupBy("callee").agg((F.max("slice_id") + 1).alias("_from")) if name in now.tables else self.spark.createDataFrame([], "callee string, _from long")
         n = F.row_number().over(Window.partitionBy("callee").orderBy("batch", "local_id")) - 1
         out = batches.join(there, "callee", "left").withColumn("slice_id", (n + F.coalesce("_from", F.lit(0))).cast("long")).drop("_from", "batch", "local_id")
-        out.write.mode("append").parquet(path)
+        return self.versions.commit({name: out}, ["callee"], before=now, append=True).number
 
 
 def _segments() -> Column:
@@ -175,7 +241,7 @@ def _segments() -> Column:
 
 
 def _part(back: int) -> Column:
-    return F.element_at(_segments(), -back)
+    return F.try_element_at(_segments(), F.lit(-back))
 
 
 def _number(back: int) -> Column:
