@@ -90,6 +90,30 @@ def execution_metadata(instrs: DataFrame) -> DataFrame:
     return per.groupBy("target", "bc").agg(F.count("*").alias("explored"), F.count_if(~F.col("hit")).alias("no_target"), F.count_if(F.col("hit") & (F.col("final") == "Ret")).alias("proper"), F.count_if(F.col("hit") & (F.col("final") != "Ret")).alias("cut"), F.sum("n").alias("nodes"))
 
 
+OUTCOMES = ("proper", "duplicate", "no_target", "exceeding_length", "unreachable", "unfinished")
+
+
+def trace_outcomes(instrs: DataFrame, most: int = 5000) -> DataFrame:
+    """key, outcome: how each trace ended. Without target; with more than ``most`` instructions; at a point that can't be reached; with the same operations as an earlier one of its slice; with a return; or none of these (in this order)."""
+    per = instrs.groupBy(*KEY).agg(F.bool_or("is_target").alias("hit"), F.count("*").alias("n"), F.max_by("op", "idx").alias("final"), F.xxhash64(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "op", F.coalesce("func", F.lit("")).alias("f")))), lambda x: F.concat_ws(":", x["op"], x["f"])), ">")).alias("seq"))
+    again = F.row_number().over(Window.partitionBy("target", "bc", "slice_id", "seq").orderBy("trace_id")) > 1
+    outcome = F.when(~F.coalesce("hit", F.lit(False)), "no_target").when(F.col("n") > most, "exceeding_length").when(F.col("final") == "Unreachable", "unreachable").when(again, "duplicate").when(F.col("final") == "Ret", "proper").otherwise("unfinished")
+    return per.select(*KEY, outcome.alias("outcome"))
+
+
+def outcome_counts(outcomes: DataFrame, by: tuple[str, ...] = ("target", "bc")) -> DataFrame:
+    """by, a counter for each outcome, and explored, their sum."""
+    return outcomes.groupBy(*by).agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES], F.count("*").alias("explored"))
+
+
+def merged_counts(parts: list[DataFrame], by: tuple[str, ...] = ("target", "bc")) -> DataFrame:
+    """The counters of several runs, or of parts of one, added up; in any order and any grouping it is the same."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy(*by).agg(*[F.sum(c).alias(c) for c in (*OUTCOMES, "explored")])
+
+
 def capped(traces: DataFrame, key: list[str], order: list[str], most: int) -> DataFrame:
     """At most so many traces of each key, in order: the engine's own limit on a slice."""
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))

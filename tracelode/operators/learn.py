@@ -9,12 +9,13 @@ that was given one class only answers with it. Repeated rows each count and get
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MAX_SAMPLE = 2000
 
@@ -209,6 +210,62 @@ def mcmc_mask(points: DataFrame, rounds: int = 50, groups: list[list[int]] | Non
     return mask.tolist(), best
 
 
+def mask_entropies(points: DataFrame, masks: Sequence[Sequence[bool]]) -> DataFrame:
+    """mask (its number), entropy: of the shares of points with equal values, rounded to a tenth, where a mask is on. All masks are counted in one job over the distinct rows; a mask that is off throughout has entropy 0. Points without vector are left out."""
+    distinct = points.filter("x is not null").select(F.transform("x", lambda v: F.rint(v * 10).cast("long")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    taken = [F.struct(F.lit(i).alias("mask"), F.array(*[F.get("x", F.lit(j)) for j, on in enumerate(m) if on]).cast("array<bigint>").alias("k")) for i, m in enumerate(masks)]
+    per = distinct.select("n", F.explode(F.array(*taken)).alias("_m")).groupBy("_m.mask", "_m.k").agg(F.sum("n").alias("n"))
+    p = F.col("n") / F.sum("n").over(Window.partitionBy("mask"))
+    return per.withColumn("_h", -p * F.log(p)).groupBy("mask").agg((F.sum("_h") + 0.0).alias("entropy"))
+
+
+def chosen_groups(points: DataFrame, groups: Sequence[Sequence[int]], keep: int, rounds: int = 200, fixed: Sequence[int] = (), regulation: float | None = None, seed: int = 0, together: int = 16) -> tuple[list[bool], float]:
+    """Which places of the vectors to keep, and the fitness: a Metropolis chain over choices of ``keep`` groups, each step swapping one for another.
+
+    The fitness is one over the entropy (mask_entropies). A swap is taken if the ratio of the new fitness to the old is above a random number; where regulation is given and the new fitness
+    isn't below it, the swap is taken whatever it is, but is no candidate for the best. Groups that are fixed stay. ``together`` swaps of the present choice are scored in one job: until one of them
+    is taken the choice is the same, so the chain is that of one swap after the other.
+    """
+    rng, n = np.random.default_rng(seed), len(groups)
+    width = max((i for g in groups for i in g), default=-1) + 1
+    if keep > n or keep < len(set(fixed)):
+        raise ValueError("as many groups as are fixed must be kept, and no more than there are")
+    free = [g for g in range(n) if g not in fixed]
+    now = frozenset(fixed) | frozenset(int(g) for g in rng.permutation(free)[: keep - len(set(fixed))])
+    known: dict[frozenset[int], float] = {}
+
+    def mask_of(choice: frozenset[int]) -> list[bool]:
+        on = {i for g in choice for i in groups[g]}
+        return [i in on for i in range(width)]
+
+    def score(choices: list[frozenset[int]]) -> None:
+        new = [c for c in dict.fromkeys(choices) if c not in known]
+        if new:
+            found = {r["mask"]: r["entropy"] for r in mask_entropies(points, [mask_of(c) for c in new]).collect()}
+            known.update({c: 1 / max(found.get(i, 0.0), 1e-9) for i, c in enumerate(new)})
+
+    score([now])
+    best, at, step = now, known[now], 0
+    while step < rounds:
+        swaps = []
+        for _ in range(min(together, rounds - step)):
+            off, on = [g for g in range(n) if g not in now], [g for g in sorted(now) if g not in fixed]
+            swaps.append((now if not off or not on else now - {on[int(rng.integers(len(on)))]} | {off[int(rng.integers(len(off)))]}, rng.random()))
+        score([c for c, _ in swaps])
+        for choice, luck in swaps:
+            step += 1
+            f = known[choice]
+            if regulation is not None and f >= regulation:
+                now, at = choice, f
+                break
+            if f / at > luck:
+                now, at = choice, f
+                if f > known[best]:
+                    best = choice
+                break
+    return mask_of(best), known[best]
+
+
 def random_order(points: DataFrame, seed: int = 0) -> DataFrame:
     """The baseline: datapoints in a seeded order."""
     return points.select("dp_id", (F.pmod(F.xxhash64(F.lit(seed), "dp_id"), F.lit(1 << 30)) / (1 << 30)).alias("score"))

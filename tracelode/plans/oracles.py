@@ -316,4 +316,11 @@ SELECT o_custkey, number, choice FROM c JOIN (SELECT o_custkey, max(i) AS i FROM
 O["mdc_entropy"] = sql("vec", "SELECT round(-sum(n / t * ln(n / t)), 6) AS entropy, count(*) AS n_clusters, sum(n)::BIGINT AS n_points FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT a, min(b) AS c FROM cl GROUP BY a) GROUP BY c)",
     nn=f"SELECT dp_id AS a, other AS b FROM (SELECT b.dp_id, a.dp_id AS other, {D2} AS d FROM vec a, vec b WHERE a.dp_id <> b.dp_id) QUALIFY row_number() OVER (PARTITION BY dp_id ORDER BY d, other) = 1",
     lk="SELECT a, b FROM nn UNION SELECT b, a FROM nn", cl="SELECT dp_id AS a, dp_id AS b FROM vec UNION SELECT c.a, l.b FROM cl c JOIN lk l ON l.a = c.b")
+O["mask_fitness"] = sql("", """SELECT mask::INTEGER AS mask, round(-sum(n / t * ln(n / t)), 6) AS entropy FROM (SELECT mask, count(*) AS n, sum(count(*)) OVER (PARTITION BY mask) AS t
+FROM (SELECT mask, list_filter(v, lambda x, i: i <> mask + 1) AS k FROM ve, range(13) r(mask)) GROUP BY mask, k) GROUP BY mask""", cf=_cf, rt=_rt, pr=_pr, ve=VECTOR)
+O["outcome_counters"] = sql("ti", f"""SELECT target, bc, {", ".join(f"count_if(outcome = '{o}')::BIGINT AS {o}" for o in ("proper", "duplicate", "no_target", "exceeding_length", "unreachable", "unfinished"))}, count(*)::BIGINT AS explored FROM
+(SELECT *, CASE WHEN NOT hit THEN 'no_target' WHEN n > 12 THEN 'exceeding_length' WHEN row_number() OVER (PARTITION BY target, bc, slice_id, seq ORDER BY trace_id) > 1 THEN 'duplicate' WHEN final = 'Ret' THEN 'proper' ELSE 'unfinished' END AS outcome
+FROM (SELECT {KEY}, bool_or(is_target) AS hit, count(*) AS n, arg_max(op, idx) AS final, list((op, func) ORDER BY idx) AS seq FROM ti GROUP BY ALL)) GROUP BY target, bc""")
+O["alarms_of_points"] = sql("ti", f"""SELECT dp_id, target, bc, slice_id, trace_id, (n_after - n_before)::DOUBLE AS score FROM (SELECT {KEY}, row_number() OVER (ORDER BY bc, target, slice_id, trace_id) - 1 AS dp_id FROM (SELECT DISTINCT {KEY} FROM ti))
+JOIN ({_strip(sql("tt", SHAPE))[1:-1]}) USING ({KEY}) WHERE n_before > n_after""")
 ORACLES = O

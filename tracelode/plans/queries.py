@@ -851,6 +851,20 @@ def choices_page(s: SparkSession, d: str) -> DataFrame:
     return walks.numbered_choices(_options(s, d), ["o_custkey"], "o_orderkey", "options", first=1000, most=5).select("o_custkey", "number", F.array_join("choice", "").alias("choice"))
 
 
+@query
+def mask_fitness(s: SparkSession, d: str) -> DataFrame:
+    """The entropy of the vectors without each of their places, all in one job."""
+    points = _encoded(s, d).select("dp_id", F.col("x").cast("array<double>").alias("x"))
+    return learn.mask_entropies(points, [[j != i for j in range(13)] for i in range(13)]).select("mask", F.round("entropy", 6).alias("entropy"))
+
+
+@query
+def outcome_counters(s: SparkSession, d: str) -> DataFrame:
+    """Counters of two halves of the traces, added up by target and file."""
+    found = dataflow.trace_outcomes(rel.trace_instrs(s, d), most=12)
+    return dataflow.merged_counts([dataflow.outcome_counts(found.filter(F.col("slice_id") % 2 == i)) for i in (0, 1)])
+
+
 @query
 def mdc_entropy(s: SparkSession, d: str) -> DataFrame:
     return vectors.neighbour_cluster_entropy(rel.vectors(s, d)).select(F.round("entropy", 6).alias("entropy"), "n_clusters", "n_points")
