@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import values as v
 from ..sources.relations import KEY
+from . import filters
 from .features import any_, no, with_target
 
 
@@ -67,12 +68,14 @@ def bugs(scored: DataFrame, problematic: Column, threshold: float = 0.9) -> Data
     return scored.filter(problematic & (F.col("score") > threshold))
 
 
-def fopen_rule(instrs: DataFrame, closing: str = "fclose", writing: str = "fputs") -> DataFrame:
+def fopen_rule(instrs: DataFrame, closing: str = "fclose", writing: str = "fputs", opens: Column | None = None) -> DataFrame:
     """key, verdict: Ok or Alarm for a call that opens a file, by the first comparison after it.
 
     On the branch where the result is null nothing may be closed or written to; where it isn't, the file must be closed; a
     result that isn't compared with null, or whose branch doesn't follow at once, is an alarm. Traces without rows after the call are alarms too.
+    opens: for which targets the rule is; by default those with fopen in their names.
     """
+    instrs = instrs.filter(filters.opens_file(F.col("target")) if opens is None else opens)
     rows = with_target(instrs)
     later = (F.col("idx") > F.col("t")) & (F.col("op") == "Call")
     calls = rows.groupBy(*KEY).agg(any_(later & (F.col("func") == closing)).alias("closed"), any_(later & (F.col("func") == writing)).alias("wrote"))

@@ -59,11 +59,11 @@ def brief(alarms: DataFrame) -> DataFrame:
     return alarms.groupBy("bc", "slice_id").agg(F.count("*").alias("num_traces"), F.avg("score").alias("score_avg")).orderBy("score_avg", "bc", "slice_id")
 
 
-def steps(feedback: DataFrame) -> DataFrame:
-    """Labelled points and mean seconds of a step; feedback: attempt, ts. The gaps between neighbours add up to the last time less the first."""
+def steps(feedback: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Labelled points and mean seconds of a step, in all or for each value of ``by``; feedback: attempt, ts. The gaps between neighbours add up to the last time less the first."""
     micros = F.unix_micros("ts")
     n = F.count("*")
-    return feedback.agg(n.alias("n_labeled"), ((F.max_by(micros, "attempt") - F.min_by(micros, "attempt")) / F.nullif(n - 1, F.lit(0)) / 1e6).alias("mean_seconds"))
+    return feedback.groupBy(*by).agg(n.alias("n_labeled"), ((F.max_by(micros, "attempt") - F.min_by(micros, "attempt")) / F.nullif(n - 1, F.lit(0)) / 1e6).alias("mean_seconds"))
 
 
 def at_counts(ranked: DataFrame, counts: list[int]) -> DataFrame:

@@ -170,7 +170,7 @@ def causality(instrs: DataFrame, words: DataFrame, after: bool, depth: int = 2)
     """For each trace and function of the dictionary (target, func) how calls of it before or after the target relate to the target. The dictionary has few rows for each target."""
     rows = with_target(instrs)
     side = F.col("idx") > F.col("t") if after else F.col("idx") < F.col("t")
-    calls = rows.filter(side & _op("Call")).join(F.broadcast(words.select("target", "func")), ["target", "func"]).select(*KEY, "func", "idx", "res", "args", "r", "targs")
+    calls = rows.filter(side & _op("Call")).join(words.select("target", "func"), ["target", "func"]).select(*KEY, "func", "idx", "res", "args", "r", "targs")
     unwrap = lambda a: F.flatten(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: v.candidates(x, depth)))
     mine, theirs = unwrap(F.col("args")), unwrap(F.col("targs"))
     returns = F.array_contains(mine, F.col("r")) if after else F.array_contains(theirs, F.col("res"))
@@ -192,5 +192,5 @@ def causality(instrs: DataFrame, words: DataFrame, after: bool, depth: int = 2)
 def unify(points: DataFrame, words: DataFrame, hits: DataFrame) -> DataFrame:
     """A row for each datapoint and function of its target's dictionary; flags that are not known are false."""
     flags = [x for x in hits.columns if x not in [*KEY, "func"]]
-    every = points.join(F.broadcast(words.select("target", "func")), "target")
+    every = points.join(words.select("target", "func"), "target")
     return every.join(hits, [*KEY, "func"], "left").select(*KEY, "func", *[no(F.col(x)).alias(x) for x in flags])

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_SAMPLE = 2000
+#: Labelled points of a semi-supervised fit, whose kernel is a matrix of all pairs of them; more raise an error.
+MAX_LABELED = 4000
 
 
 def sample(points: DataFrame, most: int = MAX_SAMPLE) -> np.ndarray:
@@ -100,6 +102,9 @@ def _to_simplex(a: np.ndarray, top: float) -> np.ndarray:
 def ssad(points: DataFrame, labeled: DataFrame, kappa: float = 1.0, cost: float = 1.0, steps: int = 500, most: int = 600) -> DataFrame:
     """dp_id, score of semi-supervised anomaly detection: labelled alarms (y = -1) are pushed out of, others (y = 1) into the region of the sample, which is all labelled points and ``most`` of the others. labeled: dp_id, y."""
     given = points.filter("x is not null").join(labeled.select("dp_id", "y"), "dp_id", "left").select("x", F.coalesce("y", F.lit(0)).alias("y"), "dp_id")
+    n = given.filter("y <> 0").count()
+    if n > MAX_LABELED:
+        raise ValueError(f"{n} labelled points are more than the {MAX_LABELED} that one fit takes")
     others = given.filter("y = 0").orderBy(F.xxhash64("dp_id"), "dp_id").limit(most)
     rows = sorted(given.filter("y <> 0").unionAll(others).collect(), key=lambda r: r["dp_id"])
     x, y = np.array([r["x"] for r in rows], float), np.array([r["y"] or 1 for r in rows], float)
@@ -273,7 +278,7 @@ def random_order(points: DataFrame, seed: int = 0) -> DataFrame:
 
 def dual_one_class(points: DataFrame, labeled: DataFrame, how: str = "exp", most: int = 1000) -> DataFrame:
     """dp_id, target, outlier (-1 or 1 by one machine on points labelled fine and one on alarms) and what the next question goes by: "exp" for their product, "sim" for how alike they are. labeled: dp_id, is_alarm."""
-    side = lambda hit: points.join(F.broadcast(labeled.filter(F.col("is_alarm") == hit).select("dp_id")), "dp_id", "left_semi")
+    side = lambda hit: points.join(labeled.filter(F.col("is_alarm") == hit).select("dp_id"), "dp_id", "left_semi")
     sign = F.when(F.col("score") >= 0, 1).otherwise(-1)
     fitted = lambda hit, nu, name: _one_class_on(side(hit), points, nu, most).select("dp_id", sign.alias(name))
     both = fitted(False, 0.1, "target").join(fitted(True, 0.9, "outlier"), "dp_id")

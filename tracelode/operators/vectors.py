@@ -72,10 +72,13 @@ def masked(vectors: DataFrame, mask: Sequence[bool]) -> DataFrame:
 
 
 def kernel_matrix(a: DataFrame, b: DataFrame, param: float = 2.0, linear: bool = False) -> DataFrame:
-    """i, j, k: the kernel of every row of a with every row of b, a being a set chosen for the purpose (labelled points, representatives)."""
-    left, right = F.broadcast(a.select(F.col("dp_id").alias("i"), F.col("x").alias("xi"))), b.select(F.col("dp_id").alias("j"), F.col("x").alias("xj"))
-    k = F.aggregate(F.zip_with("xi", "xj", lambda p, q: p * q), F.lit(0.0), lambda s, d: s + d) if linear else F.exp(-v.distance2(F.col("xi"), F.col("xj")) / param)
-    return left.join(right).select("i", "j", k.alias("k"))
+    """i, j, k: the kernel of every row of a (dp_id, x) with every row of b, in blocks; its rows are as many as a's times b's, so a is a set chosen for the purpose (labelled points, representatives)."""
+
+    def meet(right: pd.DataFrame, y: np.ndarray, left: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+        k = x @ y.T if linear else np.exp(-distances2(x, y) / param)
+        return pd.DataFrame({"i": np.repeat(left["dp_id"].to_numpy(), len(y)), "j": np.tile(right["dp_id"].to_numpy(), len(x)), "k": k.ravel()})
+
+    return in_blocks(b.select("dp_id", "x"), a.select("dp_id", "x"), meet, "i long, j long, k double")
 
 
 #: Points of one chunk, and of one block that it meets.

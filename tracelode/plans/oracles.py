@@ -227,7 +227,7 @@ O["auc_value"] = sql("", "SELECT round(CASE WHEN max(tp) * max(fp) > 0 THEN sum(
 O["confusion"] = "SELECT count_if(quality = 0 AND toxic = 1)::BIGINT AS tp, count_if(quality <> 0 AND toxic <> 1)::BIGINT AS tn, count_if(quality = 0 AND toxic <> 1)::BIGINT AS fp, count_if(quality <> 0 AND toxic = 1)::BIGINT AS fn FROM labels"
 O["accuracy"] = "SELECT round(avg(((quality = 0) = (toxic = 1))::INT), 6) AS accuracy FROM labels"
 O["alarms_brief"] = sql("tt", "SELECT bc, slice_id, count(*)::BIGINT AS num_traces, round(avg((n_before - n_after)::DOUBLE), 6) + 0.0::DOUBLE AS score_avg FROM sh GROUP BY bc, slice_id", sh=SHAPE)
-O["feedback_steps"] = "SELECT count(*)::BIGINT AS n_labeled, round(avg(gap) / 1e6, 3) AS mean_seconds FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY event_id) AS gap FROM events WHERE user_id = 3)"
+O["feedback_steps"] = "SELECT user_id, count(*)::BIGINT AS n_labeled, round(avg(gap) / 1e6, 3) AS mean_seconds FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events) GROUP BY user_id"
 
 FEW = {"fl": "SELECT dp_id, x, label = 0 AS pos FROM vec WHERE label IN (0, 1)"}
 NORM = "64 * ln(0.4::DOUBLE * sqrt(2 * pi()))"

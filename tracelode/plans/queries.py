@@ -341,7 +341,7 @@ def checker_branches(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def fopen_rule(s: SparkSession, d: str) -> DataFrame:
-    return checkers.fopen_rule(rel.trace_instrs(s, d), "f1", "f2")
+    return checkers.fopen_rule(rel.trace_instrs(s, d), "f1", "f2", F.col("target").startswith("purch"))
 
 
 @query
@@ -663,8 +663,8 @@ def alarms_brief(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def feedback_steps(s: SparkSession, d: str) -> DataFrame:
-    e = rel.table(s, d, "events").filter("user_id = 3").select(F.col("event_id").alias("attempt"), F.col("ts").cast("timestamp").alias("ts"))
-    return evaluate.steps(e).withColumn("mean_seconds", F.round("mean_seconds", 3))
+    e = rel.table(s, d, "events").select("user_id", F.col("event_id").alias("attempt"), F.col("ts").cast("timestamp").alias("ts"))
+    return evaluate.steps(e, ("user_id",)).withColumn("mean_seconds", F.round("mean_seconds", 3))
 
 
 @query
@@ -905,7 +905,7 @@ def uncertainty(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def gmm_entropy(s: SparkSession, d: str) -> DataFrame:
-    return learn.gmm_entropy(rel.vectors(s, d).select("dp_id", F.slice("x", 1, 8).alias("x")))
+    return learn.gmm_entropy(rel.vectors(s, d))
 
 
 @query
