@@ -216,7 +216,7 @@ def test_lm_contexts_run_across_tokens(spark):
     rows = [(i, text()) for i in range(200) if i not in ids]
     got = {r.doc_id: r.score for r in lm_score.lm_score(spark.createDataFrame([*rows, (ids[0], " ".join(good)), (ids[1], " ".join(bad))], "doc_id long, text string")).collect()}
     assert got[ids[0]] > got[ids[1]] + 20
-    assert [lm_score.table_bits(n) for n in (0, 1 << 22, 1 << 23, 1 << 25)] == [18, 18, 19, 21]
+    assert [lm_score.table_bits(n) for n in (0, 1 << 15, 1 << 16, 1 << 18, 1 << 19)] == [18, 18, 19, 21, 22]
     assert lm_score.table_bits(1 << 30) == lm_score.MAX_BITS and lm_score.table_bits(1 << 30, 26) == 26
 
 
