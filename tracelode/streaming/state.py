@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.vectors import distances2
-
 #: Points of one key, and so of one value in the state store.
 RANGE = 2048
 BEST = "range int, dp_id long, score double, n long, m long"
@@ -35,53 +33,66 @@ def _mean(total: np.ndarray, n: int) -> np.ndarray:
     return total / n if n else np.zeros(len(total))
 
 
-class RangeOfPoints(StatefulProcessor):
-    """State of one range: its points (``points``, written once) and their sums (``sums``, written at every label)."""
-
-    def __init__(self, bandwidth: float, best: int) -> None:
-        self.bandwidth, self.best = bandwidth, best
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.points = handle.getValueState("points", "x binary, dim int")
-        self.sums = handle.getValueState("sums", _SUMS)
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        new = initialState.sort_values("dp_id", kind="stable")
-        x, none = np.stack(new["x"].to_numpy()).astype("<f8"), np.zeros(len(new), "<f8").tobytes()
-        if self.points.exists():  # a range can arrive in several parts
-            held, sums = self.points.get(), self.sums.get()
-            self.points.update((held[0] + x.tobytes(), x.shape[1]))
-            self.sums.update((sums[0] + new["dp_id"].to_numpy("<i8").tobytes(), sums[1] + none, sums[2] + none, *sums[3:]))
-            return
-        self.points.update((x.tobytes(), x.shape[1]))
-        self.sums.update((new["dp_id"].to_numpy("<i8").tobytes(), none, none, b"", 0, 0))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.points.exists():
-            return
-        flat, dim = self.points.get()
-        x = np.frombuffer(flat, "<f8").reshape(-1, dim)
-        ids, pos, neg, labelled, n, m = self.sums.get()
-        ids, pos, neg, labelled = np.frombuffer(ids, "<i8"), np.frombuffer(pos, "<f8").copy(), np.frombuffer(neg, "<f8").copy(), np.frombuffer(labelled, "<i8")
-        new = pd.concat(list(rows))
-        new = new[~new["label"].isin(labelled)].sort_values("is_alarm", ascending=False).drop_duplicates("label")
-        if len(new):
-            scale = 1 / (self.bandwidth * np.sqrt(2 * np.pi))
-            alarm = new["is_alarm"].to_numpy(bool)
-            for at in range(0, len(new), 256):
-                near = np.exp(-distances2(np.stack(new["x"].to_numpy()[at : at + 256]).astype(float), x) / (2 * self.bandwidth**2)) * scale
-                pos += near[alarm[at : at + 256]].sum(axis=0)
-                neg += near[~alarm[at : at + 256]].sum(axis=0)
-            n, m = n + int(alarm.sum()), m + int((~alarm).sum())
-            labelled = np.concatenate([labelled, new["label"].to_numpy("<i8")])
-            self.sums.update((ids.tobytes(), pos.tobytes(), neg.tobytes(), labelled.astype("<i8").tobytes(), n, m))
-        score, is_open = _mean(pos, n) - _mean(neg, m), ~np.isin(ids, labelled)
-        ids, score = ids[is_open], score[is_open]
-        first = np.lexsort((ids, -score))[: self.best]
-        yield pd.DataFrame({"range": int(key[0]), "dp_id": ids[first], "score": score[first], "n": n, "m": m})
-
-    def close(self) -> None:
-        pass
+def _range_of_points(bandwidth: float, best: int) -> StatefulProcessor:
+    """State of one range: its points (``points``, written once) and their sums (``sums``, written at every label).
+
+    The class stands in here with all that it uses, so that it travels by value: the process on the driver that prepares the query has only Spark's own packages.
+    """
+
+    def mean(total: np.ndarray, n: int) -> np.ndarray:
+        return total / n if n else np.zeros(len(total))
+
+    def kernels(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        scale, out = 1 / (bandwidth * np.sqrt(2 * np.pi)), np.empty((len(y), len(x)))
+        for i, row in enumerate(y):
+            d = x - row
+            out[i] = np.exp(-np.einsum("ij,ij->i", d, d) / (2 * bandwidth**2)) * scale
+        return out
+
+    class RangeOfPoints(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.points = handle.getValueState("points", "x binary, dim int")
+            self.sums = handle.getValueState("sums", sums_schema)
+
+        def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+            new = initialState.sort_values("dp_id", kind="stable")
+            x, none = np.stack(new["x"].to_numpy()).astype("<f8"), np.zeros(len(new), "<f8").tobytes()
+            if self.points.exists():  # a range can arrive in several parts
+                held, sums = self.points.get(), self.sums.get()
+                self.points.update((held[0] + x.tobytes(), x.shape[1]))
+                self.sums.update((sums[0] + new["dp_id"].to_numpy("<i8").tobytes(), sums[1] + none, sums[2] + none, *sums[3:]))
+                return
+            self.points.update((x.tobytes(), x.shape[1]))
+            self.sums.update((new["dp_id"].to_numpy("<i8").tobytes(), none, none, b"", 0, 0))
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            if not self.points.exists():
+                return
+            flat, dim = self.points.get()
+            x = np.frombuffer(flat, "<f8").reshape(-1, dim)
+            ids, pos, neg, labelled, n, m = self.sums.get()
+            ids, pos, neg, labelled = np.frombuffer(ids, "<i8"), np.frombuffer(pos, "<f8").copy(), np.frombuffer(neg, "<f8").copy(), np.frombuffer(labelled, "<i8")
+            new = pd.concat(list(rows))
+            new = new[~new["label"].isin(labelled)].sort_values("is_alarm", ascending=False).drop_duplicates("label")
+            if len(new):
+                alarm = new["is_alarm"].to_numpy(bool)
+                for at in range(0, len(new), 256):
+                    near = kernels(np.stack(new["x"].to_numpy()[at : at + 256]).astype(float), x)
+                    pos += near[alarm[at : at + 256]].sum(axis=0)
+                    neg += near[~alarm[at : at + 256]].sum(axis=0)
+                n, m = n + int(alarm.sum()), m + int((~alarm).sum())
+                labelled = np.concatenate([labelled, new["label"].to_numpy("<i8")])
+                self.sums.update((ids.tobytes(), pos.tobytes(), neg.tobytes(), labelled.astype("<i8").tobytes(), n, m))
+            score, is_open = mean(pos, n) - mean(neg, m), ~np.isin(ids, labelled)
+            ids, score = ids[is_open], score[is_open]
+            first = np.lexsort((ids, -score))[:best]
+            yield pd.DataFrame({"range": int(key[0]), "dp_id": ids[first], "score": score[first], "n": n, "m": m})
+
+        def close(self) -> None:
+            pass
+
+    sums_schema = _SUMS
+    return RangeOfPoints()
 
 
 @contextmanager
@@ -113,7 +124,7 @@ def best_points(feedback: DataFrame, points: DataFrame, bandwidth: float = 1.0,
     of_label = held.dropDuplicates(["dp_id"]).withColumnRenamed("dp_id", "label")
     labels = feedback.filter("is_alarm is not null").select(F.col("dp_id").cast("long").alias("label"), "is_alarm").join(of_label, "label")
     everywhere = labels.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return everywhere.groupBy("range").transformWithStateInPandas(statefulProcessor=RangeOfPoints(bandwidth, best), outputStructType=BEST, outputMode="Update", timeMode="None", initialState=dealt.groupBy("range"))
+    return everywhere.groupBy("range").transformWithStateInPandas(statefulProcessor=_range_of_points(bandwidth, best), outputStructType=BEST, outputMode="Update", timeMode="None", initialState=dealt.groupBy("range"))
 
 
 def follow(feedback: DataFrame, points: DataFrame, folder: str, bandwidth: float = 1.0, best: int = 1, size: int = RANGE, trigger: dict | None = None) -> StreamingQuery:
