@@ -1,7 +1,7 @@
-"""Learners that have no counterpart in MLlib, as numpy over a bounded sample, with scoring over all points.
+"""Learners that have no counterpart in MLlib. All points take part in every fit; what the driver holds is a model of bounded size.
 
-Fits on unlabelled points collect at most MAX_SAMPLE of them, those least by hash of dp_id; that bound is the caller's to change.
-``ssad`` takes all labelled points besides, and ``mcmc_mask`` counts all rows.
+The machines are those of ``machines``, fitted over all points; the trees of an isolation forest grow in tasks, from rows drawn of all points;
+``mcmc_mask`` counts all rows.
 
 Defined cases: without points a result is empty (an entropy is null, a mask empty); without anything to fit on scores are 0, and a classifier
 that was given one class only answers with it. Repeated rows each count and get a row. Points without vector take no part and get none.
@@ -17,14 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_SAMPLE = 2000
-#: Labelled points of a semi-supervised fit, whose kernel is a matrix of all pairs of them; more raise an error.
-MAX_LABELED = 4000
-
-
-def sample(points: DataFrame, most: int = MAX_SAMPLE) -> np.ndarray:
-    rows = points.select("dp_id", "x").filter("x is not null").orderBy(F.xxhash64("dp_id"), "dp_id").limit(most).collect()
-    return np.array([r["x"] for r in rows], float)
+from . import machines
 
 
 def scored(points: DataFrame, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -32,95 +25,86 @@ def scored(points: DataFrame, score: Callable[[np.ndarray], np.ndarray]) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.stack(b["x"].to_numpy()) if len(b) else np.empty((0, 0))
-            yield pd.DataFrame({"dp_id": b["dp_id"], "score": score(x) if len(b) else []})
+            yield pd.DataFrame({"dp_id": b["dp_id"], "score": score(np.stack(b["x"].to_numpy()).astype(float)) if len(b) else []})
 
-    return points.select("dp_id", "x").filter("x is not null").mapInPandas(run, "dp_id long, score double")
+    return machines.usable(points).select("dp_id", "x").mapInPandas(run, "dp_id long, score double")
 
 
 def isolation_forest(points: DataFrame, trees: int = 100, size: int = 256, contamination: float = 0.01, seed: int = 0) -> DataFrame:
-    """dp_id, score: below 0 for about the contaminated share, by depth at which random cuts isolate a point."""
-    x, rng = sample(points), np.random.default_rng(seed)
-    depth_limit = int(np.ceil(np.log2(max(min(size, len(x)), 2))))
-
-    def grow(rows: np.ndarray, depth: int):
-        spread = np.flatnonzero(np.ptp(rows, axis=0) > 0) if len(rows) > 1 else []
-        if depth >= depth_limit or not len(spread):
-            return len(rows)
-        f = int(rng.choice(spread))
-        cut = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
-        left = rows[:, f] < cut
-        return f, cut, grow(rows[left], depth + 1), grow(rows[~left], depth + 1)
-
-    forest = [grow(x[rng.choice(len(x), min(size, len(x)), replace=False)], 0) for _ in range(trees)] if len(x) else []
-    mean = lambda n: 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 1 else 0.0
-
-    def path(tree, rows: np.ndarray, depth: int) -> np.ndarray:
-        if not isinstance(tree, tuple):
-            return np.full(len(rows), depth + mean(tree))
-        f, cut, a, b = tree
-        out, left = np.empty(len(rows)), rows[:, f] < cut
-        out[left], out[~left] = path(a, rows[left], depth + 1), path(b, rows[~left], depth + 1)
-        return out
-
-    normal = max(mean(min(size, len(x))), 1e-9)
-    raw = lambda rows: -(2 ** (-np.mean([path(t, rows, 0) for t in forest], axis=0) / normal))
-    offset = float(np.quantile(raw(x), contamination)) if len(x) else 0.0
-    return scored(points, lambda rows: raw(rows) - offset)
+    """dp_id, score: below 0 for about the contaminated share, by depth at which random cuts isolate a point.
+
+    Each tree grows in a task of its own, from the ``size`` points that a hash of tree and dp_id puts first among all; a row is sent to a tree only if that hash is low enough to have a
+    chance. The trees, at most 2 * size nodes each, are all that the driver sees. The threshold is an approximate quantile of the scores of all points (to 0.01 % of ranks).
+    """
+    rows = machines.usable(points).select("dp_id", "x")
+    n = rows.count()
+    if not n:
+        return _unfitted(points)
+    share = min(1.0, (4 * size + 64) / n)
+    luck = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("dp_id")), F.lit(1 << 40)) / (1 << 40)
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), luck(t).alias("luck"))), lambda p: p["luck"] <= share)
+    drawn = rows.select("dp_id", "x", F.inline(drawn))
+    depth_limit = int(np.ceil(np.log2(max(min(size, n), 2))))
+
+    def grown(found: pd.DataFrame) -> pd.DataFrame:
+        tree = int(found["tree"].iloc[0])
+        found = found.assign(x=found["x"].map(tuple)).sort_values(["luck", "dp_id", "x"])[:size]
+        x, rng = np.array(found["x"].tolist(), float), np.random.default_rng([seed, tree])
+        nodes, waiting = [[-1, 0.0, 0, 0, len(x)]], [(0, np.arange(len(x)), 0)]
+        while waiting:
+            at, of, depth = waiting.pop()
+            spread = np.flatnonzero(np.ptp(x[of], axis=0) > 0) if len(of) > 1 and depth < depth_limit else []
+            if not len(spread):
+                continue
+            f = int(rng.choice(spread))
+            cut = rng.uniform(x[of, f].min(), x[of, f].max())
+            left = x[of, f] < cut
+            nodes[at][:4] = f, cut, len(nodes), len(nodes) + 1
+            for side in (of[left], of[~left]):
+                waiting.append((len(nodes), side, depth + 1))
+                nodes.append([-1, 0.0, 0, 0, len(side)])
+        out = pd.DataFrame(nodes, columns=["feature", "cut", "low", "high", "n"])
+        return out.assign(tree=tree, node=range(len(nodes)))
+
+    nodes = drawn.groupBy("tree").applyInPandas(grown, "feature int, cut double, low int, high int, n int, tree int, node int").toPandas()
+    forest = [g.sort_values("node")[["feature", "cut", "low", "high", "n"]].to_numpy().T for _, g in nodes.groupby("tree")]
+
+    def mean(n: np.ndarray) -> np.ndarray:
+        return np.where(n > 1, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), 0.0)
+
+    normal = max(float(mean(np.array(min(size, n)))), 1e-9)
+
+    def raw(x: np.ndarray) -> np.ndarray:
+        depths, every = np.zeros(len(x)), np.arange(len(x))
+        for feature, cut, low, high, count in forest:
+            at = np.zeros(len(x), int)
+            for _ in range(depth_limit):
+                inner = feature[at] >= 0
+                if not inner.any():
+                    break
+                down = np.where(x[every, feature[at].astype(int).clip(0)] < cut[at], low[at], high[at]).astype(int)
+                at, depths = np.where(inner, down, at), depths + inner
+            depths += mean(count[at])
+        return -(2 ** (-depths / len(forest) / normal))
+
+    offset = scored(points, raw).agg(F.percentile_approx("score", contamination, 10000)).first()[0]
+    return scored(points, lambda x: raw(x) - offset)
 
 
 def _unfitted(points: DataFrame) -> DataFrame:
-    return points.select("dp_id", F.lit(0.0).alias("score"))
+    return machines.usable(points).select("dp_id", F.lit(0.0).alias("score"))
 
 
-def one_class(points: DataFrame, nu: float = 0.01, gamma: float | None = None, steps: int = 500, most: int = 1000) -> DataFrame:
-    """dp_id, score of a one-class support vector machine with an rbf kernel, fitted by projected gradient on its dual over ``most`` points."""
-    x = sample(points, most)
-    if not len(x):
-        return _unfitted(points)
-    gamma = gamma or 1 / max(x.shape[1] * x.var(), 1e-12) if len(x) else 1.0
-    kernel = lambda a, b: np.exp(-gamma * ((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T).clip(0))
-    k, top = kernel(x, x), 1 / (nu * max(len(x), 1))
-    alpha = np.full(len(x), 1 / max(len(x), 1))
-    rate = 1 / max(np.linalg.norm(k, 2), 1e-9) if len(x) else 1.0
-    for _ in range(steps if len(x) else 0):
-        alpha = _to_simplex(alpha - rate * (k @ alpha), max(top, 1 / len(x)))
-    edge = (alpha > 1e-8) & (alpha < top - 1e-8)
-    rho = float((k @ alpha)[edge].mean()) if edge.any() else float(np.quantile(k @ alpha, nu)) if len(x) else 0.0
-    return scored(points, lambda rows: kernel(rows, x) @ alpha - rho)
-
-
-def _to_simplex(a: np.ndarray, top: float) -> np.ndarray:
-    """The nearest point with entries from 0 to top that sum to 1."""
-    lo, hi = a.min() - top - 1, a.max() + 1
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if np.clip(a - mid, 0, top).sum() > 1 else (lo, mid)
-    return np.clip(a - lo, 0, top)
-
-
-def ssad(points: DataFrame, labeled: DataFrame, kappa: float = 1.0, cost: float = 1.0, steps: int = 500, most: int = 600) -> DataFrame:
-    """dp_id, score of semi-supervised anomaly detection: labelled alarms (y = -1) are pushed out of, others (y = 1) into the region of the sample, which is all labelled points and ``most`` of the others. labeled: dp_id, y."""
-    given = points.filter("x is not null").join(labeled.select("dp_id", "y"), "dp_id", "left").select("x", F.coalesce("y", F.lit(0)).alias("y"), "dp_id")
-    n = given.filter("y <> 0").count()
-    if n > MAX_LABELED:
-        raise ValueError(f"{n} labelled points are more than the {MAX_LABELED} that one fit takes")
-    others = given.filter("y = 0").orderBy(F.xxhash64("dp_id"), "dp_id").limit(most)
-    rows = sorted(given.filter("y <> 0").unionAll(others).collect(), key=lambda r: r["dp_id"])
-    x, y = np.array([r["x"] for r in rows], float), np.array([r["y"] or 1 for r in rows], float)
-    known = np.array([r["y"] != 0 for r in rows])
-    if not len(x):
-        return _unfitted(points)
-    gamma = 1 / max(x.shape[1] * x.var(), 1e-12)
-    kernel = lambda a, b: np.exp(-gamma * ((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T).clip(0))
-    top = np.where(known, kappa * cost, cost / max(len(x), 1) * 10)
-    q = kernel(x, x) * y[:, None] * y[None]
-    alpha, rate = np.minimum(top, 1 / len(x)), 1 / max(np.linalg.norm(q, 2), 1e-9)
-    for _ in range(steps):
-        alpha = np.clip(alpha - rate * (q @ alpha) + rate * 0.5, 0, top)
-    weights = alpha * y
-    rho = float(np.quantile(kernel(x, x) @ weights, 0.05))
-    return scored(points, lambda rows: kernel(rows, x) @ weights - rho)
+def one_class(points: DataFrame, nu: float = 0.01, **options) -> DataFrame:
+    """dp_id, score of a one-class support vector machine with an rbf kernel, fitted over all points (options: machines.one_class)."""
+    machine = machines.one_class(points, nu, **options)
+    return machine.scores(points) if machine else _unfitted(points)
+
+
+def ssad(points: DataFrame, labeled: DataFrame, **options) -> DataFrame:
+    """dp_id, score of semi-supervised anomaly detection over all points, labelled or not; labeled: dp_id, y, -1 for alarms and 1 for others (options: machines.semi_supervised)."""
+    machine = machines.semi_supervised(points, labeled, **options)
+    return machine.scores(points) if machine else _unfitted(points)
 
 
 def random_features(points: DataFrame, features: int = 64, gamma: float = 0.5, seed: int = 0) -> DataFrame:
@@ -276,27 +260,17 @@ def random_order(points: DataFrame, seed: int = 0) -> DataFrame:
     return points.select("dp_id", (F.pmod(F.xxhash64(F.lit(seed), "dp_id"), F.lit(1 << 30)) / (1 << 30)).alias("score"))
 
 
-def dual_one_class(points: DataFrame, labeled: DataFrame, how: str = "exp", most: int = 1000) -> DataFrame:
-    """dp_id, target, outlier (-1 or 1 by one machine on points labelled fine and one on alarms) and what the next question goes by: "exp" for their product, "sim" for how alike they are. labeled: dp_id, is_alarm."""
-    side = lambda hit: points.join(labeled.filter(F.col("is_alarm") == hit).select("dp_id"), "dp_id", "left_semi")
-    sign = F.when(F.col("score") >= 0, 1).otherwise(-1)
-    fitted = lambda hit, nu, name: _one_class_on(side(hit), points, nu, most).select("dp_id", sign.alias(name))
-    both = fitted(False, 0.1, "target").join(fitted(True, 0.9, "outlier"), "dp_id")
-    agg = F.col("target") * F.col("outlier") if how == "exp" else -F.abs(F.col("target") - F.col("outlier"))
-    return both.withColumn("aggregate", agg)
+def dual_one_class(points: DataFrame, labeled: DataFrame, how: str = "exp", **options) -> DataFrame:
+    """dp_id, target, outlier (-1 or 1 by one machine on points labelled fine and one on alarms, 1 where there are none of a kind) and what the next question goes by: "exp" for their product, "sim" for how alike they are. labeled: dp_id, is_alarm."""
 
+    def sign(hit: bool, nu: float, name: str) -> DataFrame:
+        machine = machines.one_class(points.join(labeled.filter(F.col("is_alarm") == hit).select("dp_id"), "dp_id", "left_semi"), nu, **options)
+        found = machine.scores(points) if machine else _unfitted(points)
+        return found.select("dp_id", F.when(F.col("score") >= 0, 1).otherwise(-1).alias(name))
 
-def _one_class_on(train: DataFrame, points: DataFrame, nu: float, most: int) -> DataFrame:
-    x = sample(train, most)
-    if not len(x):
-        return points.select("dp_id", F.lit(1.0).alias("score"))
-    gamma = 1 / max(x.shape[1] * x.var(), 1e-12)
-    kernel = lambda a, b: np.exp(-gamma * ((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T).clip(0))
-    k, top, alpha = kernel(x, x), max(1 / (nu * len(x)), 1 / len(x)), np.full(len(x), 1 / len(x))
-    for _ in range(300):
-        alpha = _to_simplex(alpha - (k @ alpha) / max(np.linalg.norm(k, 2), 1e-9), top)
-    rho = float(np.quantile(k @ alpha, min(nu, 1.0)))
-    return scored(points, lambda rows: kernel(rows, x) @ alpha - rho)
+    both = sign(False, 0.1, "target").join(sign(True, 0.9, "outlier"), "dp_id")
+    agg = F.col("target") * F.col("outlier") if how == "exp" else -F.abs(F.col("target") - F.col("outlier"))
+    return both.withColumn("aggregate", agg)
 
 
 def uncertain(points: DataFrame, labeled: DataFrame, seed: int = 0) -> DataFrame:
