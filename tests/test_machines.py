@@ -71,7 +71,7 @@ def test_semi_supervised_meets_its_dual(spark, cloud):
     # Ascent on the dual with a multiplier for each of its two constraints (augmented Lagrangian).
     a, l1, l2, r, step = np.full(500, 1 / 500), 0.0, 0.0, 1.0, None
     step = 1 / (np.linalg.norm(q, 2) + r * 1000)
-    for i in range(30000):
+    for i in range(15000):
         e1, e2 = a @ sign - 1, max(0.0, 1 - a[known].sum() + l2 / r)
         a = np.clip(a - step * (q @ a + (l1 + r * e1) * sign - r * e2 * known), 0, 1)
         if i % 100 == 99:

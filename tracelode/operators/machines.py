@@ -25,9 +25,9 @@ LANDMARKS = 256
 #: Groups in which the sums of tasks are added up first, where there are more tasks than this.
 GROUPS = 64
 #: By how much each step of a line search is shorter than the one before, and how many there are.
-SHORTER, LENGTHS = 0.4, 24
+SHORTER, LENGTHS = 0.7, 40
 #: By how much each zone is narrower than the one before.
-NARROWER = 8
+NARROWER = 3
 
 
 @dataclass
@@ -151,13 +151,13 @@ def _newton(rows: DataFrame, marks: np.ndarray, width: float, kappa: float, tole
     while True:
         for _ in range(60):
             d = step(v, g, h)
-            if -(g @ d) < 0.01 * tolerance * max(abs(plain), 1e-9):
+            if -(g @ d) < 0.1 * tolerance * max(abs(plain), 1e-9):
                 break
             found = at(v, d, lengths, zone)
             enough = np.flatnonzero(found[0][:-1] <= f + 1e-4 * lengths[:-1] * (g @ d))
             if not len(enough):
                 break
-            v, f, plain, g, h, edge = went(v, d, int(enough[0]), found, zone)
+            v, f, plain, g, h, edge = went(v, d, int(found[0].argmin()), found, zone)
         # At the rounded optimum the slopes of the hinges are feasible for the dual, whose value is -|w|^2 / 2.
         gap = plain + 0.5 * (v[:m] @ v[:m])
         if gap <= tolerance * max(abs(plain), 1e-9) or zone < 1e-9:
