@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelode.operators import learn, machines
+from tracelode.operators import graph, learn, machines
 
 
 @pytest.fixture(scope="module")
@@ -138,3 +138,15 @@ def test_forest_from_all_points(spark):
     assert np.mean([i >= 5000 for i in lowest]) > 0.9
     again = {r.dp_id: r.score for r in learn.isolation_forest(p.repartition(5)).collect()}
     assert again == pytest.approx(got)
+
+
+def test_classifiers_after_an_observation(spark, cloud):
+    """A session that has observed a count can't be serialized; the classifiers don't send it."""
+    assert graph.written_with_count(spark.range(3).toDF("a"), graph.shared_folder(spark, "observed")) == 3
+    p = frame(spark, cloud)
+    lab = spark.createDataFrame([(i, i >= 480) for i in [*range(40), *range(480, 490)]], "dp_id long, is_alarm boolean")
+    pred = {r.dp_id: r.pred for r in learn.svc(p, lab).collect()}
+    told = [*range(40), *range(480, 490)]
+    assert len(pred) == 500 and set(pred.values()) <= {-1, 1} and np.mean([(pred[i] == -1) == (i >= 480) for i in told]) > 0.7
+    unsure = [r.margin for r in learn.uncertain(p, lab).collect()]
+    assert len(unsure) == 450 and unsure == sorted(unsure) and unsure[0] >= 0

@@ -127,17 +127,29 @@ def _one_label(train: DataFrame) -> int | None:
     return None if n["yes"] and n["no"] else int(n["yes"] > 0)
 
 
-def svc(points: DataFrame, labeled: DataFrame, seed: int = 0) -> DataFrame:
-    """dp_id, pred (-1 alarm, 1 not) of a support vector classifier with an approximate rbf kernel; labeled: dp_id, is_alarm."""
+def _margins(z: DataFrame, labeled: DataFrame) -> DataFrame | int:
+    """dp_id, margin (above 0: alarm) of a linear machine fitted to the labelled rows of z (dp_id, z); where there is one class only, its label.
+
+    The model's weights go into the plan as numbers. MLlib's own transform sends the model with its training summary and thereby the session, which can't be serialized once it has observed anything.
+    """
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
 
-    z = random_features(points, seed=seed).select("dp_id", array_to_vector("z").alias("features"))
-    train = z.join(labeled.select("dp_id", F.col("is_alarm").cast("double").alias("label")), "dp_id")
+    train = z.join(labeled.select("dp_id", F.col("is_alarm").cast("double").alias("label")), "dp_id").select(array_to_vector("z").alias("features"), "label")
     if (only := _one_label(train)) is not None:
-        return points.select("dp_id", F.lit(-1 if only else 1).alias("pred"))
+        return only
     model = LinearSVC(maxIter=50, regParam=0.01).fit(train)
-    return model.transform(z).select("dp_id", F.when(F.col("prediction") == 1, -1).otherwise(1).alias("pred"))
+    weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+    dot = F.aggregate(F.zip_with("z", weights, lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
+    return z.select("dp_id", (dot + F.lit(float(model.intercept))).alias("margin"))
+
+
+def svc(points: DataFrame, labeled: DataFrame, seed: int = 0) -> DataFrame:
+    """dp_id, pred (-1 alarm, 1 not) of a support vector classifier with an approximate rbf kernel; labeled: dp_id, is_alarm."""
+    margins = _margins(random_features(points, seed=seed), labeled)
+    if isinstance(margins, int):
+        return points.select("dp_id", F.lit(-1 if margins else 1).alias("pred"))
+    return margins.select("dp_id", F.when(F.col("margin") > 0, -1).otherwise(1).alias("pred"))
 
 
 def gmm_entropy(points: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
@@ -275,12 +287,7 @@ def dual_one_class(points: DataFrame, labeled: DataFrame, how: str = "exp", **op
 
 def uncertain(points: DataFrame, labeled: DataFrame, seed: int = 0) -> DataFrame:
     """dp_id, margin: the points not labelled yet whose class the classifier is least sure of come first. labeled: dp_id, is_alarm."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    z = random_features(points, seed=seed).select("dp_id", array_to_vector("z").alias("features"))
-    train = z.join(labeled.select("dp_id", F.col("is_alarm").cast("double").alias("label")), "dp_id")
-    if _one_label(train) is not None:
-        return points.join(labeled.select("dp_id"), "dp_id", "left_anti").select("dp_id", F.lit(0.0).alias("margin")).orderBy("dp_id")
-    out = LinearSVC(maxIter=50, regParam=0.01).fit(train).transform(z.join(labeled.select("dp_id"), "dp_id", "left_anti"))
-    return out.select("dp_id", F.abs(F.get(vector_to_array("rawPrediction"), F.lit(0))).alias("margin")).orderBy("margin", "dp_id")
+    margins, known = _margins(random_features(points, seed=seed), labeled), labeled.select("dp_id")
+    if isinstance(margins, int):
+        return points.join(known, "dp_id", "left_anti").select("dp_id", F.lit(0.0).alias("margin")).orderBy("dp_id")
+    return margins.join(known, "dp_id", "left_anti").select("dp_id", F.abs("margin").alias("margin")).orderBy("margin", "dp_id")
