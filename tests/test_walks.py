@@ -147,3 +147,15 @@ def test_walks_of_nothing(spark):
     assert walks.reach(edges, none, ["func"]).count() == 0 and walks.spliced(none, edges, ["func"]).count() == 0
     assert walks.block_paths(edges, spark.createDataFrame([], "func string, start string, stop string"), 3).count() == 0
     assert walks.numbered_choices(spark.createDataFrame([], "key string, pos int, options array<string>"), ["key"], "pos", "options").filter(F.col("number") >= 0).count() == 0
+
+
+def test_block_paths_follow_only_edges_to_their_stop(spark, monkeypatch):
+    """A hub with many blocks after it: the search for a stop gets the edges that lead to it, not all of the hub's."""
+    rows = [("f", "hub", f"b{i:03d}") for i in range(60)] + [("f", f"b{i:03d}", f"s{i:03d}") for i in range(60)]
+    edges = spark.createDataFrame(rows, "func string, src string, dst string")
+    ends = edges.filter("dst like 's%'").selectExpr("func", "'hub' as start", "dst as stop")
+    seen, search = [], walks._paths_within
+    monkeypatch.setattr(walks, "_paths_within", lambda step, *rest: seen.append(step) or search(step, *rest))
+    found = {(r.stop, tuple(r.path)) for r in walks.block_paths(edges, ends, 2).collect()}
+    assert found == {(f"s{i:03d}", ("hub", f"b{i:03d}", f"s{i:03d}")) for i in range(60)}
+    assert {r["n"] for r in seen[0].groupBy("stop").agg(F.count("*").alias("n")).collect()} == {2}

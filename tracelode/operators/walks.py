@@ -145,6 +145,8 @@ def block_paths(edges: DataFrame, ends: DataFrame, most: int, key: Sequence[str]
     stops = todo.select(*key, F.col("stop").alias("id"), "stop").distinct()
     left = reach(step, stops, key, forward=False, carry=["stop"], rounds=rounds)
     left = graph.written(left.withColumnsRenamed({"id": "dst", "depth": "left"}), "distances")
+    # The edges from which a stop can be reached, for each stop: no more than the walk back has met, and no partial path ever meets another.
+    step = graph.written(step.join(left, [*key, "dst"]).select(*key, "stop", "src", "dst", "left"), "steps")
     same, budget, done = [*key, "start", "stop"], most, []
     while not _is_empty(todo):
         found, aside = _paths_within(step, todo, left, most, budget, key, rounds)
@@ -162,7 +164,7 @@ def block_paths(edges: DataFrame, ends: DataFrame, most: int, key: Sequence[str]
 
 
 def _paths_within(step: DataFrame, ends: DataFrame, left: DataFrame, most: int, budget: int, key: Sequence[str], rounds: int) -> tuple[DataFrame, DataFrame]:
-    """The first ``most`` paths of each end that a search with this budget finds (with their length), and what it left aside (with its worth)."""
+    """The first ``most`` paths of each end that a search with this budget finds (with their length), and what it left aside (with its worth); step: edges by stop, with what is left after them."""
     spark, folder = step.sparkSession, graph.shared_folder(step.sparkSession, "paths")
     same = [*key, "start", "stop"]
     here = left.select(*key, "stop", F.col("dst").alias("start"), F.col("left").alias("worth"))
@@ -174,7 +176,7 @@ def _paths_within(step: DataFrame, ends: DataFrame, left: DataFrame, most: int,
         if not graph.written_with_count(ranked, f"{folder}/level={i}"):
             break
         now = spark.read.schema(ranked.schema).parquet(f"{folder}/level={i}").filter("kind = 'front'")
-        onward = now.withColumnRenamed("at", "src").join(step, [*key, "src"]).filter(~F.array_contains("path", F.col("dst"))).join(left, [*key, "stop", "dst"])
+        onward = now.withColumnRenamed("at", "src").join(step, [*key, "stop", "src"]).filter(~F.array_contains("path", F.col("dst")))
         front = onward.select(*same, F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.lit(i + 1).alias("length"), (F.col("left") + i + 1).alias("worth"))
     else:
         raise RuntimeError(f"a path is longer than {rounds} nodes")
