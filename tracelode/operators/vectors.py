@@ -110,12 +110,40 @@ def in_blocks(points: DataFrame, others: DataFrame, meet: Callable[[pd.DataFrame
     return left.groupBy("chunk", "block").cogroup(right.groupBy("o_chunk", "o_block")).applyInPandas(run, schema)
 
 
+#: Squared distances below this share of the squared lengths are taken from differences, as a product form would cancel.
+CLOSE = 1e-3
+#: Pairs whose differences are held at once.
+PAIRS = 1 << 16
+
+
+def exact_distances2(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows i of x from the rows j of y, from their differences, some pairs at a time."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), PAIRS):
+        d = x[i[k : k + PAIRS]] - y[j[k : k + PAIRS]]
+        out[k : k + PAIRS] = np.einsum("ij,ij->i", d, d)
+    return out
+
+
+def rough_distances2(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared distances of all rows of x from all rows of y by one product of matrices, and the squared lengths of either side, all measured from y's mean; a distance may be off by about 1e-13 of the lengths."""
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    a, b = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    out = x @ y.T
+    out *= -2
+    out += a[:, None]
+    out += b
+    return out, a, b
+
+
 def distances2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of x from all rows of y, without the cancellation of a product form; row by row, so memory is that of the result and one difference."""
-    out = np.empty((len(x), len(y)))
-    for i, row in enumerate(x):
-        d = y - row
-        out[i] = np.einsum("ij,ij->i", d, d)
+    """Squared distances of all rows of x from all rows of y; those of close rows, and all that aren't finite, are taken from differences."""
+    out, a, b = rough_distances2(x, y)
+    for k in range(0, len(x), 256):
+        part = out[k : k + 256]
+        i, j = np.nonzero(~(part > CLOSE * (a[k : k + 256, None] + b)))
+        part[i, j] = exact_distances2(x, y, i + k, j)
     return out
 
 
@@ -177,10 +205,20 @@ def nearest(points: DataFrame, among: DataFrame) -> DataFrame:
 
     def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
         order = np.argsort(b["dp_id"].to_numpy(), kind="stable")
-        ids, d = b["dp_id"].to_numpy()[order], distances2(x, y[order])
-        d[a["dp_id"].to_numpy()[:, None] == ids] = np.inf
-        best = d.argmin(axis=1)
-        out = pd.DataFrame({"dp_id": a["dp_id"].to_numpy(), "other": ids[best], "d": d[np.arange(len(d)), best]})
+        ids, y = b["dp_id"].to_numpy()[order], y[order]
+        out = []
+        for k in range(0, len(x), 256):
+            mine, own = x[k : k + 256], a["dp_id"].to_numpy()[k : k + 256]
+            d, p, q = rough_distances2(mine, y)
+            other = own[:, None] != ids
+            # All that could be nearest, given how far the product form may be off, are measured again; of equal ones the first counts.
+            least = np.where(other, d, np.inf).min(axis=1)
+            i, j = np.nonzero(other & ~(d > (least + 1e-11 * (p + q.max()))[:, None]))
+            near = exact_distances2(mine, y, i, j)
+            best = np.lexsort((j, near, i))
+            best = best[np.unique(i[best], return_index=True)[1]]
+            out.append(pd.DataFrame({"dp_id": own[i[best]], "other": ids[j[best]], "d": near[best]}))
+        out = pd.concat(out)
         return out[np.isfinite(out["d"])]
 
     found = in_blocks(points.select("dp_id", "x"), among.select("dp_id", "x"), meet, "dp_id long, other long, d double")
