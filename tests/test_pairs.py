@@ -34,3 +34,11 @@ def test_nearest_by_products_is_exact(points, many):
     got = {r.dp_id: (r.other, r.distance) for r in vectors.nearest(points, points).collect()}
     assert {i: o for i, (o, _) in got.items()} == dict(enumerate(d.argmin(axis=1).tolist()))
     assert [got[i][1] for i in range(len(d))] == pytest.approx(np.sqrt(d.min(axis=1)), rel=1e-12)
+
+
+def test_each_pair_meets_once(points, many):
+    got = vectors.mean_distance(points).first()
+    i, j = np.triu_indices(len(many), 1)
+    assert got.n_pairs == len(i) and got.mean_distance == pytest.approx(np.sqrt(plain(many)[i, j]).mean(), rel=1e-12)
+    met = vectors.in_blocks(points, points, lambda a, x, b, y: a[["chunk", "block"]].drop_duplicates().rename(columns={"chunk": "c", "block": "d"}), "c int, d int", half=True)
+    assert sorted(map(tuple, met.collect())) == [(0, 0), (0, 1), (1, 1)]

@@ -85,10 +85,11 @@ def kernel_matrix(a: DataFrame, b: DataFrame, param: float = 2.0, linear: bool =
 BLOCK = 2048
 
 
-def in_blocks(points: DataFrame, others: DataFrame, meet: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, size: int = BLOCK) -> DataFrame:
+def in_blocks(points: DataFrame, others: DataFrame, meet: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, size: int = BLOCK, half: bool = False) -> DataFrame:
     """What ``meet`` makes of each chunk of points with each block of others; both are dealt by hash, so a task holds about ``size`` rows of either.
 
-    Points and others have dp_id and x, arrays of one length. Null vectors take no part.
+    Points and others have dp_id and x, arrays of one length. Null vectors take no part. With ``half``, where both are the same rows, a chunk meets itself and of two chunks one meets the other;
+    the chunk's rows have columns chunk and block, and rows of one dp_id are in one chunk.
     """
     points, others = points.filter("x is not null"), others.filter("x is not null")
     n_chunks, n_blocks = max(1, -(-points.count() // size)), max(1, -(-others.count() // size))
@@ -98,6 +99,8 @@ def in_blocks(points: DataFrame, others: DataFrame, meet: Callable[[pd.DataFrame
     left = points.withColumn("chunk", deal("dp_id", n_chunks)).withColumn("block", every(n_blocks))
     # Other names, so that the sides share no column even where both come from the same rows.
     right = others.toDF(*[f"o_{c}" for c in columns]).withColumn("o_block", deal("o_dp_id", n_blocks)).withColumn("o_chunk", every(n_chunks))
+    if half:
+        left, right = left.filter("chunk <= block"), right.filter("o_chunk <= o_block")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -137,6 +140,11 @@ def rough_distances2(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, a, b
 
 
+def _itself(chunk: pd.DataFrame) -> bool:
+    """Whether a chunk meets itself (in_blocks with half)."""
+    return chunk["chunk"].iloc[0] == chunk["block"].iloc[0]
+
+
 def distances2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of x from all rows of y; those of close rows, and all that aren't finite, are taken from differences."""
     out, a, b = rough_distances2(x, y)
@@ -193,11 +201,15 @@ def mean_distance(points: DataFrame) -> DataFrame:
     """The mean distance of all pairs i < j."""
 
     def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        d = distances2(x, y)
+        np.sqrt(d, out=d)
+        if not _itself(a):
+            return pd.DataFrame({"s": [d.sum()], "n": [d.size]})
         pair = a["dp_id"].to_numpy()[:, None] < b["dp_id"].to_numpy()
-        return pd.DataFrame({"s": [np.sqrt(distances2(x, y))[pair].sum()], "n": [int(pair.sum())]})
+        return pd.DataFrame({"s": [d[pair].sum()], "n": [int(pair.sum())]})
 
     p = points.select("dp_id", "x")
-    return in_blocks(p, p, meet, "s double, n long").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean_distance"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_pairs"))
+    return in_blocks(p, p, meet, "s double, n long", half=True).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean_distance"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_pairs"))
 
 
 def nearest(points: DataFrame, among: DataFrame) -> DataFrame:
