@@ -42,3 +42,15 @@ def test_each_pair_meets_once(points, many):
     assert got.n_pairs == len(i) and got.mean_distance == pytest.approx(np.sqrt(plain(many)[i, j]).mean(), rel=1e-12)
     met = vectors.in_blocks(points, points, lambda a, x, b, y: a[["chunk", "block"]].drop_duplicates().rename(columns={"chunk": "c", "block": "d"}), "c int, d int", half=True)
     assert sorted(map(tuple, met.collect())) == [(0, 0), (0, 1), (1, 1)]
+
+
+def test_bandwidths_from_half_of_the_blocks(points, many, monkeypatch):
+    halves, plan = [], vectors.in_blocks
+    monkeypatch.setattr(vectors, "in_blocks", lambda *a, **b: halves.append(b.get("half")) or plan(*a, **b))
+    got = {r.bandwidth: r.fitness for r in vectors.bandwidths(points, [0.05, 0.5]).collect()}
+    d, fold = plain(many), np.arange(len(many)) % 5
+    other = fold[:, None] != fold
+    for h in (0.05, 0.5):
+        mean = np.maximum((np.exp(-d / (2 * h * h)) * other).sum(axis=1) / other.sum(axis=1), 1e-300)
+        assert got[h] == pytest.approx((np.log(mean) - 3 * np.log(h * np.sqrt(2 * np.pi))).sum(), rel=1e-9)
+    assert halves == [True]

@@ -337,12 +337,27 @@ def bandwidths(points: DataFrame, grid: Sequence[float], folds: int = 5) -> Data
     """bandwidth, fitness: the log-likelihood of each fold of the points under the others, over all pairs in blocks. Points whose mean kernel is under 1e-300 count as that."""
 
     def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
-        d2 = distances2(x, y)
-        other = (a["dp_id"].to_numpy() % folds)[:, None] != (b["dp_id"].to_numpy() % folds)
-        parts = [pd.DataFrame({"dp_id": a["dp_id"], "bandwidth": float(h), "k": (np.exp(-d2 / (2 * h * h)) * other).sum(axis=1), "n": other.sum(axis=1), "dim": x.shape[1]}) for h in grid]
-        return pd.concat(parts)
+        # Kernels are as good one way as the other, so a block's rows get their sums too, by column; sums go by fold, and a row adds up those of the other folds.
+        one_hot = lambda d: (d["dp_id"].to_numpy()[:, None] % folds == np.arange(folds)).astype(float)
+        fa, fb = one_hot(a), one_hot(b)
+        across, down = np.zeros((len(grid), len(x), folds)), np.zeros((len(grid), len(y), folds))
+        for k in range(0, len(x), 256):
+            d2 = distances2(x[k : k + 256], y)
+            near = np.empty_like(d2)
+            for g, h in enumerate(grid):
+                np.multiply(d2, -1 / (2 * h * h), out=near)
+                np.exp(near, out=near)
+                across[g, k : k + 256] = near @ fb
+                if not _itself(a):
+                    down[g] += near.T @ fa[k : k + 256]
+
+        def sums(d: pd.DataFrame, own: np.ndarray, found: np.ndarray, others: np.ndarray) -> list[pd.DataFrame]:
+            n = ((1 - own) @ others.sum(axis=0)).astype(int)
+            return [pd.DataFrame({"dp_id": d["dp_id"], "bandwidth": float(h), "k": (found[g] * (1 - own)).sum(axis=1), "n": n, "dim": x.shape[1]}) for g, h in enumerate(grid)]
+
+        return pd.concat(sums(a, fa, across, fb) + ([] if _itself(a) else sums(b, fb, down, fa)))
 
     p = points.select("dp_id", "x")
-    near = in_blocks(p, p, meet, "dp_id long, bandwidth double, k double, n long, dim int").groupBy("bandwidth", "dp_id").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max("dim").alias("dim")).filter("n > 0")
+    near = in_blocks(p, p, meet, "dp_id long, bandwidth double, k double, n long, dim int", half=True).groupBy("bandwidth", "dp_id").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max("dim").alias("dim")).filter("n > 0")
     ll = F.log(F.greatest(F.col("k") / F.col("n"), F.lit(1e-300))) - F.col("dim") * F.log(F.col("bandwidth") * F.sqrt(2 * F.pi()))
     return near.groupBy("bandwidth").agg(F.sum(ll).alias("fitness"))
