@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tracelode.operators import vectors
+from tracelode.operators import graph, vectors
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +54,10 @@ def test_bandwidths_from_half_of_the_blocks(points, many, monkeypatch):
         mean = np.maximum((np.exp(-d / (2 * h * h)) * other).sum(axis=1) / other.sum(axis=1), 1e-300)
         assert got[h] == pytest.approx((np.log(mean) - 3 * np.log(h * np.sqrt(2 * np.pi))).sum(), rel=1e-9)
     assert halves == [True]
+
+
+def test_neighbours_of_clusters_are_measured_once(points, monkeypatch):
+    names, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or write(df, name))
+    found = vectors.neighbour_clusters(points)
+    assert names.count("nearest") == 1 and found.count() == 2500

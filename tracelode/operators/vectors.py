@@ -247,7 +247,8 @@ def entropy(clusters: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 def neighbour_clusters(points: DataFrame, cut: float | None = None) -> DataFrame:
     """dp_id, cluster: components of the graph that joins each point with its nearest other one, if that is no further than ``cut``; a cluster is named by its least dp_id. Points without vector are left out."""
-    near = nearest(points, points)
+    # The pairs are measured once; the components read what is written.
+    near = graph.written(nearest(points, points), "nearest")
     links = (near if cut is None else near.filter(F.col("distance") <= cut)).select(F.col("dp_id").alias("a"), F.col("other").alias("b"))
     alone = points.filter("x is not null").select("dp_id").distinct()
     found = graph.merged_clusters(links).withColumnRenamed("node", "dp_id")
