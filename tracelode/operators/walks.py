@@ -52,13 +52,14 @@ def reach(edges: DataFrame, starts: DataFrame, key: Sequence[str] = KEY, forward
 def def_use_edges(instrs: DataFrame) -> DataFrame:
     """key, src, dst: each instruction that uses a value (as argument, operand, condition, place or what is stored) with the latest one before it that gave it; a load also with the latest store to its place."""
     used = F.array_distinct(F.filter(F.concat(F.array("op0", "op1", "cond", "mem", "val"), F.coalesce("args", F.array().cast("array<string>"))), lambda x: x.isNotNull()))
-    one = lambda what, value: instrs.select(*KEY, "idx", F.lit(what).alias("what"), value.alias("value"))
-    rows = one("use", F.explode(used)).unionAll(one("give", F.col("res")).filter("value is not null"))
-    order = Window.partitionBy(*KEY, "value").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
-    given = rows.withColumn("src", F.max(F.when(F.col("what") == "give", F.col("idx"))).over(order)).filter("what = 'use'")
-    place = Window.partitionBy(*KEY, "mem").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    memory = instrs.filter("op in ('Load', 'Store') and mem is not null").withColumn("src", F.max(F.when(F.col("op") == "Store", F.col("idx"))).over(place)).filter("op = 'Load'")
-    return given.select(*KEY, "src", F.col("idx").alias("dst")).unionAll(memory.select(*KEY, "src", F.col("idx").alias("dst"))).filter("src is not null").distinct()
+    mark = lambda place, gives, value: F.struct(F.lit(place).alias("place"), gives.alias("gives"), value.alias("value"))
+    memory = F.when(F.col("op").isin("Load", "Store"), mark(True, F.col("op") == "Store", F.col("mem")))
+    marks = F.filter(F.concat(F.transform(used, lambda x: mark(False, F.lit(False), x)), F.array(mark(False, F.lit(True), F.col("res")), memory)), lambda m: m["value"].isNotNull())
+    rows = instrs.select(*KEY, "idx", F.explode(marks).alias("_m")).select(*KEY, "idx", "_m.*")
+    # One sort finds both: what gave a value, and what was stored to a place.
+    order = Window.partitionBy(*KEY, "place", "value").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("src", F.max(F.when(F.col("gives"), F.col("idx"))).over(order)).filter(~F.col("gives") & F.col("src").isNotNull())
+    return found.select(*KEY, "src", F.col("idx").alias("dst")).distinct()
 
 
 def reachable_calls(instrs: DataFrame, edges: DataFrame, forward: bool = True) -> DataFrame:
