@@ -2,7 +2,7 @@
 
 An extractor works in two phases. In the first it may aggregate over all slices (``gather``, a row for each target, finalised
 before the second begins); in the second it maps each trace to its features. What it looks at in a trace is its
-subjects: values such as the target's result or what an argument stands for. For each of them it says which rows count (``relevant``), what
+subjects: values such as the target's result or what an argument stands for. For each of them it says which rows count (``relevant``, and ``needs``, which looks at the subject), what
 the rows before show (``running``), and what is found at a row: ``any`` (true if it is at any row), ``last`` (the value at the last row that has
 one) and ``sum``. ``output`` makes columns of these.
 
@@ -18,6 +18,7 @@ caller besides those of the long table are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,17 @@ def subject(value: Column, part: int = 0, at: Column | int = 0, start: Column |
     return F.struct(F.lit(part).alias("part"), column(at).cast("int").alias("at"), value.alias("value"), (F.col("t") if start is None else start).cast("int").alias("start"))
 
 
+class Seen(NamedTuple):
+    """A running aggregate that extractors share: rows of different extractors never meet in one window, so one aggregate of each kind serves all."""
+
+    kind: str  # of KINDS
+    value: Column
+
+
+#: The set of texts, and the latest comparison.
+KINDS = {"set": F.collect_set, "compared": lambda x: F.last(x, ignorenulls=True)}
+
+
 class Extractor:
     """The protocol, with defaults. Conditions may use a row's columns, t, r, targs and last_idx of its trace, ``value`` and ``start`` of the subject, and the names given by gather, on_trace and running."""
 
@@ -64,7 +76,11 @@ class Extractor:
         """Rows that can matter. The target's row is always among those that conditions see, so that each subject has one."""
         return F.col("idx") > F.col("t")
 
-    def running(self) -> dict[str, Column]:
+    def needs(self, value: Column, at: Column, start: Column) -> Column:
+        """Of the relevant rows those that can matter to such a subject; the target's row always stays."""
+        return F.lit(True)
+
+    def running(self) -> dict[str, Column | Seen]:
         """Aggregates over the rows of a subject before the present one."""
         return {}
 
@@ -94,6 +110,11 @@ def _uses(value: Column) -> Column:
     return (F.col("op0") == value) | (F.col("op1") == value)
 
 
+def _touches(value: Column) -> Column:
+    """Of the rows that only count if they use the value those that do, and all others."""
+    return ~_op("Bin", "ICmp", "Call") | (_op("Bin", "ICmp") & features.no(_uses(value))) | (_op("Call") & features.no(F.array_contains("args", value)))
+
+
 class ControlFlow(Extractor):
     name = "control_flow"
 
@@ -122,14 +143,17 @@ class Result(Extractor):
     def relevant(self) -> Column:
         return (F.col("idx") > F.col("t")) & _op("Call", "Bin", "ICmp", "Load", "Store", "GEP", "Ret")
 
+    def needs(self, value: Column, at: Column, start: Column) -> Column:
+        return _touches(value)
+
     @staticmethod
     def _stored() -> Column:
         return _op("Store") & (F.col("val") == F.col("value")) & (F.col("mem") != F.col("value"))
 
-    def running(self) -> dict[str, Column]:
+    def running(self) -> dict[str, Column | Seen]:
         mem = F.col("mem")
         place = F.when(mem.rlike(v.PLACES), mem).when(mem.startswith('{"GEP":'), v.base_of(mem))
-        return {"children": F.collect_set(F.when(_op("GEP") & (mem == F.col("value")), F.col("res"))), "places": F.collect_set(F.when(self._stored(), place))}
+        return {"children": Seen("set", F.when(_op("GEP") & (mem == F.col("value")), F.col("res"))), "places": Seen("set", F.when(self._stored(), place))}
 
     def any(self) -> dict[str, Column]:
         r, mem, out = F.col("value"), F.col("mem"), F.col("op0")
@@ -151,9 +175,9 @@ class _Checked(Extractor):
     def _hit(self) -> Column:
         return _op("ICmp") & (F.col("idx") > F.col("start")) & _uses(F.col("value"))
 
-    def running(self) -> dict[str, Column]:
+    def running(self) -> dict[str, Column | Seen]:
         number = F.coalesce(v.number_of(F.col("op0")), v.number_of(F.col("op1")))
-        return {"cmp": F.last(F.when(features.no(self._hit()), F.struct(F.col("res").alias("res"), F.col("pred").alias("pred"), number.alias("number"))), ignorenulls=True)}
+        return {"cmp": Seen("compared", F.when(features.no(self._hit()), F.struct(F.col("res").alias("res"), F.col("pred").alias("pred"), number.alias("number"))))}
 
     def _branch(self) -> Column:
         return _op("CondBr") & (F.col("cond") == F.col(f"{self.name}_cmp.res"))
@@ -177,6 +201,9 @@ class ResultCheck(_Checked):
     def relevant(self) -> Column:
         return (F.col("idx") > F.col("t")) & _op("ICmp", "CondBr")
 
+    def needs(self, value: Column, at: Column, start: Column) -> Column:
+        return _touches(value)
+
     def output(self, found: dict[str, Column]) -> dict[str, Column]:
         return {"checked": found["checked"], "br_eq_zero": found["is_zero"], "br_neq_zero": ~found["is_zero"], "compared_with_zero": found["compared_with_zero"], "compared_with_non_const": found["compared_with_non_const"]}
 
@@ -206,6 +233,9 @@ class ArgumentBefore(Extractor):
     def relevant(self) -> Column:
         return (F.col("idx") < F.col("t")) & _op("ICmp")
 
+    def needs(self, value: Column, at: Column, start: Column) -> Column:
+        return _touches(value)
+
     def _open(self) -> Column:
         """Once a value is constant, it and those after it are not checked."""
         upto = F.slice(v.candidates(F.get("targs", F.lit(self.i)), self.depth), F.lit(1), F.col("_at") + 1)
@@ -239,15 +269,18 @@ class ArgumentAfter(Extractor):
     def relevant(self) -> Column:
         return (F.col("idx") > F.col("t")) & _op("Call", "Bin", "ICmp", "Load", "Store", "GEP", "Ret")
 
+    def needs(self, value: Column, at: Column, start: Column) -> Column:
+        return _touches(value)
+
     def _kept(self) -> Column:
         return _op("Store") & (F.col("val") == F.col("value")) & ~features.no(F.col("mem") == F.col("value")) & (F.col("idx") > F.col("t"))
 
-    def running(self) -> dict[str, Column]:
+    def running(self) -> dict[str, Column | Seen]:
         mem = F.col("mem")
         place = F.when(mem.rlike(r'^\{"(Arg|Sym|Glob|Alloc)":'), mem).when(mem.startswith('{"GEP":'), F.get_json_object(mem, "$.GEP.loc"))
         return {
-            "children": F.collect_set(F.when((F.col("idx") > F.col("t")) & _op("GEP") & (mem == F.col("value")), F.col("res"))), "places": F.collect_set(F.when(self._kept(), place)),
-            "allocated": F.collect_set(F.when(self._kept(), F.concat(F.lit('{"AllocOf":'), mem, F.lit("}")))),
+            "children": Seen("set", F.when((F.col("idx") > F.col("t")) & _op("GEP") & (mem == F.col("value")), F.col("res"))), "places": Seen("set", F.when(self._kept(), place)),
+            "allocated": Seen("set", F.when(self._kept(), F.concat(F.lit('{"AllocOf":'), mem, F.lit("}")))),
         }
 
     def any(self) -> dict[str, Column]:
@@ -300,6 +333,10 @@ class Causality(_Checked):
     def relevant(self) -> Column:
         return (self._side() & _op("Call")) | _op("ICmp", "CondBr")
 
+    def needs(self, value: Column, at: Column, start: Column) -> Column:
+        """Calls of the function, and what may compare the result of the deciding one or branch on it."""
+        return F.when(at == 0, _op("Call") & (F.col("func") == value)).otherwise((F.col("idx") > start) & (_op("CondBr") | (_op("ICmp") & _uses(value))))
+
     def _call(self) -> Column:
         return (F.col("_at") == 0) & self._side() & _op("Call") & (F.col("func") == F.col("value"))
 
@@ -357,7 +394,8 @@ def run(instrs: DataFrame, extractors: Sequence[Extractor], types: DataFrame | N
 
     def subjects(m: int, e: Extractor) -> Column:
         fits = (e.relevant() | F.col("is_target")) & (F.array_contains("_applies", m) if types is not None else F.lit(True))
-        held = F.transform(e.subjects(), lambda s: F.struct(F.lit(m).alias("m"), s["part"].alias("part"), s["at"].alias("at"), s["value"].alias("value"), s["start"].alias("start")))
+        kept = F.filter(e.subjects(), lambda s: F.col("is_target") | features.no(e.needs(s["value"], s["at"], s["start"])))
+        held = F.transform(kept, lambda s: F.struct(F.lit(m).alias("m"), s["part"].alias("part"), s["at"].alias("at"), s["value"].alias("value"), s["start"].alias("start")))
         return F.when(features.no(fits), F.coalesce(held, F.array().cast(kind))).otherwise(F.array().cast(kind))
 
     kind = "array<struct<m:int,part:int,at:int,value:string,start:int>>"
@@ -365,7 +403,22 @@ def run(instrs: DataFrame, extractors: Sequence[Extractor], types: DataFrame | N
     rows = rows.withColumn("_s", F.explode(F.concat(anchor, *[subjects(m, e) for m, e in enumerate(extractors)])))
     rows = rows.select("*", F.col("_s.m").alias("_m"), F.col("_s.part").alias("_part"), F.col("_s.at").alias("_at"), F.col("_s.value").alias("value"), F.col("_s.start").alias("start")).drop("_s")
     before = Window.partitionBy(*KEY, "_m", "_part").orderBy("_at", "idx").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({f"{e.name}_{n}": F.when(F.col("_m") == m, x.over(before)) for m, e in enumerate(extractors) for n, x in e.running().items()} or {"_none": F.lit(0)})
+    shared: dict[tuple[str, int], Column] = {}
+    known: dict[str, Column] = {}
+    for m, e in enumerate(extractors):
+        own: dict[str, int] = {}
+        for n, x in e.running().items():
+            if isinstance(x, Seen):
+                slot = x.kind, own.setdefault(x.kind, 0)
+                own[x.kind] += 1
+                shared[slot] = shared[slot].when(F.col("_m") == m, x.value) if slot in shared else F.when(F.col("_m") == m, x.value)
+                known[f"{e.name}_{n}"] = F.col(f"_{slot[0]}_{slot[1]}")
+            else:
+                known[f"{e.name}_{n}"] = F.when(F.col("_m") == m, x.over(before))
+    if shared:
+        rows = rows.withColumns({f"_{kind}_{i}": KINDS[kind](x).over(before) for (kind, i), x in shared.items()})
+    if known:
+        rows = rows.withColumns(known)
 
     def slots(of: str) -> list[Column]:
         """The conditions of all extractors by their place; a row meets those of its own extractor alone."""
