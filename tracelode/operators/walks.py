@@ -134,21 +134,30 @@ def block_graph(blocks: DataFrame, key: Sequence[str] = ("func",)) -> DataFrame:
     return blocks.select(*key, F.col("block").alias("src"), F.explode("next").alias("dst")).filter("dst is not null").distinct()
 
 
-def block_paths(edges: DataFrame, ends: DataFrame, most: int, key: Sequence[str] = ("func",), rounds: int = 10_000) -> DataFrame:
+def block_paths(edges: DataFrame, ends: DataFrame, most: int, key: Sequence[str] = ("func",), rounds: int = 10_000, kept: bool = False) -> DataFrame:
     """key, start, stop, path: the first ``most`` paths without repeated nodes for each of the ends (key, start, stop), the shortest first and those of one length in order of their nodes.
 
     A partial path is worth its length and the distance that is left; at each level only the best are followed, a budget for each end, so a function with
     2^30 paths costs what its first ones cost. Where a loop makes followed paths die, something left aside could have come first: an end whose last path
-    found doesn't come before all that was left aside is done again with four times the budget.
+    found doesn't come before all that was left aside is done again with four times the budget. Where a start has more than TOGETHER ends on the average, they are searched
+    together first, and only those of functions where a path met itself one by one. kept: the edges are a written table, which can be read again at each level.
     """
-    todo = graph.written(ends.select(*key, "start", "stop").filter("start is not null and stop is not null").distinct(), "ends")
+    todo, done = graph.written(ends.select(*key, "start", "stop").filter("start is not null and stop is not null").distinct(), "ends"), []
+    size = todo.agg(F.count("*").alias("ends"), F.count_distinct(F.struct(*key, "start")).alias("starts")).first()
+    if size["ends"] > TOGETHER * size["starts"]:
+        step = edges.select(*key, "src", "dst").filter("src is not null and dst is not null")
+        found, looped = _paths_together(step if kept else graph.written(step, "edges"), todo, most, key, rounds)
+        done.append(found)
+        todo = graph.written(todo.join(looped, [*key, "start"], "left_semi"), "ends")
+    if _is_empty(todo):
+        return done[0] if done else todo.withColumn("path", F.array("start"))
     step = graph.written(_edges(edges, key), "edges")
     stops = todo.select(*key, F.col("stop").alias("id"), "stop").distinct()
     left = reach(step, stops, key, forward=False, carry=["stop"], rounds=rounds)
     left = graph.written(left.withColumnsRenamed({"id": "dst", "depth": "left"}), "distances")
     # The edges from which a stop can be reached, for each stop: no more than the walk back has met, and no partial path ever meets another.
     step = graph.written(step.join(left, [*key, "dst"]).select(*key, "stop", "src", "dst", "left"), "steps")
-    same, budget, done = [*key, "start", "stop"], most, []
+    same, budget = [*key, "start", "stop"], most
     while not _is_empty(todo):
         found, aside = _paths_within(step, todo, left, most, budget, key, rounds)
         last = found.groupBy(*same).agg(F.count("*").alias("n"), F.max(F.struct("length", "path")).alias("last"))
@@ -158,12 +167,53 @@ def block_paths(edges: DataFrame, ends: DataFrame, most: int, key: Sequence[str]
         verdict = graph.written(todo.join(last, same, "left").join(first_aside, same, "left").withColumn("sure", sure).select(*same, "sure"), "verdict")
         done.append(graph.written(found.join(verdict.filter("sure"), same, "left_semi").select(*same, "path"), "paths"))
         todo, budget = verdict.filter(~F.col("sure")).select(*same), 4 * budget
-    out = done[0] if done else todo.withColumn("path", F.array("start"))
+    out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
     return out
 
 
+#: Ends for each start beyond which they are searched together.
+TOGETHER = 256
+
+
+def _paths_together(step: DataFrame, ends: DataFrame, most: int, key: Sequence[str], rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` paths of the ends, and the starts (key, start) whose ends are not among them, as a path of theirs came back to one of its blocks.
+
+    Level by level from the starts, each block keeps the first ``most`` paths to it. As long as none comes back, the first paths to a block go over the first ones to the blocks before it, so
+    nothing that is dropped can matter, and all ends of a start share the work: less than twice ``most`` rows for each edge and start.
+    """
+    spark, folder, own = step.sparkSession, graph.shared_folder(step.sparkSession, "together"), [*key, "start"]
+    front = ends.select(*own).distinct().select(*own, F.col("start").alias("at"), F.array("start").alias("path"), F.lit(False).alias("looped"))
+    # Joins and windows sort by a number first, which is cheaper than names that begin alike.
+    number = lambda *names: F.xxhash64(*names).alias("_h")
+    step = step.select(number(*key, "src"), *key, "src", "dst")
+    order = Window.partitionBy("_h", *own, "at", "looped").orderBy("path")
+    read = lambda *levels: spark.read.schema(front.schema).parquet(*[f"{folder}/level={j}" for j in levels])
+    for i in range(rounds + 1):
+        n = graph.written_with_count(front, f"{folder}/level={i}")
+        kept = read(*range(i + 1))
+        looped = kept.filter("looped").select(*own).distinct()
+        if not n:
+            break
+        now = read(i).filter("not looped").drop("looped").join(looped, own, "left_anti")
+        if i:  # what has enough paths from the levels before needs no more
+            full = read(*range(i)).filter("not looped").groupBy(number(*own, "at"), *own, "at").agg(F.count("*").alias("_n")).filter(F.col("_n") >= most)
+            now = now.join(full.select(*own, "at"), [*own, "at"], "left_anti")
+        onward = now.withColumnRenamed("at", "src").withColumn("_h", number(*key, "src")).join(step, ["_h", *key, "src"])
+        onward = onward.select(number(*own, "dst"), *own, F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.array_contains("path", F.col("dst")).alias("looped"))
+        # Repeated edges give equal paths, of which the first counts.
+        ranked = onward.withColumn("_rank", F.dense_rank().over(order)).withColumn("_new", ~F.lag("path").over(order).eqNullSafe(F.col("path")))
+        front = ranked.filter(F.col("_new") & (F.col("_rank") <= F.when(F.col("looped"), 1).otherwise(most))).drop("_rank", "_new", "_h")
+    else:
+        raise RuntimeError(f"a path is longer than {rounds} nodes")
+    looped, same = graph.written(looped, "looped"), ["_h", *own, "stop"]
+    found = kept.filter("not looped").select(number(*own, "at"), *own, F.col("at").alias("stop"), "path").join(ends.withColumn("_h", number(*own, "stop")), same, "left_semi").join(looped, own, "left_anti")
+    first = Window.partitionBy(*same).orderBy(F.size("path"), "path")
+    found = found.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= most).drop("_h", "_rank")
+    return graph.written(found, "paths"), looped
+
+
 def _paths_within(step: DataFrame, ends: DataFrame, left: DataFrame, most: int, budget: int, key: Sequence[str], rounds: int) -> tuple[DataFrame, DataFrame]:
     """The first ``most`` paths of each end that a search with this budget finds (with their length), and what it left aside (with its worth); step: edges by stop, with what is left after them."""
     spark, folder = step.sparkSession, graph.shared_folder(step.sparkSession, "paths")
