@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,34 +84,89 @@ def kernel_matrix(a: DataFrame, b: DataFrame, param: float = 2.0, linear: bool =
 
 #: Points of one chunk, and of one block that it meets.
 BLOCK = 2048
+#: Chunks and blocks of one task, rows that it merges at once, and pairs that reach Python together.
+CHUNKS, MERGED, TOGETHER = 16, 1 << 18, 8
 
 
-def in_blocks(points: DataFrame, others: DataFrame, meet: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, size: int = BLOCK, half: bool = False) -> DataFrame:
-    """What ``meet`` makes of each chunk of points with each block of others; both are dealt by hash, so a task holds about ``size`` rows of either.
+def _packed(rows: DataFrame, n: int) -> DataFrame:
+    """chunk, packed: the rows, dealt by hash of dp_id to n chunks, each of them an Arrow stream in one value, in which vectors take 4 bytes a place if that loses nothing. Written, so vectors go to disk once."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        x = t["x"].combine_chunks()
+        offsets, flat = x.offsets.to_numpy(), x.flatten().to_numpy(zero_copy_only=False)
+        short = flat.astype(np.float32)
+        held = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(short if np.array_equal(short, flat, equal_nan=True) else flat))
+        held = t.drop_columns(["chunk", "x"]).combine_chunks().append_column("x", held)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, held.schema) as stream:
+            stream.write_table(held)
+        return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()), "packed": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+    dealt = rows.withColumn("x", F.col("x").cast("array<double>")).withColumn("chunk", F.pmod(F.xxhash64("dp_id"), F.lit(n)).cast("int"))
+    return graph.written(dealt.groupBy("chunk").applyInArrow(pack, "chunk int, packed binary"), "chunks")
+
+
+def _unpacked(packed: bytes) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows but for their vectors, and these as a matrix."""
+    t = pa.ipc.open_stream(packed).read_all().combine_chunks()
+    x = t["x"].combine_chunks()
+    lengths = np.unique(np.diff(x.offsets.to_numpy()))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors have different lengths: {lengths[:5].tolist()}")
+    return t.drop_columns(["x"]).to_pandas(), x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+
+
+def in_blocks(
+    points: DataFrame, others: DataFrame, meet: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, size: int = BLOCK, half: bool = False, merged: Callable[[pd.DataFrame], pd.DataFrame] | None = None
+) -> DataFrame:
+    """What ``meet`` makes of each chunk of points with each block of others, written; both are dealt by hash, about ``size`` rows to each.
 
     Points and others have dp_id and x, arrays of one length. Null vectors take no part. With ``half``, where both are the same rows, a chunk meets itself and of two chunks one meets the other;
     the chunk's rows have columns chunk and block, and rows of one dp_id are in one chunk.
+
+    A chunk is one value, and a task reads CHUNKS of either side and streams the pairs, so vectors are written once and never copied for each block. What is made of the pairs of a task is
+    put together by ``merged``, if there is one, so rows of a point are as many as tasks that it is in.
     """
-    points, others = points.filter("x is not null"), others.filter("x is not null")
-    n_chunks, n_blocks = max(1, -(-points.count() // size)), max(1, -(-others.count() // size))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    columns = others.columns
-    left = points.withColumn("chunk", deal("dp_id", n_chunks)).withColumn("block", every(n_blocks))
-    # Other names, so that the sides share no column even where both come from the same rows.
-    right = others.toDF(*[f"o_{c}" for c in columns]).withColumn("o_block", deal("o_dp_id", n_blocks)).withColumn("o_chunk", every(n_chunks))
-    if half:
-        left, right = left.filter("chunk <= block"), right.filter("o_chunk <= o_block")
+    spark, chunks = points.sparkSession, lambda df: max(1, -(-df.count() // size))
+    same, points, others = half or points is others, points.filter("x is not null"), others.filter("x is not null")
+    n = chunks(points)
+    m, left = n if same else chunks(others), _packed(points, n)
+    right = (left if same else _packed(others, m)).toDF("block", "o_packed")
+    # Enough tasks for all cores, and no more chunks in one than CHUNKS.
+    cores = spark.sparkContext.defaultParallelism
+    m_parts = min(m, max(-(-m // CHUNKS), math.isqrt(4 * cores - 1) + 1 if n > 1 else m))
+    n_parts = min(n, max(-(-n // CHUNKS), -(-4 * cores // m_parts)))
+    left, right = left.repartition(n_parts), right.repartition(m_parts).hint("shuffle_replicate_nl")
+    pairs = left.join(right, F.col("chunk") <= F.col("block")) if half else left.crossJoin(right)
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({n: [] for n in names})
-        matrix = lambda d: np.stack(d["x"].to_numpy()).astype(float)
-        b = b.rename(columns={f"o_{c}": c for c in columns})
-        return meet(a, matrix(a), b, matrix(b))
-
-    return left.groupBy("chunk", "block").cogroup(right.groupBy("o_chunk", "o_block")).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, a, x, found = None, None, None, []
+        for batch in batches:
+            for chunk, packed, block, o_packed in batch[["chunk", "packed", "block", "o_packed"]].itertuples(index=False):
+                if chunk != at:
+                    at, (a, x) = chunk, _unpacked(packed)
+                found.append(meet(a.assign(chunk=chunk, block=block), x, *_unpacked(o_packed))[names])
+                if merged is None:
+                    yield found.pop()
+                elif sum(map(len, found)) > MERGED:
+                    found = [merged(pd.concat(found))[names]]
+                    if len(found[0]) > MERGED // 2:
+                        yield found.pop()
+        if found:
+            yield merged(pd.concat(found))[names]
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TOGETHER))
+    try:
+        return graph.written(pairs.mapInPandas(run, schema), "met")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def _sums(found: pd.DataFrame) -> pd.DataFrame:
+    """Sums by dp_id."""
+    return found.groupby("dp_id", as_index=False, dropna=False).sum()
 
 
 #: Squared distances below this share of the squared lengths are taken from differences, as a product form would cancel.
@@ -140,6 +196,11 @@ def rough_distances2(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, a, b
 
 
+def _places(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true, in order; much faster than nonzero where that is little."""
+    return np.divmod(np.flatnonzero(found), found.shape[1])
+
+
 def _itself(chunk: pd.DataFrame) -> bool:
     """Whether a chunk meets itself (in_blocks with half)."""
     return chunk["chunk"].iloc[0] == chunk["block"].iloc[0]
@@ -150,7 +211,7 @@ def distances2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     out, a, b = rough_distances2(x, y)
     for k in range(0, len(x), 256):
         part = out[k : k + 256]
-        i, j = np.nonzero(~(part > CLOSE * (a[k : k + 256, None] + b)))
+        i, j = _places(~(part > CLOSE * (a[k : k + 256, None] + b)))
         part[i, j] = exact_distances2(x, y, i + k, j)
     return out
 
@@ -163,7 +224,7 @@ def kde_sums(points: DataFrame, labeled: DataFrame, bandwidth: float = 1.0) -> D
         near, alarm = np.exp(-distances2(x, y) / (2 * bandwidth**2)) * scale, b["is_alarm"].to_numpy(bool)
         return pd.DataFrame({"dp_id": a["dp_id"], "p": near[:, alarm].sum(axis=1), "q": near[:, ~alarm].sum(axis=1)})
 
-    found = in_blocks(points.select("dp_id", "x"), labeled.select("dp_id", "x", "is_alarm"), meet, "dp_id long, p double, q double").groupBy("dp_id").agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
+    found = in_blocks(points.select("dp_id", "x"), labeled.select("dp_id", "x", "is_alarm"), meet, "dp_id long, p double, q double", merged=_sums).groupBy("dp_id").agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
     return points.select("dp_id").join(found, "dp_id", "left")
 
 
@@ -218,14 +279,22 @@ def nearest(points: DataFrame, among: DataFrame) -> DataFrame:
     def meet(a: pd.DataFrame, x: np.ndarray, b: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
         order = np.argsort(b["dp_id"].to_numpy(), kind="stable")
         ids, y = b["dp_id"].to_numpy()[order], y[order]
+        middle = y.mean(axis=0)
+        turned, lengths = -2 * (y - middle).T, np.einsum("ij,ij->i", y - middle, y - middle)
         out = []
         for k in range(0, len(x), 256):
             mine, own = x[k : k + 256], a["dp_id"].to_numpy()[k : k + 256]
-            d, p, q = rough_distances2(mine, y)
-            other = own[:, None] != ids
+            # A row's squared distances by one product of matrices, less the row's own squared length, which orders nothing.
+            p = np.einsum("ij,ij->i", mine - middle, mine - middle)
+            d = (mine - middle) @ turned
+            d += lengths
+            first, last = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
+            for i in np.flatnonzero(first < last):
+                d[i, first[i] : last[i]] = np.inf
             # All that could be nearest, given how far the product form may be off, are measured again; of equal ones the first counts.
-            least = np.where(other, d, np.inf).min(axis=1)
-            i, j = np.nonzero(other & ~(d > (least + 1e-11 * (p + q.max()))[:, None]))
+            i, j = _places(~(d > (d.min(axis=1) + 1e-11 * (p + lengths.max()))[:, None]))
+            other = own[i] != ids[j]
+            i, j = i[other], j[other]
             near = exact_distances2(mine, y, i, j)
             best = np.lexsort((j, near, i))
             best = best[np.unique(i[best], return_index=True)[1]]
@@ -233,7 +302,11 @@ def nearest(points: DataFrame, among: DataFrame) -> DataFrame:
         out = pd.concat(out)
         return out[np.isfinite(out["d"])]
 
-    found = in_blocks(points.select("dp_id", "x"), among.select("dp_id", "x"), meet, "dp_id long, other long, d double")
+    def merged(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["d", "other"]).drop_duplicates("dp_id")
+
+    p = points.select("dp_id", "x")
+    found = in_blocks(p, p if among is points else among.select("dp_id", "x"), meet, "dp_id long, other long, d double", merged=merged)
     return found.groupBy("dp_id").agg(F.min_by("other", F.struct("d", "other")).alias("other"), F.sqrt(F.min("d")).alias("distance"))
 
 
@@ -288,7 +361,7 @@ def _labeled_constants(labeled: DataFrame, bandwidth: float) -> DataFrame:
         return pd.DataFrame({"dp_id": a["dp_id"], "s": k.sum(axis=1)})
 
     own = labeled.select("dp_id", "x", "is_alarm")
-    sums = in_blocks(own.select("dp_id", "x"), own.filter("is_alarm").select("dp_id", "x"), meet, "dp_id long, s double").groupBy("dp_id").agg(F.sum("s").alias("s"))
+    sums = in_blocks(own.select("dp_id", "x"), own.filter("is_alarm").select("dp_id", "x"), meet, "dp_id long, s double", merged=_sums).groupBy("dp_id").agg(F.sum("s").alias("s"))
     return own.filter("x is not null").join(sums, "dp_id", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
 
 
@@ -306,7 +379,7 @@ def leave_one_out_scores(points: DataFrame, labeled: DataFrame, p_pos: float = 0
     side = lambda flag, x: F.coalesce(F.sum(F.when(flag, x)), F.lit(0.0))
     total = _labeled_constants(labeled, bandwidth).agg(F.count_if("is_alarm").alias("n"), F.count_if(~F.col("is_alarm")).alias("m"), side(F.col("is_alarm"), F.col("s")).alias("pp"), side(~F.col("is_alarm"), F.col("s")).alias("np")).first()
     n, m, pp, to_negatives = (total[c] for c in ("n", "m", "pp", "np"))
-    found = in_blocks(points.select("dp_id", "x"), labeled.select("dp_id", "x", "is_alarm"), meet, "dp_id long, p double, q double").groupBy("dp_id").agg(F.sum("p").alias("a"), F.sum("q").alias("b"))
+    found = in_blocks(points.select("dp_id", "x"), labeled.select("dp_id", "x", "is_alarm"), meet, "dp_id long, p double, q double", merged=_sums).groupBy("dp_id").agg(F.sum("p").alias("a"), F.sum("q").alias("b"))
     a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
     pos = (((pp + 2 * a) / (n * (n + 1))) if n else F.lit(0.0)) - (((to_negatives + b) / (m * (n + 1))) if m else F.lit(0.0))
     neg = -((to_negatives + a) / (n * (m + 1))) if n else F.lit(0.0)
@@ -327,7 +400,7 @@ def leave_in_scores(points: DataFrame, labeled: DataFrame, p_pos: float = 0.5, b
     held = points.filter("x is not null").select("dp_id", "x")
     if not m:
         return held.select("dp_id", F.lit(0.0).alias("score"))
-    sums = in_blocks(held, lab, meet, "dp_id long, lp double, ln double, w double, own double").groupBy("dp_id").agg(*[F.sum(c).alias(c) for c in ("lp", "ln", "w")], F.max("own").alias("own"))
+    sums = in_blocks(held, lab, meet, "dp_id long, lp double, ln double, w double, own double", merged=lambda found: found.groupby("dp_id", as_index=False, dropna=False).agg({"lp": "sum", "ln": "sum", "w": "sum", "own": "max"})).groupBy("dp_id").agg(*[F.sum(c).alias(c) for c in ("lp", "ln", "w")], F.max("own").alias("own"))
     with_u = F.col("w") / n - math.log(n + 1) if n else F.lit(0.0)
     t = (F.col("ln") + F.col("own")) / (m + 1) - with_u
     o = F.col("ln") / m - (F.col("lp") + F.col("own")) / (n + 1)
