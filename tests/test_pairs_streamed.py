@@ -52,6 +52,18 @@ def test_vectors_are_written_once_and_rows_put_together(points, some, written, m
     assert met[0].count() <= 500 * 25 // 4
 
 
+def test_bandwidths_are_put_together_by_the_task(points, some, written, monkeypatch):
+    small_blocks(monkeypatch)
+    got = {r.bandwidth: r.fitness for r in vectors.bandwidths(points, [0.3, 1.0]).collect()}
+    d, fold = all_pairs(some), np.arange(500) % 5
+    other = fold[:, None] != fold
+    for h in (0.3, 1.0):
+        mean = np.maximum((np.exp(-d / (2 * h * h)) * other).sum(axis=1) / other.sum(axis=1), 1e-300)
+        assert got[h] == pytest.approx((np.log(mean) - 3 * np.log(h * np.sqrt(2 * np.pi))).sum(), rel=1e-9)
+    assert [name for name, _ in written] == ["chunks", "met"]
+    assert written[1][1].count() <= 500 * 2 * 25 // 2  # a row for each pair of blocks would be 500 * 2 * 26
+
+
 @pytest.mark.parametrize("sides", [(500, 1), (3, 500)])
 def test_points_meet_others_of_another_number(points, some, sides, monkeypatch):
     """Every point with each of the others once, however few there are, and rows merged more than once."""

@@ -431,7 +431,10 @@ def bandwidths(points: DataFrame, grid: Sequence[float], folds: int = 5) -> Data
 
         return pd.concat(sums(a, fa, across, fb) + ([] if _itself(a) else sums(b, fb, down, fa)))
 
+    def merged(found: pd.DataFrame) -> pd.DataFrame:
+        return found.groupby(["bandwidth", "dp_id"], as_index=False, dropna=False).agg({"k": "sum", "n": "sum", "dim": "max"})
+
     p = points.select("dp_id", "x")
-    near = in_blocks(p, p, meet, "dp_id long, bandwidth double, k double, n long, dim int", half=True).groupBy("bandwidth", "dp_id").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max("dim").alias("dim")).filter("n > 0")
+    near = in_blocks(p, p, meet, "dp_id long, bandwidth double, k double, n long, dim int", half=True, merged=merged).groupBy("bandwidth", "dp_id").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max("dim").alias("dim")).filter("n > 0")
     ll = F.log(F.greatest(F.col("k") / F.col("n"), F.lit(1e-300))) - F.col("dim") * F.log(F.col("bandwidth") * F.sqrt(2 * F.pi()))
     return near.groupBy("bandwidth").agg(F.sum(ll).alias("fitness"))
